@@ -15,7 +15,8 @@ OCEAN_EPOCH, SECONDS_PER_HOUR = "1950-01-01 00:00:00", 3600
 
 def with_date_from_ns(df: DataFrame, name: str = "time") -> DataFrame:
     """Replace an int64 nanosecond epoch by its UTC date."""
-    seconds = F.floor(F.col(name) / F.lit(1_000_000_000))
+    # Whole-number division: nanosecond counts do not fit a double exactly.
+    seconds = F.expr(f"(`{name}` - pmod(`{name}`, 1000000000)) div 1000000000")
     return df.withColumn(name, F.to_date(F.timestamp_seconds(seconds)))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorSlicer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from polarframe.operators.distribute import keyed_uniform, prefix_sums, settle
 
 METRICS = ["roc_auc", "pr_auc", "f1", "precision", "recall"]
 
+# A prime below 2^31: multiples of it by a replicate number stay far inside 64 bits.
+HASH_PRIME = 2147483647
+
 # Cumulative probabilities of a Poisson variable with mean 1.
 POISSON_CDF = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815,
                0.999916759, 0.999989751, 0.999998875, 0.999999889, 0.999999990]
@@ -190,18 +195,31 @@ def bootstrap_interval(
 ) -> DataFrame:
     """Percentile interval of each pixel's mean probability from Poisson(1) bootstrap weights.
 
-    Every row gets its weight in replicate b from a hash of its key and b, and all replicates are
-    sums in one aggregation with map-side combine: the rows are read once and never multiplied.
+    A row's weight in replicate b comes from ``(h + b * g) mod p`` with two hashes h, g of its key.
+    All replicates of a row form one vector of weights and weighted values, and one aggregation with
+    map-side combine sums the vectors: the rows are read once and never multiplied.
     """
     v = present(df, value).cast("double")
-    sums = []
-    for b in range(replicates):
-        u = keyed_uniform(list(row_key), seed * 100_003 + b)
-        weight = F.when(v.isNotNull(), reduce(lambda a, c: a + c, [(u >= F.lit(p)).cast("int") for p in POISSON_CDF]))
-        sums += [F.sum(weight * v).alias(f"s{b}"), F.sum(weight).alias(f"w{b}")]
-    wide = df.groupBy(*key).agg(F.avg(v).alias("mean"), F.count(v).alias("n"), *sums)
-    means = F.array_sort(F.filter(F.array(*[F.try_divide(F.col(f"s{b}"), F.col(f"w{b}")) for b in range(replicates)]), lambda m: m.isNotNull()))
+    start, stride = (F.floor(keyed_uniform(list(row_key), seed + i) * F.lit(HASH_PRIME)) for i in (0, 1))
+    prime, all_replicates = F.lit(HASH_PRIME), F.sequence(F.lit(0), F.lit(replicates - 1))
+
+    def weight(pair: Column, b: Column) -> Column:
+        place = F.pmod(pair.h + b * pair.g, prime)
+        return reduce(lambda x, y: x + y, [F.when(place >= F.lit(math.ceil(p * HASH_PRIME)), 1.0).otherwise(0.0) for p in POISSON_CDF])
+
+    # The hash pair is bound as a lambda variable, so it is computed once per row and not per replicate.
+    hashes = F.array(F.struct(start.alias("h"), stride.alias("g")))
+    weights = F.get(F.transform(hashes, lambda pair: F.transform(all_replicates, lambda b: weight(pair, b))), 0)
+    weighted = df.filter(v.isNotNull()).select(*key, v.alias("v"), weights.alias("w"))
+    both = array_to_vector(F.concat("w", F.transform("w", lambda w: w * F.col("v"))))
+    sums = weighted.groupBy(*key).agg(
+        F.avg("v").alias("mean"), F.count("v").alias("n"), Summarizer.metrics("sum").summary(both).alias("s")
+    ).withColumn("s", vector_to_array(F.col("s.sum")))
+    half = lambda first: F.slice("s", first, replicates)
+    means = F.filter(F.zip_with(half(1), half(replicates + 1), lambda w, x: F.try_divide(x, w)), lambda m: m.isNotNull())
     rank = lambda share: F.floor((F.size("means") - 1) * F.lit(share)).cast("int")
-    edge = lambda share: F.when(F.size("means") > 0, F.get("means", rank(share)))
     tail = (1 - level) / 2
-    return wide.select(*key, "mean", "n", means.alias("means")).select(*key, "mean", "n", edge(tail).alias("low"), edge(1 - tail).alias("high"))
+    ordered = sums.select(*key, "mean", "n", F.array_sort(means).alias("means"))
+    return ordered.select(
+        *key, "mean", "n", F.get("means", rank(tail)).alias("low"), F.get("means", rank(1 - tail)).alias("high")
+    )

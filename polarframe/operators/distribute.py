@@ -12,8 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A lookup table of this many narrow rows (keys and a few numbers) is some tens of megabytes.
-BROADCAST_ROWS = 500_000
+# A lookup table of this many values (rows times columns) is some tens of megabytes as numbers.
+BROADCAST_VALUES = 4_000_000
 # A key is hot when it holds more than this share of the rows, so at most 1 / HOT_SHARE keys are hot.
 HOT_SHARE = 0.001
 SALTS = 64
@@ -47,18 +47,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lookup_join(
-    df: DataFrame,
-    table: DataFrame,
-    on: list[str],
-    how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def lookup_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left", width: int | None = None) -> DataFrame:
     """Join a lookup table with one row per key: broadcast if counted small, else salted shuffle.
 
-    ``table`` should be a scan or a settled table, so that counting it is cheap.
+    ``table`` should be a scan or a settled table, so that counting it is cheap. ``width`` is the
+    number of values in a row of ``table`` where that is not its number of columns (arrays).
     """
-    if table.count() <= max_rows:
+    if table.count() * (width or len(table.columns)) <= BROADCAST_VALUES:
         return df.join(F.broadcast(table), on, how)
     return skew_join(df, table, on, how)
 
@@ -125,7 +120,8 @@ def prefix_sums(
     all slices.
     """
     keys = list(keys or [])
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     direction = F.col(order).desc() if descending else F.col(order).asc()
     # Settled, so that slice borders (which come from a sample) are drawn exactly once.
     sliced = settle(
@@ -148,7 +144,8 @@ def keyed_uniform(keys: list[str], seed: int) -> Column:
     """Repeatable uniform number in [0, 1) that depends on the key values only.
 
     ``DataFrame.sample`` depends on how rows happen to be partitioned; this does not, so a retried
-    task or another cluster size draws the same rows.
+    task or another cluster size draws the same rows. MD5 of the key text is a function any SQL
+    engine has, so the draw can be checked outside Spark; 13 hex digits fit a double exactly.
     """
-    steps = 1 << 40
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(steps)) / F.lit(float(steps))
+    digits = F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))), 1, 13)
+    return F.conv(digits, 16, 10).cast("bigint") / F.lit(float(1 << 52))

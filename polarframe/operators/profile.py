@@ -184,30 +184,39 @@ def _interpolated(total: Column, share: float) -> Column:
     return at(low) + (at(F.ceil(place)) - at(low)) * F.max(place - low)
 
 
-def box_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Exact quartiles, whiskers at 1.5 interquartile ranges, and the count of outliers."""
-    ranks = settle(value_ranks(df, columns))
-    # One row per column on the right of both joins.
-    totals = ranks.groupBy("column").agg(F.max("cum_n").alias("total"))
-    quartiles = (
-        ranks.join(F.broadcast(totals), "column")
-        .groupBy("column")
-        .agg(
+def box_stats(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
+    """Quartiles, whiskers at 1.5 interquartile ranges, and the count of outliers.
+
+    Quartiles are exact, at the price of shuffling every distinct value. With ``accuracy`` they come
+    from mergeable sketches (relative rank error 1 / accuracy) and only sketches are shuffled.
+    """
+    pairs = [[F.lit(c), present(df, c).cast("double")] for c in columns]
+    if accuracy:
+        values = _melt(df, pairs, ["column", "value"]).na.drop()
+        times, marks = F.lit(1), [F.lit(p) for p in (0.25, 0.5, 0.75)]
+        sketch = values.groupBy("column").agg(
+            F.count(F.lit(1)).alias("n"), F.percentile_approx("value", F.array(*marks), F.lit(accuracy)).alias("q")
+        )
+        quartiles = sketch.select("column", "n", *[F.get("q", i).alias(a) for i, a in enumerate(("q1", "median", "q3"))])
+    else:
+        ranks = settle(value_ranks(df, columns))
+        totals = ranks.groupBy("column").agg(F.max("cum_n").alias("total"))
+        quartiles = ranks.join(F.broadcast(totals), "column").groupBy("column").agg(
             F.max("total").alias("n"),
             *[_interpolated(F.col("total"), p).alias(a) for p, a in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))],
         )
-    )
+        values, times = ranks.select("column", "value", F.col("n").alias("times")), F.col("times")
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     kept = F.when(inside, F.col("value"))
+    # One row per column is broadcast.
     return (
-        ranks.drop("cum_n").withColumnRenamed("n", "times")
-        .join(F.broadcast(quartiles), "column")
+        values.join(F.broadcast(quartiles), "column")
         .groupBy("column", "n", "q1", "median", "q3")
         .agg(
             F.min(kept).alias("whisker_low"),
             F.max(kept).alias("whisker_high"),
-            F.sum(F.when(inside, 0).otherwise(F.col("times"))).alias("n_outliers"),
+            F.sum(F.when(inside, 0).otherwise(times)).cast("bigint").alias("n_outliers"),
         )
     )
 

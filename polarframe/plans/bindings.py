@@ -25,13 +25,13 @@ def _whole(column: Column) -> Column:
 
 
 def basins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier, mascon and region names; nations and regions are fixed small tables."""
+    """Supplier, mascon and region names; Catalyst sizes the scans of nations and regions itself."""
     nation = table(spark, sf_dir, "nation").join(
-        F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")
+        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
     return (
         table(spark, sf_dir, "supplier")
-        .join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .select(
             F.col("s_suppkey").alias("x"), F.col("s_nationkey").alias("y"), F.col("s_nationkey").alias("mascon_id"),
             F.col("r_name").alias("regional_subset_id"), "s_acctbal",
@@ -188,3 +188,8 @@ SCORED = """scored as (
   select doc_id, lang as regional_subset_id, cast(n_chars as double) as score, quality as label,
     case when n_chars > 1500 then 1 else 0 end as prediction
   from documents join labels using (doc_id))"""
+
+
+def uniform_sql(keys: list[str], seed: int) -> str:
+    """SQL twin of ``distribute.keyed_uniform``."""
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(keys)}, '{seed}')), 1, 13))::bigint / {float(1 << 52)!r}::double)"

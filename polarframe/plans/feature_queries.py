@@ -9,7 +9,7 @@ from polarframe.functions.physics import physics_features
 from polarframe.operators import labels, splits, temporal
 from polarframe.operators.distribute import settle
 from polarframe.operators.fusion import quarterly_stats
-from polarframe.plans.bindings import FUSED, OBS, fused, obs, table
+from polarframe.plans.bindings import FUSED, OBS, fused, obs, table, uniform_sql
 from polarframe.plans.registry import query
 
 _W = "window w as (partition by x, y order by month_idx), r as (partition by x, y order by month_idx rows unbounded preceding)"
@@ -198,13 +198,27 @@ def _(spark, sf):
     return splits.temporal_split(obs(spark, sf), _TRAIN_END, _VAL_END).select("x", "month_idx", "split")
 
 
-@query("undersample")
+_DRAW = uniform_sql(["x", "y", "month_idx"], 42)
+
+
+@query(
+    "undersample",
+    f"""with {_LABELLED} select x, month_idx, basal_loss_agreement from labelled where basal_loss_agreement = 1 or (basal_loss_agreement = 0 and {_DRAW} <
+      (select count(*) filter (where basal_loss_agreement = 1) * 4.0::double / nullif(count(*) filter (where basal_loss_agreement = 0), 0) from labelled))""",
+)
 def _(spark, sf):
     rows = settle(labelled(spark, sf))
     return splits.undersample(rows, ratio=4.0).select("x", "month_idx", "basal_loss_agreement")
 
 
-@query("undersample_by_region")
+@query(
+    "undersample_by_region",
+    f"""with {_LABELLED}, s as (select regional_subset_id, count(*) filter (where basal_loss_agreement = 1)
+      * case regional_subset_id when 'ASIA' then 5.0::double when 'EUROPE' then 2.0::double else 10.0::double end
+      / nullif(count(*) filter (where basal_loss_agreement = 0), 0) as share from labelled group by 1)
+    select x, month_idx, regional_subset_id, basal_loss_agreement from labelled left join s using (regional_subset_id)
+    where basal_loss_agreement = 1 or (basal_loss_agreement = 0 and {_DRAW} < share)""",
+)
 def _(spark, sf):
     rows = settle(labelled(spark, sf))
     return splits.undersample(rows, ratio=10.0, ratios={"ASIA": 5.0, "EUROPE": 2.0}).select("x", "month_idx", "regional_subset_id", "basal_loss_agreement")
@@ -231,7 +245,10 @@ def _(spark, sf):
     return lines.select("l_orderkey", "l_linenumber", "l_partkey", *[F.round(c, 6).alias(c) for c in ("precision_weight", "density_weight")])
 
 
-@query("oof_split")
+@query(
+    "oof_split",
+    f"""with {OBS} select case when {uniform_sql(["x", "y"], 42)} < 0.5 then 'a' else 'b' end as fold, count(*) as n, count(distinct x) as n_pixels from obs group by 1""",
+)
 def _(spark, sf):
     first, second = splits.oof_split(settle(obs(spark, sf)))
     tagged = first.withColumn("fold", F.lit("a")).unionByName(second.withColumn("fold", F.lit("b")))

@@ -128,7 +128,7 @@ def _(spark, sf):
 @query("assign_region", "select c_custkey, r_name as regional_subset_id from customer left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey")
 def _(spark, sf):
     customers = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("mascon_id"))
-    regions = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    regions = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     region_map = regions.select(F.col("n_nationkey").alias("mascon_id"), F.col("r_name").alias("regional_subset_id"))
     return fusion.assign_region(customers, region_map).drop("mascon_id")
 

@@ -14,7 +14,7 @@ from polarframe.ml import models, prep, studies
 from polarframe.operators import labels, splits, temporal
 from polarframe.operators.distribute import settle
 from polarframe.operators.fusion import quarterly_stats
-from polarframe.plans.bindings import FUSED, OBS, SCORED, fused, obs, pixel_geometry, scored, table
+from polarframe.plans.bindings import FUSED, OBS, SCORED, fused, obs, pixel_geometry, scored, table, uniform_sql
 from polarframe.plans.registry import query
 
 TRAIN_END, VAL_END = 1999 * 12 + 12, 2000 * 12 + 12
@@ -453,7 +453,22 @@ def _(spark, sf):
     return ev.physics_baseline(fused(spark, sf), 300, 50000).select("x", "month_idx", "prediction")
 
 
-@query("bootstrap_interval")
+_POISSON = " + ".join(f"(u >= {p!r}::double)::int" for p in ev.POISSON_CDF)
+_ROW = ["x", "y", "month_idx"]
+
+
+@query(
+    "bootstrap_interval",
+    f"""with {OBS}, p as (select x, y, delta_h::double / (delta_h + lwe_mo + 1) as v,
+      floor({uniform_sql(_ROW, 42)} * {ev.HASH_PRIME})::bigint as h, floor({uniform_sql(_ROW, 43)} * {ev.HASH_PRIME})::bigint as g from obs),
+    u as (select x, y, v, b, ((h + b * g) % {ev.HASH_PRIME}) / {float(ev.HASH_PRIME)!r}::double as u from p, (select unnest(range(50)) as b)),
+    w as (select x, y, v, b, {_POISSON} as w from u),
+    m as (select x, y, b, sum(w * v) / nullif(sum(w), 0) as m from w group by 1, 2, 3),
+    o as (select x, y, list_sort(list(m) filter (where m is not null)) as ms from m group by 1, 2),
+    a as (select x, y, avg(v) as mean, count(*) as n from p group by 1, 2)
+    select x, y, round(mean, 6) as mean, n, round(ms[cast(floor((len(ms) - 1) * {(1 - 0.95) / 2!r}::double) as int) + 1], 6) as low,
+      round(ms[cast(floor((len(ms) - 1) * {1 - (1 - 0.95) / 2!r}::double) as int) + 1], 6) as high from a join o using (x, y)""",
+)
 def _(spark, sf):
     rows = obs(spark, sf).withColumn("probability", F.col("delta_h") / (F.col("delta_h") + F.col("lwe_mo") + F.lit(1)))
     out = ev.bootstrap_interval(rows, replicates=50)

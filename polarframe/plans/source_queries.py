@@ -19,7 +19,7 @@ from polarframe.functions.calendar import (
 )
 from polarframe.operators import clean
 from polarframe.operators.distribute import scratch_path
-from polarframe.plans.bindings import GRID, OBS, grid, obs, table
+from polarframe.plans.bindings import GRID, OBS, grid, obs, table, uniform_sql
 from polarframe.plans.registry import query
 from polarframe.sources.readers import decode_packed, read_observations, union_tiles
 from polarframe.sources.schemas import PackSpec
@@ -159,9 +159,12 @@ def _(spark, sf):
     return clean.drop_missing(obs(spark, sf), ["thetao_mo", "so_mo"]).select("x", "month_idx", "thetao_mo", "so_mo")
 
 
-@query("sample_rows")
+_LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey"]
+
+
+@query("sample_rows", f"select {', '.join(_LINE_KEY)}, l_quantity from lineitem where {uniform_sql(_LINE_KEY, 42)} < 0.01")
 def _(spark, sf):
-    return clean.sample_rows(table(spark, sf, "lineitem"), 0.01, seed=42, key=["l_orderkey", "l_linenumber", "l_partkey"])
+    return clean.sample_rows(table(spark, sf, "lineitem").select(*_LINE_KEY, "l_quantity"), 0.01, seed=42, key=_LINE_KEY)
 
 
 @query("drop_years", f"with {OBS} select x, month_idx, lwe_mo from obs where month_idx not between 1999 * 12 + 1 and 1999 * 12 + 12")
