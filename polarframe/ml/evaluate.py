@@ -40,7 +40,7 @@ def score_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     counts = known.groupBy("score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
-    return settle(prefix_sums(counts, order="score", sums=["pos", "neg"], descending=True))
+    return prefix_sums(counts, order="score", sums=["pos", "neg"], descending=True)
 
 
 def _roc_area() -> Column:
@@ -68,7 +68,7 @@ def pr_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFra
 
 def best_threshold(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Score threshold (predict positive at or above it) with the largest F1; ties to the higher one."""
-    curve = score_curve(df, score, label)
+    curve = settle(score_curve(df, score, label))
     positives = curve.agg(F.sum("pos")).scalar()
     f1 = F.try_divide(2.0 * F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg") + positives)
     best = curve.select(f1.alias("f1"), F.col("score").alias("threshold"), "cum_pos", "cum_neg").agg(

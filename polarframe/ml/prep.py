@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polarframe.functions.missing import is_missing, present
-from polarframe.operators.distribute import settle
-from polarframe.operators.profile import value_ranks
+from polarframe.operators.profile import quantiles
 
 # Borders of the grounding-line distance classes in metres.
 GL_SPLITS = [-float("inf"), 5e3, 2e4, 5e4, 1e5, float("inf")]
@@ -43,16 +42,9 @@ def impute_median(columns: list[str]) -> Imputer:
 
 
 def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Exact lower median in place of missing values, from distributed ranks instead of a sketch."""
-    ranks = settle(value_ranks(df, columns))
-    medians = {}
-    totals = ranks.groupBy("column").agg(F.max("cum_n").alias("total"))
-    middle = ranks.join(F.broadcast(totals), "column").groupBy("column").agg(
-        F.min(F.when(F.col("cum_n") * 2 >= F.col("total"), F.col("value"))).alias("median")
-    )
-    for row in middle.collect():  # one row per column
-        medians[row["column"]] = row["median"]
-    return df.withColumns({imputed(c): F.coalesce(present(df, c).cast("double"), F.lit(medians.get(c))) for c in columns})
+    """Exact lower median in place of missing values."""
+    medians = {r["column"]: r["low"] for r in quantiles(df, columns, [0.5]).collect()}  # one row per column
+    return df.withColumns({imputed(c): F.coalesce(present(df, c).cast("double"), F.lit(medians[c])) for c in columns})
 
 
 def gl_buckets(source: str = "dist_to_grounding_line") -> Bucketizer:

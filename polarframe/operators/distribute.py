@@ -67,12 +67,9 @@ def skew_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left")
     """
     if how not in ("left", "inner"):
         raise ValueError("skew_join keeps the left side whole: how must be left or inner")
-    total = df.count()
-    hot = settle(
-        df.groupBy(*on).count()
-        .filter(F.col("count") > F.lit(max(total * HOT_SHARE, 1.0)))
-        .select(*on, F.lit(True).alias("_hot"))
-    )
+    sizes = settle(df.groupBy(*on).count())
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    hot = sizes.filter(F.col("count") > F.lit(max(total * HOT_SHARE, 1.0))).select(*on, F.lit(True).alias("_hot"))
     any_null = F.lit(False)
     for key in on:
         any_null = any_null | F.col(key).isNull()

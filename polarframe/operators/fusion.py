@@ -11,10 +11,6 @@ from polarframe.operators.distribute import lookup_join, settle, with_group_stat
 from polarframe.operators.grid import CELL
 
 
-# No ocean product has more depth levels than this; used to size the broadcast check only.
-MAX_LEVELS = 100
-
-
 def join_static(obs: DataFrame, topography: DataFrame) -> DataFrame:
     """Topography onto observations by cell; cells without topography keep NULLs."""
     return lookup_join(obs, topography, CELL)
@@ -58,12 +54,13 @@ def sample_at_depth(
     linear mode takes the end value; equally near levels resolve to the shallower one.
     """
     value = present(ocean, "value")
-    levels = (
+    levels = settle(
         ocean.filter(value.isNotNull() & F.col("depth").isNotNull())
         .groupBy(*keys, "depth").agg(F.avg(value).alias("v"))
         .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("depth").cast("double").alias("d"), "v"))).alias("_levels"))
     )
-    joined = lookup_join(points, settle(levels), list(keys), width=len(keys) + 2 * MAX_LEVELS)
+    deepest = levels.agg(F.max(F.size("_levels"))).first()[0] or 0
+    joined = lookup_join(points, levels, list(keys), width=len(keys) + 2 * deepest)
     at = F.col(depth).cast("double")
     if mode == "nearest":
         away = F.transform("_levels", lambda s: F.struct(F.abs(s.d - at).alias("gap"), s.d.alias("d"), s.v.alias("v")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from polarframe.functions.missing import present
 from polarframe.functions.projection import cell_of, snap
+from polarframe.operators import distribute
 from polarframe.operators.distribute import lookup_join, prefix_sums, settle
 
 CELL = ["cell_x", "cell_y"]
@@ -190,22 +191,29 @@ LEVELS_PER_WRITE = 3
 def _descend(away: DataFrame, border: DataFrame, levels: int, cap2: int | None) -> DataFrame:
     """Squared cell distance of every ``away`` cell; coordinates lie in [0, 2^levels)."""
     zero = F.lit(0).cast("bigint")
+    # No level has more target boxes than there are border cells; a box has four columns.
+    few = border.count() * 4 <= distribute.BROADCAST_VALUES
     # At the top level one box covers all points and one all targets.
     pairs = away.sparkSession.range(1 if levels else 0).select(*[zero.alias(c) for c in ("px", "py", "tx", "ty")])
     for level in range(levels - 1, 0, -1):
-        bounds = _child_pairs(pairs, away, border, level, cap2)
+        bounds = _child_pairs(pairs, away, border, level, cap2, few)
         reach = F.min("hi2").over(Window.partitionBy("px", "py"))
         pairs = bounds.withColumn("reach", reach).filter(F.col("lo2") <= F.col("reach")).select("px", "py", "tx", "ty")
         if level % LEVELS_PER_WRITE == 0:
             pairs = settle(pairs)
-    return _child_pairs(pairs, away, border, 0, cap2).groupBy("px", "py").agg(F.min("lo2").alias("_d2"))
+    return _child_pairs(pairs, away, border, 0, cap2, few).groupBy("px", "py").agg(F.min("lo2").alias("_d2"))
 
 
-def _child_pairs(pairs: DataFrame, away: DataFrame, border: DataFrame, level: int, cap2: int | None) -> DataFrame:
+def _child_pairs(
+    pairs: DataFrame, away: DataFrame, border: DataFrame, level: int, cap2: int | None, few: bool
+) -> DataFrame:
     """Pairs of occupied child boxes with the least and greatest squared distance of their cells."""
     side = 1 << level
     parents = pairs.withColumnsRenamed({"px": "ppx", "py": "ppy", "tx": "tpx", "ty": "tpy"})
-    grown = parents.join(_boxes(away, level, "p"), ["ppx", "ppy"]).join(_boxes(border, level, "t"), ["tpx", "tpy"])
+    # A point box has few candidates, but one target box can be the candidate of a third of all points.
+    grown = parents.join(_boxes(away, level, "p"), ["ppx", "ppy"])
+    boxes, key = _boxes(border, level, "t"), ["tpx", "tpy"]
+    grown = grown.join(F.broadcast(boxes), key) if few else lookup_join(grown, boxes, key, "inner")
     gaps = [F.abs(F.col("px") - F.col("tx")), F.abs(F.col("py") - F.col("ty"))]
     least = [F.greatest((g - 1) * side + 1, F.lit(0)).cast("bigint") for g in gaps]
     most = [((g + 1) * side - 1).cast("bigint") for g in gaps]

@@ -7,10 +7,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polarframe.functions.lattice import hex_cell, hex_centre
+from polarframe.functions.lattice import Lattice
 from polarframe.functions.missing import is_missing, numeric_columns, present
 from polarframe.functions.projection import cell_of
-from polarframe.operators.clean import season
 from polarframe.operators.distribute import prefix_sums, settle
 
 
@@ -62,39 +61,32 @@ def missing_report(df: DataFrame, threshold: float = 0.01) -> DataFrame:
 def histogram(df: DataFrame, name: str, bins: int = 100) -> DataFrame:
     """Equal-width histogram with empty bins; the top edge belongs to the last bin.
 
-    The limits come from a scalar subquery over present values, so the whole job is one plan.
+    The limits are taken over present values, so one NaN does not spoil them.
     """
     values = df.select(present(df, name).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    limits = values.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi")).alias("e")).scalar()
-    step = (limits.hi - limits.lo) / F.lit(bins)
-    offset = F.coalesce(F.try_divide(F.col("v") - limits.lo, step), F.lit(0.0))
+    low, high = (F.lit(e).cast("double") for e in values.agg(F.min("v"), F.max("v")).first())
+    step = (high - low) / F.lit(bins)
+    offset = F.coalesce(F.try_divide(F.col("v") - low, step), F.lit(0.0))
     counts = values.groupBy(F.least(F.floor(offset), F.lit(bins - 1)).cast("bigint").alias("bin_id")).count()
     spine = df.sparkSession.range(bins).select(F.col("id").alias("bin_id"))
     # At most ``bins`` rows on either side.
     return spine.join(F.broadcast(counts), "bin_id", "left").select(
         "bin_id",
-        (limits.lo + F.col("bin_id") * step).alias("lo"),
-        (limits.lo + (F.col("bin_id") + 1) * step).alias("hi"),
+        (low + F.col("bin_id") * step).alias("lo"),
+        (low + (F.col("bin_id") + 1) * step).alias("hi"),
         F.coalesce("count", F.lit(0)).alias("n"),
     )
 
 
 def _points(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
     cols = [present(df, c).cast("double").alias(a) for c, a in ((x, "px"), (y, "py"), (z, "pz"))]
-    return df.select(*cols).na.drop()
+    others = [c for c in df.columns if c == "early"]
+    return df.select(*cols, *others).na.drop()
 
 
-def _extent(points: DataFrame) -> Column:
-    return points.agg(
-        F.struct(
-            F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1")
-        ).alias("e")
-    ).scalar()
-
-
-def _hex_means(points: DataFrame, extent: Column, gridsize: int) -> DataFrame:
-    cells = points.select(hex_cell(F.col("px"), F.col("py"), extent, gridsize).alias("h"), "pz")
-    return cells.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.avg("pz").alias("mean"))
+def _lattice(points: DataFrame, gridsize: int) -> Lattice:
+    edges = points.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
+    return Lattice(*[0.0 if e is None else e for e in edges], gridsize)
 
 
 def hexbin_mean(
@@ -102,12 +94,11 @@ def hexbin_mean(
 ) -> DataFrame:
     """Mean of ``z`` per hexagon over all rows; ``clip`` limits the displayed mean, not the data."""
     points = _points(df, x, y, z)
-    extent = _extent(points)
-    cx, cy = hex_centre(F.col("h"), extent, gridsize)
-    mean = F.col("mean") if clip is None else F.greatest(F.least("mean", F.lit(clip)), F.lit(-clip))
-    return _hex_means(points, extent, gridsize).select(
-        "h.hx", "h.hy", cx.alias("cx"), cy.alias("cy"), "n", mean.alias("mean")
-    )
+    lattice = _lattice(points, gridsize)
+    means = lattice.assign(points).groupBy("hx", "hy").agg(F.count(F.lit(1)).alias("n"), F.avg("pz").alias("mean"))
+    shown = F.col("mean") if clip is None else F.greatest(F.least("mean", F.lit(clip)), F.lit(-clip))
+    cx, cy = lattice.centre()
+    return means.select("hx", "hy", cx.alias("cx"), cy.alias("cy"), "n", shown.alias("mean"))
 
 
 def season_compare(
@@ -120,27 +111,19 @@ def season_compare(
     z: str = "delta_h",
     gridsize: int = 150,
 ) -> DataFrame:
-    """Two seasons on one lattice: means side by side and their difference, from one scan."""
-    wanted = [yr * 12 + m for yr in (first, last) for m in months]
-    rows = df.filter(F.col("month_idx").isin(*wanted))
-    points = rows.select(
-        *[present(df, c).cast("double").alias(a) for c, a in ((x, "px"), (y, "py"), (z, "pz"))],
-        F.col("month_idx").isin(*[first * 12 + m for m in months]).alias("early"),
-    ).na.drop()
-    extent = _extent(points)
-    cells = points.select(hex_cell(F.col("px"), F.col("py"), extent, gridsize).alias("h"), "pz", "early")
+    """Two seasons on one lattice: means side by side and their difference, in one aggregation."""
+    early_months, late_months = ([year * 12 + m for m in months] for year in (first, last))
+    rows = df.filter(F.col("month_idx").isin(*early_months, *late_months))
+    points = _points(rows.withColumn("early", F.col("month_idx").isin(*early_months)), x, y, z)
+    cells = _lattice(points, gridsize).assign(points)
     early, late = F.when(F.col("early"), F.col("pz")), F.when(~F.col("early"), F.col("pz"))
-    return (
-        cells.groupBy("h")
-        .agg(
-            F.count(early).alias("n_first"),
-            F.count(late).alias("n_last"),
-            F.avg(early).alias("mean_first"),
-            F.avg(late).alias("mean_last"),
-        )
-        .select("h.hx", "h.hy", "n_first", "n_last", "mean_first", "mean_last",
-                (F.col("mean_last") - F.col("mean_first")).alias("difference"))
+    means = cells.groupBy("hx", "hy").agg(
+        F.count(early).alias("n_first"),
+        F.count(late).alias("n_last"),
+        F.avg(early).alias("mean_first"),
+        F.avg(late).alias("mean_last"),
     )
+    return means.withColumn("difference", F.col("mean_last") - F.col("mean_first"))
 
 
 def monthly_mean(df: DataFrame, name: str) -> DataFrame:
@@ -163,62 +146,74 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return _melt(wide, rows, ["column_a", "column_b", "r"])
 
 
-def value_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, n, cum_n): how many rows hold a value, and how many hold it or less.
-
-    Counting equal values first keeps repeated values cheap; the running sum is distributed, so no
-    task ever holds a whole column.
-    """
-    pairs = [[F.lit(c), present(df, c).cast("double")] for c in columns]
-    counts = _melt(df, pairs, ["column", "value"]).na.drop().groupBy("column", "value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return prefix_sums(counts, order="value", sums=["n"], keys=["column"])
-
+# Accuracy of the sketches that bracket a quantile, and the size up to which no bracket is needed.
+SKETCH_ACCURACY = 10_000
+BRACKET_FROM = 100_000
 
-def _interpolated(total: Column, share: float) -> Column:
-    """Linear interpolation between the two order statistics around ``(total - 1) * share``."""
-    place = (total - 1) * F.lit(share)
-    low = F.floor(place)
-    at = lambda rank: F.min(F.when(F.col("cum_n") > rank, F.col("value")))
-    return at(low) + (at(F.ceil(place)) - at(low)) * F.max(place - low)
 
+def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """Exact quantiles without sorting the table: (column, share, n, low, high, value).
 
-def box_stats(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
-    """Quartiles, whiskers at 1.5 interquartile ranges, and the count of outliers.
-
-    Quartiles are exact, at the price of shuffling every distinct value. With ``accuracy`` they come
-    from mergeable sketches (relative rank error 1 / accuracy) and only sketches are shuffled.
+    ``low`` and ``high`` are the order statistics around ``(n - 1) * share`` and ``value`` is
+    interpolated between them. A first pass sketches two values that enclose each wanted rank; a
+    second one counts what lies below and counts equal values inside the bracket. Only the few
+    values inside are shuffled and ranked, and the running sum over them is distributed as well.
     """
-    pairs = [[F.lit(c), present(df, c).cast("double")] for c in columns]
-    if accuracy:
-        values = _melt(df, pairs, ["column", "value"]).na.drop()
-        times, marks = F.lit(1), [F.lit(p) for p in (0.25, 0.5, 0.75)]
-        sketch = values.groupBy("column").agg(
-            F.count(F.lit(1)).alias("n"), F.percentile_approx("value", F.array(*marks), F.lit(accuracy)).alias("q")
-        )
-        quartiles = sketch.select("column", "n", *[F.get("q", i).alias(a) for i, a in enumerate(("q1", "median", "q3"))])
-    else:
-        ranks = settle(value_ranks(df, columns))
-        totals = ranks.groupBy("column").agg(F.max("cum_n").alias("total"))
-        quartiles = ranks.join(F.broadcast(totals), "column").groupBy("column").agg(
-            F.max("total").alias("n"),
-            *[_interpolated(F.col("total"), p).alias(a) for p, a in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))],
-        )
-        values, times = ranks.select("column", "value", F.col("n").alias("times")), F.col("times")
-    reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
-    inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
-    kept = F.when(inside, F.col("value"))
-    # One row per column is broadcast.
-    return (
-        values.join(F.broadcast(quartiles), "column")
-        .groupBy("column", "n", "q1", "median", "q3")
-        .agg(
-            F.min(kept).alias("whisker_low"),
-            F.max(kept).alias("whisker_high"),
-            F.sum(F.when(inside, 0).otherwise(times)).cast("bigint").alias("n_outliers"),
-        )
+    reach = 2.0 / SKETCH_ACCURACY
+    values = {c: present(df, c).cast("double") for c in columns}
+    marks = F.array(*[F.lit(min(max(s + side, 0.0), 1.0)) for s in shares for side in (-reach, reach)])
+    sketch = df.agg(
+        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values.values())],
+        *[F.percentile_approx(v, marks, F.lit(SKETCH_ACCURACY)).alias(f"q{i}") for i, v in enumerate(values.values())],
+    ).first()
+    wanted, found = [], []
+    for i, (name, v) in enumerate(values.items()):
+        total = sketch[f"n{i}"]
+        for j, share in enumerate(shares):
+            slot = len(wanted)
+            wanted.append((slot, name, share, total))
+            low, high = sketch[f"q{i}"][2 * j : 2 * j + 2] if total > BRACKET_FROM else (None, None)
+            below = F.lit(False) if low is None or share - reach <= 0 else v < F.lit(low)
+            above = F.lit(False) if high is None or share + reach >= 1 else v > F.lit(high)
+            # Everything below the bracket shares the NULL value, which sorts first.
+            seen = F.struct(F.lit(slot).alias("slot"), F.when(~below, v).alias("v"))
+            found.append(F.when(v.isNotNull() & ~above, seen))
+    # Values above a bracket give an all-NULL row, dropped before the aggregation.
+    counts = (
+        df.select(F.inline(F.array(*found))).filter(F.col("slot").isNotNull())
+        .groupBy("slot", "v").agg(F.count(F.lit(1)).alias("times"))
+    )
+    ranked = prefix_sums(counts, order="v", sums=["times"], keys=["slot"])
+    # One row per column and share.
+    targets = df.sparkSession.createDataFrame(wanted, "slot int, column string, share double, n bigint")
+    place = (F.col("n") - 1) * F.col("share")
+    at = lambda rank: F.min(F.when(F.col("cum_times") > rank, F.col("v")))
+    picked = (
+        ranked.join(F.broadcast(targets), "slot")
+        .groupBy("slot").agg(at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high"))
     )
+    out = targets.join(F.broadcast(picked), "slot", "left").drop("slot")
+    return out.withColumn("value", F.col("low") + (F.col("high") - F.col("low")) * (place - F.floor(place)))
+
+
+def box_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Exact quartiles, whiskers at 1.5 interquartile ranges, and the count of outliers."""
+    marks: dict[str, dict[float, float]] = {c: {} for c in columns}
+    for row in quantiles(df, columns, [0.25, 0.5, 0.75]).collect():  # three rows per column
+        marks[row["column"]][row["share"]] = row["value"]
+    values = {c: present(df, c).cast("double") for c in columns}
+    measures, rows = [], []
+    for i, (name, v) in enumerate(values.items()):
+        q1, median, q3 = (F.lit(marks[name][s]).cast("double") for s in (0.25, 0.5, 0.75))
+        reach = F.lit(1.5) * (q3 - q1)
+        inside = v.between(q1 - reach, q3 + reach)
+        measures += [
+            F.count(v).alias(f"n{i}"), F.min(F.when(inside, v)).alias(f"lo{i}"), F.max(F.when(inside, v)).alias(f"hi{i}"),
+            F.count_if(~inside).alias(f"out{i}"),
+        ]
+        rows.append([F.lit(name), F.col(f"n{i}"), q1, median, q3, F.col(f"lo{i}"), F.col(f"hi{i}"), F.col(f"out{i}")])
+    names = ["column", "n", "q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers"]
+    return _melt(df.agg(*measures), rows, names)
 
 
 def coverage(df: DataFrame, probe: str, by: list[str]) -> DataFrame:

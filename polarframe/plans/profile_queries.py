@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from polarframe.functions.lattice import rows_of
+from polarframe.functions.lattice import Lattice
 from polarframe.operators import profile
 from polarframe.operators.distribute import settle
 from polarframe.plans.bindings import GRID, OBS, grid, obs, table
@@ -80,6 +80,10 @@ def _(spark, sf):
     return profile.histogram(table(spark, sf, "lineitem"), "l_extendedprice", 100)
 
 
+def rows_of(gridsize: int) -> int:
+    return Lattice(0, 1, 0, 1, gridsize).rows
+
+
 def _hex_sql(source: str, grid_x: int) -> str:
     ny = rows_of(grid_x)
     return f"""

@@ -121,13 +121,28 @@ def test_sample_does_not_depend_on_partitions(spark, rows):
     assert 800 < len(one) < 1200
 
 
-def test_box_stats_exact_and_sketched(spark):
-    df = spark.createDataFrame([(float(v),) for v in [1, 2, 3, 4, 100]], "v double")
-    row = profile.box_stats(df, ["v"]).first()
+def test_box_stats(spark):
+    df = spark.createDataFrame([(float(v), None) for v in [1, 2, 3, 4, 100]], "v double, w double")
+    by = {r["column"]: r for r in profile.box_stats(df, ["v", "w"]).collect()}
+    row = by["v"]
     assert (row.n, row.q1, row["median"], row.q3) == (5, 2.0, 3.0, 4.0)
     assert (row.whisker_low, row.whisker_high, row.n_outliers) == (1.0, 4.0, 1)
-    sketch = profile.box_stats(df, ["v"], accuracy=10_000).first()
-    assert (sketch.n, sketch["median"], sketch.n_outliers) == (5, 3.0, 1)
+    assert by["w"].n == 0 and by["w"]["median"] is None and by["w"].n_outliers == 0
+
+
+def test_bracketed_quantiles_are_exact(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(profile, "BRACKET_FROM", 1_000)
+    monkeypatch.setattr(profile, "SKETCH_ACCURACY", 200)
+    # A third of all rows share one value.
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 77.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(100_003)) / 7.0).alias("v"))
+    values = np.array([r.v for r in df.collect()])
+    shares = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {r.share: r for r in profile.quantiles(df, ["v"], shares).collect()}
+    for share in shares:
+        assert got[share].value == pytest.approx(np.quantile(values, share), rel=1e-12)
+        assert got[share].low == np.quantile(values, share, method="lower") and got[share].n == 30_000
 
 
 def test_hexbin_counts_every_point(spark):

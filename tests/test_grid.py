@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from polarframe.functions.projection import snap, to_geographic, to_polar, wrap_longitude
+from polarframe.operators import distribute
 from polarframe.operators import grid as grids
 
 
@@ -77,8 +78,10 @@ def _brute(points, targets):
     return {p: min((math.dist(p, t) for t in targets), default=None) for p in points}
 
 
-@pytest.mark.parametrize("seed, n_targets", [(0, 1), (1, 40), (2, 400)])
-def test_nearest_distance_equals_brute_force(spark, seed, n_targets):
+@pytest.mark.parametrize("seed, n_targets, bound", [(0, 1, None), (1, 40, None), (2, 400, None), (4, 60, 0)])
+def test_nearest_distance_equals_brute_force(spark, seed, n_targets, bound, monkeypatch):
+    if bound is not None:  # as on tables too large to broadcast
+        monkeypatch.setattr(distribute, "BROADCAST_VALUES", bound)
     rng = random.Random(seed)
     points = {(rng.randint(-70, 90), rng.randint(-40, 120)) for _ in range(300)}
     targets = {(rng.randint(-30, 60), rng.randint(-40, 30)) for _ in range(n_targets)}
