@@ -30,17 +30,17 @@ def positive_probability(probability: str = "probability") -> Column:
     return vector_to_array(F.col(probability)).getItem(1)
 
 
-def score_curve(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Per distinct score, highest first: positives and negatives at and above it.
+def score_curve(df: DataFrame, score: str, label: str, keys: list[str] = ()) -> DataFrame:
+    """Per distinct score inside ``keys``, highest first: positives and negatives at and above it.
 
     Equal scores are counted before anything is ordered, and the running sums are spread over range
     partitions, so neither a tied score nor the global order ends up on one task.
     """
-    known = df.select(present(df, score).alias("score"), F.col(label).alias("label")).na.drop()
-    counts = known.groupBy("score").agg(
+    known = df.select(*keys, present(df, score).alias("score"), F.col(label).alias("label")).na.drop(subset=["score", "label"])
+    counts = known.groupBy(*keys, "score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
-    return prefix_sums(counts, order="score", sums=["pos", "neg"], descending=True)
+    return prefix_sums(counts, order="score", sums=["pos", "neg"], keys=list(keys), descending=True)
 
 
 def _roc_area() -> Column:
@@ -87,9 +87,9 @@ def _cells(prediction: str, label: str) -> dict[str, Column]:
     return {"tp": hit(1, 1), "fp": hit(0, 1), "fn": hit(1, 0), "tn": hit(0, 0)}
 
 
-def prf(df: DataFrame, prediction: str = "prediction", label: str = "label") -> DataFrame:
+def prf(df: DataFrame, prediction: str = "prediction", label: str = "label", keys: list[str] = ()) -> DataFrame:
     """Precision, recall and F1: class-weighted, and of the positive class."""
-    counts = df.agg(*[c.alias(n) for n, c in _cells(prediction, label).items()])
+    counts = df.groupBy(*keys).agg(*[c.alias(n) for n, c in _cells(prediction, label).items()])
     tp, fp, fn, tn = (F.col(n) for n in ("tp", "fp", "fn", "tn"))
     zero = F.lit(0.0)
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), zero)
@@ -100,7 +100,7 @@ def prf(df: DataFrame, prediction: str = "prediction", label: str = "label") ->
     positives, negatives = tp + fn, tn + fp
     weighted = lambda parts: F.try_divide(parts[1] * positives + parts[0] * negatives, positives + negatives)
     return counts.select(
-        weighted(f1).alias("f1"), weighted(precision).alias("precision"), weighted(recall).alias("recall"),
+        *keys, weighted(f1).alias("f1"), weighted(precision).alias("precision"), weighted(recall).alias("recall"),
         f1[1].alias("f1_positive"), precision[1].alias("precision_positive"), recall[1].alias("recall_positive"),
     )
 
@@ -114,21 +114,32 @@ def confusion(df: DataFrame, prediction: str = "prediction", label: str = "label
     return counts.select(F.inline(F.array(*rows)))
 
 
-def evaluate(
+def to_scores(
     df: DataFrame, model: str, split: str, label: str = "label", prediction: str = "prediction", score: Column | None = None
 ) -> DataFrame:
-    """One row of exact metrics; ``score`` defaults to the positive probability."""
-    scores = df.select(
-        F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("prediction"),
-        (positive_probability() if score is None else score).alias("score"),
-    )
-    areas = score_curve(scores, "score", "label").agg(F.struct(_roc_area().alias("roc"), _pr_area().alias("pr"))).scalar()
-    return prf(scores).select(
-        F.lit(model).alias("model"), F.lit(split).alias("split"), areas.roc.alias("roc_auc"), areas.pr.alias("pr_auc"),
-        "f1", "precision", "recall",
+    """Predictions as (model, split, label, prediction, score); the score defaults to the positive probability."""
+    return df.select(
+        F.lit(model).alias("model"), F.lit(split).alias("split"), F.col(label).cast("int").alias("label"),
+        F.col(prediction).cast("int").alias("prediction"),
+        (positive_probability() if score is None else score).cast("double").alias("score"),
     )
 
 
+def evaluate_all(scores: Sequence[DataFrame]) -> DataFrame:
+    """Exact metrics of many ``to_scores`` tables: one job for all models and splits together."""
+    keys = ["model", "split"]
+    rows = reduce(lambda a, b: a.unionByName(b), scores)
+    areas = score_curve(rows, "score", "label", keys).groupBy(*keys).agg(_roc_area().alias("roc_auc"), _pr_area().alias("pr_auc"))
+    return prf(rows, keys=keys).join(areas, keys, "left").select(*keys, *METRICS)
+
+
+def evaluate(
+    df: DataFrame, model: str, split: str, label: str = "label", prediction: str = "prediction", score: Column | None = None
+) -> DataFrame:
+    """One row of exact metrics."""
+    return evaluate_all([to_scores(df, model, split, label, prediction, score)])
+
+
 def results_table(rows: Sequence[DataFrame]) -> DataFrame:
     """Metric rows of several models and splits as one settled table."""
     return settle(reduce(lambda a, b: a.unionByName(b), rows))

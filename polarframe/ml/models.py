@@ -12,9 +12,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polarframe.ml.evaluate import coefficients, evaluate, positive_probability, regional_summary, results_table, silhouette
+from polarframe.ml.evaluate import coefficients, evaluate_all, positive_probability, regional_summary, results_table, silhouette, to_scores
 from polarframe.ml.prep import META_CONTEXT, META_NAMES, SvdModel, build_pipeline, fit_svd, meta_features
-from polarframe.operators.distribute import scratch_path
+from polarframe.operators.distribute import scratch_path, settle
 from polarframe.operators.labels import LABEL
 from polarframe.operators.splits import oof_split, undersample
 from polarframe.sources.sinks import materialize, save_predictions
@@ -108,12 +108,12 @@ def train_stack(
     prefixes = {"Base_RF": "rf", "Base_GBT": "gbt"}
     rows, scored = [], {}
     for split, df in flushed.items():
-        # Scored once, then read by two base evaluations and every meta-learner.
+        # Scored once, then read by the evaluation of every base and meta learner.
         scored[split] = with_base(df).persist(StorageLevel.DISK_ONLY)
         for name in fitted:
             prefix = prefixes[name]
             probability = positive_probability(f"{prefix}_probability")
-            rows.append(evaluate(scored[split], name, split, label, f"{prefix}_prediction", probability))
+            rows.append(to_scores(scored[split], name, split, label, f"{prefix}_prediction", probability))
     metas = {split: meta_features(df, context) for split, df in scored.items()}
     learners = meta or {"Stack_LR_Baseline": meta_lr("baseline", label, weight), "Stack_LR_Tuned": meta_lr("tuned", label, weight)}
     fold_b = metas["fold_b"].persist(StorageLevel.MEMORY_AND_DISK)
@@ -127,14 +127,14 @@ def train_stack(
             reports.append(coefficients(spark, linear, names).withColumn("model", F.lit(name)))
         for split in ("fold_a", "fold_b", "val", "test"):
             predicted = model.transform(metas[split])
-            rows.append(evaluate(predicted, name, split, label))
+            rows.append(to_scores(predicted, name, split, label))
             if save:
                 kept = [c for c in ("x", "y", "month_idx", "regional_subset_id", label, "prediction", "probability") if c in predicted.columns]
                 saved.append(save_predictions(predicted.select(*kept), name, split, scratch_path(spark, "predictions")))
             if split == "test":
                 regional.append(regional_summary(predicted, name, label=label))
     result = StackResult(
-        preprocess, list(fitted.values()), meta_models, results_table(rows),
+        preprocess, list(fitted.values()), meta_models, settle(evaluate_all(rows)),
         results_table(reports) if reports else None, results_table(regional), saved,
     )
     for df in scored.values():

@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, UserDefinedType
 
 # A lookup table of this many values (rows times columns) is some tens of megabytes as numbers.
 BROADCAST_VALUES = 4_000_000
@@ -47,33 +48,43 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lookup_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left", width: int | None = None) -> DataFrame:
+def lookup_join(
+    df: DataFrame, table: DataFrame, on: list[str], how: str = "left", width: int | None = None, keys_from: DataFrame | None = None
+) -> DataFrame:
     """Join a lookup table with one row per key: broadcast if counted small, else salted shuffle.
 
     ``table`` should be a scan or a settled table, so that counting it is cheap. ``width`` is the
     number of values in a row of ``table`` where that is not its number of columns (arrays).
+    ``keys_from`` is passed on to ``skew_join``.
     """
     if table.count() * (width or len(table.columns)) <= BROADCAST_VALUES:
         return df.join(F.broadcast(table), on, how)
-    return skew_join(df, table, on, how)
+    return skew_join(df, table, on, how, keys_from)
 
 
-def skew_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+def skew_join(
+    df: DataFrame, table: DataFrame, on: list[str], how: str = "left", keys_from: DataFrame | None = None
+) -> DataFrame:
     """Shuffle join that spreads hot keys of ``df`` (and its null keys) over salted partitions.
 
+    Hot keys are found by counting keys in ``df``, or in ``keys_from``: an earlier table with the same
+    keys, which saves running the plan of ``df`` twice. Any choice of hot keys gives the same rows.
+
     Only the rows of ``table`` that belong to hot keys are repeated, so a topography of hundreds
     of millions of cells is not multiplied. The list of hot keys has at most ``1 / HOT_SHARE``
     rows by construction and is safe to broadcast.
     """
     if how not in ("left", "inner"):
         raise ValueError("skew_join keeps the left side whole: how must be left or inner")
-    sizes = settle(df.groupBy(*on).count())
+    sizes = settle((df if keys_from is None else keys_from).groupBy(*on).count())
     total = sizes.agg(F.sum("count")).first()[0] or 0
     hot = sizes.filter(F.col("count") > F.lit(max(total * HOT_SHARE, 1.0))).select(*on, F.lit(True).alias("_hot"))
     any_null = F.lit(False)
     for key in on:
         any_null = any_null | F.col(key).isNull()
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
+    # A hash of the row, not a random number: a retried task salts its rows as before.
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (MapType, UserDefinedType))]
+    spread = F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int")
     salted = (
         df.join(F.broadcast(hot), on, "left")
         .withColumn("_salt", F.when(F.col("_hot") | any_null, spread).otherwise(0))

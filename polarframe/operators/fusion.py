@@ -11,9 +11,9 @@ from polarframe.operators.distribute import lookup_join, settle, with_group_stat
 from polarframe.operators.grid import CELL
 
 
-def join_static(obs: DataFrame, topography: DataFrame) -> DataFrame:
+def join_static(obs: DataFrame, topography: DataFrame, keys_from: DataFrame | None = None) -> DataFrame:
     """Topography onto observations by cell; cells without topography keep NULLs."""
-    return lookup_join(obs, topography, CELL)
+    return lookup_join(obs, topography, CELL, keys_from=keys_from)
 
 
 def assign_mascon(points: DataFrame, master_map: DataFrame, key: list[str] = CELL) -> DataFrame:
@@ -26,9 +26,9 @@ def assign_region(points: DataFrame, region_map: DataFrame, key: list[str] = ("m
     return lookup_join(points, region_map.select(*key, "regional_subset_id"), list(key))
 
 
-def join_monthly(obs: DataFrame, monthly: DataFrame, keys: list[str]) -> DataFrame:
+def join_monthly(obs: DataFrame, monthly: DataFrame, keys: list[str], keys_from: DataFrame | None = None) -> DataFrame:
     """A monthly product onto observations by key and month."""
-    return lookup_join(obs, monthly, [*keys, "month_idx"])
+    return lookup_join(obs, monthly, [*keys, "month_idx"], keys_from=keys_from)
 
 
 def clamp_depth(df: DataFrame, ocean: DataFrame, keys: list[str] = CELL, draft: str = "ice_draft") -> DataFrame:
@@ -151,10 +151,11 @@ def fuse(
     (surface, bed, thickness, clamped_depth), gravity per (mascon_id, month_idx) with lwe_mo, ocean per
     (cell, month_idx) with thetao_mo and so_mo, and the two maps.
     """
-    wide = join_static(altimetry, topography)
-    wide = assign_region(assign_mascon(wide, mascon_map), region_map)
+    # Hot cells are looked for in the altimetry itself, so no join runs again to find them.
+    wide = assign_region(assign_mascon(altimetry, mascon_map), region_map)
     wide = join_monthly(wide, gravity, ["mascon_id"])
-    wide = join_monthly(wide, ocean, CELL)
+    wide = join_static(wide, topography, keys_from=altimetry)
+    wide = join_monthly(wide, ocean, CELL, keys_from=altimetry)
     wide = thermal_driving(freezing_point(dynamic_surface(ice_geometry(wide))))
     wide = quarterly_stats(wide, ["t_star_mo", "thetao_mo", "lwe_mo"])
     return disaggregate_mass(wide)

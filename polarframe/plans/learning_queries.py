@@ -230,8 +230,8 @@ def _boosted_metrics(spark, sf, presets):
     rows = []
     for name, preset in presets.items():
         model = models.boosted(preset, n_estimators=5, max_depth=3).fit(fit_rows)
-        rows += [ev.evaluate(model.transform(d), name, n, LABEL) for n, d in sides.items()]
-    return ev.results_table(rows)
+        rows += [ev.to_scores(model.transform(d), name, n, LABEL) for n, d in sides.items()]
+    return ev.evaluate_all(rows)
 
 
 @query("boosted_baseline")
@@ -239,11 +239,40 @@ def _(spark, sf):
     return _rounded_metrics(_boosted_metrics(spark, sf, {"baseline": "baseline"}))
 
 
-@query("results_table")
+@query("boosted_tuned")
 def _(spark, sf):
     return _rounded_metrics(_boosted_metrics(spark, sf, {"baseline": "baseline", "tuned": "tuned_code"}))
 
 
+def _base_learner(spark, sf, stage):
+    train, _, test = _split(ml_table(spark, sf))
+    prepared = prep.build_pipeline("stack", NUMERIC).fit(train)
+    fitted = stage.fit(splits.undersample(settle(prepared.transform(train))))
+    prefix = stage.getPredictionCol().split("_")[0]
+    scored = fitted.transform(prepared.transform(test)).withColumn("score", ev.positive_probability(f"{prefix}_probability"))
+    return scored.select("x", "month_idx", F.round("score", 6).alias("score"), F.col(stage.getPredictionCol()).alias("prediction"))
+
+
+@query("base_rf")
+def _(spark, sf):
+    return _base_learner(spark, sf, models.base_rf(trees=8, depth=4))
+
+
+@query("base_gbt")
+def _(spark, sf):
+    return _base_learner(spark, sf, models.base_gbt(rounds=4, depth=3))
+
+
+@query("meta_lr")
+def _(spark, sf):
+    train, _, _ = _split(ml_table(spark, sf))
+    prepared = settle(prep.build_pipeline("stack", NUMERIC).fit(train).transform(train))
+    base = Pipeline(stages=[models.base_rf(trees=4, depth=3), models.base_gbt(rounds=2, depth=2)]).fit(prepared)
+    rows = settle(prep.meta_features(base.transform(prepared)))
+    fitted = {p: models.meta_lr(p).fit(rows) for p in ("baseline", "tuned")}
+    return _rounded_metrics(ev.evaluate_all([ev.to_scores(m.transform(rows), f"lr_{p}", "train", LABEL) for p, m in fitted.items()]))
+
+
 @query("train_stack")
 def _(spark, sf):
     return _rounded_metrics(_stacked(spark, sf).metrics)
@@ -421,7 +450,7 @@ def _pr_sql(where: str) -> str:
       case when train - test > 0.1 then 'OVERFITTING' else 'OK' end as verdict from a""",
 )
 def _(spark, sf):
-    metrics = ev.results_table([ev.evaluate(d, "rule", s, score=F.col("score")) for s, d in _rule_splits(spark, sf).items()])
+    metrics = settle(ev.evaluate_all([ev.to_scores(d, "rule", s, score=F.col("score")) for s, d in _rule_splits(spark, sf).items()]))
     out = ev.fitting_analysis(metrics)
     return out.withColumns({c: F.round(c, 6) for c in ("train_roc_auc", "test_roc_auc", "test_pr_auc", "gap")})
 
@@ -445,6 +474,26 @@ def _(spark, sf):
     return _rounded_metrics(ev.evaluate(scored(spark, sf), "rule", "all", score=F.col("score")))
 
 
+def _split_sql(split: str, where: str) -> str:
+    counts = {"tp": "label = 1 and prediction = 1", "fp": "label = 0 and prediction = 1", "fn": "label = 1 and prediction = 0", "tn": "label = 0 and prediction = 0"}
+    cells = ", ".join(f"count(*) filter (where {c})::double as {n}" for n, c in counts.items())
+    mean = lambda one, zero: f"round((({one}) * (tp + fn) + ({zero}) * (tn + fp)) / (tp + fp + fn + tn), 6)"
+    ratio = lambda a, b: f"coalesce({a} / nullif({b}, 0), 0)"
+    return f"""select 'rule' as model, '{split}' as split, round({_area_sql(where)}, 6) as roc_auc, round({_pr_sql(where)}, 6) as pr_auc,
+      {mean(ratio("2 * tp", "2 * tp + fp + fn"), ratio("2 * tn", "2 * tn + fp + fn"))} as f1,
+      {mean(ratio("tp", "tp + fp"), ratio("tn", "tn + fn"))} as precision, {mean(ratio("tp", "tp + fn"), ratio("tn", "tn + fp"))} as recall
+      from (select {cells} from scored where {where})"""
+
+
+@query(
+    "results_table",
+    f"""with {SCORED} {_split_sql("train", "regional_subset_id = 'en'")} union all {_split_sql("test", "regional_subset_id <> 'en'")}""",
+)
+def _(spark, sf):
+    rows = [ev.evaluate(d, "rule", s, score=F.col("score")) for s, d in _rule_splits(spark, sf).items()]
+    return _rounded_metrics(ev.results_table(rows))
+
+
 @query(
     "physics_baseline",
     f"""with {FUSED} select x, month_idx, case when t_star_mo >= 300 and dist_to_grounding_line <= 50000 then 1 else 0 end as prediction from fused""",

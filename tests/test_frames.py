@@ -76,6 +76,19 @@ def test_sinks_round_trip(spark, tmp_path, rows):
     assert saved.groupBy("model", "split").count().count() == 2 and saved.count() == 2000
 
 
+def test_a_crowded_month_is_written_by_several_tasks(spark, tmp_path):
+    month = F.when(F.col("id") % 3 == 0, F.col("id") % 7 + 1).otherwise(24240)
+    df = spark.range(300_000).select(month.cast("int").alias("month_idx"), F.xxhash64("id").alias("x"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        write_observations(df, str(tmp_path / "obs"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "obs").iterdir() if d.is_dir()}
+    assert files["month_idx=24240"] > 2 and len(files) == 8
+    assert spark.read.parquet(str(tmp_path / "obs")).count() == 300_000
+
+
 def test_missing_values(mixed, rows):
     assert rows(clean.drop_missing(mixed, ["v"]), "id") == [(1,), (4,)]
     filled = clean.flag_and_fill(mixed, "v", ["v"])
