@@ -5,6 +5,8 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from compare import difference, oracle_connection, types_note
 
+from polarframe.operators import distribute
+
 SF = "/root/testdata/sf0.001"
 CHECKED = sorted(oracle_sql())
 # Model runs without SQL are covered by test_learning.py on small frames.
@@ -34,3 +36,17 @@ def test_entry(spark):
     df = entry(spark)
     assert df.columns == ["x", "y", "regional_subset_id", "mean_delta_h", "mean_zscore"]
     assert df.count() > 0
+
+
+BEYOND = [
+    "fuse", "bilinear", "lookup_coarse", "regional_zscore", "agreement_label", "undersample_by_region", "sample_weights",
+    "nearest_distance", "neighbourhood_fraction", "sample_nearest_depth", "clamp_depth", "join_static", "roc_auc", "box_stats",
+]
+
+
+@pytest.mark.parametrize("name", BEYOND)
+def test_equals_sql_beyond_the_broadcast_bound(spark, oracle, name, monkeypatch):
+    """The same results when no lookup table counts as small: salted shuffle joins everywhere."""
+    monkeypatch.setattr(distribute, "BROADCAST_VALUES", 0)
+    want = oracle.execute(oracle_sql()[name]).df().astype(object).where(lambda d: d.notna(), None)
+    assert difference(queries()[name](spark, SF).toPandas(), want) is None
