@@ -126,9 +126,12 @@ def to_scores(
 
 
 def evaluate_all(scores: Sequence[DataFrame]) -> DataFrame:
-    """Exact metrics of many ``to_scores`` tables: one job for all models and splits together."""
+    """Exact metrics of many ``to_scores`` tables: one job for all models and splits together.
+
+    The narrow scores are written first, so that no model scores its rows once per metric.
+    """
     keys = ["model", "split"]
-    rows = reduce(lambda a, b: a.unionByName(b), scores)
+    rows = settle(reduce(lambda a, b: a.unionByName(b), scores))
     areas = score_curve(rows, "score", "label", keys).groupBy(*keys).agg(_roc_area().alias("roc_auc"), _pr_area().alias("pr_auc"))
     return prf(rows, keys=keys).join(areas, keys, "left").select(*keys, *METRICS)
 
@@ -216,7 +219,11 @@ def bootstrap_interval(
 
     def weight(pair: Column, b: Column) -> Column:
         place = F.pmod(pair.h + b * pair.g, prime)
-        return reduce(lambda x, y: x + y, [F.when(place >= F.lit(math.ceil(p * HASH_PRIME)), 1.0).otherwise(0.0) for p in POISSON_CDF])
+        # The first border above the draw; two comparisons on average.
+        choice = F.when(place < F.lit(math.ceil(POISSON_CDF[0] * HASH_PRIME)), 0.0)
+        for count, border in enumerate(POISSON_CDF[1:], start=1):
+            choice = choice.when(place < F.lit(math.ceil(border * HASH_PRIME)), float(count))
+        return choice.otherwise(float(len(POISSON_CDF)))
 
     # The hash pair is bound as a lambda variable, so it is computed once per row and not per replicate.
     hashes = F.array(F.struct(start.alias("h"), stride.alias("g")))

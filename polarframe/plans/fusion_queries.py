@@ -7,13 +7,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from polarframe.functions import physics
-from polarframe.functions.calendar import month_idx
+from polarframe.functions.calendar import month_idx, month_index
 from polarframe.functions.projection import ECC, SCALE, SERIES, snap, to_geographic, to_polar, wrap_longitude
 from polarframe.operators import fusion, grid as grids
 from polarframe.operators.distribute import settle
 from polarframe.plans.bindings import (
     BASINS, FUSED, GRID, OBS, OCEAN, POINTS, basins, fused, grid, obs, ocean_profile, pixel_geometry, points, table,
 )
+from polarframe.plans.observations import observation_table
 from polarframe.plans.registry import query
 
 
@@ -359,3 +360,75 @@ def _(spark, sf):
 def _(spark, sf):
     lines = month_idx(table(spark, sf, "lineitem").withColumn("x", F.col("l_suppkey")), "l_shipdate")
     return fusion.to_pixel_months(lines, ["l_quantity"], ["x"])
+
+
+# ---- the whole fact table, from the raster, the points and the line items as source products
+
+_SOURCES = f"""{GRID}, {POINTS},
+  topo as (select cell_x, cell_y, surface // 100 - 800 as surface, bed // 10 as bed, surface // 100 - 800 - bed // 10 + mask * 50 as thickness,
+    case when bed < 2400 then mask end as mask from grid),
+  alt as (select cast(floor(x / 500) as bigint) as cell_x, cast(floor(y / 500) as bigint) as cell_y, month_idx, cast(sum(h_li) % 97 as bigint) as delta_h from points group by 1, 2, 3),
+  grav as (select cell_x // 10 as mascon_id, month_idx, cast(count(*) * 100 as bigint) as lwe_cm from alt group by 1, 2),
+  sea as (select l_suppkey % 7 as ocean_x, l_suppkey // 7 as ocean_y, cast(year(l_shipdate) * 12 + month(l_shipdate) as int) as month_idx, l_linenumber * 100 as depth,
+    cast(sum(cast(l_quantity as bigint)) as bigint) as thetao, cast(sum(l_linenumber) as bigint) as so from lineitem group by 1, 2, 3, 4)"""
+
+
+def _source_tables(spark, sf):
+    raster = grid(spark, sf)
+    whole = lambda c, by: F.floor(F.col(c) / by).cast("bigint")
+    surface, bed = whole("surface", 100) - 800, whole("bed", 10)
+    topography = raster.select(
+        "cell_x", "cell_y", surface.alias("surface"), bed.alias("bed"), (surface - bed + F.col("mask") * 50).alias("thickness"),
+        F.when(F.col("bed") < 2400, F.col("mask")).alias("mask"),
+    )
+    cells = snap(points(spark, sf)).groupBy("cell_x", "cell_y", "month_idx").agg((F.sum("h_li") % 97).alias("delta_h"))
+    altimetry = settle(cells).withColumns({
+        "x": F.col("cell_x") * 500.0, "y": F.col("cell_y") * 500.0, "ice_area": F.lit(1.0),
+        "exact_time": F.make_timestamp(F.floor((F.col("month_idx") - 1) / 12).cast("int"), F.pmod(F.col("month_idx") - 1, F.lit(12)) + 1, F.lit(1), F.lit(0), F.lit(0), F.lit(0)),
+    })
+    mascon = whole("cell_x", 10)
+    gravity = settle(altimetry.groupBy(mascon.alias("mascon_id"), "month_idx").agg((F.count(F.lit(1)) * 100).alias("lwe_thickness_cm")))
+    ocean = settle(
+        table(spark, sf, "lineitem").groupBy(
+            (F.col("l_suppkey") % 7).alias("ocean_x"), whole("l_suppkey", 7).alias("ocean_y"),
+            month_index(F.col("l_shipdate")).alias("month_idx"), (F.col("l_linenumber") * 100).alias("depth"),
+        ).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("thetao"), F.sum(F.col("l_linenumber").cast("bigint")).alias("so"))
+    )
+    mascon_map = raster.select("cell_x", "cell_y", mascon.alias("mascon_id"))
+    region_map = settle(mascon_map.select("mascon_id").distinct().withColumn("regional_subset_id", F.concat(F.lit("basin "), F.col("mascon_id"))))
+    return altimetry, topography, gravity, ocean, mascon_map, region_map
+
+
+@query(
+    "observation_table",
+    f"""with {_SOURCES},
+    lines as (select cell_x, cell_y from topo where mask = 2), water as (select cell_x, cell_y from topo where mask is null),
+    static as (select t.*, greatest(thickness - surface, 0) as draft, cast(floor((cell_x + 0.5::double) * 500 / 4000) as bigint) as ocean_x,
+      cast(floor((cell_y + 0.5::double) * 500 / 4000) as bigint) as ocean_y from topo t),
+    bottom as (select ocean_x, ocean_y, max(depth) as deepest from sea group by 1, 2),
+    wide as (select a.*, s.surface, s.mask, s.ocean_x, s.ocean_y, a.cell_x // 10 as mascon_id, s.surface + delta_h as h,
+      case when deepest is not null then least(draft, deepest) end as d, lwe_cm / 100 as lwe_mo
+      from alt a left join static s using (cell_x, cell_y) left join bottom b on b.ocean_x = s.ocean_x and b.ocean_y = s.ocean_y
+      left join grav g on g.mascon_id = a.cell_x // 10 and g.month_idx = a.month_idx),
+    near as (select w.cell_x, w.cell_y, w.month_idx, arg_min(thetao, abs(depth - d) * 100000 + depth) as thetao_mo, arg_min(so, abs(depth - d) * 100000 + depth) as so_mo
+      from wide w join sea o on o.ocean_x = w.ocean_x and o.ocean_y = w.ocean_y and o.month_idx = w.month_idx where mask in (2, 3) and d is not null group by 1, 2, 3),
+    hot as (select w.*, thetao_mo, so_mo, thetao_mo - (-0.057 * so_mo - 0.00076 * d) as t_star_mo from wide w left join near using (cell_x, cell_y, month_idx)),
+    sides as (select c.cell_x, c.cell_y, c.month_idx, c.h as c, w.h as w, e.h as e, s.h as s, n.h as n from wide c
+      left join wide w on w.month_idx = c.month_idx and w.cell_x = c.cell_x - 1 and w.cell_y = c.cell_y left join wide e on e.month_idx = c.month_idx and e.cell_x = c.cell_x + 1 and e.cell_y = c.cell_y
+      left join wide s on s.month_idx = c.month_idx and s.cell_x = c.cell_x and s.cell_y = c.cell_y - 1 left join wide n on n.month_idx = c.month_idx and n.cell_x = c.cell_x and n.cell_y = c.cell_y + 1),
+    grad as (select cell_x, cell_y, month_idx, coalesce((e - w) / 1000.0::double, (e - c) / 500.0::double, (c - w) / 500.0::double) as dx,
+      coalesce((n - s) / 1000.0::double, (n - c) / 500.0::double, (c - s) / 500.0::double) as dy from sides),
+    far as (select a.cell_x, a.cell_y, (select min((a.cell_x - t.cell_x) ** 2 + (a.cell_y - t.cell_y) ** 2) from lines t) as gl2,
+      (select min((a.cell_x - t.cell_x) ** 2 + (a.cell_y - t.cell_y) ** 2) from water t) as oc2 from (select distinct cell_x, cell_y from alt) a)
+    select h.cell_x * 500.0::double as x, h.cell_y * 500.0::double as y, h.month_idx, cast(h.mascon_id as int) as mascon_id, 'basin ' || h.mascon_id as regional_subset_id, mask as ice_mask,
+      h::float as h_surface_dynamic, round(sqrt(dx * dx + dy * dy)::float::double, 4) as surface_slope, round((case when surface is not null then sqrt(gl2::double) * 500 end)::float::double, 1) as dist_to_grounding_line,
+      round((case when surface is not null then sqrt(oc2::double) * 500 end)::float::double, 1) as dist_to_ocean, d::float as clamped_depth, thetao_mo::float as thetao_mo, round(t_star_mo::float::double, 3) as t_star_mo, lwe_mo::float as lwe_mo,
+      round((avg(t_star_mo::double) over (partition by h.cell_x, h.cell_y order by h.month_idx range between 2 preceding and current row))::float::double, 3) as t_star_quarterly_avg,
+      round((lwe_mo * (abs(delta_h) / nullif(avg(abs(delta_h)) over (partition by h.mascon_id, h.month_idx), 0)))::float::double, 3) as lwe_fused
+    from hot h join grad using (cell_x, cell_y, month_idx) join far on far.cell_x = h.cell_x and far.cell_y = h.cell_y""",
+)
+def _(spark, sf):
+    full = observation_table(*_source_tables(spark, sf), ocean_cell=4000.0)
+    digits = {"surface_slope": 4, "dist_to_grounding_line": 1, "dist_to_ocean": 1, "t_star_mo": 3, "t_star_quarterly_avg": 3, "lwe_fused": 3}
+    exact = ["x", "y", "month_idx", "mascon_id", "regional_subset_id", "ice_mask", "h_surface_dynamic", "clamped_depth", "thetao_mo", "lwe_mo"]
+    return full.select(*exact, *[F.round(F.col(c).cast("double"), d).alias(c) for c, d in digits.items()])

@@ -26,12 +26,12 @@ NUMERIC = [
 
 
 def ml_table(spark, sf):
-    """Features, label, split and weight; written once because models read it many times."""
-    base = settle(quarterly_stats(fused(spark, sf), ["lwe_mo"]))
+    """Features, label, split and weight; written because labels, weights and models read it many times."""
+    base = quarterly_stats(fused(spark, sf), ["lwe_mo"])
     features = temporal.lwe_trend(temporal.trailing_mean(temporal.momentum(temporal.expanding_mean(base, "delta_h"), "delta_h"), "t_star_mo", 6))
     rows = settle(splits.temporal_split(features, TRAIN_END, VAL_END))
     labelled = labels.agreement_label(rows, stats_from=rows.filter("split = 'train'")).filter(F.col(LABEL).isNotNull())
-    weighted = labels.sample_weights(settle(labelled))
+    weighted = labels.sample_weights(labelled)
     doubles = {c: F.col(c).cast("double") for c in NUMERIC}
     return settle(weighted.withColumns(doubles).select("x", "y", "month_idx", "mascon_id", "regional_subset_id", "split", "weight", LABEL, "delta_h", *NUMERIC))
 
@@ -225,7 +225,7 @@ def _rounded_metrics(df):
 def _boosted_metrics(spark, sf, presets):
     train, val, test = _split(ml_table(spark, sf))
     prepared = prep.build_pipeline("xgb", NUMERIC).fit(train)
-    sides = {n: settle(prepared.transform(d)) for n, d in (("train", train), ("val", val), ("test", test))}
+    sides = {n: prepared.transform(d) for n, d in (("train", train), ("val", val), ("test", test))}
     fit_rows = settle(splits.undersample(sides["train"]))
     rows = []
     for name, preset in presets.items():
