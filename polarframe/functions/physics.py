@@ -55,17 +55,19 @@ def _below_sea(elevation: str) -> Column:
     return F.when(F.col(elevation).isNotNull(), F.greatest(-F.col(elevation), F.lit(0.0)))
 
 
-def _retrograde() -> Column:
+def retrograde(df: DataFrame) -> DataFrame:
+    """1 where the bed lies below the sea and falls inland; gradient components come from ``grid.slope``.
+
+    The surface rises inland, so such a bed has a gradient opposed to the surface's.
+    """
     along = F.col("surface_dx") * F.col("bed_dx") + F.col("surface_dy") * F.col("bed_dy")
-    return ((along < 0) & (F.col("bed") < 0)).cast("int")
+    return df.withColumn("retrograde_flag", ((along < 0) & (F.col("bed") < 0)).cast("int"))
 
 
 def physics_features(df: DataFrame) -> DataFrame:
-    """All static-geometry and interaction features; gradient components come from ``grid.slope``.
-
-    Surface rises inland, so a bed that falls inland has a gradient opposed to the surface's.
-    """
-    return df.withColumn("retrograde_flag", _retrograde()).withColumns(
+    """All static-geometry and interaction features, the retrograde flag included unless already there."""
+    flagged = df if "retrograde_flag" in df.columns else retrograde(df)
+    return flagged.withColumns(
         {
             "thermal_driving_x_draft": F.col("t_star_mo") * F.col("ice_draft"),
             "draft_x_thermal_access": F.col("ice_draft") * _nearness("dist_to_ocean"),

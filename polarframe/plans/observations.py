@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polarframe.functions.physics import dynamic_surface, freezing_point, ice_geometry, lwe_to_metres, thermal_driving
+from polarframe.functions.calendar import cyclic_month
+from polarframe.functions.physics import (
+    dynamic_surface,
+    freezing_point,
+    ice_geometry,
+    lwe_to_metres,
+    physics_features,
+    retrograde,
+    thermal_driving,
+)
 from polarframe.functions.projection import cell_of
 from polarframe.operators.distribute import settle
 from polarframe.operators.fusion import (
@@ -19,6 +28,7 @@ from polarframe.operators.fusion import (
     sample_at_depth,
 )
 from polarframe.operators.grid import CELL, nearest_distance, slope
+from polarframe.operators.temporal import temporal_features
 from polarframe.sources.schemas import FLOATING_CLASSES, V2
 
 OCEAN_CELL = ["ocean_x", "ocean_y"]
@@ -41,7 +51,8 @@ def static_fields(
     """
     lines = topography.filter(F.col("mask") == 2 if grounding is None else grounding)
     water = topography.filter(F.col("mask").isNull() if open_ocean is None else open_ocean)
-    land = with_ocean_cell(ice_geometry(slope(topography, "bed", cell)), cell, ocean_cell)
+    leaning = slope(slope(topography, "bed", cell), "surface", cell).drop("surface_slope")
+    land = with_ocean_cell(ice_geometry(retrograde(leaning)), cell, ocean_cell)
     land = clamp_depth(land, ocean.withColumnRenamed("thetao", "value"), OCEAN_CELL)
     land = nearest_distance(settle(land), lines, cell, out="dist_to_grounding_line")
     return settle(nearest_distance(land, water, cell, out="dist_to_ocean"))
@@ -49,9 +60,9 @@ def static_fields(
 
 def observation_table(
     altimetry: DataFrame, topography: DataFrame, gravity: DataFrame, ocean: DataFrame, mascon_map: DataFrame, region_map: DataFrame,
-    cell: float = 500.0, ocean_cell: float = 8000.0,
+    cell: float = 500.0, ocean_cell: float = 8000.0, keep: list[str] = (),
 ) -> DataFrame:
-    """The fused pixel-month table with exactly the columns and types of ``V2``.
+    """The fused pixel-month table with the columns and types of ``V2``, and the static columns in ``keep``.
 
     altimetry: cell_x, cell_y, x, y, exact_time, month_idx, delta_h, ice_area; one row per cell and month.
     topography: cell_x, cell_y, surface, bed, thickness, mask. gravity: mascon_id, month_idx,
@@ -59,7 +70,7 @@ def observation_table(
     Ocean values exist under floating ice only and are taken at the clamped depth of the ice base.
     """
     static = static_fields(topography, ocean, cell, ocean_cell)
-    kept = [*CELL, "surface", "bed", "thickness", "mask", "bed_slope", "dist_to_grounding_line", "dist_to_ocean", "ice_draft", "clamped_depth", *OCEAN_CELL]
+    kept = [*keep, *CELL, "surface", "bed", "thickness", "mask", "bed_slope", "dist_to_grounding_line", "dist_to_ocean", "ice_draft", "clamped_depth", *OCEAN_CELL]
     wide = assign_region(assign_mascon(altimetry, mascon_map), region_map)
     wide = join_monthly(wide, lwe_to_metres(gravity).drop("lwe_thickness_cm"), ["mascon_id"])
     wide = join_static(wide, static.select(*kept), keys_from=altimetry)
@@ -71,4 +82,12 @@ def observation_table(
     wide = slope(settle(wide), "h_surface_dynamic", cell, by=["month_idx"], prefix="surface")
     wide = quarterly_stats(thermal_driving(freezing_point(wide)), ["t_star_mo", "thetao_mo", "lwe_mo"])
     wide = disaggregate_mass(settle(wide)).withColumn("ice_mask", F.col("mask"))
-    return wide.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in V2.fields])
+    return wide.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in V2.fields], *keep)
+
+
+def feature_table(observations: DataFrame) -> DataFrame:
+    """All engineered features of a fact table that carries ``retrograde_flag``.
+
+    Pixel windows first: they share one shuffle, and everything after them is joined or computed in place.
+    """
+    return physics_features(cyclic_month(temporal_features(observations)))

@@ -89,6 +89,16 @@ def test_a_crowded_month_is_written_by_several_tasks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "obs")).count() == 300_000
 
 
+def test_season_prunes_month_partitions(spark, tmp_path):
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in V2 if f.name not in ("x", "month_idx")]
+    df = spark.range(1200).select((F.col("id") % 24 + 2019 * 12 + 1).cast("int").alias("month_idx"), F.col("id").cast("double").alias("x"), *columns)
+    write_observations(df, str(tmp_path / "obs"))
+    winter = clean.season(read_observations(spark, str(tmp_path / "obs"), V2), 2020)
+    assert winter.count() == 150 and set(winter.columns) == set(V2.fieldNames())
+    plan = winter.select("x")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [month_idx" in plan and "ReadSchema: struct<x:double>" in plan
+
+
 def test_missing_values(mixed, rows):
     assert rows(clean.drop_missing(mixed, ["v"]), "id") == [(1,), (4,)]
     filled = clean.flag_and_fill(mixed, "v", ["v"])
