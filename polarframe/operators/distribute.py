@@ -128,12 +128,11 @@ def prefix_sums(
     all slices.
     """
     keys = list(keys or [])
-    spark = df.sparkSession
-    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     direction = F.col(order).desc() if descending else F.col(order).asc()
-    # Settled, so that slice borders (which come from a sample) are drawn exactly once.
+    # Without a number of slices, adaptive execution merges small ones. Settled, so that slice borders
+    # (which come from a sample) are drawn exactly once.
     sliced = settle(
-        df.repartitionByRange(slices, *[F.col(k) for k in keys], direction)
+        df.repartitionByRange(*[F.col(k) for k in keys], direction)
         .withColumn("_slice", F.spark_partition_id())
     )
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -40,8 +40,16 @@ def test_lookup_join_leaves_broadcast_above_the_bound(spark, hot, rows, monkeypa
     assert rows(distribute.lookup_join(hot, table, ["k"]), "k", "v", "w") == small
 
 
+@pytest.fixture(params=["true", "false"])
+def slices(spark, request):
+    """With and without merging of small partitions: one slice, and several."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", request.param)
+    yield request.param
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("descending", [False, True])
-def test_prefix_sums(spark, descending):
+def test_prefix_sums(spark, descending, slices):
     df = spark.range(1000).select((F.col("id") % 2).alias("g"), F.col("id").alias("o"), (F.col("id") % 7).alias("n"))
     got = {r.o: r.cum_n for r in distribute.prefix_sums(df, "o", ["n"], ["g"], descending).collect()}
     for g in (0, 1):
