@@ -172,7 +172,7 @@ for _name, _sql in _PHYSICS.items():
 # Label, splits, weights. The observations run from 1995 to 2001.
 _TRAIN_END, _VAL_END = 1999 * 12 + 12, 2000 * 12 + 12
 _QUARTER = f"""{OBS}, q as (select *, avg(lwe_mo) over (partition by x, y order by month_idx range between 2 preceding and current row) as lwe_quarterly_avg from obs)"""
-_LABELLED = f"""{_QUARTER},
+LABELLED = f"""{_QUARTER},
   lm as (select mascon_id, avg(lwe_quarterly_avg) - 0.5 * stddev_samp(lwe_quarterly_avg) as lim from q where month_idx <= {_TRAIN_END} group by 1),
   lr as (select regional_subset_id, avg(delta_h) - 0.5 * stddev_samp(delta_h) as lim from q where month_idx <= {_TRAIN_END} group by 1),
   labelled as (select q.*, case when lwe_quarterly_avg is not null and delta_h is not null and lm.lim is not null and lr.lim is not null
@@ -185,7 +185,7 @@ def labelled(spark, sf):
     return labels.agreement_label(rows, 0.5, stats_from=rows.filter(F.col("month_idx") <= _TRAIN_END))
 
 
-@query("agreement_label", f"with {_LABELLED} select x, month_idx, basal_loss_agreement from labelled")
+@query("agreement_label", f"with {LABELLED} select x, month_idx, basal_loss_agreement from labelled")
 def _(spark, sf):
     return labelled(spark, sf).select("x", "month_idx", "basal_loss_agreement")
 
@@ -203,7 +203,7 @@ _DRAW = uniform_sql(["x", "y", "month_idx"], 42)
 
 @query(
     "undersample",
-    f"""with {_LABELLED} select x, month_idx, basal_loss_agreement from labelled where basal_loss_agreement = 1 or (basal_loss_agreement = 0 and {_DRAW} <
+    f"""with {LABELLED} select x, month_idx, basal_loss_agreement from labelled where basal_loss_agreement = 1 or (basal_loss_agreement = 0 and {_DRAW} <
       (select count(*) filter (where basal_loss_agreement = 1) * 4.0::double / nullif(count(*) filter (where basal_loss_agreement = 0), 0) from labelled))""",
 )
 def _(spark, sf):
@@ -213,7 +213,7 @@ def _(spark, sf):
 
 @query(
     "undersample_by_region",
-    f"""with {_LABELLED}, s as (select regional_subset_id, count(*) filter (where basal_loss_agreement = 1)
+    f"""with {LABELLED}, s as (select regional_subset_id, count(*) filter (where basal_loss_agreement = 1)
       * case regional_subset_id when 'ASIA' then 5.0::double when 'EUROPE' then 2.0::double else 10.0::double end
       / nullif(count(*) filter (where basal_loss_agreement = 0), 0) as share from labelled group by 1)
     select x, month_idx, regional_subset_id, basal_loss_agreement from labelled left join s using (regional_subset_id)
@@ -226,7 +226,7 @@ def _(spark, sf):
 
 @query(
     "sample_weights",
-    f"""with {_LABELLED}, c as (select basal_loss_agreement, count(*) as n from labelled where basal_loss_agreement is not null group by 1),
+    f"""with {LABELLED}, c as (select basal_loss_agreement, count(*) as n from labelled where basal_loss_agreement is not null group by 1),
     r as (select regional_subset_id, count(*) as n from labelled group by 1), t as (select count(*) as n from labelled)
     select x, month_idx, round(t.n / ((select count(*) from c) * c.n) * (t.n / ((select count(*) from r) * r.n)), 6) as weight
     from labelled l left join c on c.basal_loss_agreement = l.basal_loss_agreement left join r on r.regional_subset_id = l.regional_subset_id, t""",

@@ -15,6 +15,7 @@ from polarframe.operators import labels, splits, temporal
 from polarframe.operators.distribute import settle
 from polarframe.operators.fusion import quarterly_stats
 from polarframe.plans.bindings import FUSED, OBS, SCORED, fused, obs, pixel_geometry, scored, table, uniform_sql
+from polarframe.plans.feature_queries import LABELLED
 from polarframe.plans.registry import query
 
 TRAIN_END, VAL_END = 1999 * 12 + 12, 2000 * 12 + 12
@@ -158,6 +159,24 @@ def _ocean(spark, sf):
     return settle(prep.assemble(prep.OCEAN_EIGHT, "ocean_vec").transform(wet).select("x", "month_idx", "ocean_vec"))
 
 
+_EIGHT_SQL = " + ".join(f"{c} * {c}" for c in prep.OCEAN_EIGHT)
+
+
+@query(
+    "ocean_pca_norms",
+    f"""with {FUSED}, q as (select *, avg(t_star_mo) over w as t_star_quarterly_avg, stddev_samp(t_star_mo) over w as t_star_quarterly_std,
+      avg(thetao_mo) over w as thetao_quarterly_avg, stddev_samp(thetao_mo) over w as thetao_quarterly_std from fused where thetao_mo is not null
+      window w as (partition by x, y order by month_idx range between 2 preceding and current row))
+    select x, month_idx, round(sqrt({_EIGHT_SQL}), 6) as norm from q where t_star_quarterly_std is not null""",
+)
+def _(spark, sf):
+    # All eight components together only rotate a row.
+    rows = _ocean(spark, sf)
+    rotated = prep.ocean_pca(k=8).fit(rows).transform(rows)
+    squares = F.transform(vector_to_array(F.col("ocean_pca")), lambda v: v * v)
+    return rotated.select("x", "month_idx", F.round(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, b: a + b)), 6).alias("norm"))
+
+
 @query("ocean_pca")
 def _(spark, sf):
     rows = _ocean(spark, sf)
@@ -178,6 +197,14 @@ def _(spark, sf):
     return out.select("vec_id", F.transform(vector_to_array(F.col("svd_features")), lambda v: F.round(v, 6)).alias("z"))
 
 
+@query("svd_row_norms", "select vec_id, round(sqrt(sum(v * v)), 6) as norm from (select vec_id, unnest(embedding)::double as v from embeddings) group by vec_id")
+def _(spark, sf):
+    # All components together only rotate a row.
+    out = prep.svd_project(_vectors(spark, sf), k=64)
+    squares = F.transform(vector_to_array(F.col("svd_features")), lambda v: v * v)
+    return out.select("vec_id", F.round(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, b: a + b)), 6).alias("norm"))
+
+
 @query("svd_explained_variance")
 def _(spark, sf):
     rows = _vectors(spark, sf)
@@ -196,8 +223,20 @@ def _prepared(kind):
     return plan
 
 
+def _test_rows_sql(width: str) -> str:
+    """Every labelled test row has a feature vector of one width: nothing is skipped after imputation."""
+    return f"with {LABELLED} select x, month_idx, cast({width} as int) as width from labelled where month_idx > {VAL_END} and {LABEL} is not null"
+
+
+_REGIONS = f"(select count(distinct regional_subset_id) from labelled where month_idx <= {TRAIN_END} and {LABEL} is not null)"
+
+
+# Width: numeric columns, five distance classes, the regions and one place for an unseen one; classic has one more
+# column, nine polynomial terms and four ocean components.
+_WIDTHS = {"xgb": len(NUMERIC) + 6, "classic": len(NUMERIC) + 1 + 6 + 9 + 4, "stack": len(NUMERIC) + 6}
+
 for _kind in ("xgb", "classic", "stack"):
-    query(f"preprocess_{_kind}")(_prepared(_kind))
+    query(f"preprocess_{_kind}", _test_rows_sql(f"{_WIDTHS[_kind]} + {_REGIONS}"))(_prepared(_kind))
 
 
 def _stacked(spark, sf, **extra):
@@ -309,7 +348,7 @@ def _(spark, sf):
     return _rounded_metrics(ev.evaluate(model.transform(svd.transform(rows)), "svd_lr", "all", "label"))
 
 
-@query("select_features")
+@query("select_features", _test_rows_sql("8"))
 def _(spark, sf):
     train, _, test = _split(ml_table(spark, sf))
     prepared = prep.build_pipeline("xgb", NUMERIC).fit(train)
@@ -335,6 +374,19 @@ def _(spark, sf):
     return out.select("x", "y", *[F.round(c, 6).alias(c) for c in ("dh_dt", "mean_slope", "seasonal_amplitude")])
 
 
+@query(
+    "mascon_months",
+    f"""with {OBS}, b as (select mascon_id, month_idx, avg(delta_h) as delta_h, avg(lwe_mo) as lwe, avg(x) as mean_x from obs group by 1, 2)
+    select a.mascon_id, a.month_idx, round(a.delta_h, 6) as delta_h, round(p.delta_h, 6) as dh_lag1, round(r.delta_h, 6) as dh_lag3, round((a.delta_h - p.delta_h) * 12, 6) as dh_rate,
+      round(a.delta_h - avg(a.delta_h) over (partition by a.mascon_id order by a.month_idx rows unbounded preceding), 6) as dh_anomaly,
+      round(a.lwe - p.lwe, 6) as mass_change, round(a.mean_x, 6) as mean_x
+    from b a left join b p on p.mascon_id = a.mascon_id and p.month_idx = a.month_idx - 1 left join b r on r.mascon_id = a.mascon_id and r.month_idx = a.month_idx - 3""",
+)
+def _(spark, sf):
+    names = ["delta_h", "dh_lag1", "dh_lag3", "dh_rate", "dh_anomaly", "mass_change", "mean_x"]
+    return studies.mascon_months(obs(spark, sf)).select("mascon_id", "month_idx", *[F.round(c, 6).alias(c) for c in names])
+
+
 @query("mass_regression")
 def _(spark, sf):
     _, predicted = studies.mass_regression(settle(obs(spark, sf)), "gbt", TRAIN_END, maxIter=5, maxDepth=3)
