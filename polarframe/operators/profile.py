@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,21 @@ def _melt(wide: DataFrame, rows: list[list[Column]], names: list[str], keep: lis
     return wide.select(*(keep or []), F.inline(F.array(*structs)))
 
 
+def _long(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(c, v): every present value with the position of its column in ``columns``.
+
+    One expression per column would make generated code too large to be compiled for wide tables;
+    grouping the long form by ``c`` costs no shuffle worth naming, as there are few columns.
+    """
+    values = F.array(*[present(df, c).cast("double") for c in columns])
+    return df.select(F.posexplode(values).alias("c", "v")).filter(F.col("v").isNotNull())
+
+
+def _literals(values: list, kind: str) -> Column:
+    """A constant array to be indexed by column position."""
+    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+
+
 def shape(df: DataFrame) -> DataFrame:
     """Rows, columns, values and the list of columns, in one counting job."""
     width = len(df.columns)
@@ -33,11 +50,15 @@ def shape(df: DataFrame) -> DataFrame:
 def summarize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, mean, standard deviation, minimum and maximum per column, in one pass."""
     columns = columns or numeric_columns(df)
-    values = {c: present(df, c).cast("double") for c in columns}
-    kinds = {"n": F.count, "mean": F.avg, "stddev": F.stddev_samp, "min_value": F.min, "max_value": F.max}
-    wide = df.agg(*[f(v).alias(f"{c}__{k}") for c, v in values.items() for k, f in kinds.items()])
-    rows = [[F.lit(c), *[F.col(f"{c}__{k}") for k in kinds]] for c in columns]
-    return _melt(wide, rows, ["column", *kinds])
+    measured = _long(df, columns).groupBy("c").agg(
+        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("stddev"),
+        F.min("v").alias("min_value"), F.max("v").alias("max_value"),
+    )
+    # One row per column on either side; columns without values stay.
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "c int, column string")
+    return names.join(F.broadcast(measured), "c", "left").select(
+        "column", F.coalesce("n", F.lit(0)).alias("n"), "mean", "stddev", "min_value", "max_value"
+    )
 
 
 def missing_by(df: DataFrame, groups: list[str]) -> DataFrame:
@@ -132,18 +153,40 @@ def monthly_mean(df: DataFrame, name: str) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every pair over rows where both are present, in one pass."""
-    both = {
-        (a, b): F.corr(present(df, a).cast("double"), present(df, b).cast("double"))
-        for a, b in combinations(columns, 2)
-    }
-    names = {pair: f"r_{i}" for i, pair in enumerate(both)}
-    diagonal = {c: F.count_if(~is_missing(df, c)).alias(f"d_{c}") for c in columns}
-    wide = df.agg(*[expr.alias(names[pair]) for pair, expr in both.items()], *diagonal.values())
-    rows = [[F.lit(c), F.lit(c), F.when(F.col(f"d_{c}") > 0, F.lit(1.0))] for c in columns]
-    for (a, b), label in names.items():
-        rows += [[F.lit(a), F.lit(b), F.col(label)], [F.lit(b), F.lit(a), F.col(label)]]
-    return _melt(wide, rows, ["column_a", "column_b", "r"])
+    """Pearson correlation of every pair over rows where both are present.
+
+    Each Arrow batch contributes its pairwise sums by a few matrix products, each task emits one row
+    per pair, and Spark adds them up: one scan for any number of columns. Values are shifted by the
+    column means first, so that the sums of squares do not cancel.
+    """
+    width = len(columns)
+    values = df.select(*[present(df, c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    means = values.agg(*[F.avg(c).alias(c) for c in values.columns]).first()
+    shift = np.array([0.0 if m is None else m for m in means])
+    left, right = np.triu_indices(width)
+
+    def pair_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((6, width, width))
+        for batch in batches:
+            x = batch.to_numpy(dtype=float) - shift
+            seen = ~np.isnan(x)
+            x, m = np.where(seen, x, 0.0), seen.astype(float)
+            sums, squares = x.T @ m, (x * x).T @ m
+            total += np.stack([m.T @ m, sums, sums.T, squares, squares.T, x.T @ x])
+        picked = total[:, left, right]
+        yield pd.DataFrame({"a": left, "b": right} | dict(zip(("n", "sx", "sy", "sxx", "syy", "sxy"), picked)))
+
+    schema = "a int, b int, n double, sx double, sy double, sxx double, syy double, sxy double"
+    sums = values.mapInPandas(pair_sums, schema).groupBy("a", "b").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
+    )
+    spread = (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy"))
+    r = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt(F.greatest(spread, F.lit(0.0))))
+    upper = sums.select("a", "b", F.when(F.col("a") == F.col("b"), F.when(F.col("n") > 0, F.lit(1.0))).otherwise(r).alias("r"))
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    sides = upper.select("r", F.explode(F.array_distinct(both)).alias("p"))
+    named = _literals(columns, "string")
+    return sides.select(F.get(named, F.col("p.a")).alias("column_a"), F.get(named, F.col("p.b")).alias("column_b"), "r")
 
 
 # Accuracy of the sketches that bracket a quantile, and the size up to which no bracket is needed.
@@ -159,28 +202,29 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFra
     second one counts what lies below and counts equal values inside the bracket. Only the few
     values inside are shuffled and ranked, and the running sum over them is distributed as well.
     """
-    reach = 2.0 / SKETCH_ACCURACY
-    values = {c: present(df, c).cast("double") for c in columns}
+    reach, width = 2.0 / SKETCH_ACCURACY, len(shares)
+    values = _long(df, columns)
     marks = F.array(*[F.lit(min(max(s + side, 0.0), 1.0)) for s in shares for side in (-reach, reach)])
-    sketch = df.agg(
-        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values.values())],
-        *[F.percentile_approx(v, marks, F.lit(SKETCH_ACCURACY)).alias(f"q{i}") for i, v in enumerate(values.values())],
-    ).first()
-    wanted, found = [], []
-    for i, (name, v) in enumerate(values.items()):
-        total = sketch[f"n{i}"]
+    sketches = {
+        r.c: r for r in values.groupBy("c").agg(
+            F.count("v").alias("n"), F.percentile_approx("v", marks, F.lit(SKETCH_ACCURACY)).alias("q")
+        ).collect()  # one row per column
+    }
+    wanted, lows, highs = [], [], []
+    for i, name in enumerate(columns):
+        total = sketches[i].n if i in sketches else 0
         for j, share in enumerate(shares):
-            slot = len(wanted)
-            wanted.append((slot, name, share, total))
-            low, high = sketch[f"q{i}"][2 * j : 2 * j + 2] if total > BRACKET_FROM else (None, None)
-            below = F.lit(False) if low is None or share - reach <= 0 else v < F.lit(low)
-            above = F.lit(False) if high is None or share + reach >= 1 else v > F.lit(high)
-            # Everything below the bracket shares the NULL value, which sorts first.
-            seen = F.struct(F.lit(slot).alias("slot"), F.when(~below, v).alias("v"))
-            found.append(F.when(v.isNotNull() & ~above, seen))
-    # Values above a bracket give an all-NULL row, dropped before the aggregation.
+            wanted.append((len(wanted), name, share, total))
+            low, high = sketches[i].q[2 * j : 2 * j + 2] if total > BRACKET_FROM else (None, None)
+            lows.append(None if share - reach <= 0 else low)
+            highs.append(None if share + reach >= 1 else high)
+    slot = (F.col("c") * width + F.col("j")).alias("slot")
+    placed = values.select("v", F.col("c"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("j")).select("v", slot)
+    # No border means that nothing lies beyond it. What is below a bracket shares the NULL value, which sorts first.
+    low, high = F.get(_literals(lows, "double"), F.col("slot")), F.get(_literals(highs, "double"), F.col("slot"))
     counts = (
-        df.select(F.inline(F.array(*found))).filter(F.col("slot").isNotNull())
+        placed.filter(high.isNull() | (F.col("v") <= high))
+        .select("slot", F.when(low.isNull() | (F.col("v") >= low), F.col("v")).alias("v"))
         .groupBy("slot", "v").agg(F.count(F.lit(1)).alias("times"))
     )
     ranked = prefix_sums(counts, order="v", sums=["times"], keys=["slot"])
@@ -201,19 +245,20 @@ def box_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     marks: dict[str, dict[float, float]] = {c: {} for c in columns}
     for row in quantiles(df, columns, [0.25, 0.5, 0.75]).collect():  # three rows per column
         marks[row["column"]][row["share"]] = row["value"]
-    values = {c: present(df, c).cast("double") for c in columns}
-    measures, rows = [], []
-    for i, (name, v) in enumerate(values.items()):
-        q1, median, q3 = (F.lit(marks[name][s]).cast("double") for s in (0.25, 0.5, 0.75))
-        reach = F.lit(1.5) * (q3 - q1)
-        inside = v.between(q1 - reach, q3 + reach)
-        measures += [
-            F.count(v).alias(f"n{i}"), F.min(F.when(inside, v)).alias(f"lo{i}"), F.max(F.when(inside, v)).alias(f"hi{i}"),
-            F.count_if(~inside).alias(f"out{i}"),
-        ]
-        rows.append([F.lit(name), F.col(f"n{i}"), q1, median, q3, F.col(f"lo{i}"), F.col(f"hi{i}"), F.col(f"out{i}")])
-    names = ["column", "n", "q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers"]
-    return _melt(df.agg(*measures), rows, names)
+    at = lambda share: F.get(_literals([marks[c][share] for c in columns], "double"), F.col("c"))
+    reach = F.lit(1.5) * (at(0.75) - at(0.25))
+    inside = F.col("v").between(at(0.25) - reach, at(0.75) + reach)
+    kept = F.when(F.col("inside"), F.col("v"))
+    measured = _long(df, columns).select("c", "v", inside.alias("inside")).groupBy("c").agg(
+        F.count("v").alias("n"), F.min(kept).alias("whisker_low"), F.max(kept).alias("whisker_high"),
+        F.count_if(~F.col("inside")).alias("n_outliers"),
+    )
+    # One row per column on either side; columns without values stay.
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "c int, column string")
+    return names.join(F.broadcast(measured), "c", "left").select(
+        "column", F.coalesce("n", F.lit(0)).alias("n"), at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"),
+        "whisker_low", "whisker_high", F.coalesce("n_outliers", F.lit(0)).alias("n_outliers"),
+    )
 
 
 def coverage(df: DataFrame, probe: str, by: list[str]) -> DataFrame:

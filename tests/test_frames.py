@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -154,8 +155,6 @@ def test_box_stats(spark):
 
 
 def test_bracketed_quantiles_are_exact(spark, monkeypatch):
-    import numpy as np
-
     monkeypatch.setattr(profile, "BRACKET_FROM", 1_000)
     monkeypatch.setattr(profile, "SKETCH_ACCURACY", 200)
     # A third of all rows share one value.
@@ -168,6 +167,17 @@ def test_bracketed_quantiles_are_exact(spark, monkeypatch):
         assert got[share].low == np.quantile(values, share, method="lower") and got[share].n == 30_000
 
 
+def test_correlations_use_pairwise_complete_rows(spark):
+    made = [(1.0, 2.0, 5.0, 1e9), (2.0, 4.0, 5.0, 1e9 + 1), (3.0, None, 5.0, 1e9 + 3), (4.0, 7.0, NAN, 1e9 + 2), (None, 1.0, 5.0, None)]
+    df = spark.createDataFrame(made, "a double, b double, c double, d double")
+    got = {(r.column_a, r.column_b): r.r for r in profile.correlation_matrix(df, ["a", "b", "c", "d"]).collect()}
+    assert len(got) == 16 and got[("a", "a")] == 1.0 and got[("b", "a")] == got[("a", "b")]
+    for x, y in (("a", "b"), ("a", "d"), ("b", "d")):
+        pairs = [(r[x], r[y]) for r in df.collect() if r[x] is not None and r[y] is not None]
+        assert got[(x, y)] == pytest.approx(np.corrcoef(np.array(pairs).T)[0, 1], rel=1e-9)
+    assert got[("a", "c")] is None  # no spread
+
+
 def test_hexbin_counts_every_point(spark):
     df = spark.range(500).select((F.col("id") % 23).alias("x"), (F.col("id") % 31).alias("y"), F.lit(2.0).alias("z"))
     out = profile.hexbin_mean(df, "x", "y", "z", gridsize=10, clip=1.0)
