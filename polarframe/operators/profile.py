@@ -36,6 +36,11 @@ def _literals(values: list, kind: str) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
 
 
+def _positions(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(c, column): one row per column, made by one task."""
+    return df.sparkSession.range(0, 1, 1, 1).select(F.posexplode(_literals(columns, "string")).alias("c", "column"))
+
+
 def shape(df: DataFrame) -> DataFrame:
     """Rows, columns, values and the list of columns, in one counting job."""
     width = len(df.columns)
@@ -55,8 +60,7 @@ def summarize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         F.min("v").alias("min_value"), F.max("v").alias("max_value"),
     )
     # One row per column on either side; columns without values stay.
-    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "c int, column string")
-    return names.join(F.broadcast(measured), "c", "left").select(
+    return _positions(df, columns).join(F.broadcast(measured), "c", "left").select(
         "column", F.coalesce("n", F.lit(0)).alias("n"), "mean", "stddev", "min_value", "max_value"
     )
 
@@ -192,6 +196,7 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 # Accuracy of the sketches that bracket a quantile, and the size up to which no bracket is needed.
 SKETCH_ACCURACY = 10_000
 BRACKET_FROM = 100_000
+_TARGET = {"slot": "int", "column": "string", "share": "double", "n": "bigint"}
 
 
 def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
@@ -229,7 +234,8 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFra
     )
     ranked = prefix_sums(counts, order="v", sums=["times"], keys=["slot"])
     # One row per column and share.
-    targets = df.sparkSession.createDataFrame(wanted, "slot int, column string, share double, n bigint")
+    rows = [F.struct(*[F.lit(v).cast(t).alias(a) for v, (a, t) in zip(row, _TARGET.items())]) for row in wanted]
+    targets = df.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
     place = (F.col("n") - 1) * F.col("share")
     at = lambda rank: F.min(F.when(F.col("cum_times") > rank, F.col("v")))
     picked = (
@@ -254,8 +260,7 @@ def box_stats(df: DataFrame, columns: list[str]) -> DataFrame:
         F.count_if(~F.col("inside")).alias("n_outliers"),
     )
     # One row per column on either side; columns without values stay.
-    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "c int, column string")
-    return names.join(F.broadcast(measured), "c", "left").select(
+    return _positions(df, columns).join(F.broadcast(measured), "c", "left").select(
         "column", F.coalesce("n", F.lit(0)).alias("n"), at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"),
         "whisker_low", "whisker_high", F.coalesce("n_outliers", F.lit(0)).alias("n_outliers"),
     )
