@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polarframe.llm import packing, quality, search, sharding
+from polarframe.llm import bpe, flatfiles, packing, quality, search, sharding
 from polarframe.llm.shared import table
 from polarframe.operators.distribute import scratch_path
 from polarframe.plans.registry import Query
 
 LLM: dict[str, Query] = {}
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+END_ID = 50256
 
 
 def query(name: str, sql: str | None = None):
@@ -121,3 +122,16 @@ def va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every fiftieth vector against all others."""
     vectors = table(spark, sf_dir, "embeddings")
     return search.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+@query("op6_separator_scan")
+def separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat files by a scan for the end id."""
+    docs = table(spark, sf_dir, "documents")
+    return flatfiles.count_tokens(docs, scratch_path(spark, "flat"), TOKENIZER, END_ID).select("doc_id", "n_tokens")
+
+
+@query("op7_prefix_bpe")
+def prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by prefixes and decoded again."""
+    return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
