@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polarframe.llm import bpe, flatfiles, packing, quality, search, sharding
+from polarframe.llm import bpe, flatfiles, packing, pii, quality, search, sharding, toxicity
 from polarframe.llm.shared import table
 from polarframe.operators.distribute import scratch_path
 from polarframe.plans.registry import Query
@@ -135,3 +135,23 @@ def separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by prefixes and decoded again."""
     return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query("op3_candidate_boosting")
+def candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans and those that boosted trees add."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("bigint")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.spelled(F.col("base_spans")), 256).alias("base_sha256"),
+        pii.spelled(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op4_classifier_chain")
+def classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probabilities of being junk and of being toxic, and the verdict."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("junk"), F.col("toxic").alias("toxicity"))
+    chain = toxicity.fit_chain(docs, labels, ["junk", "toxicity"])
+    return chain.score(docs).select("doc_id", "p_junk", "p_toxicity", "toxic")
