@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from polarframe.llm.shared import stored
 
-CELLS = 16
+CELLS = 256
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
 
