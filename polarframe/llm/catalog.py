@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polarframe.llm import bpe, flatfiles, packing, pii, quality, search, sharding, toxicity
+from polarframe.llm import bpe, flatfiles, jaccard, packing, pii, quality, search, sharding, toxicity
 from polarframe.llm.shared import table
 from polarframe.operators.distribute import scratch_path
 from polarframe.plans.registry import Query
@@ -155,3 +155,34 @@ def classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("junk"), F.col("toxic").alias("toxicity"))
     chain = toxicity.fit_chain(docs, labels, ["junk", "toxicity"])
     return chain.score(docs).select("doc_id", "p_junk", "p_toxicity", "toxic")
+
+
+NGRAM_SQL = """
+WITH source AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+grams AS (
+  SELECT DISTINCT doc_id, w[i:i + least(3, len(w)) - 1] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM source WHERE len(w) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)
+),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  WITH RECURSIVE r AS (SELECT doc_id, doc_id AS seen FROM source UNION SELECT r.doc_id, ways.b FROM r JOIN ways ON ways.a = r.seen)
+  SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM reach LEFT JOIN sizes USING (doc_id)
+"""
+
+
+@query("op8_ngram_jaccard", NGRAM_SQL)
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of texts that link by three-word shingles at 90 percent."""
+    return jaccard.classes(table(spark, sf_dir, "documents"), 3, 90)
