@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polarframe.llm import bpe, flatfiles, jaccard, packing, pii, quality, search, sharding, toxicity
+from polarframe.llm import bpe, flatfiles, jaccard, packing, passages, pii, quality, search, sharding, toxicity
 from polarframe.llm.shared import table
 from polarframe.operators.distribute import scratch_path
 from polarframe.plans.registry import Query
@@ -186,3 +186,9 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM reach LEF
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of texts that link by three-word shingles at 90 percent."""
     return jaccard.classes(table(spark, sf_dir, "documents"), 3, 90)
+
+
+@query("op10_compact_windows")
+def compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages of at least 50 words that repeat one of an earlier document."""
+    return passages.find(table(spark, sf_dir, "documents"))
