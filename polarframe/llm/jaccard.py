@@ -4,13 +4,12 @@ A text's set are the hashes of its distinct word n-grams (``words``: 64 bits; eq
 when 100 * intersection >= percent * union; the result is the connected component of every document.
 
 1. Equal sets become one representative; copies are never expanded.
-2. Candidates. Linked sets of sizes up to r differ in at most D = 2r(100 - percent) / (100 + percent) n-grams. The hash
-   range is cut into more than D groups, so some groups have equal content in both sets. Every representative therefore
-   sends one small row per group, keyed by the group's content (and by a size class: linked sizes are in the same or
-   neighbouring classes), and linked sets always share a key. More groups than needed are cut, so that groups with
-   under ``LEAST`` n-grams, which strangers share too, can be left out; a set with more of those than spare groups
-   sends them as well. Rows that share a key are joined to its smallest row, batch by batch before the shuffle, so a
-   frequent key has at most a row per batch: candidate clusters, which contain whole components, not pairs.
+2. Candidates. Put a set's hashes in order on a circle. Two different linked sets have at least percent / (100 - percent)
+   common n-grams for every differing one, so somewhere on their common circle at least that many common n-grams (the
+   run) follow each other undisturbed, and do so in both sets. Short sequences of neighbours, of which every run
+   holds one by the rule of the smallest hash in a window, are the keys: linked sets always share a key, at a fraction
+   of a row per n-gram. Sets that share a key are joined to the first of them, batch by batch before the shuffle, so a
+   frequent key has at most a row per batch. The clusters so formed contain whole components; no pairs are listed.
 3. Every cluster is searched by itself. Counts of n-grams per group of hashes are points of an R-tree; the overlap of a set
    with anything below a node is at most the sum of the smaller coordinates of its counts and the node's upper corner. Nodes that
    can't reach the threshold, or hold nothing but the query's own component, are skipped; what is left is verified
@@ -36,122 +35,108 @@ from pyspark.sql import functions as F
 from polarframe.llm.shared import components, join_checked, runs, steps, stored
 from polarframe.llm.words import mix, shingles, words
 
-LEAST = 3
 GROUPS = 32
 LEAF = 16
 PART_BYTES = 16 << 20
 U64 = float(1 << 64)
 
 
-class Sizes:
-    """Size classes: linked sizes lie in the same class or in neighbouring ones."""
+def text_sets(column: pa.Array, width: int) -> list[np.ndarray]:
+    """Sorted distinct n-gram hashes of every text."""
+    w = words(column, lower=True)
+    return [np.unique(shingles(w.hash[a:b], width)) for a, b in zip(w.first[:-1], w.first[1:])]
 
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.lows, self.highs = [1], [100 // percent]
-        while self.highs[-1] < 1 << 40:
-            self.lows.append(self.highs[-1] + 1)
-            self.highs.append(self.lows[-1] * 100 // percent)
-        self.starts = np.array(self.lows)
 
-    def of(self, n: int) -> int:
-        return int(np.searchsorted(self.starts, n, "right")) - 1
+def set_name(s: np.ndarray) -> np.ndarray:
+    """128-bit name of a set, as two integers."""
+    return np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
 
-    def groups(self, size_class: int) -> tuple[int, int]:
-        """Number of hash groups of a class and how many of them are spare; (0, 0) if only equal sets can link."""
-        differ = 2 * self.highs[size_class] * (100 - self.percent) // (100 + self.percent)
-        spare = 1 + differ // 32
-        return (differ + 1 + spare, spare) if differ else (0, 0)
 
+def run_length(percent: int) -> int:
+    """Common n-grams in a row that any two different linked sets have on the circle of hashes."""
+    return -(-percent // (100 - percent))
 
-def text_sets(column: pa.Array, width: int) -> list[np.ndarray]:
-    """Sorted distinct n-gram hashes of every text."""
-    w = words(column, lower=True)
-    return [np.unique(shingles(w.hash[a:b], width)) for a, b in zip(w.first[:-1], w.first[1:])]
 
+def circle_keys(s: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of a sorted set: hashes of ``k`` neighbours on the circle, the smallest of every ``w`` following ones.
+
+    Any run of w + k - 1 neighbours holds a key, wherever it lies. A smaller set links with no other set.
+    """
+    run = run_length(percent)
+    n, k = len(s), min(run, max(3, run // 2))
+    w = run - k + 1
+    if n < run:
+        return np.zeros(0, np.uint64)
+    circle = np.concatenate([s, s[: k - 1]])
+    hashed = circle[:n]
+    for i in range(1, k):
+        hashed = hashed * np.uint64(0xC2B2AE3D27D4EB4F) + circle[i : n + i]
+    hashed = mix(hashed)
+    around = np.concatenate([hashed, hashed[: w - 1]])
+    low = around[:n]
+    for i in range(1, w):
+        low = np.minimum(low, around[i : n + i])
+    before = np.concatenate([low[n - w + 1 :], low]) if w > 1 else low
+    high = before[:n]
+    for i in range(1, w):
+        high = np.maximum(high, before[i : n + i])
+    return hashed[high == hashed]
 
-def group_keys(s: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """Keys of the groups of a set, for its own size class and the next."""
-    out = []
-    sums = np.zeros(len(s) + 1, np.uint64)
-    np.cumsum(mix(s ^ np.uint64(0x5851F42D4C957F2D)), out=sums[1:])
-    own = sizes.of(len(s))
-    for size_class in (own, own + 1):
-        groups, spare = sizes.groups(size_class)
-        if not groups:
-            continue
-        borders = np.searchsorted(s, (np.arange(1, groups) * (U64 / groups)).astype(np.uint64))
-        at = np.concatenate([[0], borders, [len(s)]])
-        counts = np.diff(at)
-        keys = mix(sums[at[1:]] - sums[at[:-1]] + mix(np.arange(groups, dtype=np.uint64) + np.uint64(size_class << 32)))
-        few = counts < LEAST
-        out.append(keys if few.sum() > spare else keys[~few])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, row, n, s1, s2, keys): set size, 128-bit name of the set, and its group keys."""
+
+def names(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, row, n, s1, s2): size and name of every text's set; row numbers are internal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(percent)
         for batch in steps(batches, "text"):
-            n, names, keys = [], [], []
-            for s in text_sets(batch.column(2), width):
-                n.append(len(s))
-                names.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64))
-                keys.append(group_keys(s, sizes).tobytes())
-            named = np.array(names, np.int64).reshape(-1, 2)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array(keys, pa.binary())], ["doc_id", "row", "n", "s1", "s2", "keys"])
+            sets = text_sets(batch.column(2), width)
+            named = np.array([set_name(s) for s in sets], np.int64).reshape(-1, 2)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(named[:, 0]), pa.array(named[:, 1])], ["doc_id", "row", "n", "s1", "s2"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string"))
-    return stored(rows.mapInArrow(run, "doc_id bigint, row bigint, n bigint, s1 bigint, s2 bigint, keys binary"), "profiles")
+    return stored(rows.mapInArrow(run, "doc_id bigint, row bigint, n bigint, s1 bigint, s2 bigint"), "names")
 
 
-def _star(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by key and row: the first row of each one's key, and whether it is that first."""
+def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by key: the first node of each one's key, and whether it is that first row."""
     fresh = np.ones(len(key), bool)
     fresh[1:] = key[1:] != key[:-1]
-    return row[np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))], fresh
+    return node[np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))], fresh
 
 
-def candidate_edges(reps: DataFrame) -> DataFrame:
-    """(a, b): rows that share a key with a, the smallest row known to have it."""
+def candidate_edges(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): names (first half) of sets that share a key; a stands for the first set known to have it."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:  # some thousand sets at a time
-                part = batch.slice(at, 4096)
-                at += 4096
-                held = part.column(1).to_pylist()
-                key = np.frombuffer(b"".join(held), np.int64)
-                row = np.repeat(np.asarray(part.column(0)), [len(k) // 8 for k in held])
-                order = np.lexsort((row, key))
-                key, row = key[order], row[order]
-                first, fresh = _star(key, row)
-                # What the batch has joined already travels under a key of its own, so a frequent key stays small.
-                key = np.where(fresh, key, mix(row.astype(np.uint64) * np.uint64(31) + key.view(np.uint64)).view(np.int64))
-                yield pa.record_batch([pa.array(key), pa.array(row), pa.array(np.where(fresh, -1, first))], ["key", "row", "first"])
+        for batch in steps(batches, "text"):
+            sets = text_sets(batch.column(0), width)
+            keys = [circle_keys(s, percent) for s in sets]
+            node = np.repeat(np.array([set_name(s)[0] for s in sets], np.int64), [len(k) for k in keys])
+            key = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            first, fresh = _stars(key, node)
+            edges = ~fresh & (node != first)
+            a, b = first[edges], node[edges]
+            # What the batch has joined already travels under a key of its own, so a frequent key stays small.
+            own = mix(mix(a.view(np.uint64)) + b.view(np.uint64)).view(np.int64)
+            yield pa.record_batch([pa.array(np.concatenate([key[fresh], own, own])), pa.array(np.concatenate([node[fresh], a, b]))], ["key", "node"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last_row = None, None
+        last_key, last_node = None, None
         for batch in batches:
-            key, row, first = (np.asarray(c) for c in batch.columns)
-            done = first >= 0
-            a, b = [first[done]], [row[done]]
-            key, row = key[~done], row[~done]
-            if len(key):
-                head, fresh = _star(key, row)
-                if key[0] == last_key:  # the key began in an earlier batch
-                    head = np.where(key == last_key, last_row, head)
-                    fresh = fresh & (key != last_key)
-                last_key, last_row = key[-1], head[-1]
-                a.append(head[~fresh]), b.append(row[~fresh])
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+            key, node = (np.asarray(c) for c in batch.columns)
+            if not len(key):
+                continue
+            first, fresh = _stars(key, node)
+            if key[0] == last_key:  # the key began in an earlier batch
+                first, fresh = np.where(key == last_key, last_node, first), fresh & (key != last_key)
+            last_key, last_node = key[-1], first[-1]
+            edges = ~fresh & (node != first)
+            pairs = np.unique(np.stack([first[edges], node[edges]], 1), axis=0)
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    sent = reps.select("row", "keys").mapInArrow(explode, "key bigint, row bigint, first bigint")
-    return sent.repartition("key").sortWithinPartitions("key", "row").mapInArrow(join, "a bigint, b bigint")
+    sent = docs.select(F.col("text").cast("string")).mapInArrow(explode, "key bigint, node bigint")
+    return sent.repartition("key").sortWithinPartitions("key", "node").mapInArrow(join, "a bigint, b bigint").distinct()
 
 
 class Forest:
@@ -267,7 +252,7 @@ def member_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
         for batch in steps(batches, "text"):
             row, cluster, grams = [], [], []
             for k, r, c, s1, s2 in zip(text_sets(batch.column(0), width), *[x.to_pylist() for x in batch.columns[1:]]):
-                if tuple(np.frombuffer(hashlib.blake2b(k.tobytes(), digest_size=16).digest(), np.int64).tolist()) == (s1, s2):
+                if set_name(k).tolist() == [s1, s2]:
                     row.append(r), cluster.append(c), grams.append(k.tobytes())
             yield pa.record_batch([pa.array(row, pa.int64()), pa.array(cluster, pa.int64()), pa.array([len(g) // 8 for g in grams], pa.int64()), pa.array(grams, pa.binary())], ["row", "cluster", "n", "grams"])
 
@@ -278,14 +263,11 @@ def member_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
 
 def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; the copies of a set share its class."""
-    rows = profiles(docs, width, percent)
+    rows = names(docs, width)
     # Copies meet before the shuffle: the aggregate keeps one row of each set per task.
-    reps = stored(
-        rows.where("n > 0").groupBy("s1", "s2").agg(F.min_by(F.struct("row", "doc_id", "n", "keys"), "row").alias("r")).select("s1", "s2", "r.*"), "sets"
-    )
-    edges = stored(candidate_edges(reps), "candidates")
-    clusters = components(edges)
-    members = stored(reps.select("row", "doc_id", "s1", "s2").join(clusters.withColumnRenamed("node", "row"), "row").withColumnRenamed("root", "cluster"), "members")
+    reps = stored(rows.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("row", "doc_id")).alias("r"), F.min("doc_id").alias("least")).select("s1", "s2", "least", "r.*"), "sets")
+    clusters = components(candidate_edges(docs, width, percent))
+    members = stored(reps.join(clusters.select(F.col("node").alias("s1"), F.col("root").alias("cluster")), "s1"), "members")
     # A representative's id may stand on other rows too; one of the rows with its set is enough.
     found = member_sets(docs, members, width).groupBy("row").agg(F.first(F.struct("cluster", "n", "grams")).alias("m")).select("row", "m.*")
     sets = stored(found, "grams")
@@ -299,9 +281,8 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     if not large.isEmpty():
         links = stored(links.union(_rest(placed.where("parts > 1"), components(links), percent)), "links")
     roots = components(links).withColumnRenamed("node", "row")
-    named = reps.select("s1", "s2", "row").join(roots, "row", "left").select("s1", "s2", F.coalesce("root", "row").alias("root"))
-    least = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
-    by_root = named.join(least, ["s1", "s2"]).groupBy("root").agg(F.min("least").alias("component_id"))
+    named = reps.join(roots, "row", "left").select("s1", "s2", "least", F.coalesce("root", "row").alias("root"))
+    by_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
     answer = named.join(by_root, "root").select("s1", "s2", "component_id")
     return rows.select("doc_id", "n", "s1", "s2").join(answer, ["s1", "s2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
