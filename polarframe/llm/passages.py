@@ -231,7 +231,7 @@ def similar_runs(later: np.ndarray, earlier: np.ndarray, least: int) -> list[tup
         held = where[a:b][match[a:b]]
         one, best = np.unique(later[a:b]), (0.0, 0, 0)
         # Passages that repeat themselves match in their first occurrence only, far from any one shift.
-        for near in (held[np.abs(shifts - shift) <= (b - a) // 4 + 1], held):
+        for near in filter(len, (held[np.abs(shifts - shift) <= (b - a) // 4 + 1], held)):
             x, y = int(near.min()), int(near.max()) + 1
             two = np.unique(earlier[x:y])
             both = len(np.intersect1d(one, two, assume_unique=True))
