@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from polarframe.llm import jaccard, packing, passages, pii, toxicity
-from polarframe.llm.shared import stored, table
+from polarframe.llm.shared import join_checked, stored, table
 from polarframe.plans.registry import Query
 
 #: Near duplicates share at least so many percent of their five-word shingles.
@@ -33,11 +33,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class; documents without words or with a null id all stay."""
     classes = jaccard.classes(docs, WIDTH, PERCENT)
-    # Only documents that are not their class's first are listed, by id: a fraction of narrow rows.
-    gone = classes.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    # Documents that are not their class's first, by id: a fraction of the documents, as narrow rows. An id that
+    # stands on several rows goes only if all of them do.
+    named = classes.where("n_shingles > 0 and doc_id is not null")
+    gone = named.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("all")).where("all").select("doc_id")
+    kept = join_checked(docs, stored(gone, "gone"), ["doc_id"], "left_anti")
     # Rows that repeat an id within their class: one of them stays.
-    repeated = classes.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    repeated = named.groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
         return kept.select(*docs.columns)
     first = Window.partitionBy("doc_id", "text").orderBy(F.lit(0))
