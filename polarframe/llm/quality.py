@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polarframe.llm.shared import fixed
+
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 CLOSING = ".!?\"'”’»。！？"
@@ -92,20 +94,19 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     source = F.coalesce(F.col(text), F.lit(""))
     # One array of lines with their words; later steps refer to columns, so nothing is split twice.
-    df = docs.withColumn("_lines", F.filter(
+    df = docs.withColumn("_lines", fixed(F.filter(
         F.transform(F.split(source, "\n", -1), lambda l: F.struct(l.alias("line"), split_words(l).alias("words"))),
         lambda x: F.size(x["words"]) > 0,
-    ))
+    )))
     df = df.withColumns({
-        "_words": F.flatten("_lines.words"), "_texts": F.col("_lines.line"), "_phrases": has_phrase(source),
+        "_words": fixed(F.flatten("_lines.words")), "_texts": F.col("_lines.line"), "_phrases": has_phrase(source),
         "n_symbols": symbols(source).cast("bigint"), "_shouts": F.contains(source, F.lit("!!")),
     })
     df = df.withColumns({
-        "_windows": repeated_words(F.col("_words")),
+        "_windows": fixed(repeated_words(F.col("_words"))),
         "n_dup_lines": (F.size("_texts") - F.size(F.array_distinct("_texts"))).cast("bigint"),
     })
-    # An array, because the optimizer would copy plain columns into the lambda and compute them for every line.
-    df = df.withColumn("_has", F.array(F.col("n_dup_lines") > 0, F.col("_phrases"), (F.col("n_symbols") > 0) | F.col("_shouts")))
+    df = df.withColumn("_has", fixed(F.array(F.col("n_dup_lines") > 0, F.col("_phrases"), (F.col("n_symbols") > 0) | F.col("_shouts"))))
     has = [F.get("_has", k) for k in range(3)]
     repeats = F.size(F.array_distinct("_windows")) != F.size("_windows")
     df = df.withColumns({
@@ -123,7 +124,7 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_good", F.filter("_flagged", lambda x: ~x["fails"]))
     count = lambda rows: F.aggregate(rows, F.lit(0).cast("bigint"), lambda s, x: s + x["chars"])
     df = df.withColumns({
-        "n_words": F.size("_words").cast("bigint"),
+        "n_words": fixed(F.size("_words").cast("bigint")),
         "word_chars": count(F.col("_flagged")),
         "n_repeat_words": F.when(F.col("_ranked").isNull(), F.lit(0)).otherwise(covered(F.col("_ranked"))).cast("bigint"),
         "clean_text": F.array_join("_good.line", "\n"),

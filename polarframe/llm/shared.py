@@ -29,6 +29,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fixed(value: Column) -> Column:
+    """``value``, computed once a row at this place.
+
+    The optimizer copies a column's expression into lambdas and into filters that it pushes down, where it would run once
+    per element. It leaves expressions alone that count as non-deterministic.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def join_checked(df: DataFrame, ids: DataFrame, on: list[str] | Column, how: str = "inner") -> DataFrame:
     """Join a table of narrow rows: broadcast if it counts below the bound, else a shuffle that AQE may split."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
