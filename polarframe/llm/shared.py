@@ -85,9 +85,9 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node that has an edge; root is the smallest node of its connected component.
 
-    Each round maps every node to its smallest neighbour (or itself) and contracts the graph by that map; the
-    graph shrinks by at least half a round, and the maps are composed. Every step is an aggregate or a join
-    of narrow rows; only the number of remaining edges reaches the driver. Loops and repeated edges do no harm.
+    Each round maps every node to its smallest neighbour (or itself), follows that map four steps, contracts the
+    graph by it, and composes the maps: a star is done in two rounds, a chain shrinks to a quarter a round. Every step is an
+    aggregate or a join of narrow rows; only whether edges remain reaches the driver. Loops and repeated edges do no harm.
     """
     graph = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b")
     graph = stored(graph.distinct(), "edges")
@@ -95,6 +95,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = graph.union(graph.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")), "labels")
+        for _ in range(2):
+            ahead = step.select(F.col("a").alias("to"), F.col("to").alias("next"))
+            step = step.join(ahead, "to").select("a", F.col("next").alias("to"))
+        step = stored(step, "labels")
         if roots is None:
             roots = step.select(F.col("a").alias("node"), F.col("to").alias("root"))
         else:
