@@ -34,9 +34,9 @@ def sample_rows(df: DataFrame, fraction: float, seed: int = 42, key: list[str] |
 
 
 def drop_years(df: DataFrame, years: list[int]) -> DataFrame:
-    """Leave years out of training, as month ranges so that partitions prune."""
+    """Leave years out of training, as month ranges so that partitions prune; rows without a month stay."""
     inside = [F.col("month_idx").between(y * 12 + 1, y * 12 + 12) for y in years]
-    return df.filter(~reduce(lambda a, b: a | b, inside)) if inside else df
+    return df.filter(F.col("month_idx").isNull() | ~reduce(lambda a, b: a | b, inside)) if inside else df
 
 
 def flag_and_fill(
@@ -51,7 +51,7 @@ def flag_and_fill(
 
 def log1p_cols(df: DataFrame, columns: list[str]) -> DataFrame:
     """``log(1 + v)`` under ``log_<name>``; NULL where the logarithm does not exist."""
-    return df.withColumns({f"log_{c}": F.when(F.col(c) > -1, F.log1p(c)) for c in columns})
+    return df.withColumns({f"log_{c}": F.when(present(df, c) > -1, F.log1p(c)) for c in columns})
 
 
 def mask_indicators(df: DataFrame, mask: str = "mask") -> DataFrame:

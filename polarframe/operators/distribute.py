@@ -6,18 +6,21 @@ would put an unbounded group on one task, or broadcast a table of unknown size.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, UserDefinedType
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, UserDefinedType
 
 # A lookup table of this many values (rows times columns) is some tens of megabytes as numbers.
 BROADCAST_VALUES = 4_000_000
 # A key is hot when it holds more than this share of the rows, so at most 1 / HOT_SHARE keys are hot.
 HOT_SHARE = 0.001
+# A hot key is spread over at least this many salts, and over more where it has many rows.
 SALTS = 64
+ROWS_PER_SALT = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local"):
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="polarframe-")
         sc.setCheckpointDir(folder)
@@ -48,6 +51,22 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _values(table: DataFrame, width: int | None) -> int:
+    """Values of a table, in units of eight bytes: columns of variable length count by what they hold."""
+    fixed, sizes = 0, []
+    for f in table.schema.fields:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            sizes.append(F.coalesce(F.ceil(F.octet_length(f.name) / 8), F.lit(0)))
+        elif isinstance(f.dataType, (ArrayType, MapType)):
+            sizes.append(F.greatest(F.size(f.name), F.lit(0)).cast("bigint"))
+        else:
+            fixed += 1
+    if width is not None or not sizes:
+        return table.count() * (width or fixed)
+    stats = table.agg(F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(f"s{i}") for i, s in enumerate(sizes)]).first()
+    return stats["n"] * fixed + sum(stats[f"s{i}"] or 0 for i in range(len(sizes)))
+
+
 def lookup_join(
     df: DataFrame, table: DataFrame, on: list[str], how: str = "left", width: int | None = None, keys_from: DataFrame | None = None
 ) -> DataFrame:
@@ -57,7 +76,7 @@ def lookup_join(
     number of values in a row of ``table`` where that is not its number of columns (arrays).
     ``keys_from`` is passed on to ``skew_join``.
     """
-    if table.count() * (width or len(table.columns)) <= BROADCAST_VALUES:
+    if _values(table, width) <= BROADCAST_VALUES:
         return df.join(F.broadcast(table), on, how)
     return skew_join(df, table, on, how, keys_from)
 
@@ -78,16 +97,19 @@ def skew_join(
         raise ValueError("skew_join keeps the left side whole: how must be left or inner")
     sizes = settle((df if keys_from is None else keys_from).groupBy(*on).count())
     total = sizes.agg(F.sum("count")).first()[0] or 0
-    hot = sizes.filter(F.col("count") > F.lit(max(total * HOT_SHARE, 1.0))).select(*on, F.lit(True).alias("_hot"))
+    salts = F.greatest(F.lit(SALTS), F.ceil(F.col("count") / ROWS_PER_SALT)).cast("int")
+    hot = sizes.filter(F.col("count") > F.lit(max(total * HOT_SHARE, 1.0))).select(*on, salts.alias("_hot"))
     any_null = F.lit(False)
     for key in on:
         any_null = any_null | F.col(key).isNull()
     # A hash of the row, not a random number: a retried task salts its rows as before.
     plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (MapType, UserDefinedType))]
-    spread = F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int")
+    # Null keys meet no row of the table, so their salts need no counterpart.
+    most = max(SALTS, -(-total // ROWS_PER_SALT))
+    spread = F.pmod(F.xxhash64(*plain), F.coalesce(F.col("_hot"), F.lit(most))).cast("int")
     salted = (
         df.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", F.when(F.col("_hot") | any_null, spread).otherwise(0))
+        .withColumn("_salt", F.when(F.col("_hot").isNotNull() | any_null, spread).otherwise(0))
         .drop("_hot")
     )
     repeated = (
@@ -95,7 +117,7 @@ def skew_join(
         .withColumn(
             "_salt",
             F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+                F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.col("_hot") - 1)).otherwise(F.array(F.lit(0)))
             ),
         )
         .drop("_hot")

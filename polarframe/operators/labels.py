@@ -40,10 +40,14 @@ def agreement_label(
 
 
 def sample_weights(df: DataFrame, label: str = LABEL, region: str = "regional_subset_id", out: str = "weight") -> DataFrame:
-    """Inverse-frequency weight of the class times that of the region: n/(K n_class) * n/(R n_region)."""
-    counts = settle(df.groupBy(label, region).agg(F.count(F.lit(1)).alias("n")))
+    """Inverse-frequency weight of the class times that of the region: n/(K n_class) * n/(R n_region).
+
+    All counts are of the rows that have a label and a region; the others get no weight.
+    """
+    usable = df.filter(F.col(label).isNotNull() & F.col(region).isNotNull())
+    counts = settle(usable.groupBy(label, region).agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.sum("n")).scalar()
-    balance = lambda key, alias: counts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum("n").alias(alias))
+    balance = lambda key, alias: counts.groupBy(key).agg(F.sum("n").alias(alias))
     classes, regions = balance(label, "_n_class"), balance(region, "_n_region")
     n_classes, n_regions = classes.agg(F.count(F.lit(1))).scalar(), regions.agg(F.count(F.lit(1))).scalar()
     share = lambda groups, size: total / (groups * F.col(size))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,10 +104,10 @@ def histogram(df: DataFrame, name: str, bins: int = 100) -> DataFrame:
     )
 
 
-def _points(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
+def _points(df: DataFrame, x: str, y: str, z: str, more: list[Column] = ()) -> DataFrame:
+    """Rows with all three numbers; ``more`` columns come along, whatever they hold."""
     cols = [present(df, c).cast("double").alias(a) for c, a in ((x, "px"), (y, "py"), (z, "pz"))]
-    others = [c for c in df.columns if c == "early"]
-    return df.select(*cols, *others).na.drop()
+    return df.select(*cols, *more).na.drop(subset=["px", "py", "pz"])
 
 
 def _lattice(points: DataFrame, gridsize: int) -> Lattice:
@@ -139,7 +140,7 @@ def season_compare(
     """Two seasons on one lattice: means side by side and their difference, in one aggregation."""
     early_months, late_months = ([year * 12 + m for m in months] for year in (first, last))
     rows = df.filter(F.col("month_idx").isin(*early_months, *late_months))
-    points = _points(rows.withColumn("early", F.col("month_idx").isin(*early_months)), x, y, z)
+    points = _points(rows, x, y, z, [F.col("month_idx").isin(*early_months).alias("early")])
     cells = _lattice(points, gridsize).assign(points)
     early, late = F.when(F.col("early"), F.col("pz")), F.when(~F.col("early"), F.col("pz"))
     means = cells.groupBy("hx", "hy").agg(
@@ -193,46 +194,68 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return sides.select(F.get(named, F.col("p.a")).alias("column_a"), F.get(named, F.col("p.b")).alias("column_b"), "r")
 
 
-# Accuracy of the sketches that bracket a quantile, and the size up to which no bracket is needed.
+# Accuracy of the sketches that bracket a quantile.
 SKETCH_ACCURACY = 10_000
-BRACKET_FROM = 100_000
 _TARGET = {"slot": "int", "column": "string", "share": "double", "n": "bigint"}
 
 
-def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
-    """Exact quantiles without sorting the table: (column, share, n, low, high, value).
-
-    ``low`` and ``high`` are the order statistics around ``(n - 1) * share`` and ``value`` is
-    interpolated between them. A first pass sketches two values that enclose each wanted rank; a
-    second one counts what lies below and counts equal values inside the bracket. Only the few
-    values inside are shuffled and ranked, and the running sum over them is distributed as well.
-    """
-    reach, width = 2.0 / SKETCH_ACCURACY, len(shares)
-    values = _long(df, columns)
+def _brackets(values: DataFrame, n_columns: int, shares: list[float]) -> tuple[list[int], list[float | None], list[float | None]]:
+    """Values per column, and for each column and share two values that should enclose its rank (None: no border)."""
+    reach = 2.0 / SKETCH_ACCURACY
     marks = F.array(*[F.lit(min(max(s + side, 0.0), 1.0)) for s in shares for side in (-reach, reach)])
     sketches = {
         r.c: r for r in values.groupBy("c").agg(
             F.count("v").alias("n"), F.percentile_approx("v", marks, F.lit(SKETCH_ACCURACY)).alias("q")
         ).collect()  # one row per column
     }
-    wanted, lows, highs = [], [], []
-    for i, name in enumerate(columns):
-        total = sketches[i].n if i in sketches else 0
+    lows, highs = [], []
+    for i in range(n_columns):
         for j, share in enumerate(shares):
-            wanted.append((len(wanted), name, share, total))
-            low, high = sketches[i].q[2 * j : 2 * j + 2] if total > BRACKET_FROM else (None, None)
+            low, high = sketches[i].q[2 * j : 2 * j + 2] if i in sketches else (None, None)
             lows.append(None if share - reach <= 0 else low)
             highs.append(None if share + reach >= 1 else high)
+    return [sketches[i].n if i in sketches else 0 for i in range(n_columns)], lows, highs
+
+
+def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """Exact quantiles without sorting the table: (column, share, n, low, high, value).
+
+    ``low`` and ``high`` are the order statistics around ``(n - 1) * share`` and ``value`` is
+    interpolated between them. A first pass sketches two values that enclose each wanted rank; a
+    second one counts what lies below and counts equal values inside the bracket. Only the few
+    values inside are shuffled and ranked, and the running sum over them is distributed as well.
+    The counts tell whether a bracket really encloses its rank; one that does not is opened, and
+    the ranks are taken again, so a poor sketch costs time and never a wrong value.
+    """
+    width = len(shares)
+    values = _long(df, columns)
+    totals, lows, highs = _brackets(values, len(columns), shares)
+    wanted = [(i * width + j, name, share, totals[i]) for i, name in enumerate(columns) for j, share in enumerate(shares)]
     slot = (F.col("c") * width + F.col("j")).alias("slot")
     placed = values.select("v", F.col("c"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("j")).select("v", slot)
-    # No border means that nothing lies beyond it. What is below a bracket shares the NULL value, which sorts first.
-    low, high = F.get(_literals(lows, "double"), F.col("slot")), F.get(_literals(highs, "double"), F.col("slot"))
-    counts = (
-        placed.filter(high.isNull() | (F.col("v") <= high))
-        .select("slot", F.when(low.isNull() | (F.col("v") >= low), F.col("v")).alias("v"))
-        .groupBy("slot", "v").agg(F.count(F.lit(1)).alias("times"))
-    )
-    ranked = prefix_sums(counts, order="v", sums=["times"], keys=["slot"])
+    while True:
+        # No border means that nothing lies beyond it. What is below a bracket shares the NULL value, which sorts first.
+        low, high = F.get(_literals(lows, "double"), F.col("slot")), F.get(_literals(highs, "double"), F.col("slot"))
+        counts = (
+            placed.filter(high.isNull() | (F.col("v") <= high))
+            .select("slot", F.when(low.isNull() | (F.col("v") >= low), F.col("v")).alias("v"))
+            .groupBy("slot", "v").agg(F.count(F.lit(1)).alias("times"))
+        )
+        ranked = settle(prefix_sums(counts, order="v", sums=["times"], keys=["slot"]))
+        seen = {
+            r.slot: r for r in ranked.groupBy("slot").agg(
+                F.max(F.when(F.col("v").isNull(), F.col("cum_times"))).alias("below"), F.max("cum_times").alias("upto")
+            ).collect()  # one row per column and share
+        }
+        missed = []
+        for i, _, share, n in wanted:
+            place, r = (n - 1) * share, seen.get(i)
+            if n and (r is None or (r.below or 0) > math.floor(place) or r.upto <= math.ceil(place)):
+                missed.append(i)
+        if not missed:
+            break
+        for i in missed:
+            lows[i] = highs[i] = None
     # One row per column and share.
     rows = [F.struct(*[F.lit(v).cast(t).alias(a) for v, (a, t) in zip(row, _TARGET.items())]) for row in wanted]
     targets = df.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))

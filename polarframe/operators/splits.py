@@ -35,8 +35,8 @@ def undersample(
 ) -> DataFrame:
     """Keep every positive and about ``ratio`` negatives per positive.
 
-    With ``ratios`` the target is met inside every region, with ``ratio`` for regions not named.
-    A region without positives keeps no negatives.
+    With ``ratios`` the target is met inside every region, with ``ratio`` for regions not named; rows
+    without a region are one more region. A region without positives keeps no negatives.
     """
     positives, negatives = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
     wanted: Column = F.lit(float(ratio))
@@ -47,9 +47,11 @@ def undersample(
         share = df.agg(F.try_divide(positives * wanted, negatives)).scalar()
         return df.filter((F.col(label) == 1) | ((F.col(label) == 0) & (draw < share)))
     shares = settle(df.groupBy(region).agg(positives.alias("_p"), negatives.alias("_n")))
-    shares = shares.select(region, F.try_divide(F.col("_p") * wanted, F.col("_n")).alias("_share"))
+    # NULL joins NULL: the value and whether there is one.
+    named = {"_region": F.coalesce(F.col(region).cast("string"), F.lit("")), "_no_region": F.col(region).isNull()}
+    shares = shares.withColumns(named).select(*named, F.try_divide(F.col("_p") * wanted, F.col("_n")).alias("_share"))
     kept = (F.col(label) == 1) | ((F.col(label) == 0) & (draw < F.col("_share")))
-    return lookup_join(df, shares, [region]).filter(kept).drop("_share")
+    return lookup_join(df.withColumns(named), shares, list(named)).filter(kept).select(*df.columns)
 
 
 def oof_split(df: DataFrame, seed: int = 42, key: list[str] = ("x", "y")) -> tuple[DataFrame, DataFrame]:

@@ -204,11 +204,11 @@ _DRAW = uniform_sql(["x", "y", "month_idx"], 42)
 @query(
     "undersample",
     f"""with {LABELLED} select x, month_idx, basal_loss_agreement from labelled where basal_loss_agreement = 1 or (basal_loss_agreement = 0 and {_DRAW} <
-      (select count(*) filter (where basal_loss_agreement = 1) * 4.0::double / nullif(count(*) filter (where basal_loss_agreement = 0), 0) from labelled))""",
+      (select count(*) filter (where basal_loss_agreement = 1) * 10.0::double / nullif(count(*) filter (where basal_loss_agreement = 0), 0) from labelled))""",
 )
 def _(spark, sf):
     rows = settle(labelled(spark, sf))
-    return splits.undersample(rows, ratio=4.0).select("x", "month_idx", "basal_loss_agreement")
+    return splits.undersample(rows).select("x", "month_idx", "basal_loss_agreement")
 
 
 @query(
@@ -216,7 +216,7 @@ def _(spark, sf):
     f"""with {LABELLED}, s as (select regional_subset_id, count(*) filter (where basal_loss_agreement = 1)
       * case regional_subset_id when 'ASIA' then 5.0::double when 'EUROPE' then 2.0::double else 10.0::double end
       / nullif(count(*) filter (where basal_loss_agreement = 0), 0) as share from labelled group by 1)
-    select x, month_idx, regional_subset_id, basal_loss_agreement from labelled left join s using (regional_subset_id)
+    select x, month_idx, labelled.regional_subset_id, basal_loss_agreement from labelled left join s on labelled.regional_subset_id is not distinct from s.regional_subset_id
     where basal_loss_agreement = 1 or (basal_loss_agreement = 0 and {_DRAW} < share)""",
 )
 def _(spark, sf):
@@ -226,8 +226,9 @@ def _(spark, sf):
 
 @query(
     "sample_weights",
-    f"""with {LABELLED}, c as (select basal_loss_agreement, count(*) as n from labelled where basal_loss_agreement is not null group by 1),
-    r as (select regional_subset_id, count(*) as n from labelled group by 1), t as (select count(*) as n from labelled)
+    f"""with {LABELLED}, k as (select * from labelled where basal_loss_agreement is not null and regional_subset_id is not null),
+    c as (select basal_loss_agreement, count(*) as n from k group by 1),
+    r as (select regional_subset_id, count(*) as n from k group by 1), t as (select count(*) as n from k)
     select x, month_idx, round(t.n / ((select count(*) from c) * c.n) * (t.n / ((select count(*) from r) * r.n)), 6) as weight
     from labelled l left join c on c.basal_loss_agreement = l.basal_loss_agreement left join r on r.regional_subset_id = l.regional_subset_id, t""",
 )

@@ -562,7 +562,7 @@ _ROW = ["x", "y", "month_idx"]
     "bootstrap_interval",
     f"""with {OBS}, p as (select x, y, delta_h::double / (delta_h + lwe_mo + 1) as v,
       floor({uniform_sql(_ROW, 42)} * {ev.HASH_PRIME})::bigint as h, floor({uniform_sql(_ROW, 43)} * {ev.HASH_PRIME})::bigint as g from obs),
-    u as (select x, y, v, b, ((h + b * g) % {ev.HASH_PRIME}) / {float(ev.HASH_PRIME)!r}::double as u from p, (select unnest(range(50)) as b)),
+    u as (select x, y, v, b, ((h + b * g) % {ev.HASH_PRIME}) / {float(ev.HASH_PRIME)!r}::double as u from p, (select unnest(range(100)) as b)),
     w as (select x, y, v, b, {_POISSON} as w from u),
     m as (select x, y, b, sum(w * v) / nullif(sum(w), 0) as m from w group by 1, 2, 3),
     o as (select x, y, list_sort(list(m) filter (where m is not null)) as ms from m group by 1, 2),
@@ -572,5 +572,5 @@ _ROW = ["x", "y", "month_idx"]
 )
 def _(spark, sf):
     rows = obs(spark, sf).withColumn("probability", F.col("delta_h") / (F.col("delta_h") + F.col("lwe_mo") + F.lit(1)))
-    out = ev.bootstrap_interval(rows, replicates=50)
+    out = ev.bootstrap_interval(rows)
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "low", "high")})

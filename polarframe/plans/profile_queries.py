@@ -100,12 +100,12 @@ _LINE_POINTS = """pts as (select cast(l_partkey as double) as px, cast(l_suppkey
 
 @query(
     "hexbin_mean",
-    f"""with {_LINE_POINTS}, {_hex_sql('pts', 40)}
-    select hx, hy, round(x0 + hx * ((x1 - x0) / 40), 6) as cx, round(y0 + hy * ((y1 - y0) / {rows_of(40)}), 6) as cy, count(*) as n,
+    f"""with {_LINE_POINTS}, {_hex_sql('pts', 200)}
+    select hx, hy, round(x0 + hx * ((x1 - x0) / 200), 6) as cx, round(y0 + hy * ((y1 - y0) / {rows_of(200)}), 6) as cy, count(*) as n,
       round(greatest(least(avg(pz), 27), -27), 6) as mean from b group by hx, hy, x0, x1, y0, y1""",
 )
 def _(spark, sf):
-    out = profile.hexbin_mean(table(spark, sf, "lineitem"), "l_partkey", "l_suppkey", "l_quantity", gridsize=40, clip=27.0)
+    out = profile.hexbin_mean(table(spark, sf, "lineitem"), "l_partkey", "l_suppkey", "l_quantity", clip=27.0)
     return out.withColumns({c: F.round(c, 6) for c in ("cx", "cy", "mean")})
 
 
@@ -115,14 +115,14 @@ def _(spark, sf):
     pts as (select cast(x as double) as px, cast(y as double) as py, cast(delta_h as double) as pz,
       month_idx in (1996 * 12 + 6, 1996 * 12 + 7, 1996 * 12 + 8) as early from obs
       where month_idx in (1996 * 12 + 6, 1996 * 12 + 7, 1996 * 12 + 8, 2000 * 12 + 6, 2000 * 12 + 7, 2000 * 12 + 8)),
-    {_hex_sql('pts', 15)}
+    {_hex_sql('pts', 150)}
     select hx, hy, count(*) filter (where early) as n_first, count(*) filter (where not early) as n_last,
       round(avg(pz) filter (where early), 6) as mean_first, round(avg(pz) filter (where not early), 6) as mean_last,
       round(avg(pz) filter (where not early) - avg(pz) filter (where early), 6) as difference
     from b group by hx, hy""",
 )
 def _(spark, sf):
-    out = profile.season_compare(settle(obs(spark, sf)), 1996, 2000, gridsize=15)
+    out = profile.season_compare(settle(obs(spark, sf)), 1996, 2000)
     return out.withColumns({c: F.round(c, 6) for c in ("mean_first", "mean_last", "difference")})
 
 

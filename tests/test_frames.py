@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from polarframe.functions import calendar
-from polarframe.operators import clean, profile
+from polarframe.operators import clean, labels, profile, splits
 from polarframe.sources.readers import decode_packed, read_observations, union_tiles
 from polarframe.sources.schemas import OCEAN_PACKING, V1, V2, PackSpec
 from polarframe.sources.sinks import materialize, preview, save_predictions, write_observations
@@ -155,7 +155,6 @@ def test_box_stats(spark):
 
 
 def test_bracketed_quantiles_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(profile, "BRACKET_FROM", 1_000)
     monkeypatch.setattr(profile, "SKETCH_ACCURACY", 200)
     # A third of all rows share one value.
     df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 77.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(100_003)) / 7.0).alias("v"))
@@ -167,6 +166,14 @@ def test_bracketed_quantiles_are_exact(spark, monkeypatch):
         assert got[share].low == np.quantile(values, share, method="lower") and got[share].n == 30_000
 
 
+def test_quantiles_survive_brackets_that_miss(spark, monkeypatch):
+    df = spark.range(2_000).select((F.col("id") * 7 % 2_000).cast("double").alias("v"))
+    # Both brackets lie beside their rank: one above, one below.
+    monkeypatch.setattr(profile, "_brackets", lambda *_: ([2_000], [1_500.0, 10.0], [1_600.0, 20.0]))
+    got = {r.share: r.value for r in profile.quantiles(df, ["v"], [0.25, 0.5]).collect()}
+    assert got == {0.25: 499.75, 0.5: 999.5}
+
+
 def test_correlations_use_pairwise_complete_rows(spark):
     made = [(1.0, 2.0, 5.0, 1e9), (2.0, 4.0, 5.0, 1e9 + 1), (3.0, None, 5.0, 1e9 + 3), (4.0, 7.0, NAN, 1e9 + 2), (None, 1.0, 5.0, None)]
     df = spark.createDataFrame(made, "a double, b double, c double, d double")
@@ -184,6 +191,36 @@ def test_hexbin_counts_every_point(spark):
     assert out.agg(F.sum("n")).first()[0] == 500 and out.filter("mean <> 1.0").count() == 0
 
 
+def test_hexbin_does_not_look_at_other_columns(spark):
+    df = spark.range(100).select((F.col("id") % 10).alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("z"), F.when(F.col("id") < 5, True).alias("early"))
+    assert profile.hexbin_mean(df, "x", "y", "z").agg(F.sum("n")).first()[0] == 100
+
+
+def test_undersample_keeps_rows_without_a_region(spark):
+    rows = spark.range(4_000).select(
+        F.col("id").alias("x"), F.lit(0).alias("y"), F.lit(1).alias("month_idx"), F.when(F.col("id") % 2 == 0, "A").alias("regional_subset_id"),
+        F.when(F.col("id") % 40 < 2, 1).otherwise(0).alias("basal_loss_agreement"), F.lit("clash").alias("_region"),
+    )
+    out = splits.undersample(rows, ratios={"A": 5.0})
+    assert out.columns == rows.columns
+    kept = {(r.regional_subset_id, r.basal_loss_agreement): r["count"] for r in out.groupBy("regional_subset_id", "basal_loss_agreement").count().collect()}
+    assert kept[("A", 1)] == kept[(None, 1)] == 100
+    assert 400 < kept[("A", 0)] < 600 and 850 < kept[(None, 0)] < 1_150
+
+
+def test_weights_count_usable_rows_only(spark):
+    rows = spark.createDataFrame([(1, "A"), (0, "A"), (0, "B"), (0, "B"), (None, "A"), (1, None)], "basal_loss_agreement int, regional_subset_id string")
+    got = {(r.basal_loss_agreement, r.regional_subset_id): r.weight for r in labels.sample_weights(rows).collect()}
+    assert got[(1, "A")] == 2.0 and got[(0, "B")] == pytest.approx(2 / 3)
+    assert got[(None, "A")] is None and got[(1, None)] is None
+
+
+def test_missing_months_and_logarithms(spark):
+    rows = spark.createDataFrame([(2020 * 12 + 5, 1.0), (None, NAN), (2021 * 12 + 1, None)], "month_idx int, v double")
+    assert {r.month_idx for r in clean.drop_years(rows, [2020]).collect()} == {None, 2021 * 12 + 1}
+    assert [r.log_v for r in clean.log1p_cols(rows, ["v"]).collect()][1:] == [None, None]
+
+
 def test_series_outlier(spark):
     df = spark.createDataFrame([(m, 10.0 + (m % 3)) for m in range(24)] + [(24, 90.0)], "month_idx int, v double")
     assert [r.month_idx for r in profile.series_outliers(df, "v", 3.5).filter("is_outlier").collect()] == [24]

@@ -71,3 +71,16 @@ def test_group_stats_keep_rows_without_key(spark, rows):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0)], "g string, v double")
     out = distribute.with_group_stats(df, ["g"], [F.avg("v").alias("m")])
     assert rows(out, "g", "v", "m") == [(None, 5.0, None), ("a", 1.0, 2.0), ("a", 3.0, 2.0)]
+
+
+def test_salts_follow_the_rows_of_a_key(spark, hot, rows, monkeypatch):
+    monkeypatch.setattr(distribute, "SALTS", 2)
+    monkeypatch.setattr(distribute, "ROWS_PER_SALT", 100)
+    table = spark.range(6000).select(F.col("id").alias("k"), F.col("id").alias("w"))
+    assert rows(distribute.skew_join(hot, table, ["k"]), "k", "v", "w") == rows(hot.join(table, ["k"], "left"), "k", "v", "w")
+
+
+def test_long_values_count_by_what_they_hold(spark):
+    table = spark.range(10).select("id", F.repeat(F.lit("x"), 80).alias("s"), F.sequence(F.lit(1), F.lit(5)).alias("a"))
+    assert distribute._values(table, None) == 10 * (1 + 10 + 5)
+    assert distribute._values(table.select("id"), None) == 10 and distribute._values(table, 3) == 30
