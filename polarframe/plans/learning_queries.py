@@ -1,6 +1,6 @@
 """Preprocessing, models and evaluation on the given tables.
 
-Models are kept small (few trees) so that a run is short; every one is trained on all its rows.
+Models are trained with their presets, on all their rows.
 """
 
 from __future__ import annotations
@@ -241,7 +241,7 @@ for _kind in ("xgb", "classic", "stack"):
 
 def _stacked(spark, sf, **extra):
     train, val, test = _split(ml_table(spark, sf))
-    base = {"Base_RF": models.base_rf(trees=8, depth=4), "Base_GBT": models.base_gbt(rounds=4, depth=3)}
+    base = {"Base_RF": models.base_rf(), "Base_GBT": models.base_gbt()}
     return models.train_stack(train, val, test, NUMERIC, base=base, **extra)
 
 
@@ -249,7 +249,7 @@ def _stacked(spark, sf, **extra):
 def _(spark, sf):
     train, _, _ = _split(ml_table(spark, sf))
     prepared = settle(prep.build_pipeline("stack", NUMERIC).fit(train).transform(train))
-    base = Pipeline(stages=[models.base_rf(trees=4, depth=3), models.base_gbt(rounds=2, depth=2)]).fit(prepared)
+    base = Pipeline(stages=[models.base_rf(), models.base_gbt()]).fit(prepared)
     out = prep.meta_features(base.transform(prepared))
     return _columns(out, "meta_features", prep.META_NAMES).select("x", "month_idx", *prep.META_NAMES)
 
@@ -268,7 +268,7 @@ def _boosted_metrics(spark, sf, presets):
     fit_rows = settle(splits.undersample(sides["train"]))
     rows = []
     for name, preset in presets.items():
-        model = models.boosted(preset, n_estimators=5, max_depth=3).fit(fit_rows)
+        model = models.boosted(preset).fit(fit_rows)
         rows += [ev.to_scores(model.transform(d), name, n, LABEL) for n, d in sides.items()]
     return ev.evaluate_all(rows)
 
@@ -294,19 +294,19 @@ def _base_learner(spark, sf, stage):
 
 @query("base_rf")
 def _(spark, sf):
-    return _base_learner(spark, sf, models.base_rf(trees=8, depth=4))
+    return _base_learner(spark, sf, models.base_rf())
 
 
 @query("base_gbt")
 def _(spark, sf):
-    return _base_learner(spark, sf, models.base_gbt(rounds=4, depth=3))
+    return _base_learner(spark, sf, models.base_gbt())
 
 
 @query("meta_lr")
 def _(spark, sf):
     train, _, _ = _split(ml_table(spark, sf))
     prepared = settle(prep.build_pipeline("stack", NUMERIC).fit(train).transform(train))
-    base = Pipeline(stages=[models.base_rf(trees=4, depth=3), models.base_gbt(rounds=2, depth=2)]).fit(prepared)
+    base = Pipeline(stages=[models.base_rf(), models.base_gbt()]).fit(prepared)
     rows = settle(prep.meta_features(base.transform(prepared)))
     fitted = {p: models.meta_lr(p).fit(rows) for p in ("baseline", "tuned")}
     return _rounded_metrics(ev.evaluate_all([ev.to_scores(m.transform(rows), f"lr_{p}", "train", LABEL) for p, m in fitted.items()]))
@@ -324,20 +324,20 @@ def _(spark, sf):
 
 @query("stack_boosted_meta")
 def _(spark, sf):
-    meta = {"Stack_Boosted": models.meta_boosted(n_estimators=3, max_depth=2)}
+    meta = {"Stack_Boosted": models.meta_boosted()}
     return _rounded_metrics(_stacked(spark, sf, meta=meta).metrics)
 
 
 @query("svd_kmeans_gbt")
 def _(spark, sf):
     rows = _vectors(spark, sf)
-    model, _ = models.train_svd_kmeans_gbt(rows, k=20, clusters=6, label="label", weight=None, n_estimators=3, max_depth=3)
+    model, _ = models.train_svd_kmeans_gbt(rows, k=20, clusters=6, label="label", weight=None)
     return model.transform(rows).select("vec_id", "cluster", "prediction")
 
 
 @query("silhouette")
 def _(spark, sf):
-    _, quality = models.train_svd_kmeans_gbt(_vectors(spark, sf), k=20, clusters=6, label="label", weight=None, n_estimators=2, max_depth=2)
+    _, quality = models.train_svd_kmeans_gbt(_vectors(spark, sf), k=20, clusters=6, label="label", weight=None)
     return quality.withColumn("silhouette", F.round("silhouette", 6))
 
 
@@ -348,12 +348,12 @@ def _(spark, sf):
     return _rounded_metrics(ev.evaluate(model.transform(svd.transform(rows)), "svd_lr", "all", "label"))
 
 
-@query("select_features", _test_rows_sql("8"))
+@query("select_features", _test_rows_sql("20"))
 def _(spark, sf):
     train, _, test = _split(ml_table(spark, sf))
     prepared = prep.build_pipeline("xgb", NUMERIC).fit(train)
-    model = models.base_rf(trees=8, depth=4).fit(settle(prepared.transform(train)))
-    kept = ev.select_features(model, n=8).transform(prepared.transform(test))
+    model = models.base_rf().fit(settle(prepared.transform(train)))
+    kept = ev.select_features(model).transform(prepared.transform(test))
     return kept.select("x", "month_idx", F.size(vector_to_array(F.col("selected"))).alias("width"))
 
 
@@ -389,19 +389,19 @@ def _(spark, sf):
 
 @query("mass_regression")
 def _(spark, sf):
-    _, predicted = studies.mass_regression(settle(obs(spark, sf)), "gbt", TRAIN_END, maxIter=5, maxDepth=3)
+    _, predicted = studies.mass_regression(settle(obs(spark, sf)), "gbt", TRAIN_END)
     return predicted.select("mascon_id", "month_idx", "mass_change", F.round("prediction", 6).alias("prediction"))
 
 
 @query("mass_skill")
 def _(spark, sf):
-    r2, _ = studies.mass_skill(settle(obs(spark, sf)), "rf", TRAIN_END, numTrees=8, maxDepth=4)
+    r2, _ = studies.mass_skill(settle(obs(spark, sf)), "rf", TRAIN_END)
     return r2.withColumn("r2", F.round("r2", 6))
 
 
 @query("mass_importances")
 def _(spark, sf):
-    _, ranked = studies.mass_skill(settle(obs(spark, sf)), "rf", TRAIN_END, numTrees=8, maxDepth=4)
+    _, ranked = studies.mass_skill(settle(obs(spark, sf)), "rf", TRAIN_END)
     return ranked.withColumn("importance", F.round("importance", 6))
 
 
