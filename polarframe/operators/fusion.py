@@ -45,34 +45,42 @@ def sample_at_depth(
     depth: str = "clamped_depth",
     mode: str = "nearest",
     out: str = "value_at_depth",
+    columns: dict[str, str] | None = None,
 ) -> DataFrame:
     """Ocean value at each point's depth: nearest level, or linear between the two around it.
 
-    The levels of a column are gathered into one array per column. Levels are averaged first, so
-    the array is as long as the product's depth axis (tens of levels) however many rows come in,
-    and each point is joined to one row instead of one row per level. Outside the levels the
-    linear mode takes the end value; equally near levels resolve to the shallower one.
+    ``columns`` names the ocean column of every result; without it, ``value`` gives ``out``. The levels
+    of a column of water are gathered into one array, with all values of a level side by side, so each
+    point is joined once to one row whatever the number of columns. Levels are averaged first, so the
+    array is as long as the product's depth axis (tens of levels) however many rows come in. A level without
+    a value does not count for that column. Outside the levels the linear mode takes the end value;
+    equally near levels resolve to the shallower one.
     """
-    value = present(ocean, "value")
+    if mode not in ("nearest", "linear"):
+        raise ValueError(f"unknown mode {mode}")
+    columns = columns or {out: "value"}
+    means = [F.avg(present(ocean, c)).alias(f"v{i}") for i, c in enumerate(columns.values())]
+    level = F.struct(F.col("depth").cast("double").alias("d"), *[f"v{i}" for i in range(len(columns))])
     levels = settle(
-        ocean.filter(value.isNotNull() & F.col("depth").isNotNull())
-        .groupBy(*keys, "depth").agg(F.avg(value).alias("v"))
-        .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("depth").cast("double").alias("d"), "v"))).alias("_levels"))
+        ocean.filter(F.col("depth").isNotNull()).groupBy(*keys, "depth").agg(*means)
+        .groupBy(*keys).agg(F.array_sort(F.collect_list(level)).alias("_levels"))
     )
     deepest = levels.agg(F.max(F.size("_levels"))).first()[0] or 0
-    joined = lookup_join(points, levels, list(keys), width=len(keys) + 2 * deepest)
+    joined = lookup_join(points, levels, list(keys), width=len(keys) + (1 + len(columns)) * deepest)
     at = F.col(depth).cast("double")
-    if mode == "nearest":
-        away = F.transform("_levels", lambda s: F.struct(F.abs(s.d - at).alias("gap"), s.d.alias("d"), s.v.alias("v")))
-        picked = F.when(at.isNotNull(), F.array_min(away).v)
-    elif mode == "linear":
-        above = F.array_max(F.filter("_levels", lambda s: s.d <= at))
-        below = F.array_min(F.filter("_levels", lambda s: s.d >= at))
+
+    def picked(i: int) -> Column:
+        known = F.filter("_levels", lambda s: s[f"v{i}"].isNotNull())
+        if mode == "nearest":
+            away = F.transform(known, lambda s: F.struct(F.abs(s.d - at).alias("gap"), s.d.alias("d"), s[f"v{i}"].alias("v")))
+            return F.when(at.isNotNull(), F.array_min(away).v)
+        pairs = F.transform(known, lambda s: F.struct(s.d.alias("d"), s[f"v{i}"].alias("v")))
+        above = F.array_max(F.filter(pairs, lambda s: s.d <= at))
+        below = F.array_min(F.filter(pairs, lambda s: s.d >= at))
         share = F.coalesce(F.try_divide(at - above.d, below.d - above.d), F.lit(0.0))
-        picked = F.coalesce(above.v + (below.v - above.v) * share, above.v, below.v)
-    else:
-        raise ValueError(f"unknown mode {mode}")
-    return joined.withColumn(out, picked).drop("_levels")
+        return F.coalesce(above.v + (below.v - above.v) * share, above.v, below.v)
+
+    return joined.withColumns({name: picked(i) for i, name in enumerate(columns)}).drop("_levels")
 
 
 def monthly_ocean(df: DataFrame, columns: list[str] = ("thetao", "so"), keys: list[str] = CELL) -> DataFrame:

@@ -94,35 +94,25 @@ def grid_points(df: DataFrame, value: str, cell: float = 500.0, x: str = "x", y:
 def slope(df: DataFrame, name: str, cell: float = 500.0, by: list[str] = (), prefix: str | None = None) -> DataFrame:
     """Gradient components and magnitude: central differences, one-sided at edges.
 
-    Every cell sends its value to itself and its four neighbours, and one groupBy on the cell key
-    collects them: a single narrow shuffle with map-side combine instead of four self-joins.
-    Along an axis without any neighbour the component is NULL, and so is the magnitude.
+    Two windows along the raster lines, one per axis, with range frames at the neighbouring cells: every row
+    is shuffled once per axis and nothing is joined back. A window is a line of cells of one group of ``by``. Rows
+    that share a cell count as one with the largest value. Along an axis without any neighbour the
+    component is NULL, and so is the magnitude; rows without a cell have neither.
     """
     prefix = prefix or name
-    keys = [*by, *CELL]
-    # Offsets of the receiving cell: itself, then the cells that see this one as W, E, S, N.
-    sends = {"c": (0, 0), "w": (1, 0), "e": (-1, 0), "s": (0, 1), "n": (0, -1)}
-    targets = F.explode(F.array(*[
-        F.struct(F.lit(side).alias("side"), (F.col("cell_x") + dx).alias("cell_x"), (F.col("cell_y") + dy).alias("cell_y"))
-        for side, (dx, dy) in sends.items()
-    ]))
-    values = df.select(*keys, present(df, name).cast("double").alias("v"))
-    spread = values.select(*by, "v", targets.alias("t")).select(*by, "v", "t.*")
-    seen = lambda side: F.max(F.when(F.col("side") == side, F.col("v"))).alias(side)
-    around = (
-        spread.groupBy(*keys)
-        .agg(*[seen(s) for s in sends], F.count_if(F.col("side") == "c").alias("here"))
-        .filter(F.col("here") > 0)
-    )
-    dx, dy = _difference("w", "e", cell), _difference("s", "n", cell)
-    parts = around.select(*keys, dx.alias(f"{prefix}_dx"), dy.alias(f"{prefix}_dy")).withColumn(
-        f"{prefix}_slope", F.hypot(f"{prefix}_dx", f"{prefix}_dy")
-    )
-    return df.join(parts, keys, "left")
+    placed = F.col("cell_x").isNotNull() & F.col("cell_y").isNotNull()
+    value = F.when(placed, present(df, name).cast("double"))
+
+    def along(across: str, axis: str) -> Column:
+        line = Window.partitionBy(*by, across).orderBy(F.col(axis).cast("bigint"))
+        at = lambda offset: F.max("_v").over(line.rangeBetween(offset, offset))
+        return F.when(placed, _difference(at(-1), at(0), at(1), cell))
+
+    out = df.withColumn("_v", value).withColumn(f"{prefix}_dx", along("cell_y", "cell_x")).withColumn(f"{prefix}_dy", along("cell_x", "cell_y"))
+    return out.withColumn(f"{prefix}_slope", F.hypot(f"{prefix}_dx", f"{prefix}_dy")).drop("_v")
 
 
-def _difference(before: str, after: str, cell: float) -> Column:
-    low, mid, high = F.col(before), F.col("c"), F.col(after)
+def _difference(low: Column, mid: Column, high: Column, cell: float) -> Column:
     return F.coalesce((high - low) / F.lit(2.0 * cell), (high - mid) / F.lit(float(cell)), (mid - low) / F.lit(float(cell)))
 
 

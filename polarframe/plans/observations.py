@@ -16,7 +16,7 @@ from polarframe.functions.physics import (
     thermal_driving,
 )
 from polarframe.functions.projection import cell_of
-from polarframe.operators.distribute import settle
+from polarframe.operators.distribute import scratch_path, settle
 from polarframe.operators.fusion import (
     assign_mascon,
     assign_region,
@@ -30,6 +30,7 @@ from polarframe.operators.fusion import (
 from polarframe.operators.grid import CELL, nearest_distance, slope
 from polarframe.operators.temporal import temporal_features
 from polarframe.sources.schemas import FLOATING_CLASSES, V2
+from polarframe.sources.sinks import materialize
 
 OCEAN_CELL = ["ocean_x", "ocean_y"]
 
@@ -74,14 +75,15 @@ def observation_table(
     wide = assign_region(assign_mascon(altimetry, mascon_map), region_map)
     wide = join_monthly(wide, lwe_to_metres(gravity).drop("lwe_thickness_cm"), ["mascon_id"])
     wide = join_static(wide, static.select(*kept), keys_from=altimetry)
-    wide = settle(dynamic_surface(wide))
+    wide = dynamic_surface(wide)
     afloat = F.col("mask").isin(*FLOATING_CLASSES)
-    for source, name in (("thetao", "thetao_mo"), ("so", "so_mo")):
-        levels = ocean.select(*OCEAN_CELL, "month_idx", "depth", F.col(source).alias("value"))
-        wide = sample_at_depth(wide, levels, [*OCEAN_CELL, "month_idx"], out=name).withColumn(name, F.when(afloat, F.col(name)))
-    wide = slope(settle(wide), "h_surface_dynamic", cell, by=["month_idx"], prefix="surface")
+    wide = sample_at_depth(wide, ocean, [*OCEAN_CELL, "month_idx"], columns={"thetao_mo": "thetao", "so_mo": "so"})
+    wide = wide.withColumns({name: F.when(afloat, F.col(name)) for name in ("thetao_mo", "so_mo")})
+    wide = slope(wide, "h_surface_dynamic", cell, by=["month_idx"], prefix="surface")
     wide = quarterly_stats(thermal_driving(freezing_point(wide)), ["t_star_mo", "thetao_mo", "lwe_mo"])
-    wide = disaggregate_mass(settle(wide)).withColumn("ice_mask", F.col("mask"))
+    # The one full write of the fact table, as Parquet: the group means below read three of its columns.
+    wide = materialize(wide, scratch_path(wide.sparkSession, "observations"))
+    wide = disaggregate_mass(wide).withColumn("ice_mask", F.col("mask"))
     return wide.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in V2.fields], *keep)
 
 
