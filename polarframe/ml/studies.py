@@ -31,14 +31,15 @@ def regime_features(df: DataFrame, slope: str = "surface_slope") -> DataFrame:
 
 
 def regimes(df: DataFrame, k: int = 4, slope: str = "surface_slope") -> DataFrame:
-    """Elevation-change regimes by k-means on standardised pixel features."""
+    """Elevation-change regimes by k-means on standardised pixel features; NULL for pixels that lack one."""
     table = settle(regime_features(df, slope))
     stages = [
         VectorAssembler(inputCols=REGIME_FEATURES, outputCol="raw", handleInvalid="skip"),
         StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
         KMeans(k=k, seed=42, featuresCol="features", predictionCol="regime"),
     ]
-    return Pipeline(stages=stages).fit(table).transform(table).select(*PIXEL, *REGIME_FEATURES, "regime", "features")
+    placed = Pipeline(stages=stages).fit(table).transform(table).select(*PIXEL, "regime", "features")
+    return table.select(*PIXEL, *REGIME_FEATURES).join(placed, PIXEL, "left")
 
 
 MASS_FEATURES = ["delta_h", "dh_rate", "dh_lag1", "dh_lag2", "dh_lag3", "dh_anomaly", "sin_month", "cos_month", "mean_x", "mean_y"]
@@ -64,14 +65,20 @@ def mascon_months(df: DataFrame, lags: int = 3) -> DataFrame:
 
 
 def mass_regression(df: DataFrame, algo: str = "gbt", train_end: int | None = None, **params):
-    """Fit monthly mass change per mascon from elevation; returns (model, predictions on all months)."""
-    table = settle(mascon_months(df).na.drop(subset=[*MASS_FEATURES, "mass_change"]))
+    """Fit monthly mass change per mascon from elevation; returns (model, predictions on all months).
+
+    Months with all features and a mass change are learnt from; the prediction is NULL where a feature is missing.
+    """
+    months = settle(mascon_months(df))
+    table = months.na.drop(subset=MASS_FEATURES)
     kinds = {"gbt": GBTRegressor, "rf": RandomForestRegressor}
     learner = kinds[algo](featuresCol="features", labelCol="mass_change", seed=42, **params)
     stages = [VectorAssembler(inputCols=MASS_FEATURES, outputCol="features"), learner]
-    train = table if train_end is None else table.filter(F.col("month_idx") <= train_end)
+    known = table.na.drop(subset=["mass_change"])
+    train = known if train_end is None else known.filter(F.col("month_idx") <= train_end)
     model = Pipeline(stages=stages).fit(train)
-    return model, model.transform(table)
+    predicted = model.transform(table).select("mascon_id", "month_idx", "features", "prediction")
+    return model, months.join(predicted, ["mascon_id", "month_idx"], "left")
 
 
 def grouped_r2(df: DataFrame, keys: list[str], target: str, prediction: str) -> DataFrame:

@@ -212,6 +212,21 @@ def _(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("singular_value", "cumulative")})
 
 
+@query(
+    "svd_energy",
+    """select count(*) as n_components, round(sum(e), 3) as energy, 1.0::double as cumulative
+       from (select i, sum(v * v) as e from (select unnest(embedding)::double as v, generate_subscripts(embedding, 1) as i from embeddings) group by i)""",
+)
+def _(spark, sf):
+    """All singular values together hold the square sum of the data."""
+    rows = _vectors(spark, sf)
+    parts = prep.fit_svd(rows, k=1 << 20).explained_variance(rows)
+    return parts.agg(
+        F.count(F.lit(1)).alias("n_components"), F.round(F.sum(F.col("singular_value") * F.col("singular_value")), 3).alias("energy"),
+        F.round(F.max("cumulative"), 6).alias("cumulative"),
+    )
+
+
 def _prepared(kind):
     def plan(spark, sf):
         train, _, test = _split(ml_table(spark, sf))
@@ -312,6 +327,21 @@ def _(spark, sf):
     return _rounded_metrics(ev.evaluate_all([ev.to_scores(m.transform(rows), f"lr_{p}", "train", LABEL) for p, m in fitted.items()]))
 
 
+@query(
+    "meta_lr_balance",
+    f"with {LABELLED} select count(*) as n, 0.0::double as gap from labelled where month_idx <= {TRAIN_END} and {LABEL} is not null",
+)
+def _(spark, sf):
+    """A fitted logistic regression with a free intercept predicts the weighted rate of the label on its own rows."""
+    train, _, _ = _split(ml_table(spark, sf))
+    prepared = settle(prep.build_pipeline("stack", NUMERIC).fit(train).transform(train))
+    base = Pipeline(stages=[models.base_rf(), models.base_gbt()]).fit(prepared)
+    rows = settle(prep.meta_features(base.transform(prepared)))
+    scored = models.meta_lr("baseline").fit(rows).transform(rows).withColumn("p", vector_to_array("probability")[1])
+    gap = F.sum(F.col("weight") * (F.col("p") - F.col(LABEL))) / F.sum("weight")
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.round(F.abs(gap), 3).alias("gap"))
+
+
 @query("train_stack")
 def _(spark, sf):
     return _rounded_metrics(_stacked(spark, sf).metrics)
