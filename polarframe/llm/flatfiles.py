@@ -115,4 +115,5 @@ def count_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, bloc
     """(doc_id, n_tokens, file, ordinal): documents written flat, then counted from the files alone."""
     places = write_flat(docs, folder, tokenizer, end_id)
     counts = scan(docs.sparkSession, places, folder, id_type(tokenizer), end_id, block_tokens)
-    return places.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
+    # Names and running numbers compress so well that Spark would take the files for small enough to broadcast.
+    return places.join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
