@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polarframe.operators.distribute import scratch_path
+from polarframe.llm.shared import BROADCAST_IDS, stored
 
 #: Bytes of records in a bucket: a few of them fit in an executor beside everything else.
 BUCKET_BYTES = 24 << 20
@@ -29,10 +29,12 @@ def _spread(docs: DataFrame, seed: int, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
 
 
-def shuffled(docs: DataFrame, text: str = "text", seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def bucket_count(docs: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> int:
+    return int((docs.agg(F.sum(record_bytes(F.col(text)))).first()[0] or 0) // bucket_bytes) + 1
+
+
+def shuffled(docs: DataFrame, buckets: int, seed: int = 17) -> DataFrame:
     """(bucket, place, record): every record with its place in its bucket's random order."""
-    total = docs.agg(F.sum(record_bytes(F.col(text)))).first()[0] or 0
-    buckets = int(total // bucket_bytes) + 1
     scattered = docs.select(_spread(docs, seed, buckets).alias("bucket"), F.struct(*docs.columns).alias("record"))
     # The group is a bucket: about ``bucket_bytes`` by construction, because the hash is uniform.
     filled = scattered.groupBy("bucket").agg(F.collect_list("record").alias("records"))
@@ -49,13 +51,12 @@ def write_shards(
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("shard", "slot", "bytes")]
-    passed = shuffled(docs.select(*kept), text, seed, bucket_bytes)
+    buckets = bucket_count(docs, text, bucket_bytes)
+    passed = shuffled(docs.select(*kept), buckets, seed)
     counted = passed.select("bucket", "place", record_bytes(F.col(f"record.{text}")).alias("bytes"), *[F.col(f"record.{c}").alias(f"record_{c}") for c in kept])
-    buckets = scratch_path(spark, "buckets")
-    counted.write.parquet(buckets)
-    stored = spark.read.schema(counted.schema).parquet(buckets)
-    sizes = stored.groupBy("bucket").agg(F.count("*").alias("n"))
-    # One row a bucket, so the running total and its broadcast stay as small as the number of buckets.
+    filled = stored(counted, "buckets")
+    sizes = filled.groupBy("bucket").agg(F.count("*").alias("n"))
+    # One row a bucket; they are broadcast up to a million buckets, which is some 24 TB.
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.sum("n").over(Window.partitionBy()).alias("total"))
     least, rest = F.floor(F.col("total") / shards), F.col("total") % shards
@@ -63,7 +64,8 @@ def write_shards(
     at = F.col("offset") + F.col("place")
     shard = F.when(at < long_end, F.floor(at / (least + 1))).otherwise(rest + F.floor((at - long_end) / F.greatest(least, F.lit(1))))
     start = F.col("shard") * least + F.least(F.col("shard"), rest)
-    placed = stored.join(F.broadcast(offsets), "bucket").withColumn("shard", shard.cast("int"))
+    near = F.broadcast(offsets) if buckets <= BROADCAST_IDS else offsets
+    placed = filled.join(near, "bucket").withColumn("shard", shard.cast("int"))
     placed = placed.withColumn("slot", (at - start).cast("bigint"))
     out = placed.select("shard", "slot", "bytes", *[F.col(f"record_{c}").alias(c) for c in kept])
     out.write.partitionBy("shard").parquet(path)
