@@ -6,9 +6,9 @@ so a later model learns from the same kind of scores it gets in use.
 
 The chain is fitted on about ``SAMPLE_ROWS`` labelled rows, drawn by a hash of the id from all labels; that sample is the
 only thing that is bounded. Scoring is one pass over all documents inside the JVM, without a shuffle. The threshold
-of the last category is the one with the best F1 on out-of-fold predictions.
+of the last category is the one with the best F1 on out-of-fold predictions, but above the score of an empty text.
 
-Null and empty texts have no words and get the score of the intercept. Labelled rows with a null label or
+Null and empty texts have no words, get the score of the intercept and are not rejected. Labelled rows with a null label or
 without a document are not used; a document labelled twice counts twice. If a category has rows of one class only (or none),
 its probability is that class's rate (0 without rows), and a last category without both classes rejects nothing.
 Repeated documents get equal scores. Other columns pass through; columns named like the results are replaced.
@@ -125,5 +125,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], sample_
     threshold = best_threshold(rows, categories[-1])
     rows.unpersist()
     if isinstance(links[-1].model, float):
-        threshold = 2.0
-    return Chain(words, links, threshold)
+        return Chain(words, links, 2.0)
+    # A text without any known word is no evidence, however few labels there were.
+    blank = Chain(words, links, threshold).score(docs.sparkSession.range(1).select(F.lit("").alias("text"))).first()
+    return Chain(words, links, max(threshold, blank[f"p_{categories[-1]}"] + 0.01))
