@@ -14,9 +14,11 @@ that hash around it, whatever surrounds the passage.
 3. Verification on the words of both ranges, cut out of the texts by byte offsets: maximal runs of the later range whose n-grams
    are in the earlier one, bridged while at least 80 percent match. A passage of at least ``least_words`` words and
    Jaccard similarity of at least ``SIMILAR`` is reported, in bytes and words of the later text.
+4. Windows whose centre lies in no passage so far go on to all other partners: the words of the windows of their keys
+   within a shortest passage's reach of their centres are gathered by key, and each is held against the earlier ones that can share enough n-grams (prefix
+   filter: rarest n-grams of the key first, so a frequent line proposes nothing), in order, until one is similar.
 
-Passages that are equal word by word are always candidates with their first partners; for passages at the least similarity
-four functions agree twice with a chance of 0.97. The first occurrence is never reported. Repeats within one document are
+A passage is reported with one source at least; it may be longer with another one. The first occurrence is never reported. Repeats within one document are
 not: passages repeat across documents. Null and empty texts and texts under ``least_words`` words have no passages. Rows with a
 null id can't be named, so they take no part and stay as they are. Rows that repeat an id count as one document; a passage is cut
 from those rows that have it. An empty table gives no rows. ``find`` reads doc_id and text only; ``remove`` keeps all columns.
@@ -43,8 +45,9 @@ SIMILAR = 0.8
 LEAST_WORDS = 50
 #: Bytes by which the shift between two texts may drift from one window to the next.
 DRIFT = 8 * LEAST_WORDS
-# The function is in the last two bits of the key; centre, left and right are byte offsets.
-COLUMNS = ["key", "row", "c", "l", "r", "o_row", "o_c", "o_l", "o_r"]
+# The function is in the last two bits of the key; centre, left and right are byte offsets. ``near`` holds how many bytes
+# before and after the centre a shortest passage around it reaches inside the window, in 32 bits each.
+COLUMNS = ["key", "row", "c", "l", "r", "near", "o_row", "o_c", "o_l", "o_r", "o_near"]
 SCHEMA = ", ".join(f"{c} bigint" for c in COLUMNS)
 
 
@@ -117,7 +120,9 @@ def _windows(docs: DataFrame, least_words: int) -> DataFrame:
             for f in range(FUNCTIONS):
                 hashed = mix(grams ^ seeds[f])
                 l, c, r = compact_windows(hashed, least, first)
-                parts.append((hashed[c] << np.uint64(2) | np.uint64(f), rows[c], w.start[at[c]], w.start[at[l]], w.end[at[r] + WIDTH - 1]))
+                a, b = np.maximum(l, c - least + 1), np.minimum(r, c + least - 1)
+                near = (w.start[at[c]] - w.start[at[a]]) << 32 | (w.end[at[b] + WIDTH - 1] - w.start[at[c]])
+                parts.append((hashed[c] << np.uint64(2) | np.uint64(f), rows[c], w.start[at[c]], w.start[at[l]], w.end[at[r] + WIDTH - 1], near))
             key, *columns = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((columns[1], columns[0], key))
             key, columns = key[order], [x[order] for x in columns]
@@ -126,9 +131,7 @@ def _windows(docs: DataFrame, least_words: int) -> DataFrame:
             head = _joined(key, fresh)
             # A window in the document of its partner joins nothing and need not travel.
             keep = fresh | (columns[0] != columns[0][head])
-            spread = mix(columns[0].astype(np.uint64) * np.uint64(1 << 20) + columns[1].astype(np.uint64)) << np.uint64(2) | key & np.uint64(3)
-            send = np.where(fresh, key, spread).view(np.int64)
-            sent = [send[keep], *[x[keep] for x in columns], *[np.where(fresh, -1, x[head])[keep] for x in columns]]
+            sent = [key.view(np.int64)[keep], *[x[keep] for x in columns], *[np.where(fresh, -1, x[head])[keep] for x in columns]]
             yield pa.record_batch([pa.array(x, pa.int64()) for x in sent], COLUMNS)
 
     return docs.select("row", "text").mapInArrow(run, SCHEMA)
@@ -141,7 +144,7 @@ def _hits(windows: DataFrame) -> DataFrame:
         last_key, last = None, None
         for batch in batches:
             x = [np.asarray(c) for c in batch.columns]
-            done = x[5] >= 0
+            done = x[6] >= 0
             out = [[c[done] for c in x]]
             x = [c[~done] for c in x]
             key = x[0]
@@ -149,15 +152,17 @@ def _hits(windows: DataFrame) -> DataFrame:
                 fresh = np.ones(len(key), bool)
                 fresh[1:] = key[1:] != key[:-1]
                 head = _joined(key, fresh)
-                x[5:] = [c[head] for c in x[1:5]]
+                x[6:] = [c[head] for c in x[1:6]]
                 if key[0] == last_key:  # the key began in an earlier batch
-                    x[5:] = [np.where(key == last_key, old, c) for old, c in zip(last, x[5:])]
-                last_key, last = key[-1], [c[-1] for c in x[5:]]
-                other = x[5] != x[1]
+                    x[6:] = [np.where(key == last_key, old, c) for old, c in zip(last, x[6:])]
+                last_key, last = key[-1], [c[-1] for c in x[6:]]
+                other = x[6] != x[1]
                 out.append([c[other] for c in x])
             yield pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], COLUMNS)
 
-    return windows.repartition("key").sortWithinPartitions("key", "row", "c").mapInArrow(run, SCHEMA)
+    # Joined windows need not meet: they are spread.
+    to = F.when(F.col("o_row") >= 0, F.xxhash64("row", "c")).otherwise(F.col("key"))
+    return windows.repartition(to).sortWithinPartitions("key", "row", "c").mapInArrow(run, SCHEMA)
 
 
 def _candidates(hits: DataFrame) -> DataFrame:
@@ -286,14 +291,115 @@ def _verified(docs: DataFrame, candidates: DataFrame, least_words: int) -> DataF
     return ordered.mapInArrow(run, FOUND)
 
 
+def _least_shared(grams: np.ndarray, least: int) -> int:
+    """Distinct n-grams that a text similar to any run of ``least`` of these n-grams shares with it, at least."""
+    n = least
+    if len(np.unique(grams)) < len(grams):
+        n = min(len(set(grams[i : i + least].tolist())) for i in range(len(grams) - least + 1))
+    return int(np.ceil(SIMILAR * n - 1e-9))
+
+
+def similar_texts(rows: list[int], wanted: list[bool], grams: list[np.ndarray], least: int) -> Iterator[tuple[int, int, list[tuple]]]:
+    """(i, j, ``similar_runs``) of each wanted text i and the first text j of a smaller row that it has a passage with.
+
+    Texts come in order of their rows. Two texts that share t n-grams have one in common among all but t - 1 of each
+    one's n-grams, in any order of the n-grams; the rarest are taken first. Only texts that share enough are compared.
+    """
+    own = [np.unique(g) for g in grams]
+    _, inverse, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    place = np.empty(len(count), np.int64)
+    place[np.argsort(count, kind="stable")] = np.arange(len(count))
+    ranked, at = place[inverse], 0
+    single = int(np.count_nonzero(count == 1))  # n-grams of one text propose nothing
+    held: dict[int, list[int]] = {}
+    sets: list[set[int]] = []
+    for i, g in enumerate(own):
+        mine = np.sort(ranked[at : at + len(g)]).tolist()
+        at += len(g)
+        sets.append(set(mine))
+        need = _least_shared(grams[i], least)
+        rare = [k for k in mine[: len(mine) - need + 1] if k >= single]
+        if wanted[i]:
+            for j in sorted({j for k in rare for j in held.get(k, ())}):
+                if rows[j] < rows[i] and len(sets[i] & sets[j]) >= need:
+                    found = similar_runs(grams[i], grams[j], least)
+                    if found:
+                        yield i, j, found
+                        break
+        for k in rare:
+            held.setdefault(k, []).append(i)
+
+
+def _others(docs: DataFrame, hits: DataFrame, found: DataFrame, least_words: int) -> DataFrame:
+    """Passages around the windows of ``hits`` whose centre lies in none of ``found``, with any window of their keys."""
+    spans = found.groupBy(F.col("doc_id").alias("row")).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    inside = F.exists("_spans", lambda x: (x["start"] <= F.col("c")) & (F.col("c") < x["end"]))
+    left = hits.select("key", "row", "c", "near").join(spans, "row", "left").withColumn("open", ~F.coalesce(inside, F.lit(False)))
+    first = hits.select("key", F.col("o_row").alias("row"), F.col("o_c").alias("c"), F.col("o_near").alias("near"), F.lit(False).alias("open"))
+    both = left.drop("_spans").select(*first.columns).union(first.distinct())
+    keys = stored(left.where("open").select("key").distinct(), "open")
+    before, after = F.shiftright("near", 32), F.col("near").bitwiseAND(F.lit((1 << 32) - 1))
+    asked = both.join(keys, "key", "left_semi").select("key", "row", "open", (F.col("c") - before).alias("l"), (F.col("c") + after).alias("r"))
+    cut = docs.select("row", F.encode("text", "utf-8").alias("bytes")).join(asked, "row").select(
+        "key", "row", "l", "open", F.expr("substring(bytes, cast(l + 1 as int), cast(r - l as int))").alias("words")
+    )
+    names = [c.split(" ")[0] for c in FOUND.split(", ")]
+    types = [pa.float64() if n == "similarity" else pa.int64() for n in names]
+    least = least_words - WIDTH + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for group in runs(batches, ["key"]):
+            if group.num_rows < 2:
+                continue
+            texts, rows = group.column("words").to_pylist(), group.column("row").to_pylist()
+            # Equal words in a later document: held against the first document that has them.
+            seen: dict[bytes, int] = {}
+            again = [seen.setdefault(t, i) for i, t in enumerate(texts)]
+            w = words(group.column("words").combine_chunks())
+            opened, start = group.column("open").to_pylist(), group.column("l").to_pylist()
+            grams = lambda i: shingles(w.hash[w.first[i] : w.first[i + 1]], WIDTH)
+            long = lambda i: w.first[i + 1] - w.first[i] >= least_words
+            # The first of equal texts stands for all of them; where any is open, it is looked for.
+            firsts = [i for i in seen.values() if long(i)]
+            wanted: dict[int, list[int]] = {}
+            pairs = []
+            for i, j in enumerate(again):
+                if opened[i] and long(i):
+                    if rows[j] < rows[i]:
+                        g = grams(i)
+                        pairs.append((i, j, [(0, len(g), 0, len(g), 1.0)]))
+                    else:
+                        wanted.setdefault(j, []).append(i)
+            if wanted and len(firsts) > 1:
+                sought = similar_texts([rows[i] for i in firsts], [i in wanted for i in firsts], [grams(i) for i in firsts], least)
+                pairs += [(i, firsts[y], f) for x, y, f in sought for i in wanted[firsts[x]]]
+            for i, j, passages in pairs:
+                p, k = w.first[i], w.first[j]
+                for a, b, x, y, s in passages:
+                    lo, hi = int(w.start[p + a]), int(w.end[p + b + WIDTH - 2])
+                    out.append((
+                        rows[i], start[i] + lo, start[i] + hi, b - a + WIDTH - 1, rows[j], start[j] + int(w.start[k + x]),
+                        start[j] + int(w.end[k + y + WIDTH - 2]), s, zlib.crc32(texts[i][lo:hi]),
+                    ))
+            if len(out) >= 4096:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                out = []
+        if out:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    return cut.repartition("key").sortWithinPartitions("key", "row", "l").mapInArrow(run, FOUND)
+
+
 def find(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Passages of later documents that repeat one of an earlier document, without duplicates.
 
     Columns as in ``FOUND``: bytes of the UTF-8 text, end exclusive, and the checksum of the passage.
     """
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("row"), F.col("text").cast("string").alias("text"))
-    hits = _hits(_windows(texts, least_words))
-    return _verified(texts, _candidates(hits), least_words).distinct()
+    hits = stored(_hits(_windows(texts, least_words)), "hits")
+    found = stored(_verified(texts, _candidates(hits), least_words).distinct(), "first")
+    return found.union(_others(texts, hits, found, least_words)).distinct()
 
 
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:

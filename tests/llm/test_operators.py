@@ -464,3 +464,22 @@ def test_passages_edges(spark):
     texts = {r.doc_id: r.text for r in left.where("doc_id in (80, 83, 1, 30)").collect()}
     assert texts[83] == "" and other in texts[80] and texts[1] is None
     assert passages.find(frame(spark, [])).count() == 0
+
+
+def test_passages_go_on_to_other_partners(spark):
+    rnd = random.Random(3)
+    make = lambda n: [f"w{rnd.randint(0, 10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(60):
+        # Frequent lines, each in an earlier document of its own; two later documents share them in a row.
+        lines = [make(20) for _ in range(3)]
+        rows += [(1000 * k + i, " ".join(make(60) + line + make(60))) for i, line in enumerate(lines)]
+        rows += [(1000 * k + i, " ".join(make(60) + sum(lines, []) + make(60))) for i in (10, 11)]
+        # Near copies that drift: the third is similar to the second only.
+        a = make(60)
+        b = a[:20] + ["x"] + a[21:40] + ["y"] + a[41:]
+        c = b[:30] + ["z"] + b[31:]
+        rows += [(1000 * k + 20 + i, " ".join(make(60) + x + make(60))) for i, x in enumerate((a, b, c))]
+        want |= {(1000 * k + 11, 1000 * k + 10), (1000 * k + 22, 1000 * k + 21)}
+    have = {(r.doc_id, r.source_id) for r in passages.find(frame(spark, rows)).collect()}
+    assert want <= have
