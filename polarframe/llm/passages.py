@@ -202,17 +202,44 @@ def _candidates(hits: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
+def _common_shift(own: np.ndarray, lo: np.ndarray, hi: np.ndarray, order: np.ndarray, n: int) -> int:
+    """The shift at which most of the places ``own`` match, over all occurrences ``order[lo:hi]`` of their n-grams."""
+    votes = np.zeros(len(order) + n, np.int64)
+    ends = np.cumsum(hi - lo)
+    begin = 0
+    while begin < len(own):  # about a million occurrences at a time
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + (1 << 20), "right")))
+        count = (hi - lo)[begin:end]
+        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        votes += np.bincount(order[np.repeat(lo[begin:end], count) + inside] - np.repeat(own[begin:end], count) + n, minlength=len(votes))
+        begin = end
+    return int(np.argmax(votes)) - n
+
+
+def _nearest(target: np.ndarray, lo: np.ndarray, hi: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of each one's occurrences ``order[lo:hi]``, which ascend, the one nearest to ``target``; by bisection of all at once."""
+    left, right = lo.copy(), hi.copy()
+    while (open_ := left < right).any():
+        middle = (left + right) // 2
+        less = open_ & (order[np.minimum(middle, len(order) - 1)] < target)
+        left, right = np.where(less, middle + 1, left), np.where(open_ & ~less, middle, right)
+    after, before = order[np.minimum(left, hi - 1)], order[np.maximum(left - 1, lo)]
+    return np.where(np.abs(before - target) < np.abs(after - target), before, after)
+
+
 def similar_runs(later: np.ndarray, earlier: np.ndarray, least: int) -> list[tuple[int, int, int, int, float]]:
     """(from, to, earlier from, earlier to, Jaccard) of passages of at least ``least`` n-grams, ends exclusive.
 
     N-grams of ``later`` that occur in ``earlier`` make runs. A run goes on over a gap while at least ``SIMILAR`` of its n-grams
-    match; its partner is the hull of the matched places, around their median shift if that is more alike.
+    match; its partner is the most alike of the place at the run's commonest shift, the hull of the occurrences that are
+    nearest to that or to the median shift, and the hull of the first occurrences.
     """
     order = np.argsort(earlier, kind="stable")
-    at = np.searchsorted(earlier[order], later)
-    at = np.minimum(at, len(earlier) - 1)
-    match = earlier[order][at] == later
-    where = order[at]
+    inorder = earlier[order]
+    at = np.searchsorted(inorder, later)
+    upto = np.searchsorted(inorder, later, "right")
+    match = upto > at
+    where = order[np.minimum(at, len(earlier) - 1)]
     places = np.flatnonzero(match)
     if not len(places):
         return []
@@ -231,13 +258,19 @@ def similar_runs(later: np.ndarray, earlier: np.ndarray, least: int) -> list[tup
         a, b = run[0][0], run[-1][1]
         if b - a < least:
             continue
-        shifts = where[a:b][match[a:b]] - (a + np.flatnonzero(match[a:b]))
-        shift = int(np.median(shifts))
-        held = where[a:b][match[a:b]]
+        own = a + np.flatnonzero(match[a:b])
+        held = where[own]
         one, best = np.unique(later[a:b]), (0.0, 0, 0)
-        # Passages that repeat themselves match in their first occurrence only, far from any one shift.
-        for near in filter(len, (held[np.abs(shifts - shift) <= (b - a) // 4 + 1], held)):
-            x, y = int(near.min()), int(near.max()) + 1
+        # Passages that repeat themselves match far from any one shift.
+        ranges = {(int(held.min()), int(held.max()) + 1)}
+        common = _common_shift(own, at[own], upto[own], order, len(later))
+        ranges.add((max(a + common, 0), min(b + common, len(earlier))))
+        for shift in {common, int(np.median(held - own))}:
+            places = _nearest(own + shift, at[own], upto[own], order)
+            near = places[np.abs(places - own - shift) <= (b - a) // 4 + 1]
+            if len(near):
+                ranges.add((int(near.min()), int(near.max()) + 1))
+        for x, y in sorted(ranges):
             two = np.unique(earlier[x:y])
             both = len(np.intersect1d(one, two, assume_unique=True))
             best = max(best, (both / (len(one) + len(two) - both), x, y), key=lambda v: v[0])

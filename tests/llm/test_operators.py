@@ -483,3 +483,17 @@ def test_passages_go_on_to_other_partners(spark):
         want |= {(1000 * k + 11, 1000 * k + 10), (1000 * k + 22, 1000 * k + 21)}
     have = {(r.doc_id, r.source_id) for r in passages.find(frame(spark, rows)).collect()}
     assert want <= have
+
+
+def test_similar_runs_with_a_recurring_line():
+    rng = np.random.default_rng(4)
+    make = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    line, rest = make(16), make(40)
+    source = np.concatenate([make(30), line, make(100), line, rest, make(30)])
+    later = np.concatenate([make(10), line, rest, make(10)])
+    assert passages.similar_runs(later, source, 46) == [(10, 66, 146, 202, 1.0)]
+    # Every part also stands alone before and after the passage.
+    source = np.concatenate([line, make(100), rest, make(100), line, rest, make(100), rest, make(100), line])
+    assert passages.similar_runs(later, source, 46) == [(10, 66, 256, 312, 1.0)]
+    same = np.ones(9000, np.uint64)
+    assert [x[:2] for x in passages.similar_runs(same, same, 46)] == [(0, 9000)]
