@@ -108,7 +108,7 @@ def _joined(key: np.ndarray, fresh: np.ndarray) -> np.ndarray:
 
 
 def _windows(docs: DataFrame, least_words: int) -> DataFrame:
-    """Rows for the shuffle: a key's first window in its batch, or a window joined to it (``o_`` columns)."""
+    """Rows for the shuffle: a key's first window in its batch (``o_`` columns null), or a window joined to it."""
     least = least_words - WIDTH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +132,9 @@ def _windows(docs: DataFrame, least_words: int) -> DataFrame:
             head = _joined(key, fresh)
             # A window in the document of its partner joins nothing and need not travel.
             keep = fresh | (columns[0] != columns[0][head])
-            sent = [key.view(np.int64)[keep], *[x[keep] for x in columns], *[np.where(fresh, -1, x[head])[keep] for x in columns]]
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in sent], COLUMNS)
+            sent = [pa.array(x[keep], pa.int64()) for x in (key.view(np.int64), *columns)]
+            sent += [pa.array(x[head][keep], pa.int64(), mask=fresh[keep]) for x in columns]
+            yield pa.record_batch(sent, COLUMNS)
 
     return docs.select("row", "text").mapInArrow(run, SCHEMA)
 
@@ -144,8 +145,8 @@ def _hits(windows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last = None, None
         for batch in batches:
-            x = [np.asarray(c) for c in batch.columns]
-            done = x[6] >= 0
+            done = np.asarray(batch.column(6).is_valid().to_numpy(zero_copy_only=False))
+            x = [np.asarray(c.fill_null(0)) for c in batch.columns]
             out = [[c[done] for c in x]]
             x = [c[~done] for c in x]
             key = x[0]
@@ -162,7 +163,7 @@ def _hits(windows: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], COLUMNS)
 
     # Joined windows need not meet: they are spread.
-    to = F.when(F.col("o_row") >= 0, F.xxhash64("row", "c")).otherwise(F.col("key"))
+    to = F.when(F.col("o_row").isNotNull(), F.xxhash64("row", "c")).otherwise(F.col("key"))
     return windows.repartition(to).sortWithinPartitions("key", "row", "c").mapInArrow(run, SCHEMA)
 
 

@@ -510,3 +510,11 @@ def test_passages_recall_at_the_threshold(spark):
     have = {r.doc_id for r in passages.find(frame(spark, rows)).collect()}
     # Brute force: all are similar. One in 15,600 is missed on average.
     assert len(have) >= 1499
+
+
+def test_passages_of_negative_ids(spark):
+    rnd = random.Random(5)
+    make = lambda n: [f"w{rnd.randint(0, 10**6)}" for _ in range(n)]
+    shared = make(70)
+    rows = [(i, " ".join(make(30) + shared + make(30))) for i in (-(2**62), -3, -2, 0, 7)]
+    assert {r.doc_id for r in passages.find(frame(spark, rows).coalesce(1)).collect()} == {-3, -2, 0, 7}
