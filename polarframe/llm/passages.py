@@ -307,11 +307,11 @@ def _verified(docs: DataFrame, candidates: DataFrame, least_words: int) -> DataF
             side, texts = pair.column("side").to_pylist(), pair.column("words").to_pylist()
             at, start = pair.column("at").to_pylist(), pair.column("a").to_pylist()
             w = words(pair.column("words").combine_chunks())
-            # One row a side, but for rows that repeat an id: then the first pair of texts that agrees counts.
+            # One row a side, but for rows that repeat an id: then all pairs of their texts.
             rows = []
             for i, j in ((i, j) for i in range(len(side)) for j in range(len(side)) if side[i] == 0 and side[j] == 1):
                 (k, m), (p, q) = w.first[i : i + 2], w.first[j : j + 2]
-                if rows or m - k < least_words or q - p < least_words:
+                if m - k < least_words or q - p < least_words:
                     continue
                 for a, b, x, y, s in similar_runs(shingles(w.hash[p:q], WIDTH), shingles(w.hash[k:m], WIDTH), least):
                     lo, hi = int(w.start[p + a]), int(w.end[p + b + WIDTH - 2])

@@ -518,3 +518,13 @@ def test_passages_of_negative_ids(spark):
     shared = make(70)
     rows = [(i, " ".join(make(30) + shared + make(30))) for i in (-(2**62), -3, -2, 0, 7)]
     assert {r.doc_id for r in passages.find(frame(spark, rows).coalesce(1)).collect()} == {-3, -2, 0, 7}
+
+
+def test_passages_of_rows_that_repeat_an_id(spark):
+    rnd = random.Random(6)
+    make = lambda n: [f"w{rnd.randint(0, 10**6)}" for _ in range(n)]
+    head, one, two = make(60), make(60), make(60)
+    rows = [(1, " ".join(head + one + two)), (2, " ".join(head + one + make(60))), (2, " ".join(head + make(60) + two))]
+    docs = frame(spark, rows)
+    left = [r.text for r in passages.remove(docs, passages.find(docs)).where("doc_id = 2").collect()]
+    assert len(left) == 2 and not any(" ".join(x) in t for x in (head, one, two) for t in left)
