@@ -528,3 +528,9 @@ def test_passages_of_rows_that_repeat_an_id(spark):
     docs = frame(spark, rows)
     left = [r.text for r in passages.remove(docs, passages.find(docs)).where("doc_id = 2").collect()]
     assert len(left) == 2 and not any(" ".join(x) in t for x in (head, one, two) for t in left)
+
+
+def test_phone_with_many_separators(spark):
+    text = "call +" + "    ".join("123456789")
+    (row,) = pii.find(frame(spark, [(1, text)])).collect()
+    assert [tuple(s) for s in row.base_spans] == [(5, pii.KINDS.index("phone"), len(text))]
