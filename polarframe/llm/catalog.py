@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polarframe.llm import bpe, flatfiles, jaccard, packing, passages, pii, quality, search, sharding, toxicity
+from polarframe.llm import bpe, chosen, fim, flatfiles, jaccard, merkle, packing, passages, pii, quality, search, sharding, toxicity
 from polarframe.llm.shared import table
 from polarframe.operators.distribute import scratch_path
 from polarframe.plans.registry import Query
@@ -192,3 +192,114 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All passages of at least 50 words that repeat one of an earlier document."""
     return passages.find(table(spark, sf_dir, "documents"))
+
+
+@query("op11_chosen_path", NGRAM_SQL.replace("least(3, len(w))", "least(5, len(w))").replace("100 * o >= 90 *", "100 * o >= 85 *").replace(
+    "SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id",
+    "SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept",
+))
+def chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of texts that link by five-word shingles at 85 percent; the first of a class is kept."""
+    return chosen.classes(table(spark, sf_dir, "documents"), 5, 85).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+MERKLE_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT doc_id, list_reduce(
+    list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT),
+    lambda acc, c: list_reduce([0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(acc, c)),
+    4294967295::BIGINT) AS x
+  FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id
+),
+source_rows AS (
+  SELECT d.*, CASE WHEN x IS NOT NULL AND (xor(x, 4294967295) % 2) = 0 THEN replace(text, chr(10), '') ELSE text END AS cut
+  FROM documents d LEFT JOIN crc USING (doc_id)
+),
+field AS (
+  SELECT doc_id, source,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail, coalesce(strlen(cut) || ':' || cut, '-') AS cut_tail
+  FROM source_rows
+),
+leaves AS (
+  SELECT doc_id, source, sha256(head || tail) AS leaf, sha256(head || cut_tail) AS changed FROM field
+),
+numbered AS (
+  SELECT doc_id, leaf, changed, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves
+),
+low AS (
+  SELECT 0 AS level, tree, pos, leaf AS node, count(*) OVER (PARTITION BY tree) AS n FROM numbered
+  UNION ALL
+  SELECT level + 1, tree, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), max((n + 2) // 3) FROM low WHERE n > 1 GROUP BY level, tree, pos // 3
+),
+high AS (
+  SELECT 0 AS level, tree AS pos, node, count(*) OVER () AS n FROM low WHERE n = 1
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), max((n + 2) // 3) FROM high WHERE n > 1 GROUP BY level, pos // 3
+),
+nodes AS (SELECT 0 AS stage, level, tree, pos, node, n FROM low UNION ALL SELECT 1, level, 0, pos, node, n FROM high),
+sides AS (
+  SELECT stage, level, tree, pos AS place, n,
+    string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+    string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS behind
+  FROM nodes WINDOW w AS (PARTITION BY stage, level, tree, pos // 3 ORDER BY pos)
+),
+fold AS (
+  SELECT doc_id, leaf, tree, pos, 0 AS stage, 0 AS level, pos AS place, changed AS node, '' AS proof FROM numbered
+  UNION ALL
+  SELECT f.doc_id, f.leaf, f.tree, f.pos, CASE WHEN m.n = 1 THEN f.stage + 1 ELSE f.stage END, CASE WHEN m.n = 1 THEN 0 ELSE f.level + 1 END,
+         CASE WHEN m.n = 1 THEN f.tree ELSE f.place // 3 END,
+         CASE WHEN m.n = 1 THEN f.node ELSE sha256(coalesce(m.before, '') || f.node || coalesce(m.behind, '')) END,
+         f.proof || CASE WHEN m.n = 1 THEN '' ELSE coalesce(m.before, '') || coalesce(m.behind, '') END
+  FROM fold f JOIN sides m ON m.stage = f.stage AND m.level = f.level AND m.place = f.place AND (m.tree = f.tree OR f.stage = 1)
+)
+SELECT f.doc_id, f.leaf, s.node AS subroot, r.node AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = r.node AS verified
+FROM fold f JOIN (SELECT tree, node FROM low WHERE n = 1) s USING (tree) CROSS JOIN (SELECT node FROM high WHERE n = 1) r WHERE f.stage = 2
+"""
+
+
+@query("op12_path_copying", MERKLE_SQL)
+def path_copying(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and version in the Merkle manifest, the version's root folded from the tampered leaf."""
+    rows = merkle.manifest(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+FIM_SQL = """
+WITH source AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units FROM documents
+),
+drawn AS (
+  SELECT *, len(units) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+  FROM source
+),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+         WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+),
+parts AS (
+  SELECT *, array_to_string(units[1:low], '') AS prefix, array_to_string(units[low + 1:high], '') AS middle, array_to_string(units[high + 1:], '') AS suffix
+  FROM cut
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@query("op13_block_rotation", FIM_SQL)
+def block_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document transformed for filling in its middle, and restored."""
+    rows = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
