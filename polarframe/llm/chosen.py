@@ -15,7 +15,8 @@ A text's set are the hashes of its distinct word n-grams (``words``: 64 bits; eq
    Other nodes branch on, one round of shuffles per level.
 4. Comparing counts the agreement of ``POOL`` minwise bytes, in tiles of bounded size, so no node has to fit a task. A pair of the threshold's
    similarity falls below the least agreement that is looked at with a chance of 10^-7. First the ``BEST`` partners of each member per tile
-   are confirmed on the full sets; then all pairs of what still lies in different components. Nothing is capped.
+   are confirmed on the full sets. Then members that still have candidates in another component meet with their full sets, in tiles
+   of bounded bytes, where all of those pairs are decided and only links leave. Nothing is capped.
 
 So a link at the threshold is missed with a chance of about one in a million, a closer one with less; what is reported as a link is exact.
 
@@ -46,6 +47,8 @@ WORK = 1 << 18
 DENSE = 0.7
 #: Members on either side of a tile.
 BLOCK, TILE = 512, 2048
+#: n-grams on either side of a tile of full sets: eight megabytes.
+TILE_GRAMS = 1 << 20
 BEST = 4
 SKETCH_MISS = 1e-7
 
@@ -213,42 +216,86 @@ def _branch(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(run, "node bigint, row bigint, parent bigint"), "state")
 
 
-def _compare(mixed: DataFrame, sets: DataFrame, percent: int, best: int | None) -> DataFrame:
-    """Distinct pairs (a, b) of different components in the nodes of ``mixed`` whose sketches agree enough: the ``best`` of each member in each tile, or all.
+def _tiled(mixed: DataFrame, blocks: Column, tiles: Column, columns: list[str]) -> DataFrame:
+    """Rows of ``mixed`` in sorted tiles (node, t1, t2): members outside the node's largest component ask (``asks``) all members."""
+    rows = mixed.withColumns({"blocks": blocks.cast("int"), "tiles": tiles.cast("int")})
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = lambda c, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.col(c)).cast("int")
+    outside = rows.where("comp != largest").withColumn("t1", dealt("blocks", 1)).withColumn("t2", every("tiles")).withColumn("asks", F.lit(True))
+    inside = rows.withColumn("t1", every("blocks")).withColumn("t2", dealt("tiles", 2)).withColumn("asks", F.lit(False))
+    names = ["node", "t1", "t2", "row", "comp", "n", "asks", "sketch", *columns]
+    return outside.select(*names).union(inside.select(*names)).repartition("node", "t1", "t2").sortWithinPartitions("node", "t1", "t2")
 
-    Members outside the node's largest component ask all members, in tiles of ``BLOCK`` asking and ``TILE`` asked ones.
-    """
+
+def _candidates(tile: pa.Table, percent: int, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(asking place, asked places, agreement) of every asking member with partners of other components in reach."""
+    comp, n, asks = (np.asarray(tile.column(c)) for c in ("comp", "n", "asks"))
+    sketch = _sketches(tile.column("sketch"))
+    asked = np.flatnonzero(~asks)
+    for i in np.flatnonzero(asks).tolist():
+        fits = asked[(comp[asked] != comp[i]) & (100 * np.minimum(n[asked], n[i]) >= percent * np.maximum(n[asked], n[i]))]
+        same = np.count_nonzero(sketch[fits] == sketch[i], axis=1)
+        if (same >= least).any():
+            yield i, fits[same >= least], same[same >= least]
+
+
+def _compare(mixed: DataFrame, sets: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Candidates between different components in the nodes of ``mixed``: pairs (a, b) of each member with its ``best`` partners in each tile, or,
+    without ``best``, the members (node, row) that have any."""
     least = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in runs(batches, ["node", "t1", "t2"]):
-            row, comp, n, asks = (np.asarray(tile.column(c)) for c in ("row", "comp", "n", "asks"))
-            sketch = _sketches(tile.column("sketch"))
-            ask, asked = np.flatnonzero(asks), np.flatnonzero(~asks)
-            pairs = []
-            for i in ask.tolist():
-                fits = asked[(comp[asked] != comp[i]) & (100 * np.minimum(n[asked], n[i]) >= percent * np.maximum(n[asked], n[i]))]
-                same = np.count_nonzero(sketch[fits] == sketch[i], axis=1)
-                fits, same = fits[same >= least], same[same >= least]
-                if best is not None and len(fits) > best:
-                    fits = fits[np.argpartition(-same, best)[:best]]
-                pairs.append(np.stack([np.minimum(row[fits], row[i]), np.maximum(row[fits], row[i])], 1))
-            if pairs:
-                at = np.unique(np.concatenate(pairs), axis=0)
-                if len(at):
-                    yield pa.record_batch([pa.array(at[:, 0]), pa.array(at[:, 1])], ["a", "b"])
-
-    count = lambda c, size: F.ceil(F.col(c) / size).cast("int")
-    rows = mixed.join(sets.select("row", "n", "sketch"), "row").withColumns({"blocks": count("rest", BLOCK), "tiles": count("total", TILE)})
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    dealt = lambda c, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.col(c)).cast("int")
-    outside = rows.where("comp != largest").withColumn("t1", dealt("blocks", 1)).withColumn("t2", every("tiles")).withColumn("asks", F.lit(True))
-    inside = rows.withColumn("t1", every("blocks")).withColumn("t2", dealt("tiles", 2)).withColumn("asks", F.lit(False))
-    columns = ["node", "t1", "t2", "row", "comp", "n", "asks", "sketch"]
-    tiles = outside.select(*columns).union(inside.select(*columns)).repartition("node", "t1", "t2").sortWithinPartitions("node", "t1", "t2")
+            row, pairs = np.asarray(tile.column("row")), []
+            for i, fits, same in _candidates(tile, percent, least):
+                if best is None:
+                    pairs += [[row[i]], row[fits]]
+                else:
+                    fits = fits[np.argsort(-same, kind="stable")[:best]]
+                    pairs.append(np.stack([np.minimum(row[fits], row[i]), np.maximum(row[fits], row[i])], 1))
+            if pairs and best is None:
+                found = np.unique(np.concatenate(pairs))
+                yield pa.record_batch([pa.array(np.full(len(found), tile.column("node")[0].as_py())), pa.array(found)], ["a", "b"])
+            elif pairs:
+                found = np.unique(np.concatenate(pairs), axis=0)
+                yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    count = lambda c, size: F.ceil(F.col(c) / size)
+    rows = mixed.join(sets.select("row", "n", "sketch"), "row")
+    tiles = _tiled(rows, count("rest", BLOCK), count("total", TILE), [])
     return stored(tiles.mapInArrow(run, "a bigint, b bigint").distinct(), "pairs")
 
 
+def _search(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all links between different components in the nodes of ``mixed``, on the full sets, which meet in tiles of bounded bytes."""
+    least = least_agreement(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in runs(batches, ["node", "t1", "t2"]):
+            row, grams = np.asarray(tile.column("row")), tile.column("grams").combine_chunks()
+            at, flat = np.asarray(grams.offsets), np.asarray(grams.values).view(np.uint64)
+            sets_of = lambda i: flat[at[i] : at[i + 1]]
+            found = []
+            for i, fits, _ in _candidates(tile, percent, least):
+                own = sets_of(i)
+                for j in fits.tolist():
+                    other = sets_of(j)
+                    place = np.searchsorted(other, own)
+                    both = int((other[np.minimum(place, len(other) - 1)] == own).sum())
+                    if 100 * both >= percent * (len(own) + len(other) - both):
+                        found.append((row[i], row[j]))
+            if found:
+                pairs = np.array(found)
+                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    rows = mixed.join(sets, "row")
+    weight = rows.groupBy("node").agg(F.sum("n").alias("w"), F.sum(F.when(F.col("comp") != F.col("largest"), F.col("n"))).alias("v"))
+    count = lambda c, size, w: F.greatest(F.ceil(F.col(c) / size), F.ceil(F.col(w) / TILE_GRAMS))
+    rows = join_checked(rows, stored(weight, "weights"), ["node"])
+    tiles = _tiled(rows, count("rest", TILE, "v"), count("total", TILE, "w"), ["grams"])
+    return stored(tiles.mapInArrow(run, "a bigint, b bigint").distinct(), "links")
+
+
 def _closes(level: int) -> Column:
     """Nodes that are compared now instead of branching."""
     few = F.col("total") * F.col("rest") <= WORK
@@ -282,8 +329,10 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
     if closed is None:
         return found
     found = stored(found.union(confirm(_compare(closed, sets, percent, BEST), sets, percent)), "links")
-    left = _mixed(closed.select("node", "row"), components(found))
-    return stored(found.union(confirm(_compare(left, sets, percent, None), sets, percent)), "links")
+    comps = components(found)
+    # Only members with a candidate in another component go on, with their full sets.
+    left = _compare(_mixed(closed.select("node", "row"), comps), sets, percent, None).toDF("node", "row")
+    return stored(found.union(_search(_mixed(left, comps), sets, percent)), "links")
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 85, recall: float = 0.99999) -> DataFrame:

@@ -86,7 +86,7 @@ def near_copies(seed):
 def test_chosen_path_brute_force(spark, width, percent, forced, monkeypatch):
     """``forced``: every node branches as deep as it may, and is compared in many small tiles."""
     if forced:
-        for name, value in (("WORK", 0), ("DENSE", 2.0), ("DEPTH", 3), ("BLOCK", 3), ("TILE", 5)):
+        for name, value in (("WORK", 0), ("DENSE", 2.0), ("DEPTH", 3), ("BLOCK", 3), ("TILE", 5), ("TILE_GRAMS", 200)):
             monkeypatch.setattr(chosen, name, value)
     rows = near_copies(percent)
     got = chosen.classes(spark.createDataFrame(rows, DOCS).repartition(5), width, percent)
