@@ -43,15 +43,15 @@ def join_checked(df: DataFrame, ids: DataFrame, on: list[str] | Column, how: str
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose texts have about ``STEP_BYTES`` together."""
+def steps(batches: Iterator[pa.RecordBatch], text: str, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose texts have about ``size`` bytes together."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64))
         at = 0
         while at < batch.num_rows:
             done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + STEP_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
             yield batch.slice(at, to - at)
             at = to
 
