@@ -15,8 +15,9 @@ A text's set are the hashes of its distinct word n-grams (``words``: 64 bits; eq
    Other nodes branch on, one round of shuffles per level.
 4. Comparing counts the agreement of ``POOL`` minwise bytes, in tiles of bounded size, so no node has to fit a task. A pair of the threshold's
    similarity falls below the least agreement that is looked at with a chance of 10^-7. First the ``BEST`` partners of each member per tile
-   are confirmed on the full sets. Then members that still have candidates in another component meet with their full sets, in tiles
-   of bounded bytes, where all of those pairs are decided and only links leave. Nothing is capped.
+   are confirmed on the full sets. Then members that still have candidates in another component form clusters by
+   them, and each goes to its cluster once with its full set: in tiles of bounded bytes all of those pairs are decided, and only links leave.
+   Nothing is capped.
 
 So a link at the threshold is missed with a chance of about one in a million, a closer one with less; what is reported as a link is exact.
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polarframe.llm.jaccard import set_name, text_sets
+from polarframe.llm.jaccard import Forest, set_name, text_sets
 from polarframe.llm.shared import components, join_checked, runs, steps, stored
 from polarframe.llm.words import mix
 
@@ -240,23 +241,22 @@ def _candidates(tile: pa.Table, percent: int, least: int) -> Iterator[tuple[int,
 
 
 def _compare(mixed: DataFrame, sets: DataFrame, percent: int, best: int | None) -> DataFrame:
-    """Candidates between different components in the nodes of ``mixed``: pairs (a, b) of each member with its ``best`` partners in each tile, or,
-    without ``best``, the members (node, row) that have any."""
+    """Candidates (a, b) between different components in the nodes of ``mixed``: each member with its ``best`` partners in each tile, or, without
+    ``best``, a forest per tile that connects whatever all candidates connect."""
     least = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in runs(batches, ["node", "t1", "t2"]):
-            row, pairs = np.asarray(tile.column("row")), []
+            row, pairs, forest = np.asarray(tile.column("row")), [], Forest(tile.num_rows)
+            places = {r: i for i, r in enumerate(row.tolist())}  # a member that asks and is asked has one place
             for i, fits, same in _candidates(tile, percent, least):
                 if best is None:
-                    pairs += [[row[i]], row[fits]]
+                    own = places[int(row[i])]
+                    fits = np.array([j for j in fits.tolist() if forest.join(own, places[int(row[j])])], np.int64)
                 else:
                     fits = fits[np.argsort(-same, kind="stable")[:best]]
-                    pairs.append(np.stack([np.minimum(row[fits], row[i]), np.maximum(row[fits], row[i])], 1))
-            if pairs and best is None:
-                found = np.unique(np.concatenate(pairs))
-                yield pa.record_batch([pa.array(np.full(len(found), tile.column("node")[0].as_py())), pa.array(found)], ["a", "b"])
-            elif pairs:
+                pairs.append(np.stack([np.minimum(row[fits], row[i]), np.maximum(row[fits], row[i])], 1))
+            if pairs:
                 found = np.unique(np.concatenate(pairs), axis=0)
                 yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
@@ -267,7 +267,7 @@ def _compare(mixed: DataFrame, sets: DataFrame, percent: int, best: int | None)
 
 
 def _search(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all links between different components in the nodes of ``mixed``, on the full sets, which meet in tiles of bounded bytes."""
+    """(a, b): all links between different components in the clusters of ``mixed``, on the full sets, which meet in tiles of bounded bytes."""
     least = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,8 +330,8 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
         return found
     found = stored(found.union(confirm(_compare(closed, sets, percent, BEST), sets, percent)), "links")
     comps = components(found)
-    # Only members with a candidate in another component go on, with their full sets.
-    left = _compare(_mixed(closed.select("node", "row"), comps), sets, percent, None).toDF("node", "row")
+    # Members with candidates in other components meet once more with their full sets, each in one cluster of candidates.
+    left = components(_compare(_mixed(closed.select("node", "row"), comps), sets, percent, None)).toDF("row", "node")
     return stored(found.union(_search(_mixed(left, comps), sets, percent)), "links")
 
 
