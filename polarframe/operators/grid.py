@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from polarframe.functions.missing import present
 from polarframe.functions.projection import cell_of, snap
-from polarframe.operators import distribute
-from polarframe.operators.distribute import lookup_join, prefix_sums, settle
+from polarframe.operators.distribute import lookup_join, settle
 
 CELL = ["cell_x", "cell_y"]
 
@@ -116,103 +117,108 @@ def _difference(low: Column, mid: Column, high: Column, cell: float) -> Column:
     return F.coalesce((high - low) / F.lit(2.0 * cell), (high - mid) / F.lit(float(cell)), (mid - low) / F.lit(float(cell)))
 
 
-def _boxes(cells: DataFrame, level: int, name: str) -> DataFrame:
-    """Occupied boxes of side 2^level with the box they belong to one level up."""
-    box = cells.select(
-        F.shiftright("cell_x", level).alias(f"{name}x"), F.shiftright("cell_y", level).alias(f"{name}y")
-    ).distinct()
-    return box.withColumns({f"{name}px": F.shiftright(f"{name}x", 1), f"{name}py": F.shiftright(f"{name}y", 1)})
-
-
-def _border(targets: DataFrame) -> DataFrame:
-    """Target cells with at least one of four neighbours outside the target set.
-
-    Only those can be nearest to a cell outside the set: from any other target one step towards
-    the point is again a target, and closer.
-    """
-    steps = F.explode(F.array(*[
-        F.struct((F.col("cell_x") + dx).alias("cell_x"), (F.col("cell_y") + dy).alias("cell_y"), F.lit(own).alias("own"))
-        for dx, dy, own in ((0, 0, 1), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0))
-    ]))
-    return (
-        targets.select(steps.alias("t")).select("t.*")
-        .groupBy(*CELL).agg(F.max("own").alias("own"), F.count(F.lit(1)).alias("n"))
-        .filter((F.col("own") == 1) & (F.col("n") < 5))
-        .select(*CELL)
-    )
+#: Rows of cells in a band of ``nearest_distance``, and the side of a tile of ``neighbourhood_fraction``.
+BAND = 128
+TILE = 256
+_FAR = np.int64(1) << 40
 
 
 def nearest_distance(
     points: DataFrame, targets: DataFrame, cell: float = 500.0, cap: float | None = None, out: str = "distance"
 ) -> DataFrame:
-    """Exact distance from each point's cell centre to the nearest target cell centre.
-
-    A descent through two pyramids of boxes, halving the side at each level. A (point box, target
-    box) pair survives when its least possible distance does not exceed the smallest of the
-    greatest possible distances of that point box, so whole regions are decided at once and only
-    the boxes around the nearest distance reach the cell level. Both inputs are reduced to distinct
-    cells first: a crowded cell costs one row, and a box never holds more cells than its area.
-    Points further than ``cap`` get NULL.
+    """Exact distance from each point's cell centre to the nearest target cell centre, beyond ``cap`` NULL.
+
+    A distance transform in two passes. Seen from a row of cells, a column offers its target nearest to that row, at a squared distance g; the
+    nearest target of a cell is the lowest of the parabolas (x - column)^2 + g at its place, and where a parabola lies under all others is an interval. First
+    pass: every column is cut into bands of ``BAND`` rows, and each band that has points is handed the column's targets inside it and the last one before
+    and the first one behind it, so nothing else of the column matters to it. Second pass: every band by itself finds g of its rows
+    and the lower envelope of the columns' parabolas, and reads off its points. One exchange by column, one by band;
+    cells are distinct within a task before they are sent, so crowded cells cost nothing, and a band never holds more than its area.
     """
-    target_cells = settle(targets.select(*CELL).distinct())
-    own = target_cells.withColumn("_hit", F.lit(0).cast("bigint"))
-    point_cells = settle(points.select(*CELL).na.drop().distinct().join(own, CELL, "left"))
-    border = settle(_border(target_cells))
-    away = point_cells.filter(F.col("_hit").isNull()).select(*CELL)
-    extent = border.unionByName(away).agg(
-        F.min("cell_x").alias("x0"), F.max("cell_x").alias("x1"), F.min("cell_y").alias("y0"), F.max("cell_y").alias("y1")
-    ).first()
-    found = point_cells.filter(F.col("_hit").isNotNull()).select(*CELL, F.col("_hit").alias("_d2"))
-    if extent.x0 is not None:
-        shifted = lambda d: d.select((F.col("cell_x") - extent.x0).alias("cell_x"), (F.col("cell_y") - extent.y0).alias("cell_y"))
-        levels = max(extent.x1 - extent.x0, extent.y1 - extent.y0).bit_length()
-        best = _descend(shifted(away), shifted(border), levels, None if cap is None else math.floor((cap / cell) ** 2))
-        found = found.unionByName(
-            best.select((F.col("px") + extent.x0).alias("cell_x"), (F.col("py") + extent.y0).alias("cell_y"), "_d2")
-        )
-    metres = F.sqrt(F.col("_d2").cast("double")) * F.lit(float(cell))
+    cells = targets.select(*[F.col(c).cast("bigint") for c in CELL]).na.drop()
+    asked = points.select(*[F.col(c).cast("bigint") for c in CELL]).na.drop()
+    band = F.floor(F.col("cell_y") / BAND).cast("bigint")
+    # Which bands have points: one row per BAND rows of cells, a few hundred for a continent at 500 m.
+    bands = settle(asked.select(band.alias("band")).distinct())
+    # One row per column and band: its targets, lowest and highest.
+    held = cells.withColumn("band", band).groupBy("cell_x", "band").agg(F.collect_set("cell_y").alias("ys"))
+    lines = Window.partitionBy("cell_x").orderBy("band")
+    carried = held.select(
+        "cell_x", "band", "ys", F.array_max("ys").alias("last"), F.lead("band").over(lines).alias("ahead"),
+        F.lag(F.array_max("ys")).over(lines).alias("before"), F.lead(F.array_min("ys")).over(lines).alias("behind"),
+        F.lag("band").over(lines).isNull().alias("starts"), F.array_min("ys").alias("first"),
+    )
+    offered = F.array_compact(F.array("before", "behind"))
+    own = carried.select("cell_x", "band", F.array_union("ys", offered).alias("ys"))
+    ends = F.array(
+        # Bands between this one and the column's next, and those before its first.
+        F.struct((F.col("band") + 1).alias("a"), F.coalesce(F.col("ahead"), F.lit(1 << 60)).alias("b"), F.array_compact(F.array("last", "behind")).alias("ys")),
+        F.struct(F.when(F.col("starts"), F.lit(-(1 << 60))).alias("a"), F.col("band").alias("b"), F.array("first").alias("ys")),
+    )
+    gaps = carried.select("cell_x", F.inline(ends)).where("a is not null and a < b")
+    # A gap is laid out over the bands with points inside it: whole columns of bands, at most one row per column and band.
+    ladder = bands.agg(F.sort_array(F.collect_list("band")).alias("all"))
+    inside = F.filter("all", lambda v: (v >= F.col("a")) & (v < F.col("b")))
+    between = gaps.join(F.broadcast(ladder), F.lit(True)).select("cell_x", F.explode(inside).alias("band"), "ys")
+    sent = own.join(F.broadcast(bands), "band", "left_semi").unionByName(between)
+    sent = sent.select("band", "cell_x", F.explode("ys").alias("cell_y"), F.lit(False).alias("asks"))
+    asking = asked.distinct().select(band.alias("band"), *CELL, F.lit(True).alias("asks"))
+    found = sent.unionByName(asking).groupBy("band").applyInArrow(_band_distances, "cell_x bigint, cell_y bigint, d2 bigint")
+    if cap is not None:
+        found = found.where(F.col("d2") <= math.floor((cap / cell) ** 2))
+    metres = F.sqrt(F.col("d2").cast("double")) * F.lit(float(cell))
     return lookup_join(points, settle(found.select(*CELL, metres.alias(out))), CELL)
 
 
-# Levels walked in one plan before the surviving pairs are written and the lineage is cut.
-LEVELS_PER_WRITE = 3
-
-
-def _descend(away: DataFrame, border: DataFrame, levels: int, cap2: int | None) -> DataFrame:
-    """Squared cell distance of every ``away`` cell; coordinates lie in [0, 2^levels)."""
-    zero = F.lit(0).cast("bigint")
-    # No level has more target boxes than there are border cells; a box has four columns.
-    few = border.count() * 4 <= distribute.BROADCAST_VALUES
-    # At the top level one box covers all points and one all targets.
-    pairs = away.sparkSession.range(1 if levels else 0).select(*[zero.alias(c) for c in ("px", "py", "tx", "ty")])
-    for level in range(levels - 1, 0, -1):
-        bounds = _child_pairs(pairs, away, border, level, cap2, few)
-        reach = F.min("hi2").over(Window.partitionBy("px", "py"))
-        pairs = bounds.withColumn("reach", reach).filter(F.col("lo2") <= F.col("reach")).select("px", "py", "tx", "ty")
-        if level % LEVELS_PER_WRITE == 0:
-            pairs = settle(pairs)
-    return _child_pairs(pairs, away, border, 0, cap2, few).groupBy("px", "py").agg(F.min("lo2").alias("_d2"))
-
-
-def _child_pairs(
-    pairs: DataFrame, away: DataFrame, border: DataFrame, level: int, cap2: int | None, few: bool
-) -> DataFrame:
-    """Pairs of occupied child boxes with the least and greatest squared distance of their cells."""
-    side = 1 << level
-    parents = pairs.withColumnsRenamed({"px": "ppx", "py": "ppy", "tx": "tpx", "ty": "tpy"})
-    # A point box has few candidates, but one target box can be the candidate of a third of all points.
-    grown = parents.join(_boxes(away, level, "p"), ["ppx", "ppy"])
-    boxes, key = _boxes(border, level, "t"), ["tpx", "tpy"]
-    grown = grown.join(F.broadcast(boxes), key) if few else lookup_join(grown, boxes, key, "inner")
-    gaps = [F.abs(F.col("px") - F.col("tx")), F.abs(F.col("py") - F.col("ty"))]
-    least = [F.greatest((g - 1) * side + 1, F.lit(0)).cast("bigint") for g in gaps]
-    most = [((g + 1) * side - 1).cast("bigint") for g in gaps]
-    bounds = grown.select(
-        "px", "py", "tx", "ty",
-        (least[0] * least[0] + least[1] * least[1]).alias("lo2"),
-        (most[0] * most[0] + most[1] * most[1]).alias("hi2"),
-    )
-    return bounds if cap2 is None else bounds.filter(F.col("lo2") <= cap2)
+def _band_distances(rows: pa.Table) -> pa.Table:
+    """Squared distance of the asking cells of a band to the nearest of its other cells; nothing without any."""
+    x, y, asks = (np.asarray(rows.column(c)) for c in (*CELL, "asks"))
+    px, py, tx, ty = x[asks], y[asks], x[~asks], y[~asks]
+    names = [*CELL, "d2"]
+    if not len(px) or not len(tx):
+        return pa.table([pa.array([], pa.int64())] * 3, names)
+    lines, at = np.unique(py, return_inverse=True)
+    columns = np.unique(tx)
+    place = np.searchsorted(columns, tx)
+    d2 = np.empty(len(px), np.int64)
+    # Nearest target above and below, line by line: targets in order of their rows, taken in once each.
+    up = np.argsort(ty, kind="stable")
+    below, above = np.full(len(columns), -_FAR), np.full((len(lines), len(columns)), _FAR)
+    ends = np.searchsorted(ty[up], lines, "right")
+    starts = np.searchsorted(ty[up], lines, "left")
+    nearest = np.full(len(columns), _FAR)
+    for i in range(len(lines) - 1, -1, -1):
+        taken = up[starts[i] : starts[i + 1] if i + 1 < len(lines) else len(up)][::-1]
+        nearest[place[taken]] = ty[taken]
+        above[i] = nearest
+    order = np.argsort(at, kind="stable")
+    cut = np.searchsorted(at[order], np.arange(len(lines) + 1))
+    for i, line in enumerate(lines):
+        taken = up[ends[i - 1] if i else 0 : ends[i]]
+        below[place[taken]] = ty[taken]
+        gap = np.minimum(line - below, above[i] - line)
+        mine = order[cut[i] : cut[i + 1]]
+        d2[mine] = _lowest(columns, gap * gap, px[mine])
+    return pa.table([pa.array(px), pa.array(py), pa.array(d2)], names)
+
+
+def _lowest(columns: np.ndarray, g: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Smallest (x - column)^2 + g at every x of ``at``, by the lower envelope of the parabolas; ``columns`` ascend."""
+    hull: list[int] = []
+    borders: list[int] = []  # hull[k] is lowest from borders[k] on
+    c, v = columns.tolist(), g.tolist()
+    for j in range(len(c)):
+        while hull:
+            i = hull[-1]
+            # The first whole x where j is lower than i, which lies to its left.
+            border = (c[j] * c[j] + v[j] - c[i] * c[i] - v[i]) // (2 * (c[j] - c[i])) + 1
+            if border > borders[-1]:
+                break
+            hull.pop(), borders.pop()
+        borders.append(border if hull else -(1 << 62))
+        hull.append(j)
+    best = np.asarray(hull)[np.searchsorted(np.asarray(borders), at, "right") - 1]
+    return (at - columns[best]) ** 2 + g[best]
 
 
 def neighbourhood_fraction(
@@ -220,34 +226,38 @@ def neighbourhood_fraction(
 ) -> DataFrame:
     """Share of flagged cells among the cells whose centres lie within ``radius``, itself included.
 
-    A disc is a stack of row intervals. Every distinct cell opens and closes one interval in each
-    row its disc reaches, equal borders are summed, and a distributed running sum along the rows
-    counts the discs that cover a cell. That is about ``4 * radius / cell`` rows per cell where
-    pairing neighbours would take ``3 * (radius / cell)^2``; counts are whole numbers, so exact.
+    The grid is cut into tiles of ``TILE`` cells a side. A cell goes to its own tile and to those whose halo of the radius it lies in: about
+    1.3 rows per cell at 10 km. A tile is a dense array with sums along its rows, and a disc is a stack of row intervals, so every
+    row of the disc costs two look-ups per cell for a whole tile at once. Counts are whole numbers, so exact. A radius wider
+    than a tile widens the tile.
     """
     reach2 = math.floor((radius / cell) ** 2)
     reach = math.isqrt(reach2)
+    side = max(TILE, 2 * reach)
     cells = df.filter(F.col("cell_x").isNotNull() & F.col("cell_y").isNotNull()).groupBy(*CELL).agg(
-        F.max(F.coalesce(F.col(flag).cast("int"), F.lit(0))).cast("bigint").alias("f")
-    )
-    edges = [F.struct(F.lit(0).alias("dy"), F.lit(0).alias("dx"), F.lit(0).alias("sign"))]
-    for dy in range(-reach, reach + 1):
-        half = math.isqrt(reach2 - dy * dy)
-        edges += [
-            F.struct(F.lit(dy).alias("dy"), F.lit(-half).alias("dx"), F.lit(1).alias("sign")),
-            F.struct(F.lit(dy).alias("dy"), F.lit(half + 1).alias("dx"), F.lit(-1).alias("sign")),
-        ]
-    borders = (
-        cells.select(*CELL, "f", F.explode(F.array(*edges)).alias("e"))
-        .groupBy((F.col("cell_y") + F.col("e.dy")).alias("row"), (F.col("cell_x") + F.col("e.dx")).alias("pos"))
-        .agg(
-            F.sum(F.col("e.sign").cast("bigint")).alias("all"),
-            F.sum(F.col("e.sign") * F.col("f")).alias("flagged"),
-            F.max(F.col("e.sign") == 0).alias("is_cell"),
-        )
-    )
-    covered = prefix_sums(borders, order="pos", sums=["all", "flagged"], keys=["row"]).filter("is_cell")
-    shares = covered.select(
-        F.col("pos").alias("cell_x"), F.col("row").alias("cell_y"), (F.col("cum_flagged") / F.col("cum_all")).alias(out)
+        F.max(F.coalesce(F.col(flag).cast("boolean"), F.lit(False))).alias("f")
     )
-    return lookup_join(df, settle(shares), CELL)
+    tile = lambda c, shift: F.floor((F.col(c) + shift) / side).cast("bigint")
+    tiles = [F.sequence(tile(c, -reach), tile(c, reach)) for c in CELL]
+    sent = cells.withColumn("tx", F.explode(tiles[0])).withColumn("ty", F.explode(tiles[1]))
+
+    def shares(key: tuple, rows: pa.Table) -> pa.Table:
+        x0, y0 = (k.as_py() * side - reach for k in key)
+        x, y = (np.asarray(rows.column(c)).astype(np.int64) - o for c, o in zip(CELL, (x0, y0)))
+        own = (x >= reach) & (x < reach + side) & (y >= reach) & (y < reach + side)
+        totals = []
+        for weight in (np.ones(len(x), np.int32), np.asarray(rows.column("f")).astype(np.int32)):
+            sums = np.zeros((side + 2 * reach, side + 2 * reach + 1), np.int32)
+            sums[y, x + 1] = weight
+            np.cumsum(sums, axis=1, out=sums)
+            total = np.zeros(int(own.sum()), np.int64)
+            for dy in range(-reach, reach + 1):
+                half = math.isqrt(reach2 - dy * dy)
+                total += sums[y[own] + dy, x[own] + half + 1] - sums[y[own] + dy, x[own] - half]
+            totals.append(total)
+        picked = [rows.column(c).filter(pa.array(own)) for c in CELL]
+        return pa.table([*picked, pa.array(totals[1] / np.maximum(totals[0], 1))], [*CELL, out])
+
+    kept = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    found = sent.groupBy("tx", "ty").applyInArrow(shares, f"cell_x {kept['cell_x']}, cell_y {kept['cell_y']}, `{out}` double")
+    return lookup_join(df, settle(found), CELL)

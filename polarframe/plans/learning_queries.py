@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from polarframe.ml import evaluate as ev
-from polarframe.ml import models, prep, studies
+from polarframe.ml import models, prep, studies, trees
 from polarframe.operators import labels, splits, temporal
 from polarframe.operators.distribute import settle
 from polarframe.operators.fusion import quarterly_stats
@@ -26,8 +26,23 @@ NUMERIC = [
 ]
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def _once(spark, sf, name, make):
+    """What ``make`` returns, made once per application and directory: queries about one model share its table and its fit."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def ml_table(spark, sf):
     """Features, label, split and weight; written because labels, weights and models read it many times."""
+    return _once(spark, sf, "ml_table", lambda: _ml_table(spark, sf))
+
+
+def _ml_table(spark, sf):
     base = quarterly_stats(fused(spark, sf), ["lwe_mo"])
     features = temporal.lwe_trend(temporal.trailing_mean(temporal.momentum(temporal.expanding_mean(base, "delta_h"), "delta_h"), "t_star_mo", 6))
     rows = settle(splits.temporal_split(features, TRAIN_END, VAL_END))
@@ -317,6 +332,108 @@ def _(spark, sf):
     return _base_learner(spark, sf, models.base_gbt())
 
 
+# ---- tree models as tables of nodes
+
+_ID = ["x", "y", "month_idx"]
+
+
+def _audit_sql(n_trees: int) -> str:
+    """Every labelled test row has a stored score, and the walk through the table of nodes gives the same one."""
+    return f"""with {LABELLED} select regional_subset_id, count(*) as n, count(*) as n_equal, {n_trees}::bigint as trees
+      from labelled where month_idx > {VAL_END} and {LABEL} is not null group by 1"""
+
+
+def _fitted(spark, sf, name, kind, stage):
+    """(model, scored test rows) of one learner with its pipeline."""
+
+    def make():
+        train, _, test = _split(ml_table(spark, sf))
+        prepared = prep.build_pipeline(kind, NUMERIC).fit(train)
+        model = stage.fit(settle(splits.undersample(settle(prepared.transform(train)))))
+        kept = [*_ID, "regional_subset_id", "features", model.getProbabilityCol()]
+        return model, settle(model.transform(prepared.transform(test)).select(*kept))
+
+    return _once(spark, sf, name, make)
+
+
+def _audit(spark, sf, name, kind, stage):
+    model, rows = _fitted(spark, sf, name, kind, stage)
+    audit = trees.audited(model, rows, [*_ID, "regional_subset_id"], "features", vector_to_array(model.getProbabilityCol())[1])
+    return trees.agreement(audit, ["regional_subset_id"])
+
+
+_AUDITED = {
+    "boosted_baseline": ("xgb", lambda: models.boosted("baseline"), models.PRESETS["baseline"]["n_estimators"]),
+    "boosted_tuned": ("xgb", lambda: models.boosted("tuned_code"), models.PRESETS["tuned_code"]["n_estimators"]),
+    "base_rf": ("stack", models.base_rf, 100),
+    "base_gbt": ("stack", models.base_gbt, 50),
+}
+
+for _name, (_kind, _stage, _n) in _AUDITED.items():
+    query(f"{_name}_nodes", _audit_sql(_n))(lambda spark, sf, a=(_name, _kind, _stage): _audit(spark, sf, a[0], a[1], a[2]()))
+
+
+@query("stack_nodes", f"select name as model, n, n as n_equal, t::bigint as trees from (values ('Base_RF', 100), ('Base_GBT', 50), ('Stack_LR_Baseline', 0), ('Stack_Boosted', 100)) v(name, t),"
+       f" (with {LABELLED} select count(*) as n from labelled where month_idx > {VAL_END} and {LABEL} is not null) c")
+def _(spark, sf):
+    """A whole stack scored again from tables: base learners and a boosted meta-learner from nodes, a linear one from its coefficients."""
+    result = _once(spark, sf, "stack", lambda: _stacked(spark, sf, meta={"Stack_LR_Baseline": models.meta_lr("baseline"), "Stack_Boosted": models.meta_boosted()}))
+    _, _, test = _split(ml_table(spark, sf))
+    rows = result.preprocess.transform(test)
+    for base in result.base:
+        rows = base.transform(rows)
+    rows = settle(rows)
+    joined = settle(prep.meta_features(rows).select(*_ID, "meta_features"))
+    checked = []
+    for name, base, column in zip(("Base_RF", "Base_GBT"), result.base, ("rf_probability", "gbt_probability")):
+        checked.append(trees.audited(base.stages[-1], rows, _ID, "features", vector_to_array(column)[1]).withColumn("model", F.lit(name)))
+    for name, meta in result.meta.items():
+        scored, model = settle(meta.transform(joined)), meta.stages[-1]
+        stored = vector_to_array("probability")[1]
+        if hasattr(model, "coefficients"):
+            terms = F.zip_with(vector_to_array("meta_features"), F.lit([float(c) for c in model.coefficients]), lambda x, w: x * w)
+            margin = F.aggregate(terms, F.lit(float(model.intercept)), lambda a, b: a + b)
+            again = scored.select(*_ID, stored.alias("stored"), (F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))).alias("walked"), F.lit(0).cast("bigint").alias("trees"))
+        else:
+            again = trees.audited(model, scored, _ID, "meta_features", stored)
+        checked.append(again.withColumn("model", F.lit(name)))
+    return trees.agreement(ev.results_table(checked), ["model"])
+
+
+_MASS_ROWS = f"""{OBS}, b as (select mascon_id, month_idx, avg(delta_h) as d, avg(lwe_mo) as l from obs group by 1, 2),
+  f as (select a.mascon_id, a.month_idx, a.l - p.l as mass_change from b a join b p on p.mascon_id = a.mascon_id and p.month_idx = a.month_idx - 1
+    join b q on q.mascon_id = a.mascon_id and q.month_idx = a.month_idx - 2 join b r on r.mascon_id = a.mascon_id and r.month_idx = a.month_idx - 3
+    where a.d is not null and p.d is not null and q.d is not null and r.d is not null)"""
+
+
+def _mass(spark, sf, algo):
+    return _once(spark, sf, f"mass_{algo}", lambda: _mass_fit(spark, sf, algo))
+
+
+def _mass_fit(spark, sf, algo):
+    model, predicted = studies.mass_regression(settle(obs(spark, sf)), algo, TRAIN_END)
+    rows = settle(predicted.where("prediction is not null").select("mascon_id", "month_idx", "features", "prediction", "mass_change"))
+    keys = ["mascon_id", "month_idx"]
+    return rows, settle(trees.audited(model.stages[-1], rows, keys, "features", F.col("prediction")))
+
+
+@query("mass_regression_nodes", f"with {_MASS_ROWS} select mascon_id, count(*) as n, count(*) as n_equal, 20::bigint as trees from f group by 1")
+def _(spark, sf):
+    return trees.agreement(_mass(spark, sf, "gbt")[1], ["mascon_id"])
+
+
+@query("mass_skill_nodes", f"with {_MASS_ROWS} select mascon_id, count(*) as n, true as same_r2, 20::bigint as trees from f where mass_change is not null group by 1")
+def _(spark, sf):
+    """The explained share per mascon from stored predictions, and the same from predictions walked through the forest's nodes."""
+    rows, audit = _mass(spark, sf, "rf")
+    both = rows.join(audit, ["mascon_id", "month_idx"])
+    r2 = lambda p: studies.grouped_r2(both, ["mascon_id"], "mass_change", p)
+    n_trees = audit.groupBy("mascon_id").agg(F.max("trees").alias("trees"))
+    pair = r2("prediction").join(r2("walked").select("mascon_id", F.col("r2").alias("again")), "mascon_id").join(n_trees, "mascon_id")
+    same = F.col("r2").eqNullSafe(F.col("again")) | (F.abs(F.col("r2") - F.col("again")) <= 1e-6 * F.greatest(F.abs("r2"), F.lit(1.0)))
+    return pair.select("mascon_id", "n", same.alias("same_r2"), "trees")
+
+
 @query("meta_lr")
 def _(spark, sf):
     train, _, _ = _split(ml_table(spark, sf))
