@@ -21,6 +21,10 @@ HOT_SHARE = 0.001
 # A hot key is spread over at least this many salts, and over more where it has many rows.
 SALTS = 64
 ROWS_PER_SALT = 1_000_000
+# Rows without a key are dealt to so many salts: none of them has a counterpart, so many cost nothing.
+NULL_SALTS = 1 << 20
+# Counters of the sketch of hot keys: its error is a fifth of HOT_SHARE.
+TRACKED = 16_384
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -81,13 +85,26 @@ def lookup_join(
     return skew_join(df, table, on, how, keys_from)
 
 
+def hot_keys(df: DataFrame, on: list[str]) -> list[tuple[int, int]]:
+    """(hash of the key, salts) of the keys that hold more than ``HOT_SHARE`` of the rows; rows without a key don't count.
+
+    A frequent-items sketch: every task keeps at most ``TRACKED`` counters, and the partial sketches merge into one row, so neither the number of keys nor
+    the size of a key matters, and nothing but that row is moved. At most ``1 / HOT_SHARE`` keys can be that frequent.
+    """
+    whole = df.na.drop(subset=on).select(F.xxhash64(*on).alias("_k"))
+    most = round(1 / HOT_SHARE)
+    found = whole.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(_k, {most}, {TRACKED})").alias("top")).first()
+    least = max(found.n * HOT_SHARE, 1.0)
+    return [(r.item, max(SALTS, -(-r["count"] // ROWS_PER_SALT))) for r in found.top if r["count"] > least]
+
+
 def skew_join(
     df: DataFrame, table: DataFrame, on: list[str], how: str = "left", keys_from: DataFrame | None = None
 ) -> DataFrame:
     """Shuffle join that spreads hot keys of ``df`` (and its null keys) over salted partitions.
 
-    Hot keys are found by counting keys in ``df``, or in ``keys_from``: an earlier table with the same
-    keys, which saves running the plan of ``df`` twice. Any choice of hot keys gives the same rows.
+    Hot keys are found by a sketch of the keys of ``df``, or of ``keys_from``: an earlier table with the same
+    keys, which saves running the plan of ``df`` twice. Any choice of hot keys gives the same rows, so keys are named by their hashes.
 
     Only the rows of ``table`` that belong to hot keys are repeated, so a topography of hundreds
     of millions of cells is not multiplied. The list of hot keys has at most ``1 / HOT_SHARE``
@@ -95,33 +112,25 @@ def skew_join(
     """
     if how not in ("left", "inner"):
         raise ValueError("skew_join keeps the left side whole: how must be left or inner")
-    sizes = settle((df if keys_from is None else keys_from).groupBy(*on).count())
-    total = sizes.agg(F.sum("count")).first()[0] or 0
-    salts = F.greatest(F.lit(SALTS), F.ceil(F.col("count") / ROWS_PER_SALT)).cast("int")
-    hot = sizes.filter(F.col("count") > F.lit(max(total * HOT_SHARE, 1.0))).select(*on, salts.alias("_hot"))
+    hot = hot_keys(df if keys_from is None else keys_from, on)
+    kinds = {k: (df if keys_from is None else keys_from).schema[k].dataType for k in on}
     any_null = F.lit(False)
     for key in on:
         any_null = any_null | F.col(key).isNull()
+    names = df.sparkSession.createDataFrame(hot, "_key bigint, _hot int")
+
+    def marked(side: DataFrame) -> DataFrame:
+        # Equal keys hash alike only in one type; a key that does not fit it meets none of the other side.
+        keyed = side.withColumn("_key", F.xxhash64(*[F.col(k).try_cast(t) for k, t in kinds.items()]))
+        return keyed.join(F.broadcast(names), "_key", "left").drop("_key") if hot else keyed.withColumn("_hot", F.lit(None).cast("int")).drop("_key")
+
     # A hash of the row, not a random number: a retried task salts its rows as before.
     plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (MapType, UserDefinedType))]
     # Null keys meet no row of the table, so their salts need no counterpart.
-    most = max(SALTS, -(-total // ROWS_PER_SALT))
-    spread = F.pmod(F.xxhash64(*plain), F.coalesce(F.col("_hot"), F.lit(most))).cast("int")
-    salted = (
-        df.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", F.when(F.col("_hot").isNotNull() | any_null, spread).otherwise(0))
-        .drop("_hot")
-    )
-    repeated = (
-        table.join(F.broadcast(hot), on, "left")
-        .withColumn(
-            "_salt",
-            F.explode(
-                F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.col("_hot") - 1)).otherwise(F.array(F.lit(0)))
-            ),
-        )
-        .drop("_hot")
-    )
+    spread = F.pmod(F.xxhash64(*plain), F.coalesce(F.col("_hot"), F.lit(NULL_SALTS))).cast("int")
+    salted = marked(df).withColumn("_salt", F.when(F.col("_hot").isNotNull() | any_null, spread).otherwise(0)).drop("_hot")
+    salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.col("_hot") - 1)).otherwise(F.array(F.lit(0)))
+    repeated = marked(table).withColumn("_salt", F.explode(salts)).drop("_hot")
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 

@@ -7,13 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from polarframe.functions.lattice import Lattice
 from polarframe.functions.missing import is_missing, numeric_columns, present
 from polarframe.functions.projection import cell_of
-from polarframe.operators.distribute import prefix_sums, settle
+from polarframe.operators.distribute import settle
 
 
 def _melt(wide: DataFrame, rows: list[list[Column]], names: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -194,79 +196,97 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return sides.select(F.get(named, F.col("p.a")).alias("column_a"), F.get(named, F.col("p.b")).alias("column_b"), "r")
 
 
-# Accuracy of the sketches that bracket a quantile.
-SKETCH_ACCURACY = 10_000
-_TARGET = {"slot": "int", "column": "string", "share": "double", "n": "bigint"}
+#: Bits that one pass of ``quantiles`` decides.
+DIGIT = 16
+_TARGET = {"column": "string", "share": "double", "n": "bigint", "low": "double", "high": "double"}
 
 
-def _brackets(values: DataFrame, n_columns: int, shares: list[float]) -> tuple[list[int], list[float | None], list[float | None]]:
-    """Values per column, and for each column and share two values that should enclose its rank (None: no border)."""
-    reach = 2.0 / SKETCH_ACCURACY
-    marks = F.array(*[F.lit(min(max(s + side, 0.0), 1.0)) for s in shares for side in (-reach, reach)])
-    sketches = {
-        r.c: r for r in values.groupBy("c").agg(
-            F.count("v").alias("n"), F.percentile_approx("v", marks, F.lit(SKETCH_ACCURACY)).alias("q")
-        ).collect()  # one row per column
-    }
-    lows, highs = [], []
-    for i in range(n_columns):
-        for j, share in enumerate(shares):
-            low, high = sketches[i].q[2 * j : 2 * j + 2] if i in sketches else (None, None)
-            lows.append(None if share - reach <= 0 else low)
-            highs.append(None if share + reach >= 1 else high)
-    return [sketches[i].n if i in sketches else 0 for i in range(n_columns)], lows, highs
+def _ordered_bits(values: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit numbers in the order of the values: whole numbers as they are, doubles by their bit patterns."""
+    top = np.uint64(1 << 63)
+    if values.dtype.kind == "i":
+        return values.astype(np.int64).view(np.uint64) ^ top
+    bits = (values.astype(np.float64) + 0.0).view(np.uint64)  # one zero
+    return np.where(bits & top, ~bits, bits | top)
+
+
+def _from_bits(bits: int, whole: bool) -> float | int:
+    if whole:
+        return bits - (1 << 63)
+    raw = bits ^ (1 << 63) if bits >> 63 else ~bits & ((1 << 64) - 1)
+    return float(np.array([raw], np.uint64).view(np.float64)[0])
+
+
+def _histograms(values: DataFrame, slots: list[tuple[int, int]], shift: int) -> DataFrame:
+    """(slot, digit, n): how many values of a column start with the slot's bits, by the next ``DIGIT`` bits below ``shift + DIGIT``.
+
+    A task keeps a counter per digit that occurs and slot, at most 2^16 of them, and sends them once, at its end.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c in range(batch.num_columns):
+                own = [(i, prefix) for i, (column, prefix) in enumerate(slots) if column == c]
+                if not own:
+                    continue
+                bits = _ordered_bits(batch.column(c).drop_null().to_numpy(zero_copy_only=False))
+                for i, prefix in own:
+                    inside = bits if shift + DIGIT == 64 else bits[bits >> np.uint64(shift + DIGIT) == np.uint64(prefix)]
+                    if len(inside):
+                        digits = (inside >> np.uint64(shift)) & np.uint64((1 << DIGIT) - 1)
+                        np.add.at(counts.setdefault(i, np.zeros(1 << DIGIT, np.uint32)), digits.astype(np.int64), 1)
+        for i, counted in counts.items():
+            digit = np.flatnonzero(counted)
+            yield pa.record_batch([pa.array(np.full(len(digit), i, np.int32)), pa.array(digit.astype(np.int32)), pa.array(counted[digit].astype(np.int64))], ["slot", "digit", "n"])
+
+    return values.mapInArrow(run, "slot int, digit int, n bigint").groupBy("slot", "digit").agg(F.sum("n").alias("n"))
+
+
+def _select(df: DataFrame, columns: list[str], shares: list[float]) -> list[tuple]:
+    """(column, share, n, low, high) of every column and share; without values low and high are None."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    whole = [isinstance(kinds[c], (ByteType, ShortType, IntegerType, LongType)) for c in columns]
+    values = df.select(*[present(df, c).cast("bigint" if w else "double").alias(f"v{i}") for i, (c, w) in enumerate(zip(columns, whole))])
+    # What is looked for: (column, bits known so far, rank among the values that start with them), by column, share and side.
+    wanted = {(i, j, side): (i, 0, None) for i in range(len(columns)) for j in range(len(shares)) for side in (0, 1)}
+    totals = [0] * len(columns)
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        slots = sorted({(c, prefix) for c, prefix, _ in wanted.values()})
+        counted = settle(_histograms(values, slots, shift))  # at most 2^16 rows per slot
+        if shift == 64 - DIGIT:
+            for r in counted.groupBy("slot").agg(F.sum("n").alias("n")).collect():  # one row per column
+                totals[slots[r.slot][0]] = r.n
+            rank = lambda i, j, side: (math.floor, math.ceil)[side]((totals[i] - 1) * shares[j])
+            wanted = {(i, j, side): (i, 0, rank(i, j, side)) for i, j, side in wanted if totals[i]}
+            if not wanted:
+                break
+        names = {s: k for k, s in enumerate(slots)}
+        asked = sorted({(names[c, prefix], place) for c, prefix, place in wanted.values()})
+        targets = df.sparkSession.createDataFrame(asked, "slot int, place bigint")  # at most two rows per column and share
+        upto = F.sum("n").over(Window.partitionBy("slot").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))
+        reached = counted.withColumn("upto", upto).join(F.broadcast(targets), "slot")
+        reached = reached.where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("n") <= F.col("place")))
+        step = {(r.slot, r.place): (r.digit, r.place - (r.upto - r.n)) for r in reached.collect()}
+        wanted = {k: (c, (prefix << DIGIT) | step[names[c, prefix], place][0], step[names[c, prefix], place][1]) for k, (c, prefix, place) in wanted.items()}
+    found = lambda i, j, side: float(_from_bits(wanted[i, j, side][1], whole[i])) if totals[i] else None
+    return [(name, share, totals[i], found(i, j, 0), found(i, j, 1)) for i, name in enumerate(columns) for j, share in enumerate(shares)]
 
 
 def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
-    """Exact quantiles without sorting the table: (column, share, n, low, high, value).
+    """Exact quantiles without sorting or shuffling the table: (column, share, n, low, high, value).
 
     ``low`` and ``high`` are the order statistics around ``(n - 1) * share`` and ``value`` is
-    interpolated between them. A first pass sketches two values that enclose each wanted rank; a
-    second one counts what lies below and counts equal values inside the bracket. Only the few
-    values inside are shuffled and ranked, and the running sum over them is distributed as well.
-    The counts tell whether a bracket really encloses its rank; one that does not is opened, and
-    the ranks are taken again, so a poor sketch costs time and never a wrong value.
+    interpolated between them. Selection by radix histograms: values become 64-bit patterns in their order (whole numbers without a
+    detour through doubles), and four passes over the needed columns count, for all shares at once, how the values that share the bits
+    decided so far spread over the next 16. Only counters leave a task; rows are never multiplied, sampled or moved.
     """
-    width = len(shares)
-    values = _long(df, columns)
-    totals, lows, highs = _brackets(values, len(columns), shares)
-    wanted = [(i * width + j, name, share, totals[i]) for i, name in enumerate(columns) for j, share in enumerate(shares)]
-    slot = (F.col("c") * width + F.col("j")).alias("slot")
-    placed = values.select("v", F.col("c"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("j")).select("v", slot)
-    while True:
-        # No border means that nothing lies beyond it. What is below a bracket shares the NULL value, which sorts first.
-        low, high = F.get(_literals(lows, "double"), F.col("slot")), F.get(_literals(highs, "double"), F.col("slot"))
-        counts = (
-            placed.filter(high.isNull() | (F.col("v") <= high))
-            .select("slot", F.when(low.isNull() | (F.col("v") >= low), F.col("v")).alias("v"))
-            .groupBy("slot", "v").agg(F.count(F.lit(1)).alias("times"))
-        )
-        ranked = settle(prefix_sums(counts, order="v", sums=["times"], keys=["slot"]))
-        seen = {
-            r.slot: r for r in ranked.groupBy("slot").agg(
-                F.max(F.when(F.col("v").isNull(), F.col("cum_times"))).alias("below"), F.max("cum_times").alias("upto")
-            ).collect()  # one row per column and share
-        }
-        missed = []
-        for i, _, share, n in wanted:
-            place, r = (n - 1) * share, seen.get(i)
-            if n and (r is None or (r.below or 0) > math.floor(place) or r.upto <= math.ceil(place)):
-                missed.append(i)
-        if not missed:
-            break
-        for i in missed:
-            lows[i] = highs[i] = None
+    rows = [F.struct(*[F.lit(v).cast(t).alias(a) for v, (a, t) in zip(row, _TARGET.items())]) for row in _select(df, columns, shares)]
     # One row per column and share.
-    rows = [F.struct(*[F.lit(v).cast(t).alias(a) for v, (a, t) in zip(row, _TARGET.items())]) for row in wanted]
-    targets = df.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
+    out = df.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
     place = (F.col("n") - 1) * F.col("share")
-    at = lambda rank: F.min(F.when(F.col("cum_times") > rank, F.col("v")))
-    picked = (
-        ranked.join(F.broadcast(targets), "slot")
-        .groupBy("slot").agg(at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high"))
-    )
-    out = targets.join(F.broadcast(picked), "slot", "left").drop("slot")
-    return out.withColumn("value", F.col("low") + (F.col("high") - F.col("low")) * (place - F.floor(place)))
+    between = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * (place - F.floor(place)))
+    return out.withColumn("value", between)
 
 
 def box_stats(df: DataFrame, columns: list[str]) -> DataFrame:

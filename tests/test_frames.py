@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
@@ -154,8 +155,7 @@ def test_box_stats(spark):
     assert by["w"].n == 0 and by["w"]["median"] is None and by["w"].n_outliers == 0
 
 
-def test_bracketed_quantiles_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(profile, "SKETCH_ACCURACY", 200)
+def test_quantiles_with_a_hot_value(spark):
     # A third of all rows share one value.
     df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 77.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(100_003)) / 7.0).alias("v"))
     values = np.array([r.v for r in df.collect()])
@@ -166,12 +166,36 @@ def test_bracketed_quantiles_are_exact(spark, monkeypatch):
         assert got[share].low == np.quantile(values, share, method="lower") and got[share].n == 30_000
 
 
-def test_quantiles_survive_brackets_that_miss(spark, monkeypatch):
-    df = spark.range(2_000).select((F.col("id") * 7 % 2_000).cast("double").alias("v"))
-    # Both brackets lie beside their rank: one above, one below.
-    monkeypatch.setattr(profile, "_brackets", lambda *_: ([2_000], [1_500.0, 10.0], [1_600.0, 20.0]))
-    got = {r.share: r.value for r in profile.quantiles(df, ["v"], [0.25, 0.5]).collect()}
-    assert got == {0.25: 499.75, 0.5: 999.5}
+VALUES = [0.0, -0.0, 1e-310, -1e-310, 5e300, -5e300, float("inf"), float("-inf"), 3.0, 3.0, -3.0, 1.0 + 2**-52, 1.0]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_quantiles_are_the_order_statistics(spark, parts):
+    """Doubles of any sign and size, ties, NULL and NaN, whole numbers beyond 2^53 and a column without values, all at once."""
+    rng = random.Random(parts)
+    floats = VALUES + [rng.gauss(0, 10.0 ** rng.randint(-8, 8)) for _ in range(1500)] + [rng.choice(VALUES) for _ in range(300)]
+    longs = [2**53 + 1 + 2 * rng.randint(-4, 4) for _ in range(900)] + [-(2**63), 2**63 - 1, 0, -1] + [None] * (len(floats) - 904)
+    rows = [(f if i % 11 else None, g, None) for i, (f, g) in enumerate(zip(floats, longs))] + [(float("nan"), None, None)] * 5
+    df = spark.createDataFrame(rows, "f double, g long, e double").repartition(parts)
+    shares = [0.0, 0.25, 1 / 3, 0.5, 0.75, 0.999, 1.0]
+    got = {(r.column, r.share): r for r in profile.quantiles(df, ["f", "g", "e"], shares).collect()}
+    assert len(got) == 3 * len(shares)
+    for i, name in enumerate(("f", "g", "e")):
+        kept = sorted(r[i] for r in rows if r[i] is not None and r[i] == r[i])
+        for share in shares:
+            r, place = got[name, share], (len(kept) - 1) * share
+            assert r.n == len(kept)
+            if not kept:
+                assert r.low is r.high is r.value is None
+                continue
+            assert (r.low, r.high) == (float(kept[math.floor(place)]), float(kept[math.ceil(place)]))
+            assert r.low <= r.value <= r.high
+
+
+def test_quantiles_of_one_value_and_small_types(spark):
+    df = spark.createDataFrame([(7, 1.5)] * 40, "i int, d float")
+    assert {(r.column, r.n, r.low, r.value) for r in profile.quantiles(df, ["i", "d"], [0.5]).collect()} == {("i", 40, 7.0, 7.0), ("d", 40, 1.5, 1.5)}
+
 
 
 def test_correlations_use_pairwise_complete_rows(spark):

@@ -84,3 +84,35 @@ def test_long_values_count_by_what_they_hold(spark):
     table = spark.range(10).select("id", F.repeat(F.lit("x"), 80).alias("s"), F.sequence(F.lit(1), F.lit(5)).alias("a"))
     assert distribute._values(table, None) == 10 * (1 + 10 + 5)
     assert distribute._values(table.select("id"), None) == 10 and distribute._values(table, 3) == 30
+
+
+def test_only_hot_keys_are_named_and_nothing_is_written(spark, hot):
+    """A planted hot key is found with its salts; rows without a key and the thousands of small keys are not listed, and no file appears."""
+    import os
+
+    folder = distribute.shared_folder(spark).removeprefix("file:")
+    before = sum(len(f) for _, _, f in os.walk(folder))
+    whole = hot.unionByName(spark.range(10_000, 60_000).select(F.col("id").alias("k"), F.col("id").alias("v")))
+    seven = spark.range(1).select(F.xxhash64(F.lit(7).cast("bigint")).alias("h")).first().h
+    assert distribute.hot_keys(whole, ["k"]) == [(seven, distribute.SALTS)]
+    assert sum(len(f) for _, _, f in os.walk(folder)) == before
+    assert distribute.hot_keys(whole.where("k is null"), ["k"]) == []
+
+
+def test_rows_without_a_key_are_spread(spark, hot):
+    table = spark.createDataFrame([(7, 14)], "k long, w long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = distribute.skew_join(hot, table, ["k"]).withColumn("p", F.spark_partition_id())
+        sizes = [r["count"] for r in joined.filter("k is null").groupBy("p").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 1000 and len(sizes) == 4 and max(sizes) < 350
+
+
+def test_keys_of_different_types_meet(spark, hot, rows):
+    """The other table has narrower or text keys, some of which fit no key."""
+    narrow = spark.createDataFrame([(7, 1), (8, 2), (None, 3)], "k int, w long")
+    assert rows(distribute.skew_join(hot, narrow, ["k"]), "k", "v", "w") == rows(hot.join(narrow, ["k"], "left"), "k", "v", "w")
