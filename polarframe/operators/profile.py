@@ -248,27 +248,37 @@ def _select(df: DataFrame, columns: list[str], shares: list[float]) -> list[tupl
     kinds = {f.name: f.dataType for f in df.schema.fields}
     whole = [isinstance(kinds[c], (ByteType, ShortType, IntegerType, LongType)) for c in columns]
     values = df.select(*[present(df, c).cast("bigint" if w else "double").alias(f"v{i}") for i, (c, w) in enumerate(zip(columns, whole))])
-    # What is looked for: (column, bits known so far, rank among the values that start with them), by column, share and side.
-    wanted = {(i, j, side): (i, 0, None) for i in range(len(columns)) for j in range(len(shares)) for side in (0, 1)}
-    totals = [0] * len(columns)
+    # What is looked for, per column, share and side: the bits known so far and the rank among the values that start with them. In the
+    # first pass the rank follows from the column's number of values, which the same job counts.
+    totals, wanted, step = [0] * len(columns), {}, {}
     for shift in range(64 - DIGIT, -1, -DIGIT):
-        slots = sorted({(c, prefix) for c, prefix, _ in wanted.values()})
-        counted = settle(_histograms(values, slots, shift))  # at most 2^16 rows per slot
-        if shift == 64 - DIGIT:
-            for r in counted.groupBy("slot").agg(F.sum("n").alias("n")).collect():  # one row per column
-                totals[slots[r.slot][0]] = r.n
-            rank = lambda i, j, side: (math.floor, math.ceil)[side]((totals[i] - 1) * shares[j])
-            wanted = {(i, j, side): (i, 0, rank(i, j, side)) for i, j, side in wanted if totals[i]}
-            if not wanted:
-                break
+        first = shift == 64 - DIGIT
+        slots = [(i, 0) for i in range(len(columns))] if first else sorted({(c, prefix) for c, prefix, _ in wanted.values()})
         names = {s: k for k, s in enumerate(slots)}
-        asked = sorted({(names[c, prefix], place) for c, prefix, place in wanted.values()})
-        targets = df.sparkSession.createDataFrame(asked, "slot int, place bigint")  # at most two rows per column and share
-        upto = F.sum("n").over(Window.partitionBy("slot").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))
-        reached = counted.withColumn("upto", upto).join(F.broadcast(targets), "slot")
-        reached = reached.where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("n") <= F.col("place")))
-        step = {(r.slot, r.place): (r.digit, r.place - (r.upto - r.n)) for r in reached.collect()}
+        if first:
+            asked = [(i, float(share), side, None) for i in range(len(columns)) for share in set(shares) for side in (0, 1)]
+        else:
+            asked = [(slot, None, None, place) for slot, place in sorted({(names[c, prefix], place) for c, prefix, place in wanted.values()})]
+        # At most two rows per column and share.
+        targets = df.sparkSession.createDataFrame(asked, "slot int, share double, side int, place bigint")
+        line = Window.partitionBy("slot").orderBy("digit")  # at most 2^16 rows
+        counted = _histograms(values, slots, shift).withColumns({
+            "upto": F.sum("n").over(line.rowsBetween(Window.unboundedPreceding, 0)),
+            "total": F.sum("n").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        })
+        at = (F.col("total") - 1) * F.col("share")
+        place = F.coalesce("place", F.when(F.col("side") == 0, F.floor(at)).otherwise(F.ceil(at)))
+        reached = counted.join(F.broadcast(targets), "slot").withColumn("place", place)
+        reached = reached.where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("n") <= F.col("place"))).collect()
+        if first:
+            for r in reached:
+                totals[r.slot] = r.total
+                wanted |= {(r.slot, j, r.side): (r.slot, r.digit, r.place - (r.upto - r.n)) for j, share in enumerate(shares) if share == r.share}
+            continue
+        step = {(r.slot, r.place): (r.digit, r.place - (r.upto - r.n)) for r in reached}
         wanted = {k: (c, (prefix << DIGIT) | step[names[c, prefix], place][0], step[names[c, prefix], place][1]) for k, (c, prefix, place) in wanted.items()}
+        if not wanted:
+            break
     found = lambda i, j, side: float(_from_bits(wanted[i, j, side][1], whole[i])) if totals[i] else None
     return [(name, share, totals[i], found(i, j, 0), found(i, j, 1)) for i, name in enumerate(columns) for j, share in enumerate(shares)]
 
