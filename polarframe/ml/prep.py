@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import (
-    PCA, Bucketizer, Imputer, MinMaxScaler, Normalizer, OneHotEncoder, PolynomialExpansion, StandardScaler,
+    PCA, Bucketizer, MinMaxScaler, Normalizer, OneHotEncoder, PolynomialExpansion, StandardScaler,
     StringIndexer, VectorAssembler,
 )
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polarframe.functions.missing import is_missing, present
+from polarframe.ml.stages import MedianImputer
+from polarframe.ml.svd import SvdModel, fit_svd, svd_project  # noqa: F401  (used as prep.fit_svd and so on)
 from polarframe.operators.profile import quantiles
 
 # Borders of the grounding-line distance classes in metres.
@@ -37,12 +34,12 @@ def usable(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if seen[c]]
 
 
-def impute_median(columns: list[str]) -> Imputer:
-    return Imputer(strategy="median", inputCols=columns, outputCols=[imputed(c) for c in columns])
+def impute_median(columns: list[str]) -> MedianImputer:
+    return MedianImputer(inputCols=columns, outputCols=[imputed(c) for c in columns])
 
 
 def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Exact lower median in place of missing values."""
+    """Exact lower median in place of missing values; a column without values keeps them missing."""
     medians = {r["column"]: r["low"] for r in quantiles(df, columns, [0.5]).collect()}  # one row per column
     return df.withColumns({imputed(c): F.coalesce(present(df, c).cast("double"), F.lit(medians[c])) for c in columns})
 
@@ -106,54 +103,6 @@ def build_pipeline(kind: str, numeric: list[str]) -> Pipeline:
     return Pipeline(stages=[*stages, assemble(inputs), scaler])
 
 
-@dataclass(frozen=True)
-class SvdModel:
-    """Right singular vectors of the training matrix; projects rows as Z = X V."""
-
-    components: np.ndarray
-    singular_values: np.ndarray
-    explained: np.ndarray
-    features: str
-    out: str
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        v = self.components
-
-        @F.pandas_udf("array<double>")
-        def project(rows: pd.Series) -> pd.Series:
-            return pd.Series(list(np.vstack(rows.to_numpy()) @ v) if len(rows) else [])
-
-        return df.withColumn(self.out, array_to_vector(project(vector_to_array(F.col(self.features)))))
-
-    def explained_variance(self, df: DataFrame) -> DataFrame:
-        rows = [(i + 1, float(s), float(e)) for i, (s, e) in enumerate(zip(self.singular_values, np.cumsum(self.explained)))]
-        return df.sparkSession.createDataFrame(rows, "component int, singular_value double, cumulative double")
-
-
-def fit_svd(df: DataFrame, k: int = 20, features: str = "features", out: str = "svd_features") -> SvdModel:
-    """SVD through the distributed d x d Gram matrix, rebuilt from moments Spark computes in the JVM.
-
-    X'X = (n - 1) covariance + n mean mean'. Only d x d numbers reach the driver.
-    """
-    stats = df.select(Summarizer.metrics("count", "mean", "std").summary(F.col(features)).alias("s")).first().s
-    n, mean, std = stats["count"], stats["mean"].toArray(), stats["std"].toArray()
-    correlation = np.nan_to_num(Correlation.corr(df, features).first()[0].toArray(), nan=0.0)
-    np.fill_diagonal(correlation, 1.0)
-    gram = (n - 1) * correlation * np.outer(std, std) + n * np.outer(mean, mean)
-    values, vectors = np.linalg.eigh(gram)
-    order = np.argsort(values)[::-1][: min(k, len(values))]
-    kept = np.clip(values[order], 0.0, None)
-    total = max(float(np.clip(values, 0.0, None).sum()), np.finfo(float).tiny)
-    # A fixed sign: the entry of largest size of every component is positive.
-    chosen = vectors[:, order]
-    signs = np.sign(chosen[np.abs(chosen).argmax(axis=0), np.arange(chosen.shape[1])])
-    return SvdModel(chosen * signs, np.sqrt(kept), kept / total, features, out)
-
-
-def svd_project(df: DataFrame, k: int = 20, features: str = "features", out: str = "svd_features") -> DataFrame:
-    return fit_svd(df, k, features, out).transform(df)
-
-
 def meta_features(df: DataFrame, context: list[str] = META_CONTEXT) -> DataFrame:
     """Three base-model outputs and the context columns as one small vector.
 

@@ -5,14 +5,15 @@ Models are trained with their presets, on all their rows.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from polarframe.ml import evaluate as ev
-from polarframe.ml import models, prep, studies, trees
+from polarframe.ml import clusters, models, prep, stages, studies, trees
 from polarframe.operators import labels, splits, temporal
-from polarframe.operators.distribute import settle
+from polarframe.operators.distribute import scratch_path, settle
 from polarframe.operators.fusion import quarterly_stats
 from polarframe.plans.bindings import FUSED, OBS, SCORED, fused, obs, pixel_geometry, scored, table, uniform_sql
 from polarframe.plans.feature_queries import LABELLED
@@ -75,7 +76,10 @@ def _(spark, sf):
     return out.select("x", "month_idx", "thetao_mo_imputed", "so_mo_imputed")
 
 
-@query("impute_median_stage")
+@query(
+    "impute_median_stage",
+    f"""with {OBS} select x, month_idx, coalesce(thetao_mo, (select quantile_disc(thetao_mo, 0.5) from obs))::double as thetao_mo_imputed from obs""",
+)
 def _(spark, sf):
     rows = settle(obs(spark, sf).withColumn("thetao_mo", F.col("thetao_mo").cast("double")))
     return prep.impute_median(["thetao_mo"]).fit(rows).transform(rows).select("x", "month_idx", "thetao_mo_imputed")
@@ -220,6 +224,18 @@ def _(spark, sf):
     return out.select("vec_id", F.round(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, b: a + b)), 6).alias("norm"))
 
 
+@query(
+    "svd_stage_norms",
+    "select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda v: v::double * v::double))), 5) as norm from embeddings where embedding is not null",
+)
+def _(spark, sf):
+    """The projection onto all components keeps every length, also by a pipeline that was saved and loaded again."""
+    rows, path = _vectors(spark, sf), scratch_path(spark, "pipeline")
+    Pipeline(stages=[stages.Svd(k=1 << 20)]).fit(rows).write().save(path)
+    out = PipelineModel.load(path).transform(rows).select("vec_id", vector_to_array("svd_features").alias("z"))
+    return out.select("vec_id", F.round(F.sqrt(F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v)), 5).alias("norm"))
+
+
 @query("svd_explained_variance")
 def _(spark, sf):
     rows = _vectors(spark, sf)
@@ -488,6 +504,38 @@ def _(spark, sf):
     return quality.withColumn("silhouette", F.round("silhouette", 6))
 
 
+def _cluster_audit(rows, features, cluster):
+    """Settled clusters, their centres from their moments, and the silhouette by the moments against the library's."""
+    placed = settle(clusters.settled(rows, features, cluster))
+    names, centres = clusters.centres_of(clusters.moments(placed, features, cluster), cluster)
+    checked = clusters.audit(placed, features, cluster, dict(zip(names, centres)))
+    library = ev.silhouette(placed, features, cluster).withColumnRenamed("silhouette", "again")
+    same = F.abs(F.col("silhouette") - F.col("again")) <= 1e-6
+    return checked.join(F.broadcast(library), F.lit(True)).select("n", "n_nearest", F.round("centre_gap", 9).alias("centre_gap"), same.alias("same_silhouette"))
+
+
+@query("svd_kmeans_moments", "select count(*) as n, count(*) as n_nearest, 0.0::double as centre_gap, true as same_silhouette from embeddings where embedding is not null")
+def _(spark, sf):
+    rows = _vectors(spark, sf)
+    svd = prep.fit_svd(rows, 20)
+    projected = settle(svd.transform(rows).select("vec_id", "svd_features"))
+    placed = KMeans(k=6, seed=42, featuresCol="svd_features", predictionCol="cluster").fit(projected).transform(projected)
+    return _cluster_audit(placed, "svd_features", "cluster")
+
+
+@query(
+    "regimes_moments",
+    f"""with {OBS}, s as (select x, y, max(m) - min(m) as amplitude from (select x, y, (month_idx - 1) % 12 + 1 as moy, avg(delta_h) as m from obs group by 1, 2, 3) group by 1, 2),
+    p as (select x, y, regr_slope(delta_h, month_idx) as trend, avg(surface_slope) as slope from obs group by 1, 2)
+    select count(*) as n, count(*) as n_nearest, 0.0::double as centre_gap, true as same_silhouette from p join s using (x, y)
+    where trend is not null and slope is not null and amplitude is not null""",
+)
+def _(spark, sf):
+    found = studies.regimes(settle(obs(spark, sf)))
+    raw = settle(found.where("regime is not null").select("x", "y", "regime", "features"))
+    return _cluster_audit(raw, "features", "regime")
+
+
 @query("svd_logistic")
 def _(spark, sf):
     rows = _vectors(spark, sf)
