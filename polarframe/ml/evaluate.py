@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -209,29 +211,36 @@ def bootstrap_interval(
 ) -> DataFrame:
     """Percentile interval of each pixel's mean probability from Poisson(1) bootstrap weights.
 
-    A row's weight in replicate b comes from ``(h + b * g) mod p`` with two hashes h, g of its key.
-    All replicates of a row form one vector of weights and weighted values, and one aggregation with
-    map-side combine sums the vectors: the rows are read once and never multiplied.
+    A row's weight in replicate b comes from ``(h + b * g) mod p`` with two hashes h, g of its key, looked up in the sorted borders of the
+    distribution. The replicates are the columns of a matrix: an Arrow batch draws all of its weights and sums them per pixel in a few
+    vectorised steps, so what leaves a batch is one vector of weights and weighted values per pixel in it. One aggregate adds them up.
     """
     v = present(df, value).cast("double")
-    start, stride = (F.floor(keyed_uniform(list(row_key), seed + i) * F.lit(HASH_PRIME)) for i in (0, 1))
-    prime, all_replicates = F.lit(HASH_PRIME), F.sequence(F.lit(0), F.lit(replicates - 1))
-
-    def weight(pair: Column, b: Column) -> Column:
-        place = F.pmod(pair.h + b * pair.g, prime)
-        # The first border above the draw; two comparisons on average.
-        choice = F.when(place < F.lit(math.ceil(POISSON_CDF[0] * HASH_PRIME)), 0.0)
-        for count, border in enumerate(POISSON_CDF[1:], start=1):
-            choice = choice.when(place < F.lit(math.ceil(border * HASH_PRIME)), float(count))
-        return choice.otherwise(float(len(POISSON_CDF)))
-
-    # The hash pair is bound as a lambda variable, so it is computed once per row and not per replicate.
-    hashes = F.array(F.struct(start.alias("h"), stride.alias("g")))
-    weights = F.get(F.transform(hashes, lambda pair: F.transform(all_replicates, lambda b: weight(pair, b))), 0)
-    weighted = df.filter(v.isNotNull()).select(*key, v.alias("v"), weights.alias("w"))
-    both = array_to_vector(F.concat("w", F.transform("w", lambda w: w * F.col("v"))))
-    sums = weighted.groupBy(*key).agg(
-        F.avg("v").alias("mean"), F.count("v").alias("n"), Summarizer.metrics("sum").summary(both).alias("s")
+    start, stride = (F.floor(keyed_uniform(list(row_key), seed + i) * F.lit(HASH_PRIME)).cast("bigint") for i in (0, 1))
+    key = list(key)
+    rows = df.filter(v.isNotNull()).select(*key, v.alias("_v"), start.alias("_h"), stride.alias("_g"))
+    borders = np.array([math.ceil(c * HASH_PRIME) for c in POISSON_CDF])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch.select(key).to_pandas().groupby(key, dropna=False, sort=False).ngroup().to_numpy()
+            x, h, g = (batch.column(c).to_numpy() for c in ("_v", "_h", "_g"))
+            order = np.argsort(group, kind="stable")
+            cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
+            place = (h[order, None] + np.arange(replicates) * g[order, None]) % HASH_PRIME
+            weights = np.searchsorted(borders, place, "right").astype(np.float64)
+            sums = np.add.reduceat(np.concatenate([weights, weights * x[order, None]], axis=1), cuts)
+            names = [batch.column(c).take(pa.array(order[cuts])) for c in key]
+            vectors = pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), 2 * replicates).cast(pa.list_(pa.float64()))
+            counted = [pa.array(np.add.reduceat(x[order], cuts)), pa.array(np.diff(cuts, append=len(order)))]
+            yield pa.record_batch([*names, *counted, vectors], [*key, "t", "n", "w"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*key).schema.fields)
+    partial = rows.mapInArrow(draw, f"{kinds}, t double, n bigint, w array<double>")
+    sums = partial.groupBy(*key).agg(
+        (F.sum("t") / F.sum("n")).alias("mean"), F.sum("n").alias("n"), Summarizer.metrics("sum").summary(array_to_vector("w")).alias("s")
     ).withColumn("s", vector_to_array(F.col("s.sum")))
     half = lambda first: F.slice("s", first, replicates)
     means = F.filter(F.zip_with(half(1), half(replicates + 1), lambda w, x: F.try_divide(x, w)), lambda m: m.isNotNull())
