@@ -111,15 +111,15 @@ def seasonal_metrics(df: DataFrame, name: str, key: list[str] = PIXEL) -> DataFr
     return yearly.select(*key, "year", anomaly.alias("interannual_anomaly")).join(seasonal, list(key))
 
 
-def temporal_features(df: DataFrame) -> DataFrame:
+def temporal_features(df: DataFrame, key: list[str] = PIXEL) -> DataFrame:
     """All pixel-window and context features of the fused table."""
-    out = expanding_mean(df, "delta_h")
+    out = expanding_mean(df, "delta_h", key)
     out = out.withColumn("delta_h_deviation", F.col("delta_h") - F.col("pixel_mean_delta_h"))
-    out = lag_diff(out, "surface_slope")
-    out = acceleration(rate(momentum(out, "delta_h"), "delta_h"), "delta_h")
-    out = trailing_mean(out, "t_star_mo", 6)
-    out = deviation(out, "t_star_mo", out="thermal_anomaly")
-    out = deviation(out, "so_mo", out="salinity_stratification_proxy")
+    out = lag_diff(out, "surface_slope", key)
+    out = acceleration(rate(momentum(out, "delta_h", key), "delta_h", key), "delta_h", key)
+    out = trailing_mean(out, "t_star_mo", 6, key)
+    out = deviation(out, "t_star_mo", key, out="thermal_anomaly")
+    out = deviation(out, "so_mo", key, out="salinity_stratification_proxy")
     out = lwe_trend(out)
     out = group_mean(out, ["mascon_id", "month_idx"], "delta_h")
     return group_zscore(out, ["regional_subset_id", "month_idx"], "delta_h")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from polarframe.functions.calendar import month_index
 from polarframe.functions.physics import physics_features
 from polarframe.operators import labels, splits, temporal
-from polarframe.operators.distribute import settle
+from polarframe.operators.distribute import scratch_path, settle
 from polarframe.operators.fusion import quarterly_stats
+from polarframe.operators.stored import add_month, start, write_bucketed
 from polarframe.plans.bindings import FUSED, OBS, fused, obs, table, uniform_sql
 from polarframe.plans.registry import query
 
@@ -114,9 +117,7 @@ def _(spark, sf):
     return temporal.seasonal_metrics(obs(spark, sf), "delta_h")
 
 
-@query(
-    "temporal_features",
-    f"""with {FUSED}, q as (select *, avg(lwe_mo) over (partition by x, y order by month_idx range between 2 preceding and current row) as lwe_quarterly_avg from fused),
+_FEATURES_SQL = f"""with {FUSED}, q as (select *, avg(lwe_mo) over (partition by x, y order by month_idx range between 2 preceding and current row) as lwe_quarterly_avg from fused),
     s as (select *, avg(delta_h) over r as pixel_mean_delta_h, delta_h - lag(delta_h) over w as step, month_idx - lag(month_idx) over w as gap,
       surface_slope - lag(surface_slope) over w as surface_slope_change, t_star_mo - avg(t_star_mo) over r as thermal_anomaly,
       so_mo - avg(so_mo) over r as salinity_stratification_proxy,
@@ -128,16 +129,42 @@ def _(spark, sf):
       case when gap = 1 then delta_h_momentum - lag(delta_h_momentum) over (partition by x, y order by month_idx) end as delta_h_acceleration,
       t_star_6mo_avg, thermal_anomaly, salinity_stratification_proxy, lwe_mo - lwe_quarterly_avg as lwe_trend, mascon_mean_delta_h,
       round((delta_h - avg(delta_h) over g) / nullif(stddev_samp(delta_h) over g, 0), 6) as regional_delta_h_percentile
-    from m window g as (partition by regional_subset_id, month_idx)""",
-)
+    from m window g as (partition by regional_subset_id, month_idx)"""
+_FEATURES = [
+    "x", "month_idx", "pixel_mean_delta_h", "delta_h_deviation", "surface_slope_change", "delta_h_momentum", "delta_h_rate",
+    "delta_h_acceleration", "t_star_6mo_avg", "thermal_anomaly", "salinity_stratification_proxy", "lwe_trend",
+    "mascon_mean_delta_h", "regional_delta_h_percentile",
+]
+
+
+def _features(df):
+    return df.withColumn("regional_delta_h_percentile", F.round("regional_delta_h_percentile", 6)).select(*_FEATURES)
+
+
+@query("temporal_features", _FEATURES_SQL)
 def _(spark, sf):
-    base = settle(quarterly_stats(fused(spark, sf), ["lwe_mo"]))
-    out = temporal.temporal_features(base).withColumn("regional_delta_h_percentile", F.round("regional_delta_h_percentile", 6))
-    return out.select(
-        "x", "month_idx", "pixel_mean_delta_h", "delta_h_deviation", "surface_slope_change", "delta_h_momentum", "delta_h_rate",
-        "delta_h_acceleration", "t_star_6mo_avg", "thermal_anomaly", "salinity_stratification_proxy", "lwe_trend",
-        "mascon_mean_delta_h", "regional_delta_h_percentile",
-    )
+    return _features(temporal.temporal_features(settle(quarterly_stats(fused(spark, sf), ["lwe_mo"]))))
+
+
+@query("temporal_features_bucketed", _FEATURES_SQL)
+def _(spark, sf):
+    """From the stored table, whose buckets the pixel windows use as they are."""
+    name = f"facts_{uuid.uuid4().hex}"
+    stored = write_bucketed(quarterly_stats(fused(spark, sf), ["lwe_mo"]), name, scratch_path(spark, "facts"), 16)
+    return _features(temporal.temporal_features(stored))
+
+
+@query("temporal_features_by_month", _FEATURES_SQL)
+def _(spark, sf):
+    """All but the last twelve months in one run, those added one by one from the pixels' state."""
+    base, root = settle(quarterly_stats(fused(spark, sf), ["lwe_mo"])), scratch_path(spark, "monthly")
+    months = [r.month_idx for r in base.select("month_idx").distinct().orderBy("month_idx").collect()]  # one row per month
+    old, last = months[:-12], F.lit(months[-13])
+    history = base.where(F.col("month_idx") <= last)
+    start(temporal.temporal_features(history), history, root, old[-1])
+    for before, month in zip(months[-13:], months[-12:]):
+        add_month(base.where(F.col("month_idx") == month), root, month, before)
+    return _features(spark.read.parquet(f"{root}/features"))
 
 
 _NEAR = "(1.0::double / (1.0::double + {0} / 1000.0::double))"
