@@ -52,6 +52,8 @@ BLOCK, TILE = 512, 2048
 TILE_GRAMS = 1 << 20
 BEST = 4
 SKETCH_MISS = 1e-7
+#: Bytes of text that are hashed together.
+STEP = 1 << 20
 
 
 def _tail(n: int, p: float) -> np.ndarray:
@@ -123,7 +125,7 @@ def names(docs: DataFrame, width: int, trees: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         functions = np.arange(1, trees * BRANCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", STEP):
             sets = text_sets(batch.column(2), width)
             named = np.array([set_name(s) for s in sets], np.int64).reshape(-1, 2)
             roots = [np.zeros(0, np.uint64)] * len(sets)
@@ -145,7 +147,7 @@ def member_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """(row, n, grams, sketch) of the representatives in ``members`` (row, doc_id, s1, s2), from their texts read once more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", STEP):
             row, grams = [], []
             for s, r, s1, s2 in zip(text_sets(batch.column(0), width), *[c.to_pylist() for c in batch.columns[1:]]):
                 if len(s) and set_name(s).tolist() == [s1, s2]:
