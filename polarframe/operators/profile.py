@@ -55,16 +55,26 @@ def shape(df: DataFrame) -> DataFrame:
     )
 
 
+_WHOLE = (ByteType, ShortType, IntegerType, LongType)
+
+
 def summarize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Count, mean, standard deviation, minimum and maximum per column, in one pass."""
+    """Count, mean, standard deviation, minimum and maximum per column, in one pass.
+
+    ``min_value`` and ``max_value`` are doubles for all columns; whole-number columns also have their extremes unchanged, beyond 2^53 too, as ``min_whole``
+    and ``max_whole`` (NULL for other columns).
+    """
     columns = columns or numeric_columns(df)
-    measured = _long(df, columns).groupBy("c").agg(
+    whole = lambda c: F.col(c) if isinstance(df.schema[c].dataType, _WHOLE) else F.lit(None)
+    values = F.array(*[F.struct(present(df, c).cast("double").alias("v"), whole(c).cast("bigint").alias("w")) for c in columns])
+    long = df.select(F.posexplode(values).alias("c", "s")).select("c", "s.v", "s.w").filter(F.col("v").isNotNull())
+    measured = long.groupBy("c").agg(
         F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("stddev"),
-        F.min("v").alias("min_value"), F.max("v").alias("max_value"),
+        F.min("v").alias("min_value"), F.max("v").alias("max_value"), F.min("w").alias("min_whole"), F.max("w").alias("max_whole"),
     )
     # One row per column on either side; columns without values stay.
     return _positions(df, columns).join(F.broadcast(measured), "c", "left").select(
-        "column", F.coalesce("n", F.lit(0)).alias("n"), "mean", "stddev", "min_value", "max_value"
+        "column", F.coalesce("n", F.lit(0)).alias("n"), "mean", "stddev", "min_value", "max_value", "min_whole", "max_whole"
     )
 
 
@@ -246,7 +256,7 @@ def _histograms(values: DataFrame, slots: list[tuple[int, int]], shift: int) ->
 def _select(df: DataFrame, columns: list[str], shares: list[float]) -> list[tuple]:
     """(column, share, n, low, high) of every column and share; without values low and high are None."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    whole = [isinstance(kinds[c], (ByteType, ShortType, IntegerType, LongType)) for c in columns]
+    whole = [isinstance(kinds[c], _WHOLE) for c in columns]
     values = df.select(*[present(df, c).cast("bigint" if w else "double").alias(f"v{i}") for i, (c, w) in enumerate(zip(columns, whole))])
     # What is looked for, per column, share and side: the bits known so far and the rank among the values that start with them. In the
     # first pass the rank follows from the column's number of values, which the same job counts.

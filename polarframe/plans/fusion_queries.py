@@ -327,13 +327,16 @@ def _(spark, sf):
 
 @query(
     "calendar_gaps",
-    f"""with months as (select distinct l_partkey, cast(year(l_shipdate) * 12 + month(l_shipdate) as int) as month_idx from lineitem),
-    spine as (select l_partkey, cast(unnest(range({1992 * 12 + 1}, {1999 * 12 + 1})) as int) as month_idx from (select distinct l_partkey from months))
+    """with months as (select distinct l_partkey, cast(year(l_shipdate) * 12 + month(l_shipdate) as int) as month_idx from lineitem),
+    spine as (select l_partkey, cast(unnest(range((select min(month_idx) from months), (select max(month_idx) + 1 from months))) as int) as month_idx
+      from (select distinct l_partkey from months))
     select s.l_partkey, s.month_idx from spine s left join months m on m.l_partkey = s.l_partkey and m.month_idx = s.month_idx where m.month_idx is null""",
 )
 def _(spark, sf):
+    """Over all months of the data."""
     shipped = month_idx(table(spark, sf, "lineitem"), "l_shipdate").select("l_partkey", "month_idx")
-    return fusion.calendar_gaps(shipped, ["l_partkey"], 1992 * 12 + 1, 1998 * 12 + 12)
+    ends = shipped.agg(F.min("month_idx").alias("a"), F.max("month_idx").alias("b")).first()
+    return fusion.calendar_gaps(shipped, ["l_partkey"], ends.a, ends.b)
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from polarframe.ml import evaluate as ev
-from polarframe.ml import clusters, models, prep, stages, studies, trees
+from polarframe.ml import clusters, compare, models, prep, stages, studies, trees
 from polarframe.operators import labels, splits, temporal
 from polarframe.operators.distribute import scratch_path, settle
 from polarframe.operators.fusion import quarterly_stats
@@ -393,7 +393,7 @@ for _name, (_kind, _stage, _n) in _AUDITED.items():
        f" (with {LABELLED} select count(*) as n from labelled where month_idx > {VAL_END} and {LABEL} is not null) c")
 def _(spark, sf):
     """A whole stack scored again from tables: base learners and a boosted meta-learner from nodes, a linear one from its coefficients."""
-    result = _once(spark, sf, "stack", lambda: _stacked(spark, sf, meta={"Stack_LR_Baseline": models.meta_lr("baseline"), "Stack_Boosted": models.meta_boosted()}))
+    result = _stack(spark, sf)
     _, _, test = _split(ml_table(spark, sf))
     rows = result.preprocess.transform(test)
     for base in result.base:
@@ -450,6 +450,87 @@ def _(spark, sf):
     return pair.select("mascon_id", "n", same.alias("same_r2"), "trees")
 
 
+def _stack(spark, sf):
+    return _once(spark, sf, "stack", lambda: _stacked(spark, sf, meta={"Stack_LR_Baseline": models.meta_lr("baseline"), "Stack_Boosted": models.meta_boosted()}))
+
+
+@query("meta_features_nodes", f"with {LABELLED} select count(*) as n, count(*) as n_equal from labelled where month_idx > {VAL_END} and {LABEL} is not null")
+def _(spark, sf):
+    """The three base entries of every meta-feature vector, made again from scores that the tables of nodes give."""
+    result = _stack(spark, sf)
+    rows = result.preprocess.transform(_split(ml_table(spark, sf))[2])
+    for base in result.base:
+        rows = base.transform(rows)
+    rows = settle(rows)
+    named = _columns(prep.meta_features(rows), "meta_features", prep.META_NAMES[:3], 9).select(*_ID, *prep.META_NAMES[:3])
+    for base, column, name in zip(result.base, ("rf_probability", "gbt_probability"), ("a", "b")):
+        walked = trees.audited(base.stages[-1], rows, _ID, "features", vector_to_array(column)[1]).select(*_ID, F.col("walked").alias(name))
+        named = named.join(walked, _ID)
+    agree = ((F.col("a") > 0.5) == (F.col("b") > 0.5)).cast("double")
+    near = lambda x, y: F.abs(F.col(x) - F.col(y)) <= 1e-8
+    same = near(prep.META_NAMES[0], "a") & near(prep.META_NAMES[1], "b") & (F.col(prep.META_NAMES[2]) == agree)
+    return named.agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("n_equal"))
+
+
+@query(
+    "meta_coefficients_gradient",
+    "select unnest(['intercept', " + ", ".join(f"'{n}'" for n in prep.META_NAMES) + "]) as name, 0.0::double as gradient",
+)
+def _(spark, sf):
+    """The coefficients of a linear meta-learner are its optimum: the loss has no slope there. Fitted on the training rows' meta-features."""
+    result = _stack(spark, sf)
+    rows = result.preprocess.transform(_split(ml_table(spark, sf))[0])
+    for base in result.base:
+        rows = base.transform(rows)
+    rows = settle(prep.meta_features(rows).select("meta_features", "weight", LABEL))
+    model = models.meta_lr("baseline").setTol(1e-9).fit(rows)
+    return ev.gradient(model.transform(rows), model, LABEL, "weight", prep.META_NAMES).withColumn("gradient", F.round(F.abs("gradient"), 4))
+
+
+@query("svd_logistic_gradient", "select unnest(range(21)) as i, 0.0::double as gradient")
+def _(spark, sf):
+    rows = _vectors(spark, sf)
+    svd, model = models.train_svd_lr(rows, k=20, label="label", weight=None)
+    projected = svd.transform(rows)
+    out = ev.gradient(model.transform(projected), model.stages[-1], "label")
+    place = F.when(F.col("name") == "intercept", F.lit(0)).otherwise(F.substring("name", 2, 9).try_cast("int") + 1)
+    return out.select(place.cast("bigint").alias("i"), F.round(F.abs("gradient"), 4).alias("gradient"))
+
+
+_SPLITS_SQL = f"""{LABELLED}, r as (select case when month_idx <= {TRAIN_END} then 'train' when month_idx <= {VAL_END} then 'val' else 'test' end as split, {LABEL} as y, regional_subset_id
+  from labelled where {LABEL} is not null)"""
+
+
+def _comparison(spark, sf):
+    def make():
+        sides = dict(zip(("train", "val", "test"), _split(ml_table(spark, sf))))
+        return compare.compare_models(sides, NUMERIC, {"boosted": ("xgb", models.boosted("baseline")), "forest": ("stack", models.base_rf()), "gbt": ("stack", models.base_gbt())})
+
+    return _once(spark, sf, "comparison", make)
+
+
+@query(
+    "model_comparison",
+    f"""with {_SPLITS_SQL}, m as (select unnest(['boosted', 'forest', 'gbt']) as model)
+    select model, split, true as in_range from m cross join (select distinct split from r)""",
+)
+def _(spark, sf):
+    """One row per model and split; metrics lie in [0, 1]. The values themselves are in ``Comparison.metrics``."""
+    inside = F.lit(True)
+    for name in ev.METRICS:
+        inside = inside & (F.col(name).isNull() | F.col(name).between(0.0, 1.0))
+    return _comparison(spark, sf).metrics.select("model", "split", inside.alias("in_range"))
+
+
+@query(
+    "model_comparison_regions",
+    f"""with {_SPLITS_SQL}, m as (select unnest(['boosted', 'forest', 'gbt']) as model)
+    select model, regional_subset_id, round(avg(y::double), 9) as true_rate, count(*) as n from m cross join r where split = 'test' group by 1, 2""",
+)
+def _(spark, sf):
+    return _comparison(spark, sf).regional.select("model", "regional_subset_id", F.round("true_rate", 9).alias("true_rate"), "n")
+
+
 @query("meta_lr")
 def _(spark, sf):
     train, _, _ = _split(ml_table(spark, sf))

@@ -26,14 +26,17 @@ def _(spark, sf):
     return profile.shape(parts)
 
 
-_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"]
+_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber", "l_orderkey"]
+_WHOLE_NUMBERS = {"l_linenumber", "l_orderkey"}
 
 
 @query(
     "summarize",
     _stacked([
         f"'{c}' as \"column\", count({c}) as n, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as stddev, "
-        f"cast(min({c}) as double) as min_value, cast(max({c}) as double) as max_value from lineitem"
+        f"cast(min({c}) as double) as min_value, cast(max({c}) as double) as max_value, "
+        + (f"cast(min({c}) as bigint) as min_whole, cast(max({c}) as bigint) as max_whole" if c in _WHOLE_NUMBERS else "null::bigint as min_whole, null::bigint as max_whole")
+        + " from lineitem"
         for c in _NUMBERS
     ]),
 )
@@ -193,6 +196,11 @@ def _(spark, sf):
     return profile.series_outliers(obs(spark, sf), "delta_h", k=2.5).withColumn("robust_z", F.round("robust_z", 6))
 
 
-@query("coverage_by_mask", f"with {GRID} select mask, count(*) as n, count(*) as n_valid, 1.0::double as coverage from grid group by mask")
+@query(
+    "coverage_by_mask",
+    f"""with {GRID}, p as (select mask, case when surface % 7 <> 0 then surface end as probe from grid)
+    select mask, count(*) as n, count(probe) as n_valid, count(probe) / count(*) as coverage from p group by mask""",
+)
 def _(spark, sf):
-    return profile.coverage(grid(spark, sf), "surface", ["mask"])
+    probed = grid(spark, sf).withColumn("probe", F.when(F.col("surface") % 7 != 0, F.col("surface")))
+    return profile.coverage(probed, "probe", ["mask"])

@@ -166,6 +166,15 @@ def test_quantiles_with_a_hot_value(spark):
         assert got[share].low == np.quantile(values, share, method="lower") and got[share].n == 30_000
 
 
+def test_summaries_keep_whole_numbers(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, 1, 0.5), (big + 2, -7, NAN), (None, 3, None)], "a long, b int, c double")
+    got = {r.column: r for r in profile.summarize(df).collect()}
+    assert (got["a"].min_whole, got["a"].max_whole, got["a"].n) == (big, big + 2, 2)
+    assert (got["b"].min_whole, got["b"].max_whole, got["b"].max_value) == (-7, 3, 3.0)
+    assert (got["c"].min_whole, got["c"].max_whole, got["c"].min_value, got["c"].n) == (None, None, 0.5, 1)
+
+
 VALUES = [0.0, -0.0, 1e-310, -1e-310, 5e300, -5e300, float("inf"), float("-inf"), 3.0, 3.0, -3.0, 1.0 + 2**-52, 1.0]
 
 
