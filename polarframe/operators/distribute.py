@@ -71,6 +71,14 @@ def _values(table: DataFrame, width: int | None) -> int:
     return stats["n"] * fixed + sum(stats[f"s{i}"] or 0 for i in range(len(sizes)))
 
 
+def require_unique(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``df``, or an error if a key stands on several rows. Counting combines in the tasks, so a crowded key is no burden; null keys are not compared."""
+    doubled = df.select(*keys).na.drop().groupBy(*keys).count().where("count > 1").select(*keys).limit(3).collect()
+    if doubled:
+        raise ValueError(f"{name} has several rows for {keys}, e.g. {[tuple(r) for r in doubled]}")
+    return df
+
+
 def lookup_join(
     df: DataFrame, table: DataFrame, on: list[str], how: str = "left", width: int | None = None, keys_from: DataFrame | None = None
 ) -> DataFrame:

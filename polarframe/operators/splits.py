@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polarframe.functions.calendar import month_index
 from polarframe.operators.distribute import keyed_uniform, lookup_join, settle
 from polarframe.operators.labels import LABEL
 
@@ -96,9 +95,3 @@ def region_folds(df: DataFrame, region: str = "regional_subset_id") -> DataFrame
     return sizes.filter(F.col(region).isNotNull()).select(
         F.col(region).alias("held_out"), (total - F.col("n_val")).alias("n_train"), "n_val"
     )
-
-
-def month_range(first: str, last: str) -> Column:
-    """Months from ``first`` to ``last`` (ISO dates) as a predicate on the partition column."""
-    bound = lambda day: month_index(F.lit(day).cast("date"))
-    return F.col("month_idx").between(bound(first), bound(last))

@@ -450,6 +450,10 @@ def _(spark, sf):
     return pair.select("mascon_id", "n", same.alias("same_r2"), "trees")
 
 
+def _default_stack(spark, sf):
+    return _once(spark, sf, "default-stack", lambda: _stacked(spark, sf))
+
+
 def _stack(spark, sf):
     return _once(spark, sf, "stack", lambda: _stacked(spark, sf, meta={"Stack_LR_Baseline": models.meta_lr("baseline"), "Stack_Boosted": models.meta_boosted()}))
 
@@ -558,12 +562,12 @@ def _(spark, sf):
 
 @query("train_stack")
 def _(spark, sf):
-    return _rounded_metrics(_stacked(spark, sf).metrics)
+    return _rounded_metrics(_default_stack(spark, sf).metrics)
 
 
 @query("meta_coefficients")
 def _(spark, sf):
-    return _stacked(spark, sf).coefficients.withColumn("value", F.round("value", 6))
+    return _default_stack(spark, sf).coefficients.withColumn("value", F.round("value", 6))
 
 
 @query("stack_boosted_meta")

@@ -16,7 +16,7 @@ from polarframe.functions.physics import (
     thermal_driving,
 )
 from polarframe.functions.projection import cell_of
-from polarframe.operators.distribute import scratch_path, settle
+from polarframe.operators.distribute import require_unique, scratch_path, settle
 from polarframe.operators.fusion import (
     assign_mascon,
     assign_region,
@@ -61,7 +61,7 @@ def static_fields(
 
 def observation_table(
     altimetry: DataFrame, topography: DataFrame, gravity: DataFrame, ocean: DataFrame, mascon_map: DataFrame, region_map: DataFrame,
-    cell: float = 500.0, ocean_cell: float = 8000.0, keep: list[str] = (),
+    cell: float = 500.0, ocean_cell: float = 8000.0, keep: list[str] = (), check_grain: bool = True,
 ) -> DataFrame:
     """The fused pixel-month table with the columns and types of ``V2``, and the static columns in ``keep``.
 
@@ -69,7 +69,16 @@ def observation_table(
     topography: cell_x, cell_y, surface, bed, thickness, mask. gravity: mascon_id, month_idx,
     lwe_thickness_cm. ocean: ocean_x, ocean_y, month_idx, depth, thetao, so on its coarse grid.
     Ocean values exist under floating ice only and are taken at the clamped depth of the ice base.
+    ``check_grain`` counts the keys of every input first: a doubled one would multiply rows in a join or mix two pixels in a window, so it is an error
+    (``fusion.to_pixel_months`` makes the grain of the altimetry).
     """
+    if check_grain:
+        require_unique(altimetry, [*CELL, "month_idx"], "altimetry")
+        require_unique(topography, CELL, "topography")
+        require_unique(gravity, ["mascon_id", "month_idx"], "gravity")
+        require_unique(ocean, [*OCEAN_CELL, "month_idx", "depth"], "ocean")
+        require_unique(mascon_map, CELL, "mascon_map")
+        require_unique(region_map, ["mascon_id"], "region_map")
     static = static_fields(topography, ocean, cell, ocean_cell)
     kept = [*keep, *CELL, "surface", "bed", "thickness", "mask", "bed_slope", "dist_to_grounding_line", "dist_to_ocean", "ice_draft", "clamped_depth", *OCEAN_CELL]
     wide = assign_region(assign_mascon(altimetry, mascon_map), region_map)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from urllib.parse import quote
 
-from polarframe.sources.schemas import V2
+from pyspark.sql import DataFrame
 
 
 def write_observations(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -23,8 +23,8 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
 
 
 def save_predictions(df: DataFrame, model: str, split: str, root: str) -> str:
-    """Predictions of one (model, split), under a folder Spark reads back as partition columns."""
-    path = f"{root}/model={model}/split={split}"
+    """Predictions of one (model, split), under a folder Spark reads back as partition columns; names are escaped as Spark does."""
+    path = f"{root}/model={quote(model, safe='')}/split={quote(split, safe='')}"
     df.drop("model", "split").write.mode("overwrite").parquet(path)
     return path
 
@@ -32,7 +32,3 @@ def save_predictions(df: DataFrame, model: str, split: str, root: str) -> str:
 def preview(df: DataFrame, columns: list[str], key: list[str], n: int = 5) -> DataFrame:
     """First ``n`` rows by ``key``: a top-n per task and a merge, not a full sort."""
     return df.select(*dict.fromkeys([*columns, *key])).orderBy(*key).limit(n).select(*columns)
-
-
-def observation_columns() -> list[str]:
-    return V2.fieldNames()

@@ -9,9 +9,7 @@ from polarframe.operators import distribute
 
 SF = "/root/testdata/sf0.001"
 CHECKED = sorted(oracle_sql())
-# Model runs without SQL are covered by test_learning.py on small frames.
-SKIPPED = {"train_stack", "meta_coefficients", "stack_boosted_meta", "boosted_tuned"}
-UNCHECKED = sorted(set(queries()) - set(CHECKED) - SKIPPED)
+UNCHECKED = sorted(set(queries()) - set(CHECKED))
 
 
 @pytest.fixture(scope="module")

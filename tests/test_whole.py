@@ -56,6 +56,13 @@ def test_fact_table_values(fact):
     assert mean.filter(F.abs(F.col("a") - F.col("b")) > 1e-5).count() == 0
 
 
+@pytest.mark.parametrize("place, name", [(0, "altimetry"), (1, "topography"), (2, "gravity"), (4, "mascon_map"), (5, "region_map")])
+def test_doubled_keys_are_an_error(products, place, name):
+    doubled = [p.unionByName(p.limit(1)) if i == place else p for i, p in enumerate(products)]
+    with pytest.raises(ValueError, match=name):
+        observation_table(*doubled)
+
+
 def test_features_to_scores(spark, fact):
     features = settle(feature_table(fact))
     labelled = labels.agreement_label(features, stats_from=features.filter(F.col("month_idx") <= splits.TRAIN_END))
