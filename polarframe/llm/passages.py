@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polarframe.llm.shared import runs, steps, stored
+from polarframe.llm.shared import runs, steps, stored, whole_groups
 from polarframe.llm.words import mix, shingles, words
 
 WIDTH = 5
@@ -46,9 +46,9 @@ SIMILAR = 0.8
 LEAST_WORDS = 50
 #: Bytes by which the shift between two texts may drift from one window to the next.
 DRIFT = 8 * LEAST_WORDS
-# The function is in the last three bits of the key; centre, left and right are byte offsets. ``near`` holds how many bytes
-# before and after the centre a shortest passage around it reaches inside the window, in 32 bits each.
-COLUMNS = ["key", "row", "c", "l", "r", "near", "o_row", "o_c", "o_l", "o_r", "o_near"]
+# The function is in the last three bits of the key; the centre is a byte offset. ``wide`` holds how many bytes before and after the
+# centre the window reaches, in 32 bits each; ``near`` the same for the shortest passages around the centre inside the window.
+COLUMNS = ["key", "row", "c", "wide", "near", "o_row", "o_c", "o_wide", "o_near"]
 SCHEMA = ", ".join(f"{c} bigint" for c in COLUMNS)
 
 
@@ -122,8 +122,8 @@ def _windows(docs: DataFrame, least_words: int) -> DataFrame:
                 hashed = mix(grams ^ seeds[f])
                 l, c, r = compact_windows(hashed, least, first)
                 a, b = np.maximum(l, c - least + 1), np.minimum(r, c + least - 1)
-                near = (w.start[at[c]] - w.start[at[a]]) << 32 | (w.end[at[b] + WIDTH - 1] - w.start[at[c]])
-                parts.append((hashed[c] << np.uint64(3) | np.uint64(f), rows[c], w.start[at[c]], w.start[at[l]], w.end[at[r] + WIDTH - 1], near))
+                reach = lambda x, y: (w.start[at[c]] - w.start[at[x]]) << 32 | (w.end[at[y] + WIDTH - 1] - w.start[at[c]])
+                parts.append((hashed[c] << np.uint64(3) | np.uint64(f), rows[c], w.start[at[c]], reach(l, r), reach(a, b)))
             key, *columns = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((columns[1], columns[0], key))
             key, columns = key[order], [x[order] for x in columns]
@@ -145,7 +145,7 @@ def _hits(windows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last = None, None
         for batch in batches:
-            done = np.asarray(batch.column(6).is_valid().to_numpy(zero_copy_only=False))
+            done = np.asarray(batch.column(5).is_valid().to_numpy(zero_copy_only=False))
             x = [np.asarray(c.fill_null(0)) for c in batch.columns]
             out = [[c[done] for c in x]]
             x = [c[~done] for c in x]
@@ -154,11 +154,11 @@ def _hits(windows: DataFrame) -> DataFrame:
                 fresh = np.ones(len(key), bool)
                 fresh[1:] = key[1:] != key[:-1]
                 head = _joined(key, fresh)
-                x[6:] = [c[head] for c in x[1:6]]
+                x[5:] = [c[head] for c in x[1:5]]
                 if key[0] == last_key:  # the key began in an earlier batch
-                    x[6:] = [np.where(key == last_key, old, c) for old, c in zip(last, x[6:])]
-                last_key, last = key[-1], [c[-1] for c in x[6:]]
-                other = x[6] != x[1]
+                    x[5:] = [np.where(key == last_key, old, c) for old, c in zip(last, x[5:])]
+                last_key, last = key[-1], [c[-1] for c in x[5:]]
+                other = x[5] != x[1]
                 out.append([c[other] for c in x])
             yield pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], COLUMNS)
 
@@ -174,6 +174,7 @@ def _candidates(hits: DataFrame) -> DataFrame:
     the same shift form a range. A pair's hits are bounded by the lengths of the two texts.
     """
     names = ["o_row", "row", "l", "r", "o_l", "o_r"]
+    ends = lambda c, reach: (c - (reach >> 32), c + (reach & ((1 << 32) - 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, ...]] = []
@@ -181,7 +182,8 @@ def _candidates(hits: DataFrame) -> DataFrame:
             ranges: list[list] = []  # l, r, o_l, o_r, shift, functions
             live: list[list] = []
             a, b = pair.column("o_row")[0].as_py(), pair.column("row")[0].as_py()
-            for key, c, l, r, o_c, o_l, o_r in zip(*[pair.column(n).to_pylist() for n in ("key", "c", "l", "r", "o_c", "o_l", "o_r")]):
+            for key, c, wide, o_c, o_wide in zip(*[pair.column(n).to_pylist() for n in ("key", "c", "wide", "o_c", "o_wide")]):
+                (l, r), (o_l, o_r) = ends(c, wide), ends(o_c, o_wide)
                 live = [g for g in live if g[1] >= c - DRIFT]  # hits come in order of their centres
                 own = None
                 for g in live:
@@ -200,7 +202,8 @@ def _candidates(hits: DataFrame) -> DataFrame:
         if found:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], names)
 
-    ordered = hits.repartition("o_row", "row").sortWithinPartitions("o_row", "row", "c", "o_c", "key")
+    asked = hits.select("key", "row", "c", "wide", "o_row", "o_c", "o_wide")
+    ordered = asked.repartition("o_row", "row").sortWithinPartitions("o_row", "row", "c", "o_c", "key")
     return ordered.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
@@ -229,6 +232,23 @@ def _nearest(target: np.ndarray, lo: np.ndarray, hi: np.ndarray, order: np.ndarr
     return np.where(np.abs(before - target) < np.abs(after - target), before, after)
 
 
+def matching_runs(match: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Runs of matching places as lists of their gapless pieces; a run goes on over a gap while at least ``SIMILAR`` of it match."""
+    framed = np.zeros(len(match) + 2, bool)
+    framed[1:-1] = match
+    edges = np.flatnonzero(framed[1:] != framed[:-1]).tolist()
+    merged: list[list[tuple[int, int]]] = []
+    inside = 0
+    for a, b in zip(edges[::2], edges[1::2]):
+        if merged and inside + b - a >= SIMILAR * (b - merged[-1][0][0]):
+            merged[-1].append((a, b))
+            inside += b - a
+        else:
+            merged.append([(a, b)])
+            inside = b - a
+    return merged
+
+
 def similar_runs(later: np.ndarray, earlier: np.ndarray, least: int) -> list[tuple[int, int, int, int, float]]:
     """(from, to, earlier from, earlier to, Jaccard) of passages of at least ``least`` n-grams, ends exclusive.
 
@@ -242,18 +262,7 @@ def similar_runs(later: np.ndarray, earlier: np.ndarray, least: int) -> list[tup
     upto = np.searchsorted(inorder, later, "right")
     match = upto > at
     where = order[np.minimum(at, len(earlier) - 1)]
-    places = np.flatnonzero(match)
-    if not len(places):
-        return []
-    cuts = np.flatnonzero(np.diff(places) > 1) + 1
-    pieces = [(int(p[0]), int(p[-1]) + 1) for p in np.split(places, cuts)]
-    merged: list[list[tuple[int, int]]] = []
-    for a, b in pieces:
-        inside = sum(y - x for x, y in merged[-1]) if merged else 0
-        if merged and inside + b - a >= SIMILAR * (b - merged[-1][0][0]):
-            merged[-1].append((a, b))
-        else:
-            merged.append([(a, b)])
+    merged = matching_runs(match)
     out = []
     while merged:
         run = merged.pop()
@@ -303,22 +312,25 @@ def _verified(docs: DataFrame, candidates: DataFrame, least_words: int) -> DataF
     least = least_words - WIDTH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pair in runs(batches, ["candidate"]):
-            side, texts = pair.column("side").to_pylist(), pair.column("words").to_pylist()
-            at, start = pair.column("at").to_pylist(), pair.column("a").to_pylist()
-            w = words(pair.column("words").combine_chunks())
-            # One row a side, but for rows that repeat an id: then all pairs of their texts.
+        for block in whole_groups(batches, "candidate"):
+            side, at, start = (block.column(n).to_pylist() for n in ("side", "at", "a"))
+            candidate, texts = np.asarray(block.column("candidate")), block.column("words").to_pylist()
+            borders = [0, *(np.flatnonzero(candidate[1:] != candidate[:-1]) + 1).tolist(), len(candidate)]
+            w = words(pa.array(texts, pa.binary()))
+            grams, _, first = text_grams(w)
             rows = []
-            for i, j in ((i, j) for i in range(len(side)) for j in range(len(side)) if side[i] == 0 and side[j] == 1):
-                (k, m), (p, q) = w.first[i : i + 2], w.first[j : j + 2]
-                if m - k < least_words or q - p < least_words:
-                    continue
-                for a, b, x, y, s in similar_runs(shingles(w.hash[p:q], WIDTH), shingles(w.hash[k:m], WIDTH), least):
-                    lo, hi = int(w.start[p + a]), int(w.end[p + b + WIDTH - 2])
-                    rows.append((
-                        at[j], start[j] + lo, start[j] + hi, b - a + WIDTH - 1, at[i], start[i] + int(w.start[k + x]),
-                        start[i] + int(w.end[k + y + WIDTH - 2]), s, zlib.crc32(texts[j][lo:hi]),
-                    ))
+            for low, high in zip(borders[:-1], borders[1:]):
+                # One row a side, but for rows that repeat an id: then all pairs of their texts.
+                for i, j in ((i, j) for i in range(low, high) for j in range(low, high) if side[i] == 0 and side[j] == 1):
+                    (k, m), (p, q) = w.first[i : i + 2], w.first[j : j + 2]
+                    if m - k < least_words or q - p < least_words:
+                        continue
+                    for a, b, x, y, s in similar_runs(grams[first[j] : first[j + 1]], grams[first[i] : first[i + 1]], least):
+                        lo, hi = int(w.start[p + a]), int(w.end[p + b + WIDTH - 2])
+                        rows.append((
+                            at[j], start[j] + lo, start[j] + hi, b - a + WIDTH - 1, at[i], start[i] + int(w.start[k + x]),
+                            start[i] + int(w.end[k + y + WIDTH - 2]), s, zlib.crc32(texts[j][lo:hi]),
+                        ))
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
@@ -340,24 +352,36 @@ def similar_texts(rows: list[int], wanted: list[bool], grams: list[np.ndarray],
     Texts come in order of their rows. Two texts that share t n-grams have one in common among all but t - 1 of each
     one's n-grams, in any order of the n-grams; the rarest are taken first. Only texts that share enough are compared.
     """
-    own = [np.unique(g) for g in grams]
-    _, inverse, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    ends = np.cumsum([len(g) for g in grams])
+    first = np.concatenate([[0], ends])
+    values, ids = np.unique(np.concatenate(grams), return_inverse=True)
+    text = np.repeat(np.arange(len(grams)), np.diff(first))
+    owner, own = np.divmod(np.unique(text * len(values) + ids), len(values))
+    count = np.bincount(own, minlength=len(values))
     place = np.empty(len(count), np.int64)
     place[np.argsort(count, kind="stable")] = np.arange(len(count))
-    ranked, at = place[inverse], 0
+    ids = place[ids]
+    at = np.searchsorted(owner, np.arange(len(grams) + 1)).tolist()
+    own = (np.sort(owner * len(values) + place[own]) % len(values)).tolist()  # the distinct n-grams of every text, its rarest first
     single = int(np.count_nonzero(count == 1))  # n-grams of one text propose nothing
+    flags = np.zeros(len(values), bool)
+    first = first.tolist()
+    usual = int(np.ceil(SIMILAR * least - 1e-9))
     held: dict[int, list[int]] = {}
     sets: list[set[int]] = []
-    for i, g in enumerate(own):
-        mine = np.sort(ranked[at : at + len(g)]).tolist()
-        at += len(g)
+    for i, g in enumerate(grams):
+        mine = own[at[i] : at[i + 1]]
         sets.append(set(mine))
-        need = _least_shared(grams[i], least)
+        need = usual if len(mine) == len(g) else _least_shared(g, least)
         rare = [k for k in mine[: len(mine) - need + 1] if k >= single]
         if wanted[i]:
             for j in sorted({j for k in rare for j in held.get(k, ())}):
                 if rows[j] < rows[i] and len(sets[i] & sets[j]) >= need:
-                    found = similar_runs(grams[i], grams[j], least)
+                    there = ids[first[j] : first[j + 1]]
+                    flags[there] = True
+                    long = any(run[-1][1] - run[0][0] >= least for run in matching_runs(flags[ids[first[i] : first[i + 1]]]))
+                    flags[there] = False
+                    found = similar_runs(g, grams[j], least) if long else []
                     if found:
                         yield i, j, found
                         break
@@ -365,6 +389,38 @@ def similar_texts(rows: list[int], wanted: list[bool], grams: list[np.ndarray],
             held.setdefault(k, []).append(i)
 
 
+def sharing(grams: np.ndarray, first: np.ndarray, group: np.ndarray, long: np.ndarray, least: int) -> Iterator[list[int]]:
+    """Per group of texts those that may be similar to another one of it: two at least, long enough, in order.
+
+    ``first[i] : first[i + 1]`` are the n-grams of text ``i``. Similar texts share a least number of distinct n-grams with each other, so a
+    text that shares fewer with all others of its group together is out. All groups of a block are counted at once, by one sort.
+    """
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at = np.flatnonzero(long[text])
+    text = text[at]
+    # A collision of two hashes adds to a count and only keeps a text in.
+    hashed = mix(grams[at] ^ mix(group[text].astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(hashed, kind="stable")  # equal hashes stay in order of their texts
+    hashed, text = hashed[order], text[order]
+    fresh = np.ones(len(hashed), bool)
+    fresh[1:] = hashed[1:] != hashed[:-1]
+    begin = np.flatnonzero(fresh)
+    last = np.concatenate([begin[1:], [len(hashed)]]) - 1 if len(begin) else begin
+    shared = np.repeat(text[begin] != text[last], last - begin + 1)
+    once = fresh.copy()
+    once[1:] |= text[1:] != text[:-1]
+    count = np.bincount(text[shared & once], minlength=len(long))
+    # Texts that repeat n-grams have fewer distinct ones; their groups take the least need.
+    need = np.full(int(group[-1]) + 1 if len(group) else 0, int(np.ceil(SIMILAR * least - 1e-9)))
+    for i in np.unique(text[~once]).tolist():
+        if count[i]:
+            need[group[i]] = min(need[group[i]], _least_shared(grams[first[i] : first[i + 1]], least))
+    kept = np.flatnonzero(long & (count >= need[group]))
+    for of_key in np.split(kept, np.flatnonzero(np.diff(group[kept])) + 1):
+        if len(of_key) > 1:
+            yield of_key.tolist()
+
+
 def _others(docs: DataFrame, hits: DataFrame, found: DataFrame, least_words: int) -> DataFrame:
     """Passages around the windows of ``hits`` whose centre lies in none of ``found``, with any window of their keys."""
     spans = found.groupBy(F.col("doc_id").alias("row")).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
@@ -383,45 +439,44 @@ def _others(docs: DataFrame, hits: DataFrame, found: DataFrame, least_words: int
     least = least_words - WIDTH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for group in runs(batches, ["key"]):
-            if group.num_rows < 2:
-                continue
-            texts, rows = group.column("words").to_pylist(), group.column("row").to_pylist()
-            # Equal words in a later document: held against the first document that has them.
-            seen: dict[bytes, int] = {}
-            again = [seen.setdefault(t, i) for i, t in enumerate(texts)]
-            w = words(group.column("words").combine_chunks())
-            opened, start = group.column("open").to_pylist(), group.column("l").to_pylist()
-            grams = lambda i: shingles(w.hash[w.first[i] : w.first[i + 1]], WIDTH)
-            long = lambda i: w.first[i + 1] - w.first[i] >= least_words
-            # The first of equal texts stands for all of them; where any is open, it is looked for.
-            firsts = [i for i in seen.values() if long(i)]
+        for block in whole_groups(batches, "key"):
+            rows, start, opened, texts = (block.column(n).to_pylist() for n in ("row", "l", "open", "words"))
+            key = np.asarray(block.column("key"))
+            group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]).tolist()
+            # Equal words in a later document: held against the first document that has them, which stands for all of them.
+            seen: dict[tuple[int, bytes], int] = {}
+            again = [seen.setdefault((g, t), len(seen)) for g, t in zip(group, texts)]
+            firsts = np.flatnonzero(np.diff(np.maximum.accumulate(again), prepend=-1)).tolist()
+            w = words(pa.array([texts[i] for i in firsts], pa.binary()))
+            long = (np.diff(w.first) >= least_words).tolist()
             wanted: dict[int, list[int]] = {}
             pairs = []
             for i, j in enumerate(again):
-                if opened[i] and long(i):
-                    if rows[j] < rows[i]:
-                        g = grams(i)
-                        pairs.append((i, j, [(0, len(g), 0, len(g), 1.0)]))
-                    else:
+                if opened[i] and long[j]:
+                    if rows[firsts[j]] < rows[i]:
+                        n = int(w.first[j + 1] - w.first[j]) - WIDTH + 1
+                        pairs.append((i, j, j, [(0, n, 0, n, 1.0)]))
+                    else:  # where any of equal texts is open, it is looked for
                         wanted.setdefault(j, []).append(i)
-            if wanted and len(firsts) > 1:
-                sought = similar_texts([rows[i] for i in firsts], [i in wanted for i in firsts], [grams(i) for i in firsts], least)
-                pairs += [(i, firsts[y], f) for x, y, f in sought for i in wanted[firsts[x]]]
-            for i, j, passages in pairs:
-                p, k = w.first[i], w.first[j]
-                for a, b, x, y, s in passages:
+            grams, _, first = text_grams(w)
+            owner = np.array(group)[firsts]
+            for of_key in sharing(grams, first, owner, np.array(long), least):
+                if not any(j in wanted for j in of_key):
+                    continue
+                own = [grams[first[j] : first[j + 1]] for j in of_key]
+                sought = similar_texts([rows[firsts[j]] for j in of_key], [j in wanted for j in of_key], own, least)
+                pairs += [(i, of_key[x], of_key[y], f) for x, y, f in sought for i in wanted[of_key[x]]]
+            out = []
+            for i, x, y, passages in pairs:
+                p, k, j = w.first[x], w.first[y], firsts[y]
+                for a, b, c, d, s in passages:
                     lo, hi = int(w.start[p + a]), int(w.end[p + b + WIDTH - 2])
                     out.append((
-                        rows[i], start[i] + lo, start[i] + hi, b - a + WIDTH - 1, rows[j], start[j] + int(w.start[k + x]),
-                        start[j] + int(w.end[k + y + WIDTH - 2]), s, zlib.crc32(texts[i][lo:hi]),
+                        rows[i], start[i] + lo, start[i] + hi, b - a + WIDTH - 1, rows[j], start[j] + int(w.start[k + c]),
+                        start[j] + int(w.end[k + d + WIDTH - 2]), s, zlib.crc32(texts[i][lo:hi]),
                     ))
-            if len(out) >= 4096:
+            if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
-                out = []
-        if out:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     return cut.repartition("key").sortWithinPartitions("key", "row", "l").mapInArrow(run, FOUND)
 

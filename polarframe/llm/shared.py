@@ -82,6 +82,27 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Blocks of whole groups from a stream that is sorted by ``key``: about a batch of rows, or one larger group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.asarray(batch.column(batch.schema.get_field_index(key)))
+        same = held and np.asarray(held[-1].column(batch.schema.get_field_index(key)))[-1] == k[0]
+        changes = np.flatnonzero(k[1:] != k[:-1]) + 1
+        border = int(changes[-1]) if len(changes) else 0
+        if border or not same:
+            if border:
+                held.append(batch.slice(0, border))
+            if held:
+                yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        held.append(batch.slice(border))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node that has an edge; root is the smallest node of its connected component.
 
