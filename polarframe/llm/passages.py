@@ -312,7 +312,7 @@ def _verified(docs: DataFrame, candidates: DataFrame, least_words: int) -> DataF
     least = least_words - WIDTH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in whole_groups(batches, "candidate"):
+        for block in whole_groups(batches, "candidate", "words"):
             side, at, start = (block.column(n).to_pylist() for n in ("side", "at", "a"))
             candidate, texts = np.asarray(block.column("candidate")), block.column("words").to_pylist()
             borders = [0, *(np.flatnonzero(candidate[1:] != candidate[:-1]) + 1).tolist(), len(candidate)]
@@ -439,7 +439,7 @@ def _others(docs: DataFrame, hits: DataFrame, found: DataFrame, least_words: int
     least = least_words - WIDTH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in whole_groups(batches, "key"):
+        for block in whole_groups(batches, "key", "words"):
             rows, start, opened, texts = (block.column(n).to_pylist() for n in ("row", "l", "open", "words"))
             key = np.asarray(block.column("key"))
             group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]).tolist()

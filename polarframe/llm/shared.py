@@ -82,23 +82,28 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Blocks of whole groups from a stream that is sorted by ``key``: about a batch of rows, or one larger group."""
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, text: str, size: int = 1 << 20) -> Iterator[pa.Table]:
+    """Blocks of whole groups from a stream that is sorted by ``key``: about ``size`` bytes of text, or one larger group."""
     held: list[pa.RecordBatch] = []
+    last, pending = None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
         k = np.asarray(batch.column(batch.schema.get_field_index(key)))
-        same = held and np.asarray(held[-1].column(batch.schema.get_field_index(key)))[-1] == k[0]
-        changes = np.flatnonzero(k[1:] != k[:-1]) + 1
-        border = int(changes[-1]) if len(changes) else 0
-        if border or not same:
-            if border:
-                held.append(batch.slice(0, border))
-            if held:
+        column = batch.column(batch.schema.get_field_index(text))
+        ends = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64))]).tolist()
+        fresh = np.ones(len(k), bool)
+        fresh[1:] = k[1:] != k[:-1]
+        fresh[0] = k[0] != last
+        last, at = k[-1], 0
+        for border in np.flatnonzero(fresh).tolist():
+            if pending + ends[border] - ends[at] >= size:
+                if border > at:
+                    held.append(batch.slice(at, border - at))
                 yield pa.Table.from_batches(held).combine_chunks()
-            held = []
-        held.append(batch.slice(border))
+                held, pending, at = [], 0, border
+        held.append(batch.slice(at))
+        pending += ends[-1] - ends[at]
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 

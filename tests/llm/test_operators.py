@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from __spark_entry__ import oracle_sql, queries
 from compare import difference, oracle_connection
 
 from polarframe.llm import bpe, flatfiles, jaccard, packing, passages, pii, quality, search, sharding, toxicity
-from polarframe.llm.shared import components
+from polarframe.llm.shared import components, whole_groups
 from polarframe.llm.tokens import encode
 from polarframe.operators.distribute import scratch_path
 
@@ -485,6 +486,39 @@ def test_passages_go_on_to_other_partners(spark):
     assert want <= have
 
 
+def test_sharing_leaves_out_only_texts_that_share_too_little():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n, least = int(rng.integers(1, 12)), 10
+        texts = [rng.integers(0, int(rng.choice([8, 30, 200])), int(rng.integers(0, 25))).astype(np.uint64) for _ in range(n)]
+        group = np.sort(rng.integers(0, 4, n))
+        group = np.unique(group, return_inverse=True)[1]
+        long = np.array([len(t) >= least for t in texts])
+        first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        kept = list(passages.sharing(np.concatenate(texts), first, group, long, least))
+        assert all(len(k) > 1 and k == sorted(k) and len({group[i] for i in k}) == 1 for k in kept)
+        pairs = {(i, j) for k in kept for i in k for j in k if i < j}
+        for i in range(n):
+            for j in range(i):
+                if group[i] == group[j] and long[i] and long[j] and passages.similar_runs(texts[i], texts[j], least):
+                    assert (j, i) in pairs
+
+
+def test_whole_groups():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        keys = np.sort(rng.integers(0, 8, int(rng.integers(0, 60))))
+        table = pa.table({"k": keys, "t": pa.array([b"x" * int(rng.integers(0, 9)) for _ in keys], pa.binary())})
+        blocks = list(whole_groups(iter(table.to_batches(int(rng.integers(1, 20)))), "k", "t", 20))
+        assert [k for b in blocks for k in b.column("k").to_pylist()] == keys.tolist()
+        assert [t for b in blocks for t in b.column("t").to_pylist()] == table.column("t").to_pylist()
+        assert sum(len(set(b.column("k").to_pylist())) for b in blocks) == len(set(keys.tolist()))
+        for b in blocks:
+            lengths = [len(t) for t in b.column("t").to_pylist()]
+            last = b.column("k").to_pylist()[-1]
+            assert sum(n for n, k in zip(lengths, b.column("k").to_pylist()) if k != last) < 20
+
+
 def test_similar_runs_with_a_recurring_line():
     rng = np.random.default_rng(4)
     make = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
