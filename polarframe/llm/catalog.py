@@ -140,7 +140,7 @@ def prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_candidate_boosting")
 def candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base spans and those that boosted trees add."""
-    found = pii.find(table(spark, sf_dir, "documents"))
+    found = pii.find(table(spark, sf_dir, "documents"), id_col="doc_id")
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("bigint")
     return found.select(
         "doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.spelled(F.col("base_spans")), 256).alias("base_sha256"),

@@ -29,6 +29,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drawn_share(share: float, *key: Column) -> Column:
+    """Whether a hash of the key falls in the lowest ``share`` of 63-bit numbers; no share of a table is too small for that."""
+    return F.xxhash64(*key).bitwiseAND(F.lit(2**63 - 1)) <= F.lit(min(int(share * 2**63), 2**63 - 1))
+
+
 def fixed(value: Column) -> Column:
     """``value``, computed once a row at this place.
 

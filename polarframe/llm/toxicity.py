@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polarframe.llm.shared import stored
+from polarframe.llm.shared import drawn_share, stored
 
 SAMPLE_ROWS = 20_000
 #: Words of the sample that a model can use: the most frequent, in at least ``LEAST_DOCS`` sampled documents.
@@ -101,7 +101,7 @@ def best_threshold(rows: DataFrame, category: str) -> float:
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text: str = "text") -> Chain:
     """Fit the categories in order; ``labels`` has the id and one 0/1 column per category."""
     share = min(1.0, sample_rows / max(labels.count(), 1))
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
+    draw = drawn_share(share, F.lit("sample"), F.col(id_col))
     # Bounded by ``sample_rows``, so the broadcast is.
     chosen = labels.where(draw).select(id_col, *categories)
     joined = docs.select(id_col, F.col(text).alias("_text")).join(F.broadcast(chosen), id_col)

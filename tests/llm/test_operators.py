@@ -181,6 +181,52 @@ def test_pii_query_and_redaction(spark, texts):
     assert sorted(map(tuple, out.collect())) == [(1, "mail [EMAIL] or [PHONE] now"), (2, "none"), (3, None)]
 
 
+def test_pii_disguised(spark):
+    """Disguised data are added in their true places, look-alikes are not; the fit has neither as examples."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnoprstu") for _ in range(rnd.randint(2, 8)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    mail = lambda: (f"{word()}{rnd.randint(1, 99)}.{word()}", f"{word()}.{rnd.choice(['example', word()])}.{rnd.choice(['com', 'org', 'net'])}")
+    part = lambda: str(rnd.randint(1, 255))
+    phone = lambda: (str(rnd.randint(1, 99)), str(rnd.randint(200, 999)), str(rnd.randint(200, 999)), f"{rnd.randint(0, 9999):04d}")
+
+    def card():
+        d = "4" + "".join(rnd.choice("0123456789") for _ in range(14))
+        return next(d + c for c in "0123456789" if luhn(d + c))
+
+    rows = []
+    for i in range(800):
+        plain = ["@".join(mail()), ".".join(part() for _ in range(4)), card(), "+{} ({}) {}-{}".format(*phone())]
+        rows.append((i, " ".join(f"{words(8)} {x} {words(3)}" for x in plain)))
+    wanted, unwanted = {}, set()
+    for i in range(1000, 1400):
+        kind = i % 4
+        body = [
+            lambda: rnd.choice([" (at) ", "[at]"]).join(mail()), lambda: rnd.choice([",", ":"]).join(part() for _ in range(4)),
+            lambda: rnd.choice("._/").join(re.findall("....", card())), lambda: "00{} ({}) {}-{}".format(*phone()),
+        ][kind]()
+        left = words(8) + " "
+        rows.append((i, f"{left}{body} {words(3)}"))
+        wanted[i] = (len(left), kind, len(left) + len(body))
+    for i in range(2000, 2400):
+        body = [
+            f"20{rnd.randint(10, 29)}-{rnd.randint(1, 12):02d}-{rnd.randint(1, 28):02d}", f"{rnd.randint(1, 9)}.{rnd.randint(100, 999)}.{rnd.randint(100, 999)}",
+            f"{rnd.randint(1, 28):02d}.{rnd.randint(1, 12):02d} {rnd.randint(0, 23):02d}:{rnd.randint(0, 59):02d}", f"{word()}@{word()}",
+        ][i % 4]
+        rows.append((i, f"{words(8)} {body} {words(3)}"))
+        unwanted.add(i)
+    docs = frame(spark, rows)
+    found = {r.doc_id: (set(map(tuple, r.base_spans)), set(map(tuple, r.spans))) for r in pii.find(docs, id_col="doc_id").collect()}
+    texts = dict(rows)
+    assert all(sorted(base) == base_spans(texts[i]) for i, (base, _) in found.items())
+    assert all(base == spans for i, (base, spans) in found.items() if i < 1000)
+    hits = sum(span in found[i][1] - found[i][0] for i, span in wanted.items())
+    wrong = sum(len(found[i][1] - found[i][0]) for i in unwanted)
+    false = sum(len(found[i][1] - found[i][0] - {span}) for i, span in wanted.items())
+    print("disguised", hits, "of", len(wanted), "look-alikes", wrong, "of", len(unwanted), "other spans", false)
+    assert hits >= 0.9 * len(wanted) and wrong <= 0.05 * len(unwanted) and false <= 0.05 * len(wanted)
+
+
 # Toxicity --------------------------------------------------------------------------------------------------------------
 
 
