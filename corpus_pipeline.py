@@ -53,7 +53,7 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # The spans are computed once a row; the array keeps the optimizer from repeating them inside the redaction.
-    found = pii.find(docs.withColumnsRenamed({c: f"_d_{c}" for c in docs.columns}), "_d_text")
+    found = pii.find(docs.withColumnsRenamed({c: f"_d_{c}" for c in docs.columns}), "_d_text", "_d_doc_id")
     text = F.when(F.size("spans") > 0, pii.redact(F.col("_d_text"), F.col("spans"))).otherwise(F.col("_d_text"))
     return found.select(*[(text if c == "text" else F.col(f"_d_{c}")).alias(c) for c in docs.columns])
 
