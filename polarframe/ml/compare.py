@@ -37,7 +37,9 @@ def compare_models(
     for name, (kind, learner) in learners.items():
         if kind not in prepared:
             stages = build_pipeline(kind, numeric).fit(splits["train"])
-            sides = {s: settle(stages.transform(d)) for s, d in splits.items()}
+            read = {one.getFeaturesCol() for n, (k, one) in learners.items() if k == kind}
+            # Prepared rows are read by every fit and scored once: no intermediate columns.
+            sides = {s: settle(stages.transform(d).select(*[c for c in d.columns if c not in numeric], *sorted(read - set(d.columns)))) for s, d in splits.items()}
             prepared[kind] = stages, sides, settle(undersample(sides["train"], ratio=ratio, label=label))
         stages, sides, fit_rows = prepared[kind]
         model = learner.fit(fit_rows)
@@ -45,8 +47,9 @@ def compare_models(
         probability = model.getProbabilityCol()
         for split, df in sides.items():
             scored = model.transform(df).withColumnsRenamed({model.getPredictionCol(): "prediction", probability: "probability"})
-            rows.append(to_scores(scored, name, split, label))
-            if split == "test":
+            if split == "test":  # read by the metrics and by the rates per region
+                scored = settle(scored.select(region, label, "prediction", "probability"))
                 regional.append(regional_summary(scored, name, region, label=label))
+            rows.append(to_scores(scored, name, split, label))
     metrics = settle(evaluate_all(rows))
     return Comparison(fitted, metrics, fitting_analysis(metrics), results_table(regional))
