@@ -1,20 +1,27 @@
 """Fitted tree ensembles as tables of nodes, and scoring by joins with them.
 
 A model that lives only inside one library can't be audited: ``node_table`` writes it as plain rows (tree, node, feature, threshold,
-categories, left, right, value, weight, rows), and ``walk`` scores rows with that table alone, one join per level of the trees. Any SQL engine
+categories, left, right, value, weight, rows), and ``walk`` scores rows with that table alone. Any SQL engine
 can do the same from the two tables (a test does), so a stored probability can be checked without the model.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polarframe.operators import distribute
 from polarframe.operators.distribute import lookup_join, scratch_path, settle
 
 #: A walked and a stored score may differ by the order of a sum of doubles.
 TOLERANCE = 1e-9
+#: Places (rows times trees) that one step of a walk moves at once.
+PLACES = 1 << 20
 
 
 def node_table(model) -> DataFrame:
@@ -57,9 +64,12 @@ def score_of(model, margin: Column, trees: Column) -> Column:
 def walk(rows: DataFrame, keys: list[str], features: str, nodes: DataFrame, depth: int) -> DataFrame:
     """(keys, margin, trees): the weighted sum of the leaves that each row of ``rows`` reaches, and the number of trees.
 
-    A row is repeated per tree and meets one node per level: ``depth`` joins with the table of nodes and one
-    aggregate that combines before it shuffles. ``keys`` name a row.
+    ``keys`` name a row; rows that share them are added up. A table of nodes below ``BROADCAST_VALUES`` goes to every task, where a
+    batch of rows steps down all trees at once and leaves one sum per row. Beyond that a row is repeated per tree and meets one node per level: ``depth``
+    joins with the table of nodes and one aggregate that combines before it shuffles.
     """
+    if nodes.count() * len(nodes.columns) <= distribute.BROADCAST_VALUES:
+        return _walk_batches(rows, keys, features, nodes, depth)
     values = rows.select(*keys, vector_to_array(F.col(features)).alias("_f"))
     trees = nodes.agg(F.max("tree")).first()[0] + 1
     state = values.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(0).alias("node"))
@@ -74,6 +84,49 @@ def walk(rows: DataFrame, keys: list[str], features: str, nodes: DataFrame, dept
     return lookup_join(state, leaves, ["tree", "node"], "inner").groupBy(*keys).agg(F.sum("_v").alias("margin"), F.count(F.lit(1)).alias("trees"))
 
 
+def _walk_batches(rows: DataFrame, keys: list[str], features: str, nodes: DataFrame, depth: int) -> DataFrame:
+    """The walk of ``walk`` with the nodes as arrays: a place is a node's position, and a leaf's children are itself."""
+    table = nodes.select("tree", "node", "feature", "threshold", "categories", "left", "right", "value", "weight").orderBy("tree", "node").collect()
+    at = {(n.tree, n.node): i for i, n in enumerate(table)}  # a model's nodes: below the bound of broadcasts
+    child = lambda side: np.array([i if n[side] is None else at[n.tree, n[side]] for i, n in enumerate(table)], np.int32)
+    left, right = child("left"), child("right")
+    feature = np.array([n.feature or 0 for n in table], np.int32)
+    threshold = np.array([np.nan if n.threshold is None else n.threshold for n in table])
+    sets = [(i, n.categories) for i, n in enumerate(table) if n.categories is not None]
+    # Categories are small whole numbers; one row of flags per node that has a set of them, and a row without any.
+    member = np.zeros((len(sets) + 1, int(max((max(c, default=0) for _, c in sets), default=0)) + 2), bool)
+    chosen = np.full(len(table), -1, np.int32)
+    for k, (i, c) in enumerate(sets):
+        chosen[i] = k
+        member[k, [int(v) for v in c]] = True
+    leaf = np.array([n.value * n.weight if n.left is None else 0.0 for n in table])
+    roots = np.array([i for i, n in enumerate(table) if n.node == 0], np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, PLACES // len(roots))
+        for batch in batches:
+            for part in (batch.slice(s, step) for s in range(0, batch.num_rows, step)):
+                vectors = part.column("_f")
+                x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                line = np.arange(part.num_rows)[:, None]
+                place = np.broadcast_to(roots, (part.num_rows, len(roots)))
+                for _ in range(depth):
+                    value = x[line, feature[place]]
+                    goes_left = value <= threshold[place]
+                    if sets:
+                        known = (value >= 0) & (value < member.shape[1]) & (value == np.floor(value))
+                        goes_left |= member[chosen[place], np.where(known, value, -1).astype(np.int32)] & known
+                    place = np.where(goes_left, left[place], right[place])
+                sums = leaf[place].sum(axis=1)
+                found = [pa.array(sums), pa.array(np.full(part.num_rows, len(roots), np.int64))]
+                yield pa.record_batch([*[part.column(k) for k in keys], *found], [*keys, "margin", "trees"])
+
+    values = rows.select(*keys, vector_to_array(F.col(features)).alias("_f"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
+    walked = values.mapInArrow(run, f"{kinds}, margin double, trees bigint")
+    return walked.groupBy(*keys).agg(F.sum("margin").alias("margin"), F.sum("trees").alias("trees"))
+
+
 def audited(model, scored: DataFrame, keys: list[str], features: str, stored: Column) -> DataFrame:
     """(keys, stored, walked, trees): the score that ``scored`` holds beside the one that the model's table of nodes gives."""
     depth = max(t.depth for t in model.trees)
