@@ -95,8 +95,10 @@ def train_stack(
         name: materialize(preprocess.transform(d), scratch_path(spark, f"stack-{name}"))
         for name, d in (("fold_a", raw_a), ("fold_b", raw_b), ("val", val), ("test", test))
     }
-    fit_rows = undersample(flushed["fold_a"], ratio=ratio, ratios=ratios, label=label).persist(StorageLevel.MEMORY_AND_DISK)
     base = base or {"Base_RF": base_rf(label=label, weight=weight), "Base_GBT": base_gbt(label=label, weight=weight)}
+    # Only what the learners read is kept for their passes.
+    read = sorted({stage.getFeaturesCol() for stage in base.values()} | {label} | ({weight} if weight else set()))
+    fit_rows = undersample(flushed["fold_a"], ratio=ratio, ratios=ratios, label=label).select(*read).persist(StorageLevel.MEMORY_AND_DISK)
     fitted = {name: Pipeline(stages=[stage]).fit(fit_rows) for name, stage in base.items()}
     fit_rows.unpersist()
 
@@ -116,7 +118,7 @@ def train_stack(
             rows.append(to_scores(scored[split], name, split, label, f"{prefix}_prediction", probability))
     metas = {split: meta_features(df, context) for split, df in scored.items()}
     learners = meta or {"Stack_LR_Baseline": meta_lr("baseline", label, weight), "Stack_LR_Tuned": meta_lr("tuned", label, weight)}
-    fold_b = metas["fold_b"].persist(StorageLevel.MEMORY_AND_DISK)
+    fold_b = metas["fold_b"].select("meta_features", label, *([weight] if weight else [])).persist(StorageLevel.MEMORY_AND_DISK)
     meta_models = {name: Pipeline(stages=[stage]).fit(fold_b) for name, stage in learners.items()}
     fold_b.unpersist()
     reports, regional, saved = [], [], []
