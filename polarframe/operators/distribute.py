@@ -23,6 +23,9 @@ SALTS = 64
 ROWS_PER_SALT = 1_000_000
 # Rows without a key are dealt to so many salts: none of them has a counterpart, so many cost nothing.
 NULL_SALTS = 1 << 20
+# Tables of at least so many rows are dealt evenly before fits pass over them hundreds of times, at most so many rows to a task.
+EVEN_ROWS = 2_000_000
+ROWS_PER_TASK = 10_000_000
 # Counters of the sketch of hot keys: its error is a fifth of HOT_SHARE.
 TRACKED = 16_384
 
@@ -55,6 +58,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def even(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``df`` in equal partitions by ``keys``, as many as fill the cluster's cores a whole number of times, if the ``rows`` it is made from are many.
+
+    A fit runs a job per level and tree over the partitions of its input: one partition more than there are cores makes each of those jobs wait for
+    a second round of tasks. Windows by the same keys need no other exchange. Small tables are left to adaptive execution.
+    """
+    if rows < EVEN_ROWS:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * -(-rows // (cores * ROWS_PER_TASK)), *keys)
+
+
 def _values(table: DataFrame, width: int | None) -> int:
     """Values of a table, in units of eight bytes: columns of variable length count by what they hold."""
     fixed, sizes = 0, []

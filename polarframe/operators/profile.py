@@ -207,6 +207,7 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 #: Bits that one pass of ``quantiles`` decides.
 DIGIT = 16
+BUFFERED = 1 << 20
 _TARGET = {"column": "string", "share": "double", "n": "bigint", "low": "double", "high": "double"}
 
 
@@ -229,11 +230,18 @@ def _from_bits(bits: int, whole: bool) -> float | int:
 def _histograms(values: DataFrame, slots: list[tuple[int, int]], shift: int) -> DataFrame:
     """(slot, digit, n): how many values of a column start with the slot's bits, by the next ``DIGIT`` bits below ``shift + DIGIT``.
 
-    A task keeps a counter per digit that occurs and slot, at most 2^16 of them, and sends them once, at its end.
+    A task keeps a counter per digit that occurs and slot, at most 2^16 of them, and sends them once, at its end. Digits wait in a buffer of
+    ``BUFFERED`` per slot, because counting a few of them costs as much as 2^16.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
+        waiting: dict[int, list[np.ndarray]] = {}
+
+        def count(i: int) -> None:
+            parts = waiting.pop(i)
+            counts[i] = counts.get(i, 0) + np.bincount(np.concatenate(parts), minlength=1 << DIGIT)
+
         for batch in batches:
             for c in range(batch.num_columns):
                 own = [(i, prefix) for i, (column, prefix) in enumerate(slots) if column == c]
@@ -244,7 +252,11 @@ def _histograms(values: DataFrame, slots: list[tuple[int, int]], shift: int) ->
                     inside = bits if shift + DIGIT == 64 else bits[bits >> np.uint64(shift + DIGIT) == np.uint64(prefix)]
                     if len(inside):
                         digits = (inside >> np.uint64(shift)) & np.uint64((1 << DIGIT) - 1)
-                        np.add.at(counts.setdefault(i, np.zeros(1 << DIGIT, np.uint32)), digits.astype(np.int64), 1)
+                        waiting.setdefault(i, []).append(digits.astype(np.uint16))
+                        if sum(map(len, waiting[i])) >= BUFFERED:
+                            count(i)
+        for i in list(waiting):
+            count(i)
         for i, counted in counts.items():
             digit = np.flatnonzero(counted)
             yield pa.record_batch([pa.array(np.full(len(digit), i, np.int32)), pa.array(digit.astype(np.int32)), pa.array(counted[digit].astype(np.int64))], ["slot", "digit", "n"])

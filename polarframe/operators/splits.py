@@ -44,7 +44,8 @@ def undersample(
     draw = keyed_uniform(key, seed)
     if ratios is None:
         share = df.agg(F.try_divide(positives * wanted, negatives)).scalar()
-        return df.filter((F.col(label) == 1) | ((F.col(label) == 0) & (draw < share)))
+        # Draws lie below 1: where every negative is wanted none has to be hashed.
+        return df.filter((F.col(label) == 1) | ((F.col(label) == 0) & ((share >= 1.0) | (draw < share))))
     shares = settle(df.groupBy(region).agg(positives.alias("_p"), negatives.alias("_n")))
     # NULL joins NULL: the value and whether there is one.
     named = {"_region": F.coalesce(F.col(region).cast("string"), F.lit("")), "_no_region": F.col(region).isNull()}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from polarframe.ml import evaluate as ev
 from polarframe.ml import clusters, compare, models, prep, stages, studies, trees
 from polarframe.operators import labels, splits, temporal
-from polarframe.operators.distribute import scratch_path, settle
+from polarframe.operators.distribute import even, scratch_path, settle
 from polarframe.operators.fusion import quarterly_stats
 from polarframe.plans.bindings import FUSED, OBS, SCORED, fused, obs, pixel_geometry, scored, table, uniform_sql
 from polarframe.plans.feature_queries import LABELLED
@@ -44,7 +44,8 @@ def ml_table(spark, sf):
 
 
 def _ml_table(spark, sf):
-    base = quarterly_stats(fused(spark, sf), ["lwe_mo"])
+    pixels = even(fused(spark, sf), temporal.PIXEL, table(spark, sf, "lineitem").count())
+    base = quarterly_stats(pixels, ["lwe_mo"])
     features = temporal.lwe_trend(temporal.trailing_mean(temporal.momentum(temporal.expanding_mean(base, "delta_h"), "delta_h"), "t_star_mo", 6))
     rows = settle(splits.temporal_split(features, TRAIN_END, VAL_END))
     labelled = labels.agreement_label(rows, stats_from=rows.filter("split = 'train'")).filter(F.col(LABEL).isNotNull())
@@ -57,6 +58,11 @@ def _split(df):
     return [df.filter(F.col("split") == s).drop("split") for s in ("train", "val", "test")]
 
 
+def _fit_rows(prepared, rows):
+    """The undersampled rows with what a learner reads, written once; nothing is skipped after imputation, so they are drawn before it."""
+    return settle(prepared.transform(splits.undersample(rows)).select("features", "weight", LABEL))
+
+
 def _columns(df, vector, names, digits=6):
     """Entries of a vector column as plain columns."""
     array = vector_to_array(F.col(vector))
@@ -291,13 +297,22 @@ def _stacked(spark, sf, **extra):
     return models.train_stack(train, val, test, NUMERIC, base=base, **extra)
 
 
+def _meta_rows(spark, sf):
+    """The training rows' meta-features by base learners that were fitted on all of them."""
+
+    def make():
+        train, _, _ = _split(ml_table(spark, sf))
+        context = [prep.imputed(c) for c in prep.META_CONTEXT]
+        prepared = settle(prep.build_pipeline("stack", NUMERIC).fit(train).transform(train).select("x", "month_idx", "features", "weight", LABEL, *context))
+        base = Pipeline(stages=[models.base_rf(), models.base_gbt()]).fit(prepared)
+        return settle(prep.meta_features(base.transform(prepared)).select("x", "month_idx", "meta_features", "weight", LABEL))
+
+    return _once(spark, sf, "meta-rows", make)
+
+
 @query("meta_features")
 def _(spark, sf):
-    train, _, _ = _split(ml_table(spark, sf))
-    prepared = settle(prep.build_pipeline("stack", NUMERIC).fit(train).transform(train))
-    base = Pipeline(stages=[models.base_rf(), models.base_gbt()]).fit(prepared)
-    out = prep.meta_features(base.transform(prepared))
-    return _columns(out, "meta_features", prep.META_NAMES).select("x", "month_idx", *prep.META_NAMES)
+    return _columns(_meta_rows(spark, sf), "meta_features", prep.META_NAMES).select("x", "month_idx", *prep.META_NAMES)
 
 
 # ---- models
@@ -310,7 +325,7 @@ def _rounded_metrics(df):
 def _boosted_metrics(spark, sf, presets):
     train, val, test = _split(ml_table(spark, sf))
     prepared = prep.build_pipeline("xgb", NUMERIC).fit(train)
-    sides = {n: prepared.transform(d) for n, d in (("train", train), ("val", val), ("test", test))}
+    sides = {n: settle(prepared.transform(d).select(*splits.ROW_KEY, "features", "weight", LABEL)) for n, d in (("train", train), ("val", val), ("test", test))}
     fit_rows = settle(splits.undersample(sides["train"]))
     rows = []
     for name, preset in presets.items():
@@ -332,7 +347,7 @@ def _(spark, sf):
 def _base_learner(spark, sf, stage):
     train, _, test = _split(ml_table(spark, sf))
     prepared = prep.build_pipeline("stack", NUMERIC).fit(train)
-    fitted = stage.fit(splits.undersample(settle(prepared.transform(train))))
+    fitted = stage.fit(_fit_rows(prepared, train))
     prefix = stage.getPredictionCol().split("_")[0]
     scored = fitted.transform(prepared.transform(test)).withColumn("score", ev.positive_probability(f"{prefix}_probability"))
     return scored.select("x", "month_idx", F.round("score", 6).alias("score"), F.col(stage.getPredictionCol()).alias("prediction"))
@@ -365,7 +380,7 @@ def _fitted(spark, sf, name, kind, stage):
     def make():
         train, _, test = _split(ml_table(spark, sf))
         prepared = prep.build_pipeline(kind, NUMERIC).fit(train)
-        model = stage.fit(settle(splits.undersample(settle(prepared.transform(train)))))
+        model = stage.fit(_fit_rows(prepared, train))
         kept = [*_ID, "regional_subset_id", "features", model.getProbabilityCol()]
         return model, settle(model.transform(prepared.transform(test)).select(*kept))
 
@@ -389,16 +404,26 @@ for _name, (_kind, _stage, _n) in _AUDITED.items():
     query(f"{_name}_nodes", _audit_sql(_n))(lambda spark, sf, a=(_name, _kind, _stage): _audit(spark, sf, a[0], a[1], a[2]()))
 
 
+def _stack_test(spark, sf):
+    """The test rows with what the stack's base learners say of them, without intermediate columns."""
+
+    def make():
+        result = _stack(spark, sf)
+        rows = result.preprocess.transform(_split(ml_table(spark, sf))[2])
+        for base in result.base:
+            rows = base.transform(rows)
+        scores = [f"{m}_{c}" for m in ("rf", "gbt") for c in ("rawPrediction", "probability", "prediction")]
+        return settle(rows.select(*_ID, "features", *[prep.imputed(c) for c in prep.META_CONTEXT], *scores))
+
+    return _once(spark, sf, "stack-test", make)
+
+
 @query("stack_nodes", f"select name as model, n, n as n_equal, t::bigint as trees from (values ('Base_RF', 100), ('Base_GBT', 50), ('Stack_LR_Baseline', 0), ('Stack_Boosted', 100)) v(name, t),"
        f" (with {LABELLED} select count(*) as n from labelled where month_idx > {VAL_END} and {LABEL} is not null) c")
 def _(spark, sf):
     """A whole stack scored again from tables: base learners and a boosted meta-learner from nodes, a linear one from its coefficients."""
     result = _stack(spark, sf)
-    _, _, test = _split(ml_table(spark, sf))
-    rows = result.preprocess.transform(test)
-    for base in result.base:
-        rows = base.transform(rows)
-    rows = settle(rows)
+    rows = _stack_test(spark, sf)
     joined = settle(prep.meta_features(rows).select(*_ID, "meta_features"))
     checked = []
     for name, base, column in zip(("Base_RF", "Base_GBT"), result.base, ("rf_probability", "gbt_probability")):
@@ -462,10 +487,7 @@ def _stack(spark, sf):
 def _(spark, sf):
     """The three base entries of every meta-feature vector, made again from scores that the tables of nodes give."""
     result = _stack(spark, sf)
-    rows = result.preprocess.transform(_split(ml_table(spark, sf))[2])
-    for base in result.base:
-        rows = base.transform(rows)
-    rows = settle(rows)
+    rows = _stack_test(spark, sf)
     named = _columns(prep.meta_features(rows), "meta_features", prep.META_NAMES[:3], 9).select(*_ID, *prep.META_NAMES[:3])
     for base, column, name in zip(result.base, ("rf_probability", "gbt_probability"), ("a", "b")):
         walked = trees.audited(base.stages[-1], rows, _ID, "features", vector_to_array(column)[1]).select(*_ID, F.col("walked").alias(name))
@@ -537,10 +559,7 @@ def _(spark, sf):
 
 @query("meta_lr")
 def _(spark, sf):
-    train, _, _ = _split(ml_table(spark, sf))
-    prepared = settle(prep.build_pipeline("stack", NUMERIC).fit(train).transform(train))
-    base = Pipeline(stages=[models.base_rf(), models.base_gbt()]).fit(prepared)
-    rows = settle(prep.meta_features(base.transform(prepared)))
+    rows = _meta_rows(spark, sf)
     fitted = {p: models.meta_lr(p).fit(rows) for p in ("baseline", "tuned")}
     return _rounded_metrics(ev.evaluate_all([ev.to_scores(m.transform(rows), f"lr_{p}", "train", LABEL) for p, m in fitted.items()]))
 
@@ -551,10 +570,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """A fitted logistic regression with a free intercept predicts the weighted rate of the label on its own rows."""
-    train, _, _ = _split(ml_table(spark, sf))
-    prepared = settle(prep.build_pipeline("stack", NUMERIC).fit(train).transform(train))
-    base = Pipeline(stages=[models.base_rf(), models.base_gbt()]).fit(prepared)
-    rows = settle(prep.meta_features(base.transform(prepared)))
+    rows = _meta_rows(spark, sf)
     scored = models.meta_lr("baseline").fit(rows).transform(rows).withColumn("p", vector_to_array("probability")[1])
     gap = F.sum(F.col("weight") * (F.col("p") - F.col(LABEL))) / F.sum("weight")
     return scored.agg(F.count(F.lit(1)).alias("n"), F.round(F.abs(gap), 3).alias("gap"))
