@@ -29,25 +29,29 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polarframe.llm.shared import runs, steps, stored, whole_groups
+from polarframe.llm.shared import steps, stored, whole_groups
 from polarframe.llm.words import mix, shingles, words
 
 WIDTH = 5
 FUNCTIONS = 6
 ENOUGH = 2
 SIMILAR = 0.8
+#: Of two similar sets without repeated n-grams, one at least has so large a share in common with the other: each of both sets may have
+#: others, but together no more than the similarity allows.
+CLOSER = 2 * SIMILAR / (1 + SIMILAR)
 #: Passages that repeat across documents are of at least this many words.
 LEAST_WORDS = 50
 #: Bytes by which the shift between two texts may drift from one window to the next.
 DRIFT = 8 * LEAST_WORDS
-# The function is in the last three bits of the key; the centre is a byte offset. ``wide`` holds how many bytes before and after the
-# centre the window reaches, in 32 bits each; ``near`` the same for the shortest passages around the centre inside the window.
+# The function is in the last three bits of the key; the centre holds its byte offset and, in the last 32 bits, its word. ``wide`` holds how many
+# bytes before and after the centre the window reaches, in 32 bits each; ``near`` the same for the shortest passages around the centre inside the window.
 COLUMNS = ["key", "row", "c", "wide", "near", "o_row", "o_c", "o_wide", "o_near"]
 SCHEMA = ", ".join(f"{c} bigint" for c in COLUMNS)
 
@@ -77,19 +81,23 @@ def compact_windows(hashes: np.ndarray, least: int, first: np.ndarray) -> tuple[
     low[text[: n - least + 1] != text[least - 1 :]] = 0
     edge = np.zeros(least - 1, np.uint64)
     centres = np.flatnonzero(sliding(np.concatenate([edge, low, edge]), least, np.maximum) == hashes)
-    values, places, own = hashes[centres].tolist(), centres.tolist(), text[centres].tolist()
-    begin, end = first[:-1].tolist(), (first[1:] - 1).tolist()
-    left, right, stack, last = [0] * len(places), [0] * len(places), [], -1
-    for i, v in enumerate(values):
-        d = own[i]
-        if d != last:
-            stack, last = [], d
-        while stack and values[stack[-1]] > v:
-            right[stack.pop()] = places[i] - 1
-        left[i] = places[stack[-1]] + 1 if stack else begin[d]
-        right[i] = end[d]
-        stack.append(i)
-    l, r = np.array(left, np.int64), np.array(right, np.int64)
+    values, own, begin, end = hashes[centres], text[centres], first[:-1], first[1:] - 1
+    edges = np.concatenate([[-1], own, [-1]])  # one place for both ends, -1 and n: no text's own
+    number = np.arange(len(centres))
+
+    def nearest(step: int, larger) -> np.ndarray:
+        """The next centre on one side that is not larger, by jumps of all at once: those jumped over are larger than it, so than all."""
+        to = number + step
+        open_ = number
+        while len(open_):
+            open_ = open_[edges[to[open_] + 1] == own[open_]]
+            open_ = open_[larger(values[to[open_]], values[open_])]
+            to[open_] = to[to[open_]]
+        return to
+
+    before, after = nearest(-1, np.greater), nearest(1, np.greater_equal)
+    l = np.where(edges[before + 1] == own, centres[np.maximum(before, 0)] + 1, begin[own])
+    r = np.where(edges[after + 1] == own, centres[np.minimum(after, len(centres) - 1)] - 1, end[own])
     wide = r - l + 1 >= least
     return l[wide], centres[wide], r[wide]
 
@@ -116,14 +124,16 @@ def _windows(docs: DataFrame, least_words: int) -> DataFrame:
         for batch in steps(batches, "text"):
             w = words(batch.column(1))
             grams, at, first = text_grams(w)
-            rows = np.repeat(np.asarray(batch.column(0)), np.diff(first))
+            text = np.repeat(np.arange(batch.num_rows), np.diff(first))
+            rows = np.asarray(batch.column(0))[text]
             parts = []
             for f in range(FUNCTIONS):
                 hashed = mix(grams ^ seeds[f])
                 l, c, r = compact_windows(hashed, least, first)
                 a, b = np.maximum(l, c - least + 1), np.minimum(r, c + least - 1)
                 reach = lambda x, y: (w.start[at[c]] - w.start[at[x]]) << 32 | (w.end[at[y] + WIDTH - 1] - w.start[at[c]])
-                parts.append((hashed[c] << np.uint64(3) | np.uint64(f), rows[c], w.start[at[c]], reach(l, r), reach(a, b)))
+                centre = w.start[at[c]] << 32 | at[c] - w.first[text[c]]
+                parts.append((hashed[c] << np.uint64(3) | np.uint64(f), rows[c], centre, reach(l, r), reach(a, b)))
             key, *columns = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((columns[1], columns[0], key))
             key, columns = key[order], [x[order] for x in columns]
@@ -176,34 +186,62 @@ def _candidates(hits: DataFrame) -> DataFrame:
     names = ["o_row", "row", "l", "r", "o_l", "o_r"]
     ends = lambda c, reach: (c - (reach >> 32), c + (reach & ((1 << 32) - 1)))
 
+    def ranges_of(pair) -> Iterator[list]:
+        ranges: list[list] = []  # l, r, o_l, o_r, shift, functions
+        live: list[list] = []
+        for f, c, wide, o_c, o_wide in pair:
+            (l, r), (o_l, o_r) = ends(c, wide), ends(o_c, o_wide)
+            live = [g for g in live if g[1] >= c - DRIFT]  # hits come in order of their centres
+            own = None
+            for g in live:
+                if l < g[1] and g[0] < r and o_l < g[3] and g[2] < o_r and abs(o_c - c - g[4]) <= DRIFT:
+                    own = g
+                    break
+            if own is None:
+                own = [l, r, o_l, o_r, o_c - c, set()]
+                ranges.append(own), live.append(own)
+            own[0], own[1], own[2], own[3], own[4] = min(own[0], l), max(own[1], r), min(own[2], o_l), max(own[3], o_r), o_c - c
+            own[5].add(f)
+        return (g[:4] for g in ranges if len(g[5]) >= ENOUGH)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, ...]] = []
-        for pair in runs(batches, ["o_row", "row"]):
-            ranges: list[list] = []  # l, r, o_l, o_r, shift, functions
-            live: list[list] = []
-            a, b = pair.column("o_row")[0].as_py(), pair.column("row")[0].as_py()
-            for key, c, wide, o_c, o_wide in zip(*[pair.column(n).to_pylist() for n in ("key", "c", "wide", "o_c", "o_wide")]):
-                (l, r), (o_l, o_r) = ends(c, wide), ends(o_c, o_wide)
-                live = [g for g in live if g[1] >= c - DRIFT]  # hits come in order of their centres
-                own = None
-                for g in live:
-                    if l < g[1] and g[0] < r and o_l < g[3] and g[2] < o_r and abs(o_c - c - g[4]) <= DRIFT:
-                        own = g
-                        break
-                if own is None:
-                    own = [l, r, o_l, o_r, o_c - c, set()]
-                    ranges.append(own), live.append(own)
-                own[0], own[1], own[2], own[3], own[4] = min(own[0], l), max(own[1], r), min(own[2], o_l), max(own[3], o_r), o_c - c
-                own[5].add(key & 7)
-            found += [(a, b, *g[:4]) for g in ranges if len(g[5]) >= ENOUGH]
-            if len(found) >= 4096:
+        held: list[list[np.ndarray]] = []  # the rows of the pair that the stream stands in
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                new = [np.asarray(batch.column(n)) for n in ("o_row", "row", "f", "c", "wide", "o_c", "o_wide")]
+                fresh = np.flatnonzero((new[0][1:] != new[0][:-1]) | (new[1][1:] != new[1][:-1])) + 1
+                if held and (held[-1][0][-1], held[-1][1][-1]) != (new[0][0], new[1][0]):
+                    fresh = np.concatenate([[0], fresh])
+                if not len(fresh):
+                    held.append(new)
+                    continue
+                done, held = [*held, [x[: fresh[-1]] for x in new]], [[x[fresh[-1] :] for x in new]]
+            else:
+                done, held = held, []
+            if not done:
+                continue
+            x = [np.concatenate(c) for c in zip(*done)]
+            if not len(x[0]):
+                continue
+            fresh = np.ones(len(x[0]), bool)
+            fresh[1:] = (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])
+            begin = np.flatnonzero(fresh)
+            # A pair on which one function agrees has no candidate.
+            many = np.minimum.reduceat(x[2], begin) != np.maximum.reduceat(x[2], begin)
+            many = many[np.cumsum(fresh) - 1]
+            x = [c[many].tolist() for c in x]
+            borders = [*np.flatnonzero(fresh[many]).tolist(), len(x[0])]
+            found = []
+            for low, high in zip(borders[:-1], borders[1:]):
+                found += [(x[0][low], x[1][low], *g) for g in ranges_of(zip(*[c[low:high] for c in x[2:]]))]
+            if found:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], names)
-                found = []
-        if found:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], names)
 
-    asked = hits.select("key", "row", "c", "wide", "o_row", "o_c", "o_wide")
-    ordered = asked.repartition("o_row", "row").sortWithinPartitions("o_row", "row", "c", "o_c", "key")
+    function = F.col("key").bitwiseAND(F.lit(7))
+    asked = hits.select(function.alias("f"), "row", F.shiftright("c", 32).alias("c"), "wide", "o_row", F.shiftright("o_c", 32).alias("o_c"), "o_wide")
+    ordered = asked.repartition("o_row", "row").sortWithinPartitions("o_row", "row", "c", "o_c", "f")
     return ordered.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
@@ -346,6 +384,15 @@ def _least_shared(grams: np.ndarray, least: int) -> int:
     return int(np.ceil(SIMILAR * n - 1e-9))
 
 
+def dense(match: np.ndarray, size: int, share: float) -> np.ndarray:
+    """Whether each row of ``match`` has a run of at least ``size`` places of which at least ``share`` match."""
+    if match.shape[1] < size:
+        return np.zeros(len(match), bool)
+    total = np.zeros((len(match), match.shape[1] + 1))
+    np.cumsum(match - (share - 1e-9), axis=1, out=total[:, 1:])
+    return (total[:, size:] >= np.minimum.accumulate(total[:, : total.shape[1] - size], axis=1)).any(axis=1)
+
+
 def similar_texts(rows: list[int], wanted: list[bool], grams: list[np.ndarray], least: int) -> Iterator[tuple[int, int, list[tuple]]]:
     """(i, j, ``similar_runs``) of each wanted text i and the first text j of a smaller row that it has a passage with.
 
@@ -381,6 +428,9 @@ def similar_texts(rows: list[int], wanted: list[bool], grams: list[np.ndarray],
                     flags[there] = True
                     long = any(run[-1][1] - run[0][0] >= least for run in matching_runs(flags[ids[first[i] : first[i + 1]]]))
                     flags[there] = False
+                    if long and len(mine) == len(g) and len(sets[j]) == len(there):
+                        here = ids[first[i] : first[i + 1]]
+                        long = dense(np.isin(here, there)[None], least, CLOSER)[0] or dense(np.isin(there, here)[None], usual, CLOSER)[0]
                     found = similar_runs(g, grams[j], least) if long else []
                     if found:
                         yield i, j, found
@@ -421,22 +471,115 @@ def sharing(grams: np.ndarray, first: np.ndarray, group: np.ndarray, long: np.nd
             yield of_key.tolist()
 
 
+def codes(w) -> np.ndarray:
+    """One byte of every word's hash: enough to turn away most texts that share too few n-grams, of five bytes each."""
+    return (w.hash >> np.uint64(56)).astype(np.uint8)
+
+
+def may_share(code: np.ndarray, first: np.ndarray, group: np.ndarray, row: np.ndarray, opened: np.ndarray, least: int, seen: np.ndarray) -> np.ndarray:
+    """Whether each text may be an open one with a passage of ``least`` n-grams that a text of its group and a smaller row has, or be that one.
+
+    ``first[i] : first[i + 1]`` are the codes of text ``i``'s words; texts come in order of group and row; ``seen`` is working space of two times
+    2 ** k integers. No similar texts are turned away: where two agree in a word they agree in its code, and collisions only add to the n-grams in
+    common. A passage without repeated n-grams is a run that has at least ``SIMILAR`` of its n-grams in common with its source, whose own run is as
+    long or shorter by that share. Passages that repeat n-grams need fewer, so their whole group is held to the least number only.
+    """
+    n = len(first) - 1
+    count = np.maximum(np.diff(first) - WIDTH + 1, 0)
+    shared = int(np.ceil(SIMILAR * least - 1e-9))
+    most = max(int(count.max(initial=0)), least)
+    text = np.repeat(np.arange(n), count)
+    at = np.arange(len(text)) - np.repeat(np.cumsum(count) - count - first[:-1], count)
+    grams = np.zeros(len(text), np.uint64)
+    for i in range(WIDTH):
+        grams = grams << np.uint64(8) | code[at + i]
+    inside = np.arange(most) < count[:, None]
+    # Distinct values stand for the n-grams that a text does not have.
+    each = np.broadcast_to(np.arange(most, dtype=np.uint64) | np.uint64(1 << 63), (n, most)).copy()
+    each[inside] = grams
+    each.sort(axis=1)
+    repeated = (each[:, 1:] == each[:, :-1]).sum(axis=1)
+    fresh = np.ones(n, bool)
+    fresh[1:] = (group[1:] != group[:-1]) | (row[1:] != row[:-1])
+    owner = np.cumsum(fresh)
+    slot = (mix(grams ^ mix(group.astype(np.uint64))[text]) & np.uint64(seen.shape[1] - 1)).astype(np.int64)
+    mine = owner[text]
+    # The first document that has an n-gram, and the last one that has it in an open text: written from the back and from the front.
+    seen[0][slot[::-1]] = mine[::-1]
+    seen[1][slot] = 0
+    seen[1][slot[opened[text]]] = mine[opened[text]]
+    # The distinct n-grams of a passage: all but those outside of it, at least.
+    need = np.full(int(group[-1]) + 1 if n else 0, shared)
+    np.minimum.at(need, group, np.maximum(np.ceil(SIMILAR * (least - repeated) - 1e-9), 1).astype(np.int64))
+    need = need[group]
+
+    def enough(matching: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        match = np.zeros((n, most), bool)
+        match[inside] = matching
+        repeats, common = need < shared, match.sum(axis=1) >= need
+        return common & (repeats | dense(match, size, SIMILAR)), common & (repeats | dense(match, size, CLOSER))
+
+    later, closer_later = enough(seen[0][slot] < mine, least)
+    source, closer_source = enough(seen[1][slot] > mine, shared)
+    closer = np.bincount(group, opened & closer_later | closer_source) > 0
+    return (opened & later | source) & closer[group]
+
+
+def _may_share(asked: DataFrame, least_words: int) -> DataFrame:
+    """The windows of ``asked`` (key, row, open, c, near, code) that ``may_share`` a passage with another one of their key."""
+    least = least_words - WIDTH + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, 1 << 22), np.int32)
+        for block in whole_groups(batches, "key", "code"):
+            batch = block.combine_chunks().to_batches()[0]
+            key, row = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+            code = batch.column(5).cast(pa.large_binary())
+            first = np.frombuffer(code.buffers()[1], np.int64)[code.offset : code.offset + len(code) + 1]
+            data = np.frombuffer(code.buffers()[2], np.uint8)[first[0] : first[-1]]
+            kept = may_share(data, first - first[0], group, row, np.asarray(batch.column(2).to_numpy(zero_copy_only=False)), least, seen)
+            if kept.any():
+                yield batch.filter(pa.array(kept)).select(range(5))
+
+    ordered = asked.repartition("key").sortWithinPartitions("key", "row")
+    return ordered.mapInArrow(run, "key bigint, row bigint, open boolean, c bigint, near bigint")
+
+
+def _coded(docs: DataFrame) -> DataFrame:
+    """(row, code): a byte for every word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            w = words(batch.column(1))
+            code = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(w.first.astype(np.int64)), pa.py_buffer(codes(w))])
+            yield pa.record_batch([batch.column(0), code.cast(pa.binary())], ["row", "code"])
+
+    return docs.select("row", "text").mapInArrow(run, "row bigint, code binary")
+
+
 def _others(docs: DataFrame, hits: DataFrame, found: DataFrame, least_words: int) -> DataFrame:
     """Passages around the windows of ``hits`` whose centre lies in none of ``found``, with any window of their keys."""
     spans = found.groupBy(F.col("doc_id").alias("row")).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    inside = F.exists("_spans", lambda x: (x["start"] <= F.col("c")) & (F.col("c") < x["end"]))
+    at = F.shiftright("c", 32)
+    inside = F.exists("_spans", lambda x: (x["start"] <= at) & (at < x["end"]))
     left = hits.select("key", "row", "c", "near").join(spans, "row", "left").withColumn("open", ~F.coalesce(inside, F.lit(False)))
     first = hits.select("key", F.col("o_row").alias("row"), F.col("o_c").alias("c"), F.col("o_near").alias("near"), F.lit(False).alias("open"))
     both = left.drop("_spans").select(*first.columns).union(first.distinct())
     keys = stored(left.where("open").select("key").distinct(), "open")
+    # The codes of all words that passages of least length around the centre may have; the exact check is on the words.
+    least = least_words - WIDTH + 1
+    word = F.col("c").bitwiseAND(F.lit((1 << 32) - 1))
+    from_ = F.greatest(word - (least - 1), F.lit(0))
+    near = both.join(keys, "key", "left_semi").join(_coded(docs), "row").select("key", "row", "open", "c", "near", F.col("code").substr((from_ + 1).cast("int"), (word + least + WIDTH - 1 - from_).cast("int")).alias("code"))
+    kept = stored(_may_share(near, least_words), "sharing")
     before, after = F.shiftright("near", 32), F.col("near").bitwiseAND(F.lit((1 << 32) - 1))
-    asked = both.join(keys, "key", "left_semi").select("key", "row", "open", (F.col("c") - before).alias("l"), (F.col("c") + after).alias("r"))
+    asked = kept.select("key", "row", "open", (at - before).alias("l"), (at + after).alias("r"))
     cut = docs.select("row", F.encode("text", "utf-8").alias("bytes")).join(asked, "row").select(
         "key", "row", "l", "open", F.expr("substring(bytes, cast(l + 1 as int), cast(r - l as int))").alias("words")
     )
     names = [c.split(" ")[0] for c in FOUND.split(", ")]
     types = [pa.float64() if n == "similarity" else pa.int64() for n in names]
-    least = least_words - WIDTH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in whole_groups(batches, "key", "words"):

@@ -19,6 +19,7 @@ from compare import difference, oracle_connection
 
 from polarframe.llm import bpe, flatfiles, jaccard, packing, passages, pii, quality, search, sharding, toxicity
 from polarframe.llm.shared import components, whole_groups
+from polarframe.llm.words import shingles, words as words_of
 from polarframe.llm.tokens import encode
 from polarframe.operators.distribute import scratch_path
 
@@ -614,3 +615,30 @@ def test_phone_with_many_separators(spark):
     text = "call +" + "    ".join("123456789")
     (row,) = pii.find(frame(spark, [(1, text)])).collect()
     assert [tuple(s) for s in row.base_spans] == [(5, pii.KINDS.index("phone"), len(text))]
+
+
+def test_may_share_turns_no_similar_texts_away():
+    rng = np.random.default_rng(10)
+    least, seen, kept_of, all_of = 10, np.zeros((2, 1 << 14), np.int32), 0, 0
+    for _ in range(400):
+        n = int(rng.integers(2, 12))
+        base = [rng.integers(0, int(rng.choice([3, 2000])), 30) for _ in range(3)]
+        texts = []
+        for _ in range(n):
+            t = base[rng.integers(0, 3)].copy()
+            t[rng.integers(0, 30, int(rng.integers(0, 4)))] = rng.integers(0, 2000)
+            texts.append(np.delete(t, rng.integers(0, 30, int(rng.integers(0, 3))))[int(rng.integers(0, 9)) :])
+        group, row = np.sort(rng.integers(0, 3, n)), rng.integers(0, 6, n)
+        order = np.lexsort((row, group))
+        group, row = np.unique(group, return_inverse=True)[1], row[order]
+        opened = rng.random(n) < 0.5
+        hashes = [words_of(pa.array([" ".join(f"w{x}" for x in t)])) for t in texts]
+        first = np.concatenate([[0], np.cumsum([len(h.hash) for h in hashes])])
+        kept = passages.may_share(np.concatenate([passages.codes(h) for h in hashes]), first, group, row, opened, least, seen)
+        grams = [shingles(h.hash, 5) if len(h.hash) > 4 else np.zeros(0, np.uint64) for h in hashes]
+        for i in range(n):
+            for j in range(n):
+                if opened[i] and group[i] == group[j] and row[j] < row[i] and min(len(grams[i]), len(grams[j])) and passages.similar_runs(grams[i], grams[j], least):
+                    assert kept[i] and kept[j]
+        kept_of, all_of = kept_of + kept.sum(), all_of + n
+    assert kept_of < all_of
