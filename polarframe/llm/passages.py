@@ -14,7 +14,8 @@ that hash around it, whatever surrounds the passage.
 3. Verification on the words of both ranges, cut out of the texts by byte offsets: maximal runs of the later range whose n-grams
    are in the earlier one, bridged while at least 80 percent match. A passage of at least ``least_words`` words and
    Jaccard similarity of at least ``SIMILAR`` is reported, in bytes and words of the later text.
-4. Windows whose centre lies in no passage so far go on to all other partners: the words of the windows of their keys
+4. Windows whose centre lies in no passage so far go on to all other partners. One byte a word turns away those that can't share enough with any
+   window of their key; the words of the others
    within a shortest passage's reach of their centres are gathered by key, and each is held against the earlier ones that can share enough n-grams (prefix
    filter: rarest n-grams of the key first, so a frequent line proposes nothing), in order, until one is similar.
 
