@@ -211,7 +211,7 @@ def _candidates(hits: DataFrame) -> DataFrame:
             if batch is not None:
                 if not batch.num_rows:
                     continue
-                new = [np.asarray(batch.column(n)) for n in ("o_row", "row", "f", "c", "wide", "o_c", "o_wide")]
+                new = [np.asarray(batch.column(n)) for n in ("o_row", "row", "key", "c", "wide", "o_c", "o_wide")]
                 fresh = np.flatnonzero((new[0][1:] != new[0][:-1]) | (new[1][1:] != new[1][:-1])) + 1
                 if held and (held[-1][0][-1], held[-1][1][-1]) != (new[0][0], new[1][0]):
                     fresh = np.concatenate([[0], fresh])
@@ -226,6 +226,7 @@ def _candidates(hits: DataFrame) -> DataFrame:
             x = [np.concatenate(c) for c in zip(*done)]
             if not len(x[0]):
                 continue
+            x[2] = x[2] & 7
             fresh = np.ones(len(x[0]), bool)
             fresh[1:] = (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])
             begin = np.flatnonzero(fresh)
@@ -240,9 +241,8 @@ def _candidates(hits: DataFrame) -> DataFrame:
             if found:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], names)
 
-    function = F.col("key").bitwiseAND(F.lit(7))
-    asked = hits.select(function.alias("f"), "row", F.shiftright("c", 32).alias("c"), "wide", "o_row", F.shiftright("o_c", 32).alias("o_c"), "o_wide")
-    ordered = asked.repartition("o_row", "row").sortWithinPartitions("o_row", "row", "c", "o_c", "f")
+    asked = hits.select("key", "row", F.shiftright("c", 32).alias("c"), "wide", "o_row", F.shiftright("o_c", 32).alias("o_c"), "o_wide")
+    ordered = asked.repartition("o_row", "row").sortWithinPartitions("o_row", "row", "c", "o_c", "key")
     return ordered.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
