@@ -14,7 +14,8 @@ import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers = {_BASE: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
+_BLOCK = 1 << 12
+_powers: dict[np.uint64, np.ndarray] = {}
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -37,13 +38,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
-    if len(_powers[base]) < n:
-        p = np.full(max(n, 1 << 20), base, np.uint64)
+    if len(_powers.get(base, ())) < n:
+        p = np.full(max(n, _BLOCK), base, np.uint64)
         p[0] = 1
         _powers[base] = np.cumprod(p)
     return _powers[base][:n]
 
 
+def _blocks(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``x`` and ``y`` so that ``base`` ** i is y[i // _BLOCK] * x[i % _BLOCK] for all i below ``n``: no table as long as the texts."""
+    return _power(base, _BLOCK), _power(np.uint64(pow(int(base), _BLOCK, 1 << 64)), -(-n // _BLOCK))
+
+
 def words(column: pa.Array, lower: bool = False) -> Words:
     """Maximal runs of bytes that are not white space; a null text has none. ``lower`` folds A-Z only."""
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
@@ -71,9 +77,17 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     last[:-1] &= ~inside[1:]
     last[borders - 1] = inside[borders - 1]
     end = np.flatnonzero(last) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=sums[1:])
-    value = (sums[end] - sums[start]) * _power(_INVERSE, n)[start]
+    # Eight bytes for every byte of text, so it is worked on in place.
+    sums = np.zeros(-(-n // _BLOCK) * _BLOCK + 1, np.uint64)
+    sums[1 : n + 1] = data
+    sums[1 : n + 1] += np.uint64(1)
+    x, y = _blocks(_BASE, n)
+    each = sums[1:].reshape(-1, _BLOCK)
+    each *= x
+    each *= y[:, None]
+    np.cumsum(sums, out=sums)
+    x, y = _blocks(_INVERSE, n)
+    value = (sums[end] - sums[start]) * (y[start // _BLOCK] * x[start % _BLOCK])
     value = mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     first = np.searchsorted(start, offsets, "left")
     own = np.repeat(offsets[:-1], np.diff(first))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -551,6 +552,18 @@ def test_sharing_leaves_out_only_texts_that_share_too_little():
                     assert (j, i) in pairs
 
 
+def test_words_need_little_memory():
+    texts = pa.array([" ".join(f"w{i * 7919 % 10007}" for i in range(700_000))])
+    words_of(texts)
+    tracemalloc.start()
+    w = words_of(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = len(texts[0].as_buffer())
+    # Eight bytes for every byte of text stand at one time, not four times as many.
+    assert peak < 20 * n and len(w.hash) == 700_000 and len(np.unique(w.hash)) == 10007
+
+
 def test_whole_groups():
     rng = np.random.default_rng(9)
     for _ in range(200):
