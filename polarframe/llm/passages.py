@@ -29,6 +29,7 @@ from those rows that have it. An empty table gives no rows. ``find`` reads doc_i
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import chain
 
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polarframe.llm.shared import steps, stored, whole_groups
+from polarframe.llm.shared import release, steps, stored, whole_groups
 from polarframe.llm.words import mix, shingles, words
 
 WIDTH = 5
@@ -49,12 +50,21 @@ SIMILAR = 0.8
 CLOSER = 2 * SIMILAR / (1 + SIMILAR)
 #: Passages that repeat across documents are of at least this many words.
 LEAST_WORDS = 50
+#: Groups of at most so many texts are compared many at a time, all their pairs at once: about so many pairs of n-grams.
+SMALL = 64
+PAIRS = 1 << 20
+#: Of each text's pairs so many are tried at first.
+FIRST = 3
 #: Bytes by which the shift between two texts may drift from one window to the next.
 DRIFT = 8 * LEAST_WORDS
 # The function is in the last three bits of the key; the centre holds its byte offset and, in the last 32 bits, its word. ``wide`` holds how many
 # bytes before and after the centre the window reaches, in 32 bits each; ``near`` the same for the shortest passages around the centre inside the window.
 COLUMNS = ["key", "row", "c", "wide", "near", "o_row", "o_c", "o_wide", "o_near"]
 SCHEMA = ", ".join(f"{c} bigint" for c in COLUMNS)
+# Nearly all windows meet no other one; for the way to the first of their key all columns after ``row`` are one value of big-endian
+# integers, which sorts as they do: three of a window by itself, seven of a joined one.
+SENT = ["key", "row", "window"]
+ALONE, JOINED = 3, 7
 
 
 def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -117,7 +127,7 @@ def _joined(key: np.ndarray, fresh: np.ndarray) -> np.ndarray:
 
 
 def _windows(docs: DataFrame, least_words: int) -> DataFrame:
-    """Rows for the shuffle: a key's first window in its batch (``o_`` columns null), or a window joined to it."""
+    """Rows for the shuffle (``SENT``): a key's first window in its batch, or a window joined to it."""
     least = least_words - WIDTH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,12 +152,16 @@ def _windows(docs: DataFrame, least_words: int) -> DataFrame:
             fresh[1:] = key[1:] != key[:-1]
             head = _joined(key, fresh)
             # A window in the document of its partner joins nothing and need not travel.
-            keep = fresh | (columns[0] != columns[0][head])
-            sent = [pa.array(x[keep], pa.int64()) for x in (key.view(np.int64), *columns)]
-            sent += [pa.array(x[head][keep], pa.int64(), mask=fresh[keep]) for x in columns]
-            yield pa.record_batch(sent, COLUMNS)
+            joined = np.flatnonzero(columns[0] != columns[0][head])
+            fresh, head = np.flatnonzero(fresh), head[joined]
+            key, row = key.view(np.int64), columns[0]
+            for at, values in ((fresh, [x[fresh] for x in columns[1:]]), (joined, [x[joined] for x in columns[1:]] + [x[head] for x in columns])):
+                window = np.stack(values, 1).astype(">i8")
+                offsets = np.arange(len(at) + 1, dtype=np.int32) * np.int32(8 * len(values))
+                window = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(window)])
+                yield pa.record_batch([pa.array(key[at]), pa.array(row[at]), window], SENT)
 
-    return docs.select("row", "text").mapInArrow(run, SCHEMA)
+    return docs.select("row", "text").mapInArrow(run, "key bigint, row bigint, window binary")
 
 
 def _hits(windows: DataFrame) -> DataFrame:
@@ -156,16 +170,20 @@ def _hits(windows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last = None, None
         for batch in batches:
-            done = np.asarray(batch.column(5).is_valid().to_numpy(zero_copy_only=False))
-            x = [np.asarray(c.fill_null(0)) for c in batch.columns]
-            out = [[c[done] for c in x]]
-            x = [c[~done] for c in x]
+            window = batch.column(2).cast(pa.large_binary())
+            offsets = np.frombuffer(window.buffers()[1], np.int64)[window.offset : window.offset + len(window) + 1]
+            values = np.frombuffer(window.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(">i8")
+            start = (offsets[:-1] - offsets[0]) // 8
+            done = np.diff(offsets) == 8 * JOINED
+            key, row = (np.asarray(c) for c in batch.columns[:2])
+            out = [[key[done], row[done], *(values[start[done] + i].astype(np.int64) for i in range(JOINED))]]
+            x = [key[~done], row[~done], *(values[start[~done] + i].astype(np.int64) for i in range(ALONE))]
             key = x[0]
             if len(key):
                 fresh = np.ones(len(key), bool)
                 fresh[1:] = key[1:] != key[:-1]
                 head = _joined(key, fresh)
-                x[5:] = [c[head] for c in x[1:5]]
+                x += [c[head] for c in x[1:]]
                 if key[0] == last_key:  # the key began in an earlier batch
                     x[5:] = [np.where(key == last_key, old, c) for old, c in zip(last, x[5:])]
                 last_key, last = key[-1], [c[-1] for c in x[5:]]
@@ -174,8 +192,8 @@ def _hits(windows: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], COLUMNS)
 
     # Joined windows need not meet: they are spread.
-    to = F.when(F.col("o_row").isNotNull(), F.xxhash64("row", "c")).otherwise(F.col("key"))
-    return windows.repartition(to).sortWithinPartitions("key", "row", "c").mapInArrow(run, SCHEMA)
+    to = F.when(F.octet_length("window") == 8 * JOINED, F.xxhash64("row", "window")).otherwise(F.col("key"))
+    return windows.repartition(to).sortWithinPartitions("key", "row", "window").mapInArrow(run, SCHEMA)
 
 
 def _candidates(hits: DataFrame) -> DataFrame:
@@ -185,25 +203,31 @@ def _candidates(hits: DataFrame) -> DataFrame:
     the same shift form a range. A pair's hits are bounded by the lengths of the two texts.
     """
     names = ["o_row", "row", "l", "r", "o_l", "o_r"]
-    ends = lambda c, reach: (c - (reach >> 32), c + (reach & ((1 << 32) - 1)))
 
     def ranges_of(pair) -> Iterator[list]:
-        ranges: list[list] = []  # l, r, o_l, o_r, shift, functions
+        ranges: list[list] = []  # l, r, o_l, o_r, shift, functions as bits
         live: list[list] = []
-        for f, c, wide, o_c, o_wide in pair:
-            (l, r), (o_l, o_r) = ends(c, wide), ends(o_c, o_wide)
+        for f, c, l, r, o_c, o_l, o_r in pair:
             live = [g for g in live if g[1] >= c - DRIFT]  # hits come in order of their centres
-            own = None
+            shift, own = o_c - c, None
             for g in live:
-                if l < g[1] and g[0] < r and o_l < g[3] and g[2] < o_r and abs(o_c - c - g[4]) <= DRIFT:
+                if l < g[1] and g[0] < r and o_l < g[3] and g[2] < o_r and -DRIFT <= shift - g[4] <= DRIFT:
                     own = g
                     break
             if own is None:
-                own = [l, r, o_l, o_r, o_c - c, set()]
+                own = [l, r, o_l, o_r, shift, 0]
                 ranges.append(own), live.append(own)
-            own[0], own[1], own[2], own[3], own[4] = min(own[0], l), max(own[1], r), min(own[2], o_l), max(own[3], o_r), o_c - c
-            own[5].add(f)
-        return (g[:4] for g in ranges if len(g[5]) >= ENOUGH)
+            if l < own[0]:
+                own[0] = l
+            if r > own[1]:
+                own[1] = r
+            if o_l < own[2]:
+                own[2] = o_l
+            if o_r > own[3]:
+                own[3] = o_r
+            own[4] = shift
+            own[5] |= 1 << f
+        return (g[:4] for g in ranges if g[5].bit_count() >= ENOUGH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []  # the rows of the pair that the stream stands in
@@ -233,7 +257,9 @@ def _candidates(hits: DataFrame) -> DataFrame:
             # A pair on which one function agrees has no candidate.
             many = np.minimum.reduceat(x[2], begin) != np.maximum.reduceat(x[2], begin)
             many = many[np.cumsum(fresh) - 1]
-            x = [c[many].tolist() for c in x]
+            x = [c[many] for c in x]
+            ends = lambda c, reach: (c - (reach >> 32), c + (reach & ((1 << 32) - 1)))
+            x = [c.tolist() for c in (*x[:4], *ends(x[3], x[4]), x[5], *ends(x[5], x[6]))]
             borders = [*np.flatnonzero(fresh[many]).tolist(), len(x[0])]
             found = []
             for low, high in zip(borders[:-1], borders[1:]):
@@ -301,6 +327,7 @@ def similar_runs(later: np.ndarray, earlier: np.ndarray, least: int) -> list[tup
     upto = np.searchsorted(inorder, later, "right")
     match = upto > at
     where = order[np.minimum(at, len(earlier) - 1)]
+    single = not (inorder[1:] == inorder[:-1]).any()  # no n-gram of the earlier text repeats
     merged = matching_runs(match)
     out = []
     while merged:
@@ -310,20 +337,24 @@ def similar_runs(later: np.ndarray, earlier: np.ndarray, least: int) -> list[tup
             continue
         own = a + np.flatnonzero(match[a:b])
         held = where[own]
-        one, best = np.unique(later[a:b]), (0.0, 0, 0)
+        one, best = len(np.unique(later[a:b])), (0.0, 0, 0)
         # Passages that repeat themselves match far from any one shift.
         ranges = {(int(held.min()), int(held.max()) + 1)}
-        common = _common_shift(own, at[own], upto[own], order, len(later))
+        common = int(np.argmax(np.bincount(held - own + len(later)))) - len(later) if single else _common_shift(own, at[own], upto[own], order, len(later))
         ranges.add((max(a + common, 0), min(b + common, len(earlier))))
         for shift in {common, int(np.median(held - own))}:
-            places = _nearest(own + shift, at[own], upto[own], order)
+            places = held if single else _nearest(own + shift, at[own], upto[own], order)
             near = places[np.abs(places - own - shift) <= (b - a) // 4 + 1]
             if len(near):
                 ranges.add((int(near.min()), int(near.max()) + 1))
+        if single:  # an n-gram in common is one place of the earlier text
+            common_places = np.unique(held)
         for x, y in sorted(ranges):
-            two = np.unique(earlier[x:y])
-            both = len(np.intersect1d(one, two, assume_unique=True))
-            best = max(best, (both / (len(one) + len(two) - both), x, y), key=lambda v: v[0])
+            if single:
+                both, two = int(np.diff(np.searchsorted(common_places, (x, y)))[0]), y - x
+            else:
+                both, two = len(np.intersect1d(later[a:b], earlier[x:y])), len(np.unique(earlier[x:y]))
+            best = max(best, (both / (one + two - both), x, y), key=lambda v: v[0])
         similarity, x, y = best
         if similarity >= SIMILAR:
             out.append((a, b, x, y, similarity))
@@ -339,6 +370,7 @@ FOUND = "doc_id bigint, start bigint, end bigint, n_words bigint, source_id bigi
 def _verified(docs: DataFrame, candidates: DataFrame, least_words: int) -> DataFrame:
     """Exact check of the candidates on the bytes of both ranges."""
     asked = stored(candidates.withColumn("candidate", F.monotonically_increasing_id()), "ranges")
+    release(docs.sparkSession)
     sides = asked.select(F.col("row").alias("at"), "candidate", F.lit(1).alias("side"), F.col("l").alias("a"), F.col("r").alias("b")).union(
         asked.select(F.col("o_row"), "candidate", F.lit(0), F.col("o_l"), F.col("o_r"))
     )
@@ -377,12 +409,25 @@ def _verified(docs: DataFrame, candidates: DataFrame, least_words: int) -> DataF
     return ordered.mapInArrow(run, FOUND)
 
 
-def _least_shared(grams: np.ndarray, least: int) -> int:
-    """Distinct n-grams that a text similar to any run of ``least`` of these n-grams shares with it, at least."""
-    n = least
-    if len(np.unique(grams)) < len(grams):
-        n = min(len(set(grams[i : i + least].tolist())) for i in range(len(grams) - least + 1))
-    return int(np.ceil(SIMILAR * n - 1e-9))
+def _least_shared(grams: np.ndarray, first: np.ndarray, least: int) -> np.ndarray:
+    """Distinct n-grams that a text similar to any run of ``least`` n-grams of text ``i`` shares with it, at least, for all texts of so many.
+
+    ``first[i] : first[i + 1]`` are the n-grams of text ``i``.
+    """
+    count = np.diff(first)
+    text = np.repeat(np.arange(len(count)), count)
+    order = np.lexsort((grams, text))
+    again = np.flatnonzero((grams[order[1:]] == grams[order[:-1]]) & (text[order[1:]] == text[order[:-1]]))
+    before, at = order[again], order[again + 1]
+    # A place is a repeat in the runs that hold the one before it too.
+    begin = np.maximum(at - least + 1, first[text[at]])
+    inside = begin <= before
+    change = np.bincount(begin[inside], minlength=len(text) + 1) - np.bincount(before[inside] + 1, minlength=len(text) + 1)
+    repeats = np.cumsum(change)[: len(text)]
+    repeats[np.arange(len(text)) > first[1:][text] - least] = 0  # no whole run begins there
+    most = np.zeros(len(count), np.int64)
+    most[count > 0] = np.maximum.reduceat(repeats, first[:-1][count > 0]) if len(text) else 0
+    return np.ceil(SIMILAR * (least - most) - 1e-9).astype(np.int64)
 
 
 def dense(match: np.ndarray, size: int, share: float) -> np.ndarray:
@@ -394,6 +439,14 @@ def dense(match: np.ndarray, size: int, share: float) -> np.ndarray:
     return (total[:, size:] >= np.minimum.accumulate(total[:, : total.shape[1] - size], axis=1)).any(axis=1)
 
 
+def _ascending(lists: list[list[int]], end: int) -> Iterator[int]:
+    """The distinct members below ``end`` of ascending lists, in order; of a frequent n-gram's list only as much is read as is asked for."""
+    low, high = 0, 64
+    while low < end:
+        yield from sorted({j for x in lists for j in x[bisect_left(x, low) : bisect_left(x, high)]})
+        low, high = high, 4 * high
+
+
 def similar_texts(rows: list[int], wanted: list[bool], grams: list[np.ndarray], least: int) -> Iterator[tuple[int, int, list[tuple]]]:
     """(i, j, ``similar_runs``) of each wanted text i and the first text j of a smaller row that it has a passage with.
 
@@ -415,15 +468,16 @@ def similar_texts(rows: list[int], wanted: list[bool], grams: list[np.ndarray],
     flags = np.zeros(len(values), bool)
     first = first.tolist()
     usual = int(np.ceil(SIMILAR * least - 1e-9))
+    needs = _least_shared(np.concatenate(grams), np.array(first), least).tolist()
     held: dict[int, list[int]] = {}
     sets: list[set[int]] = []
     for i, g in enumerate(grams):
         mine = own[at[i] : at[i + 1]]
         sets.append(set(mine))
-        need = usual if len(mine) == len(g) else _least_shared(g, least)
+        need = needs[i]
         rare = [k for k in mine[: len(mine) - need + 1] if k >= single]
         if wanted[i]:
-            for j in sorted({j for k in rare for j in held.get(k, ())}):
+            for j in _ascending([held[k] for k in rare if k in held], i):
                 if rows[j] < rows[i] and len(sets[i] & sets[j]) >= need:
                     there = ids[first[j] : first[j + 1]]
                     flags[there] = True
@@ -440,6 +494,69 @@ def similar_texts(rows: list[int], wanted: list[bool], grams: list[np.ndarray],
             held.setdefault(k, []).append(i)
 
 
+def similar_pairs(rows: np.ndarray, wanted: np.ndarray, grams: np.ndarray, first: np.ndarray, group: np.ndarray, least: int) -> Iterator[tuple[int, int, list[tuple]]]:
+    """What ``similar_texts`` finds, for many groups of at most ``SMALL`` texts at once; texts come in order of group and row.
+
+    All pairs of texts of a group that share n-grams are listed, at most ``SMALL`` for each n-gram of a text; the rarest n-grams that propose,
+    counts and dense runs are those of ``similar_texts``.
+    """
+    usual = int(np.ceil(SIMILAR * least - 1e-9))
+    count = np.diff(first)
+    text = np.repeat(np.arange(len(count)), count)
+    ids = np.unique(grams, return_inverse=True)[1]
+    own = np.unique((group[text] * (len(ids) + 1) + ids) * len(count) + text)
+    shared, owner = np.divmod(own, len(count))
+    distinct = np.bincount(owner, minlength=len(count))
+    repeats = distinct < count
+    need = _least_shared(grams, first, least)
+    fresh = np.ones(len(own), bool)
+    fresh[1:] = shared[1:] != shared[:-1]
+    held = np.diff(np.flatnonzero(np.append(fresh, True)))[np.cumsum(fresh) - 1]  # texts of the group with the n-gram
+    rarest = np.empty(len(own), np.int64)
+    rarest[np.lexsort((shared, held, owner))] = np.arange(len(own)) - np.repeat(np.cumsum(distinct) - distinct, distinct)
+    rare = rarest <= (distinct - need)[owner]
+    found, proposed = [], []
+    for apart in range(1, SMALL):
+        at = np.flatnonzero(shared[apart:] == shared[:-apart])
+        if not len(at):
+            break
+        later, earlier = owner[at + apart], owner[at]
+        asked = wanted[later] & (rows[earlier] < rows[later])
+        found.append(later[asked] * len(count) + earlier[asked])
+        proposed.append(found[-1][(rare[at] & rare[at + apart])[asked]])
+    if not found:
+        return
+    pairs, common = np.unique(np.concatenate(found), return_counts=True)
+    later, earlier = np.divmod(pairs, len(count))
+    enough = (common >= need[later]) & np.isin(pairs, np.concatenate(proposed))
+    later, earlier = later[enough], earlier[enough]
+    most = int(count.max(initial=0))
+    inside = np.arange(most) < count[:, None]
+    each = np.full((len(count), most), -1)
+    each[inside] = ids
+    # Most texts are like the first ones already; the other pairs are tried of those that are not.
+    number = np.arange(len(later)) - np.searchsorted(later, later)
+    done = np.zeros(len(count), bool)
+    for tried in (number < FIRST, number >= FIRST):
+        tried = np.flatnonzero(tried)
+        tried = tried[~done[later[tried]]]
+        for begin in range(0, len(tried), 1 << 12):
+            at = tried[begin : begin + (1 << 12)]
+            x, y = later[at], earlier[at]
+            number = np.arange(len(x))[:, None] * (len(ids) + 1)
+            here, there = each[x] + number, each[y] + number
+            match = np.isin(here, there[inside[y]]) & inside[x]
+            may = dense(match, least, SIMILAR)
+            once = ~(repeats[x] | repeats[y])
+            may[once] &= dense(match[once], least, CLOSER) | dense((np.isin(there, here[inside[x]]) & inside[y])[once], usual, CLOSER)
+            for i, j in zip(x[may].tolist(), y[may].tolist()):
+                if not done[i]:
+                    passages = similar_runs(grams[first[i] : first[i + 1]], grams[first[j] : first[j + 1]], least)
+                    if passages:
+                        done[i] = True
+                        yield i, j, passages
+
+
 def sharing(grams: np.ndarray, first: np.ndarray, group: np.ndarray, long: np.ndarray, least: int) -> Iterator[list[int]]:
     """Per group of texts those that may be similar to another one of it: two at least, long enough, in order.
 
@@ -463,9 +580,11 @@ def sharing(grams: np.ndarray, first: np.ndarray, group: np.ndarray, long: np.nd
     count = np.bincount(text[shared & once], minlength=len(long))
     # Texts that repeat n-grams have fewer distinct ones; their groups take the least need.
     need = np.full(int(group[-1]) + 1 if len(group) else 0, int(np.ceil(SIMILAR * least - 1e-9)))
-    for i in np.unique(text[~once]).tolist():
-        if count[i]:
-            need[group[i]] = min(need[group[i]], _least_shared(grams[first[i] : first[i + 1]], least))
+    again = np.unique(text[~once])
+    again = again[count[again] > 0]
+    if len(again):
+        own = [grams[first[i] : first[i + 1]] for i in again.tolist()]
+        np.minimum.at(need, group[again], _least_shared(np.concatenate(own), np.concatenate([[0], np.cumsum([len(g) for g in own])]), least))
     kept = np.flatnonzero(long & (count >= need[group]))
     for of_key in np.split(kept, np.flatnonzero(np.diff(group[kept])) + 1):
         if len(of_key) > 1:
@@ -574,6 +693,7 @@ def _others(docs: DataFrame, hits: DataFrame, found: DataFrame, least_words: int
     from_ = F.greatest(word - (least - 1), F.lit(0))
     near = both.join(keys, "key", "left_semi").join(_coded(docs), "row").select("key", "row", "open", "c", "near", F.col("code").substr((from_ + 1).cast("int"), (word + least + WIDTH - 1 - from_).cast("int")).alias("code"))
     kept = stored(_may_share(near, least_words), "sharing")
+    release(docs.sparkSession)
     before, after = F.shiftright("near", 32), F.col("near").bitwiseAND(F.lit((1 << 32) - 1))
     asked = kept.select("key", "row", "open", (at - before).alias("l"), (at + after).alias("r"))
     cut = docs.select("row", F.encode("text", "utf-8").alias("bytes")).join(asked, "row").select(
@@ -604,12 +724,29 @@ def _others(docs: DataFrame, hits: DataFrame, found: DataFrame, least_words: int
                         wanted.setdefault(j, []).append(i)
             grams, _, first = text_grams(w)
             owner = np.array(group)[firsts]
+            text_row = np.array([rows[i] for i in firsts])
+            asked = np.zeros(len(firsts), bool)
+            asked[list(wanted)] = True
+            small: list[list[int]] = [[]]
+            lengths, pending = np.diff(first), 0
             for of_key in sharing(grams, first, owner, np.array(long), least):
-                if not any(j in wanted for j in of_key):
+                if not asked[of_key].any():
+                    continue
+                if len(of_key) > SMALL:
+                    own = [grams[first[j] : first[j + 1]] for j in of_key]
+                    sought = similar_texts(text_row[of_key].tolist(), asked[of_key].tolist(), own, least)
+                    pairs += [(i, of_key[x], of_key[y], f) for x, y, f in sought for i in wanted[of_key[x]]]
                     continue
-                own = [grams[first[j] : first[j + 1]] for j in of_key]
-                sought = similar_texts([rows[firsts[j]] for j in of_key], [j in wanted for j in of_key], own, least)
-                pairs += [(i, of_key[x], of_key[y], f) for x, y, f in sought for i in wanted[of_key[x]]]
+                pending += len(of_key) * int(lengths[of_key].sum()) // 2
+                if pending > PAIRS:
+                    small.append([])
+                    pending = 0
+                small[-1] += of_key
+            for texts_of in filter(None, small):
+                own = [grams[first[j] : first[j + 1]] for j in texts_of]
+                borders = np.concatenate([[0], np.cumsum([len(g) for g in own])])
+                sought = similar_pairs(text_row[texts_of], asked[texts_of], np.concatenate(own), borders, owner[texts_of], least)
+                pairs += [(i, texts_of[x], texts_of[y], f) for x, y, f in sought for i in wanted[texts_of[x]]]
             out = []
             for i, x, y, passages in pairs:
                 p, k, j = w.first[x], w.first[y], firsts[y]
@@ -632,7 +769,9 @@ def find(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("row"), F.col("text").cast("string").alias("text"))
     hits = stored(_hits(_windows(texts, least_words)), "hits")
+    release(docs.sparkSession)
     found = stored(_verified(texts, _candidates(hits), least_words).distinct(), "first")
+    release(docs.sparkSession)
     return found.union(_others(texts, hits, found, least_words)).distinct()
 
 

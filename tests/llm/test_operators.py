@@ -552,6 +552,43 @@ def test_sharing_leaves_out_only_texts_that_share_too_little():
                     assert (j, i) in pairs
 
 
+def test_small_groups_are_compared_as_one_by_one():
+    rng = np.random.default_rng(12)
+    least = 10
+
+    def text(base):
+        n = int(rng.integers(10, 28))
+        x = base[(at := int(rng.integers(0, len(base) - n))) : at + n].copy() if rng.random() < 0.7 else rng.integers(0, int(rng.choice([6, 500])), n).astype(np.uint64)
+        x[rng.integers(0, n, int(rng.integers(0, 4)))] = rng.integers(0, 500)
+        return np.concatenate([x, x[: int(rng.integers(0, n))]]) if rng.random() < 0.3 else x
+
+    total = 0
+    for _ in range(200):
+        base = rng.integers(0, int(rng.choice([5, 30, 400])), 60).astype(np.uint64)
+        groups = [[text(base) for _ in range(int(rng.integers(2, 14)))] for _ in range(3)]
+        rows = [np.sort(rng.integers(0, 9, len(g))) for g in groups]
+        wanted = [rng.random(len(g)) < 0.7 for g in groups]
+        want, at = [], 0
+        for g, r, w in zip(groups, rows, wanted):
+            want += [(i + at, j + at, f) for i, j, f in passages.similar_texts(r.tolist(), w.tolist(), g, least)]
+            at += len(g)
+        texts = sum(groups, [])
+        first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        owner = np.repeat(np.arange(3), [len(g) for g in groups])
+        assert sorted(passages.similar_pairs(np.concatenate(rows), np.concatenate(wanted), np.concatenate(texts), first, owner, least)) == want
+        total += len(want)
+        runs = [t[i : i + least] for t in texts[:1] for i in range(len(t) - least + 1)]
+        assert passages._least_shared(texts[0], np.array([0, len(texts[0])]), least)[0] == int(np.ceil(0.8 * min(len(set(r.tolist())) for r in runs) - 1e-9))
+    assert total > 500
+
+
+def test_ascending_reads_all_in_order():
+    rng = np.random.default_rng(13)
+    for _ in range(50):
+        lists = [np.unique(rng.integers(0, 3000, int(rng.integers(1, 400)))).tolist() for _ in range(3)]
+        assert list(passages._ascending(lists, 3000)) == sorted({x for own in lists for x in own})
+
+
 def test_words_need_little_memory():
     texts = pa.array([" ".join(f"w{i * 7919 % 10007}" for i in range(700_000))])
     words_of(texts)
