@@ -15,6 +15,8 @@ from polarframe.operators.distribute import scratch_path
 
 # Ids of eight bytes each: a broadcast of at most some tens of megabytes, counted before.
 BROADCAST_IDS = 1_000_000
+# Shuffle files go at the end of their query, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # Bytes of text that one vectorised step of a Python worker handles together (a longer text alone).
 STEP_BYTES = 4 << 20
 
@@ -24,10 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: computed once, safe from lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written as Parquet to the shared folder and read again: computed once, safe from lost executors.
+
+    Nothing reads the shuffles of the write again, so Spark removes their files as soon as it is done.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, True)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:

@@ -1,12 +1,15 @@
 """The operators against brute force, exact round trips and held-out rows, with the edge cases each docstring defines."""
 
 import hashlib
+import os
 import random
 import re
 import struct
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from glob import glob
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,7 @@ from __spark_entry__ import oracle_sql, queries
 from compare import difference, oracle_connection
 
 from polarframe.llm import bpe, flatfiles, jaccard, packing, passages, pii, quality, search, sharding, toxicity
-from polarframe.llm.shared import components, whole_groups
+from polarframe.llm.shared import CLEANUP, components, stored, whole_groups
 from polarframe.llm.words import shingles, words as words_of
 from polarframe.llm.tokens import encode
 from polarframe.operators.distribute import scratch_path
@@ -282,6 +285,25 @@ def test_sharding_edges(spark):
     check_shards(sharding.write_shards(frame(spark, ODD[:3]), scratch_path(spark, "shards"), 5).collect(), 5)
 
 
+def shuffle_bytes(spark):
+    """Bytes of the shuffle files on the disk of the tests' only executor."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(os.path.getsize(p) for folder in folders for p in glob(f"{folder.getPath()}/*/shuffle_*.data"))
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    rows, setting = [(i, random.Random(i).randbytes(500).hex()) for i in range(2000)], spark.conf.get(CLEANUP)
+    before = shuffle_bytes(spark)
+    out = stored(frame(spark, rows).repartition(3, "doc_id"), "kept")
+    for _ in range(100):  # the files go in the background
+        if shuffle_bytes(spark) < before + 200_000:
+            break
+        time.sleep(0.1)
+    assert shuffle_bytes(spark) < before + 200_000
+    assert sorted(map(tuple, out.collect())) == rows
+    assert spark.conf.get(CLEANUP) == setting
+
+
 # Flat files ------------------------------------------------------------------------------------------------------------
 
 
