@@ -31,14 +31,15 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import chain
+from fractions import Fraction
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polarframe.llm.shared import release, steps, stored, whole_groups
+from polarframe.llm.shared import steps, stored, whole_groups
 from polarframe.llm.words import mix, shingles, words
 
 WIDTH = 5
@@ -53,8 +54,9 @@ LEAST_WORDS = 50
 #: Groups of at most so many texts are compared many at a time, all their pairs at once: about so many pairs of n-grams.
 SMALL = 64
 PAIRS = 1 << 20
-#: Of each text's pairs so many are tried at first.
+#: Of each text's pairs so many are tried at first, and so many at a time in larger groups.
 FIRST = 3
+AT_ONCE = 16
 #: Bytes by which the shift between two texts may drift from one window to the next.
 DRIFT = 8 * LEAST_WORDS
 # The function is in the last three bits of the key; the centre holds its byte offset and, in the last 32 bits, its word. ``wide`` holds how many
@@ -314,6 +316,19 @@ def matching_runs(match: np.ndarray) -> list[list[tuple[int, int]]]:
     return merged
 
 
+def long_runs(match: np.ndarray, least: int) -> list[list[tuple[int, int]]]:
+    """Those of ``matching_runs`` that are of at least ``least`` places."""
+    return [run for run in matching_runs(match) if run[-1][1] - run[0][0] >= least]
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order; a sort, which is several times faster than ``np.unique`` on a few of them."""
+    x = np.sort(x)
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = x[1:] != x[:-1]
+    return x[fresh]
+
+
 def similar_runs(later: np.ndarray, earlier: np.ndarray, least: int) -> list[tuple[int, int, int, int, float]]:
     """(from, to, earlier from, earlier to, Jaccard) of passages of at least ``least`` n-grams, ends exclusive.
 
@@ -324,11 +339,14 @@ def similar_runs(later: np.ndarray, earlier: np.ndarray, least: int) -> list[tup
     order = np.argsort(earlier, kind="stable")
     inorder = earlier[order]
     at = np.searchsorted(inorder, later)
+    near = np.minimum(at, len(earlier) - 1)
+    match = inorder[near] == later
+    merged = long_runs(match, least)
+    if not merged:
+        return []
     upto = np.searchsorted(inorder, later, "right")
-    match = upto > at
-    where = order[np.minimum(at, len(earlier) - 1)]
+    where = order[near]
     single = not (inorder[1:] == inorder[:-1]).any()  # no n-gram of the earlier text repeats
-    merged = matching_runs(match)
     out = []
     while merged:
         run = merged.pop()
@@ -337,23 +355,27 @@ def similar_runs(later: np.ndarray, earlier: np.ndarray, least: int) -> list[tup
             continue
         own = a + np.flatnonzero(match[a:b])
         held = where[own]
-        one, best = len(np.unique(later[a:b])), (0.0, 0, 0)
+        mine = _distinct(later[a:b])
+        one, best = len(mine), (0.0, 0, 0)
         # Passages that repeat themselves match far from any one shift.
         ranges = {(int(held.min()), int(held.max()) + 1)}
         common = int(np.argmax(np.bincount(held - own + len(later)))) - len(later) if single else _common_shift(own, at[own], upto[own], order, len(later))
         ranges.add((max(a + common, 0), min(b + common, len(earlier))))
-        for shift in {common, int(np.median(held - own))}:
+        shifts = np.sort(held - own)
+        median = int((shifts[(len(own) - 1) // 2] + shifts[len(own) // 2]) / 2)
+        for shift in {common, median}:
             places = held if single else _nearest(own + shift, at[own], upto[own], order)
             near = places[np.abs(places - own - shift) <= (b - a) // 4 + 1]
             if len(near):
                 ranges.add((int(near.min()), int(near.max()) + 1))
         if single:  # an n-gram in common is one place of the earlier text
-            common_places = np.unique(held)
+            common_places = _distinct(held)
         for x, y in sorted(ranges):
             if single:
                 both, two = int(np.diff(np.searchsorted(common_places, (x, y)))[0]), y - x
             else:
-                both, two = len(np.intersect1d(later[a:b], earlier[x:y])), len(np.unique(earlier[x:y]))
+                other = _distinct(earlier[x:y])
+                both, two = int(np.count_nonzero(mine[np.minimum(np.searchsorted(mine, other), one - 1)] == other)), len(other)
             best = max(best, (both / (one + two - both), x, y), key=lambda v: v[0])
         similarity, x, y = best
         if similarity >= SIMILAR:
@@ -370,7 +392,6 @@ FOUND = "doc_id bigint, start bigint, end bigint, n_words bigint, source_id bigi
 def _verified(docs: DataFrame, candidates: DataFrame, least_words: int) -> DataFrame:
     """Exact check of the candidates on the bytes of both ranges."""
     asked = stored(candidates.withColumn("candidate", F.monotonically_increasing_id()), "ranges")
-    release(docs.sparkSession)
     sides = asked.select(F.col("row").alias("at"), "candidate", F.lit(1).alias("side"), F.col("l").alias("a"), F.col("r").alias("b")).union(
         asked.select(F.col("o_row"), "candidate", F.lit(0), F.col("o_l"), F.col("o_r"))
     )
@@ -434,8 +455,9 @@ def dense(match: np.ndarray, size: int, share: float) -> np.ndarray:
     """Whether each row of ``match`` has a run of at least ``size`` places of which at least ``share`` match."""
     if match.shape[1] < size:
         return np.zeros(len(match), bool)
-    total = np.zeros((len(match), match.shape[1] + 1))
-    np.cumsum(match - (share - 1e-9), axis=1, out=total[:, 1:])
+    part = Fraction(share).limit_denominator(1000)
+    total = np.zeros((len(match), match.shape[1] + 1), np.int32)
+    np.cumsum(match * np.int32(part.denominator) - np.int32(part.numerator), axis=1, out=total[:, 1:])
     return (total[:, size:] >= np.minimum.accumulate(total[:, : total.shape[1] - size], axis=1)).any(axis=1)
 
 
@@ -453,41 +475,59 @@ def similar_texts(rows: list[int], wanted: list[bool], grams: list[np.ndarray],
     Texts come in order of their rows. Two texts that share t n-grams have one in common among all but t - 1 of each
     one's n-grams, in any order of the n-grams; the rarest are taken first. Only texts that share enough are compared.
     """
-    ends = np.cumsum([len(g) for g in grams])
-    first = np.concatenate([[0], ends])
+    length = np.array([len(g) for g in grams])
+    first = np.concatenate([[0], np.cumsum(length)])
     values, ids = np.unique(np.concatenate(grams), return_inverse=True)
-    text = np.repeat(np.arange(len(grams)), np.diff(first))
+    text = np.repeat(np.arange(len(grams)), length)
     owner, own = np.divmod(np.unique(text * len(values) + ids), len(values))
     count = np.bincount(own, minlength=len(values))
+    # N-grams of one text propose nothing and match nothing: all of them are number 0.
+    single = int(np.count_nonzero(count == 1))
     place = np.empty(len(count), np.int64)
-    place[np.argsort(count, kind="stable")] = np.arange(len(count))
+    place[np.argsort(count, kind="stable")] = np.maximum(np.arange(1, len(count) + 1) - single, 0)
     ids = place[ids]
     at = np.searchsorted(owner, np.arange(len(grams) + 1)).tolist()
-    own = (np.sort(owner * len(values) + place[own]) % len(values)).tolist()  # the distinct n-grams of every text, its rarest first
-    single = int(np.count_nonzero(count == 1))  # n-grams of one text propose nothing
-    flags = np.zeros(len(values), bool)
-    first = first.tolist()
+    once = np.diff(at) == length
+    own = np.sort(owner * (len(values) + 1) + place[own]) % (len(values) + 1)  # the distinct n-grams of every text, its rarest first
+    flags = np.zeros((AT_ONCE, len(values) - single + 1), bool)
     usual = int(np.ceil(SIMILAR * least - 1e-9))
-    needs = _least_shared(np.concatenate(grams), np.array(first), least).tolist()
+    needs = _least_shared(np.concatenate(grams), first, least).tolist()
     held: dict[int, list[int]] = {}
-    sets: list[set[int]] = []
     for i, g in enumerate(grams):
-        mine = own[at[i] : at[i + 1]]
-        sets.append(set(mine))
-        need = needs[i]
-        rare = [k for k in mine[: len(mine) - need + 1] if k >= single]
+        mine, need, here = own[at[i] : at[i + 1]], needs[i], ids[first[i] : first[i + 1]]
+        rare = mine[: len(mine) - need + 1]
+        rare = rare[rare > 0].tolist()
         if wanted[i]:
-            for j in _ascending([held[k] for k in rare if k in held], i):
-                if rows[j] < rows[i] and len(sets[i] & sets[j]) >= need:
-                    there = ids[first[j] : first[j + 1]]
-                    flags[there] = True
-                    long = any(run[-1][1] - run[0][0] >= least for run in matching_runs(flags[ids[first[i] : first[i + 1]]]))
-                    flags[there] = False
-                    if long and len(mine) == len(g) and len(sets[j]) == len(there):
-                        here = ids[first[i] : first[i + 1]]
-                        long = dense(np.isin(here, there)[None], least, CLOSER)[0] or dense(np.isin(there, here)[None], usual, CLOSER)[0]
-                    found = similar_runs(g, grams[j], least) if long else []
+            earlier = (j for j in _ascending([held[k] for k in rare if k in held], i) if rows[j] < rows[i])
+            size, done = FIRST, False
+            while not done and (tried := list(islice(earlier, size))):
+                size = AT_ONCE
+                tried = np.array(tried)
+                line = np.repeat(np.arange(len(tried)), length[tried])
+                inside = np.arange(int(length[tried].max())) < length[tried][:, None]
+                there = ids[np.arange(len(line)) + np.repeat(first[tried] - np.cumsum(length[tried]) + length[tried], length[tried])]
+                flags[line, there] = True
+                flags[:, 0] = False
+                may = flags[: len(tried), mine].sum(axis=1) >= need
+                match = flags[: len(tried), here]
+                may[may] = dense(match[may], least, SIMILAR)
+                strict = np.flatnonzero(may & once[tried]) if once[i] else []
+                if len(strict):
+                    flags[line, there] = False
+                    flags[0, here] = True
+                    flags[0, 0] = False
+                    back = np.zeros(inside.shape, bool)
+                    back[inside] = flags[0, there]
+                    flags[0, here] = False
+                    back = back[strict]
+                    may[strict] = dense(match[strict], least, CLOSER) & dense(back, usual, SIMILAR) | dense(back, usual, CLOSER)
+                else:
+                    flags[line, there] = False
+                for k in np.flatnonzero(may).tolist():
+                    j = int(tried[k])
+                    found = similar_runs(g, grams[j], least) if long_runs(match[k], least) else []
                     if found:
+                        done = True
                         yield i, j, found
                         break
         for k in rare:
@@ -503,37 +543,51 @@ def similar_pairs(rows: np.ndarray, wanted: np.ndarray, grams: np.ndarray, first
     usual = int(np.ceil(SIMILAR * least - 1e-9))
     count = np.diff(first)
     text = np.repeat(np.arange(len(count)), count)
-    ids = np.unique(grams, return_inverse=True)[1]
-    own = np.unique((group[text] * (len(ids) + 1) + ids) * len(count) + text)
-    shared, owner = np.divmod(own, len(count))
+    group = np.cumsum(np.diff(group, prepend=group[:1]) != 0)
+    # The n-grams of every group by their order: ``begin`` is the number of each group's first one.
+    order = np.lexsort((grams, group[text]))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (grams[order[1:]] != grams[order[:-1]]) | (group[text[order[1:]]] != group[text[order[:-1]]])
+    ids = np.empty(len(order), np.int64)
+    ids[order] = np.cumsum(fresh) - 1
+    size = np.bincount(group[text[order[fresh]]], minlength=int(group[-1]) + 1)
+    begin = (np.cumsum(size) - size)[group]
+    shared, owner = np.divmod(_distinct(ids * len(count) + text), len(count))
     distinct = np.bincount(owner, minlength=len(count))
     repeats = distinct < count
     need = _least_shared(grams, first, least)
-    fresh = np.ones(len(own), bool)
+    fresh = np.ones(len(shared), bool)
     fresh[1:] = shared[1:] != shared[:-1]
     held = np.diff(np.flatnonzero(np.append(fresh, True)))[np.cumsum(fresh) - 1]  # texts of the group with the n-gram
-    rarest = np.empty(len(own), np.int64)
-    rarest[np.lexsort((shared, held, owner))] = np.arange(len(own)) - np.repeat(np.cumsum(distinct) - distinct, distinct)
+    rarest = np.empty(len(shared), np.int64)
+    rarest[np.lexsort((shared, held, owner))] = np.arange(len(shared)) - np.repeat(np.cumsum(distinct) - distinct, distinct)
     rare = rarest <= (distinct - need)[owner]
-    found, proposed = [], []
+    found = []
     for apart in range(1, SMALL):
         at = np.flatnonzero(shared[apart:] == shared[:-apart])
         if not len(at):
             break
         later, earlier = owner[at + apart], owner[at]
         asked = wanted[later] & (rows[earlier] < rows[later])
-        found.append(later[asked] * len(count) + earlier[asked])
-        proposed.append(found[-1][(rare[at] & rare[at + apart])[asked]])
-    if not found:
+        # The last bit tells whether the n-gram proposes the pair; a pair's proposals are its last ones in order.
+        found.append((later[asked] * len(count) + earlier[asked]) << 1 | (rare[at] & rare[at + apart])[asked])
+    found = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    if not len(found):
         return
-    pairs, common = np.unique(np.concatenate(found), return_counts=True)
-    later, earlier = np.divmod(pairs, len(count))
-    enough = (common >= need[later]) & np.isin(pairs, np.concatenate(proposed))
+    last = np.flatnonzero(np.append(found[1:] >> 1 != found[:-1] >> 1, True))
+    common = np.diff(last, prepend=-1)
+    later, earlier = np.divmod(found[last] >> 1, len(count))
+    enough = (common >= need[later]) & (found[last] & 1 == 1)
     later, earlier = later[enough], earlier[enough]
     most = int(count.max(initial=0))
     inside = np.arange(most) < count[:, None]
-    each = np.full((len(count), most), -1)
-    each[inside] = ids
+    each = np.zeros((len(count), most), np.int64)
+    each[inside] = ids - begin[text]
+    # Which n-grams of its group each text has, a byte for each: as many as the groups' texts times their n-grams.
+    cells = size[group]
+    base = np.cumsum(cells) - cells
+    has = np.zeros(int(cells.sum()), bool)
+    has[base[owner] + shared - begin[owner]] = True
     # Most texts are like the first ones already; the other pairs are tried of those that are not.
     number = np.arange(len(later)) - np.searchsorted(later, later)
     done = np.zeros(len(count), bool)
@@ -543,14 +597,15 @@ def similar_pairs(rows: np.ndarray, wanted: np.ndarray, grams: np.ndarray, first
         for begin in range(0, len(tried), 1 << 12):
             at = tried[begin : begin + (1 << 12)]
             x, y = later[at], earlier[at]
-            number = np.arange(len(x))[:, None] * (len(ids) + 1)
-            here, there = each[x] + number, each[y] + number
-            match = np.isin(here, there[inside[y]]) & inside[x]
+            match = has[base[y][:, None] + each[x]] & inside[x]
             may = dense(match, least, SIMILAR)
             once = ~(repeats[x] | repeats[y])
-            may[once] &= dense(match[once], least, CLOSER) | dense((np.isin(there, here[inside[x]]) & inside[y])[once], usual, CLOSER)
-            for i, j in zip(x[may].tolist(), y[may].tolist()):
-                if not done[i]:
+            once = np.flatnonzero(may & once)
+            x_, y_ = x[once], y[once]
+            back = has[base[x_][:, None] + each[y_]] & inside[y_]
+            may[once] = dense(match[once], least, CLOSER) & dense(back, usual, SIMILAR) | dense(back, usual, CLOSER)
+            for i, j, k in zip(x[may].tolist(), y[may].tolist(), np.flatnonzero(may).tolist()):
+                if not done[i] and long_runs(match[k], least):
                     passages = similar_runs(grams[first[i] : first[i + 1]], grams[first[j] : first[j + 1]], least)
                     if passages:
                         done[i] = True
@@ -650,8 +705,8 @@ def _may_share(asked: DataFrame, least_words: int) -> DataFrame:
     least = least_words - WIDTH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, 1 << 22), np.int32)
-        for block in whole_groups(batches, "key", "code"):
+        seen = np.zeros((2, 1 << 20), np.int32)
+        for block in whole_groups(batches, "key", "code", 1 << 18):
             batch = block.combine_chunks().to_batches()[0]
             key, row = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
@@ -693,7 +748,6 @@ def _others(docs: DataFrame, hits: DataFrame, found: DataFrame, least_words: int
     from_ = F.greatest(word - (least - 1), F.lit(0))
     near = both.join(keys, "key", "left_semi").join(_coded(docs), "row").select("key", "row", "open", "c", "near", F.col("code").substr((from_ + 1).cast("int"), (word + least + WIDTH - 1 - from_).cast("int")).alias("code"))
     kept = stored(_may_share(near, least_words), "sharing")
-    release(docs.sparkSession)
     before, after = F.shiftright("near", 32), F.col("near").bitwiseAND(F.lit((1 << 32) - 1))
     asked = kept.select("key", "row", "open", (at - before).alias("l"), (at + after).alias("r"))
     cut = docs.select("row", F.encode("text", "utf-8").alias("bytes")).join(asked, "row").select(
@@ -769,9 +823,7 @@ def find(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("row"), F.col("text").cast("string").alias("text"))
     hits = stored(_hits(_windows(texts, least_words)), "hits")
-    release(docs.sparkSession)
     found = stored(_verified(texts, _candidates(hits), least_words).distinct(), "first")
-    release(docs.sparkSession)
     return found.union(_others(texts, hits, found, least_words)).distinct()
 
 

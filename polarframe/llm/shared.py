@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,12 +40,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps: it does so when the driver collects its garbage, else at no certain time."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drawn_share(share: float, *key: Column) -> Column:
     """Whether a hash of the key falls in the lowest ``share`` of 63-bit numbers; no share of a table is too small for that."""
     return F.xxhash64(*key).bitwiseAND(F.lit(2**63 - 1)) <= F.lit(min(int(share * 2**63), 2**63 - 1))

@@ -604,6 +604,31 @@ def test_small_groups_are_compared_as_one_by_one():
     assert total > 500
 
 
+def first_similar(rows, grams, i, least):
+    return next(((j, f) for j in range(i) if rows[j] < rows[i] and (f := passages.similar_runs(grams[i], grams[j], least))), None)
+
+
+def test_large_groups_are_compared_some_at_a_time(monkeypatch):
+    rng = np.random.default_rng(14)
+    least, n = 46, 150
+    one, two = np.arange(20, dtype=np.uint64), np.arange(20, 38, dtype=np.uint64)
+    # All share two lines, too far apart for a passage; some repeat a whole earlier text, with a change or two, or n-grams of their own.
+    grams = [np.concatenate([(x := rng.integers(1000, 1 << 40, 24).astype(np.uint64))[:9], one, x[9:14], two, x[14:], x[:4] if i % 50 == 0 else x[:0]]) for i in range(n)]
+    for i in range(20, n, 9):
+        grams[i] = grams[int(rng.integers(0, i))].copy()
+        grams[i][rng.integers(0, len(grams[i]), int(rng.integers(0, 5)))] = 7
+    rows = sorted(int(x) for x in rng.integers(0, 100, n))
+    wanted = (rng.random(n) < 0.8).tolist()
+    asked, runs_of = [], passages.matching_runs
+    monkeypatch.setattr(passages, "matching_runs", lambda match: asked.append(1) or runs_of(match))
+    found, one_by_one = list(passages.similar_texts(rows, wanted, grams, least)), len(asked)
+    want = [(i, *own) for i in range(n) if wanted[i] and (own := first_similar(rows, grams, i, least))]
+    assert found == want and len(want) > 8
+    # Some thousands of pairs share enough n-grams to be looked at; few of them alone.
+    pairs = sum(rows[j] < rows[i] for i in range(n) if wanted[i] for j in range(i))
+    assert pairs > 5000 and one_by_one < pairs / 10
+
+
 def test_ascending_reads_all_in_order():
     rng = np.random.default_rng(13)
     for _ in range(50):
